@@ -9,7 +9,7 @@ _ASSIGN = (
 
 def _hits(kind: int, pattern: str, value: str) -> str:
     return f"""select rid, {kind} kind, start, start + length(hit) fin, {value} val from (
-      select rid, unnest(hits) hit, unnest([list_sum(list_transform(gaps[1:i], g -> length(g)))::bigint + coalesce(list_sum(list_transform(hits[1:i-1], h -> length(h))), 0)::bigint for i in range(1, len(hits) + 1)]) start
+      select rid, unnest(hits) hit, unnest([list_sum([length(g) for g in gaps[1:i]])::bigint + coalesce(list_sum([length(h) for h in hits[1:i-1]]), 0)::bigint for i in range(1, len(hits) + 1)]) start
       from (select rid, regexp_extract_all(t, '{pattern}') hits, string_split_regex(t, '{pattern}') gaps from docs) x) y"""
 
 
@@ -31,4 +31,19 @@ select doc_id, coalesce(n_assign, 0) n_assign, coalesce(n_access, 0) n_access, c
 from docs left join per using (rid) left join spans using (rid)
 """
 
-SQL: dict[str, str] = {"op3_secret_scan": OP3}
+OP9 = r"""
+with recursive split as (
+  select row_number() over () rid, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') ws
+  from documents),
+sh as materialized (
+  select distinct rid, unnest(case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')] else [array_to_string(ws[i:i+4], ' ') for i in range(1, len(ws) - 3)] end) s from split),
+sizes as (select rid, count(*) n from sh group by rid),
+links as materialized (
+  select x.rid a, y.rid b from (select p.rid, q.rid other, count(*) c from sh p join sh q using (s) where p.rid <> q.rid group by 1, 2) x
+  join sizes sx on sx.rid = x.rid join sizes sy on sy.rid = x.other join split y on y.rid = x.other where 100 * c >= 80 * (sx.n + sy.n - c)),
+reach as (select rid a, rid b from split union select reach.a, links.b from reach join links on links.a = reach.b)
+select split.doc_id, coalesce(n, 0) n_shingles, min(o.doc_id) component_id
+from split join reach on reach.a = split.rid join split o on o.rid = reach.b left join sizes on sizes.rid = split.rid group by split.rid, split.doc_id, n
+"""
+
+SQL: dict[str, str] = {"op3_secret_scan": OP3, "op9_ngram_jaccard": OP9}
