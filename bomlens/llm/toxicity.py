@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections import Counter
 from itertools import combinations
 
@@ -34,10 +35,10 @@ HELD_OUT = (4, 2)
 THRESHOLD = 0.3
 #: Bounds of the labelled sample.
 PER_CLASS, MAX_CHARS = 2500, 50_000
-LANDMARKS = 192
+LANDMARKS = 240
 DECAY = 0.7
 WINDOW, STRIDE = 20, 10
-RIDGE = 1e-6
+RIDGE = 1e-8
 LOWEST = -3.0
 ALPHABET = 32
 REMEMBERED = 600_000
@@ -213,7 +214,8 @@ def fit(rows: list[tuple[str, int]]) -> SubsequenceMachine | None:
     negatives = common[:3000] + common[3000 :: max(1, len(common) // 12_000)]
     half = LANDMARKS // 2
     spread_out = witnesses[half // 2 :][:: max(1, len(witnesses) * 2 // half)][: half // 2]
-    landmarks = list(dict.fromkeys(witnesses[: half // 2] + spread_out + negatives[:: max(1, len(negatives) // half)][:half]))
+    gapped = [v for w in witnesses[:12] for v in inserted(w)[:1]]
+    landmarks = list(dict.fromkeys(witnesses[: half // 2] + gapped + spread_out + negatives[:: max(1, len(negatives) // half)][:half]))
     codes, _ = encode([w[:WINDOW] for w in landmarks])
     two, three = weights(codes)
     values, vectors = np.linalg.eigh(two @ two.T + three @ three.T)
@@ -229,10 +231,10 @@ def fit(rows: list[tuple[str, int]]) -> SubsequenceMachine | None:
 
     for _ in range(4):
         positive = {w: float(toxic[w]) for w in witnesses}
-        positive |= {v: toxic[w] / 10 for w in witnesses[:300] for v in inserted(w)}
+        positive |= {v: toxic[w] / 4 for w in witnesses[:300] for v in inserted(w)}
         negative = {w: 1.0 + np.log1p(clean.get(w, 0)) for w in negatives} | {v: 0.5 for w in common[:300] for v in inserted(w)}
         labels = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
-        costs = [np.sqrt(np.array(list(part.values()))) for part in (positive, negative)]
+        costs = [np.array(list(part.values())) for part in (positive, negative)]
         costs = np.concatenate([c / c.sum() * share for c, share in zip(costs, (1, 2), strict=True)])
         w = fit_margin(features([*positive, *negative]), labels, costs, RIDGE)
         machine = SubsequenceMachine((by_pair @ w[:-1]).astype(np.float32), (by_triple @ w[:-1]).astype(np.float32), float(w[-1]))
@@ -301,13 +303,14 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = labelled_sample(docs, labels, "toxic", *HELD_OUT, PER_CLASS, MAX_CHARS)
     machine = fit(rows) if rows else None
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(machine)
+    shared, name = spark.sparkContext.broadcast(machine), uuid.uuid4().hex
 
     def run(batches):
         fitted = shared.value
-        if _REMEMBERED.get("of") != shared.id if hasattr(shared, "id") else True:
+        if _REMEMBERED.get("of") != name:
             _REMEMBERED.clear()
         words = _REMEMBERED.setdefault("words", {})
+        _REMEMBERED["of"] = name
         for batch in batches:
             parts = []
             texts = batch.column(2)
