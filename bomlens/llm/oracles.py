@@ -46,4 +46,14 @@ select split.doc_id, coalesce(n, 0) n_shingles, min(o.doc_id) component_id
 from split join reach on reach.a = split.rid join split o on o.rid = reach.b left join sizes on sizes.rid = split.rid group by split.rid, split.doc_id, n
 """
 
-SQL: dict[str, str] = {"op3_secret_scan": OP3, "op9_ngram_jaccard": OP9}
+_B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+OP4 = f"""
+with digests as (select page_id, octet_length(encode(coalesce(html, ''))) n, sha1(coalesce(html, '')) hx from pages),
+bits as (select *, list_aggregate([lpad(bin(('0x' || substr(hx, i * 10 + 1, 10))::bigint), 40, '0') for i in range(0, 4)], 'string_agg', '') b from digests),
+named as (select page_id, n, list_aggregate([substr('{_B32}', 1 + list_sum([cast(substr(b, i * 5 + k, 1) as int) * (1 << (5 - k)) for k in range(1, 6)])::int, 1) for i in range(0, 32)], 'string_agg', '') digest from bits),
+tops as (select digest, max(page_id) top from named group by digest)
+select page_id, n payload_bytes, digest payload_digest, case when page_id < top then 'revisit' else 'response' end record_type, case when page_id < top then top end refers_to
+from named join tops using (digest)
+"""
+
+SQL: dict[str, str] = {"op3_secret_scan": OP3, "op4_warc_transactions": OP4, "op9_ngram_jaccard": OP9}

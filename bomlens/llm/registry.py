@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bomlens.llm import fingerprint, jaccard, lm, oracles, quality, secrets, toxicity
+from bomlens.llm import decontaminate, fingerprint, jaccard, lm, oracles, quality, secrets, toxicity, warc
 from bomlens.llm.common import table
 
 
+def op4_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_digest(table(spark, sf_dir, "pages"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_edits(table(spark, sf_dir, "documents"))
 
