@@ -40,6 +40,13 @@ BLOCK = 1024
 STAR_MEMBERS = 512
 FANOUT = 8
 SALTS = 8
+DESCRIBED = ["id", "n", "node", "bits", "token", "seen"]
+#: A list of ids is broadcast up to this length (16 MB); beyond it the join shuffles.
+BROADCAST_IDS = 1_000_000
+#: A node is compared with a centre that has this share of its keys at least.
+STAR_SHARE = 0.25
+#: Keys with more nodes become trees; the nodes of the others are compared by sorted sizes.
+TREE_FROM = 48
 
 
 def _signed(values: np.ndarray) -> np.ndarray:
@@ -67,7 +74,10 @@ def linked(left: np.ndarray, right: np.ndarray, percent: int) -> bool:
 
 
 def describe(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """Rows (id, n, node) of documents, and rows (token, seen) of chunks' frequent shingles with a null n."""
+    """Rows (id, n, node, bits) of documents, and rows (token, seen) of chunks' frequent shingles with a null n.
+
+    bits is the bitmap of a set, given once for each node and batch.
+    """
 
     def run(batches):
         known, chunk, size = WordHashes(), [], 0
@@ -77,15 +87,17 @@ def describe(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
             keep = counts >= max(2, size * HEAVY / 2)
             k = int(keep.sum())
             nulls = pa.nulls(k, pa.int64())
-            return pa.RecordBatch.from_arrays([nulls, nulls, nulls, pa.array(_signed(values[keep])), pa.array(counts[keep])], names=["id", "n", "node", "token", "seen"])
+            return pa.RecordBatch.from_arrays([nulls, nulls, nulls, pa.nulls(k, pa.binary()), pa.array(_signed(values[keep])), pa.array(counts[keep])], names=DESCRIBED)
 
         for batch in batches:
-            sizes, nodes, own = [], [], set()
+            sizes, nodes, maps, own = [], [], [], set()
             for text in _texts(batch, 1):
                 found = shingle_set(text, known, width)
                 sizes.append(len(found))
                 nodes.append(set_id(found) if len(found) else None)
-                if len(found) and nodes[-1] not in own:
+                new = len(found) > 0 and nodes[-1] not in own
+                maps.append(bitmap(found, signature_bits(len(found))).tobytes() if new else None)
+                if new:
                     own.add(nodes[-1])
                     chunk.append(found)
                     size += len(found)
@@ -93,12 +105,12 @@ def describe(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
                         yield frequent()
                         chunk, size = [], 0
             nulls = pa.nulls(len(sizes), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), nulls, nulls], names=["id", "n", "node", "token", "seen"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(maps, pa.binary()), nulls, nulls], names=DESCRIBED)
         if chunk:
             yield frequent()
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id bigint, n bigint, node bigint, token bigint, seen bigint")
+    return rows.mapInArrow(run, "id bigint, n bigint, node bigint, bits binary, token bigint, seen bigint")
 
 
 def heavy_shingles(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -111,14 +123,14 @@ def heavy_shingles(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(docs: DataFrame, text_col: str, heavy, width: int, percent: int) -> DataFrame:
-    """(token, node): the first shingles of every set, rarest first, once for each node and task."""
+    """(token, node, k): the k first shingles of every set, rarest first, once for each node and task."""
     shared = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def run(batches):
         known, done = WordHashes(), set()
         tokens, counts = shared.value
         for batch in batches:
-            out_tokens, out_nodes = [], []
+            out_tokens, out_nodes, out_sizes = [], [], []
             for text in _texts(batch, 0):
                 found = shingle_set(text, known, width)
                 if not len(found) or (node := set_id(found)) in done:
@@ -133,10 +145,12 @@ def prefixes(docs: DataFrame, text_col: str, heavy, width: int, percent: int) ->
                     found = found[np.lexsort((found, weight))]
                 out_tokens.append(found[:k])
                 out_nodes.append(np.full(k, node, dtype=np.int64))
+                out_sizes.append(np.full(k, k, dtype=np.int32))
             if out_tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(out_tokens))), pa.array(np.concatenate(out_nodes))], names=["token", "node"])
+                arrays = [pa.array(_signed(np.concatenate(out_tokens))), pa.array(np.concatenate(out_nodes)), pa.array(np.concatenate(out_sizes))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["token", "node", "k"])
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "token bigint, node bigint")
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "token bigint, node bigint, k int")
 
 
 def _gathered(batches, columns: int) -> list[np.ndarray]:
@@ -146,41 +160,47 @@ def _gathered(batches, columns: int) -> list[np.ndarray]:
 
 
 def shared_keys(pairs: DataFrame) -> DataFrame:
-    """(token, node, low, high) of the tokens under several nodes; low and high are the group's least and greatest node."""
+    """(token, node, k, low, high) of the tokens under several nodes; low and high are the group's least and greatest node."""
 
     def run(batches):
-        token, node = _gathered(batches, 2)
+        token, node, k = _gathered(batches, 3)
         if not len(token):
             return
         order = np.lexsort((node, token))
-        token, node = token[order], node[order]
+        token, node, k = token[order], node[order], k[order]
         fresh = np.r_[True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])]
-        token, node = token[fresh], node[fresh]
+        token, node, k = token[fresh], node[fresh], k[fresh]
         first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
         size = np.diff(np.r_[first, len(token)])
         low, high = np.repeat(node[first], size), np.repeat(node[first + size - 1], size)
         keep = np.repeat(size > 1, size)
         for at in range(0, len(keep), 1_000_000):
             part = slice(at, at + 1_000_000)
-            yield pa.RecordBatch.from_arrays([pa.array(x[part][keep[part]]) for x in (token, node, low, high)], names=["token", "node", "low", "high"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[part][keep[part]]) for x in (token, node, k, low, high)], names=["token", "node", "k", "low", "high"])
 
-    return pairs.repartition("token").mapInArrow(run, "token bigint, node bigint, low bigint, high bigint")
+    return pairs.repartition("token").mapInArrow(run, "token bigint, node bigint, k int, low bigint, high bigint")
 
 
 def node_sets(docs: DataFrame, described: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """(node, tokens binary) of the wanted nodes; tokens are the sorted 64-bit hashes."""
     key = F.coalesce("id", F.lit(-(2**63)).cast("bigint"))  # a null id is found again too
     homes = described.filter("node is not null").select("node", key.alias("id")).join(wanted, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"))
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).withColumn("id", key).join(homes.select("id"), "id", "left_semi")
+    ids = stored(homes.select("id").distinct(), "homes")
+    small = ids.count() <= BROADCAST_IDS
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).withColumn("id", key).join(F.broadcast(ids) if small else ids, "id", "left_semi")
 
     def run(batches):
-        known = WordHashes()
+        known, done = WordHashes(), set()
         for batch in batches:
             found = [shingle_set(text, known, width) for text in _texts(batch, 1)]
-            yield pa.RecordBatch.from_arrays([pa.array([set_id(f) for f in found], pa.int64()), pa.array([f.tobytes() for f in found], pa.binary())], names=["node", "tokens"])
+            nodes = [set_id(f) for f in found]
+            fresh = [n for n, node in enumerate(nodes) if node not in done and not done.add(node)]
+            if len(done) > 500_000:
+                done.clear()
+            yield pa.RecordBatch.from_arrays([pa.array([nodes[n] for n in fresh], pa.int64()), pa.array([found[n].tobytes() for n in fresh], pa.binary())], names=["node", "tokens"])
 
     found = rows.mapInArrow(run, "node bigint, tokens binary")
-    return found.join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    return found.join(F.broadcast(wanted) if small else wanted, "node", "left_semi").dropDuplicates(["node"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -205,12 +225,42 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return centres.groupBy("centre", "share").cogroup(members.groupBy("a", "part")).applyInArrow(run, "a bigint, b bigint")
 
 
-def star_pairs(keys: DataFrame) -> DataFrame:
-    """(a, b): for each node b the one centre a, least or greatest of a key's nodes, with which it shares most keys."""
-    ends = keys.select("node", F.explode(F.array("low", "high")).alias("centre")).filter("node <> centre")
-    counted = ends.groupBy("node", "centre").agg(F.count("*").alias("shared"))
-    best = counted.groupBy("node").agg(F.max_by("centre", F.struct("shared", F.col("centre"))).alias("centre"))
-    return best.select(F.col("centre").alias("a"), F.col("node").alias("b"))
+def star_pairs(keys: DataFrame, percent: int) -> DataFrame:
+    """(a, b): for each node b the one centre a, least or greatest of a key's nodes, with which it shares most keys.
+
+    A centre with less than STAR_SHARE of the node's keys is left to the trees.
+    """
+    ends = keys.select("node", "k", F.explode(F.array("low", "high")).alias("centre")).filter("node <> centre")
+    counted = ends.groupBy("node", "k", "centre").agg(F.count("*").alias("shared"))
+    best = counted.groupBy("node", "k").agg(F.max(F.struct("shared", "centre")).alias("best")).filter(F.col("best.shared") >= STAR_SHARE * F.col("k"))
+    return best.select(F.col("best.centre").alias("a"), F.col("node").alias("b"))
+
+
+def possible(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose bitmaps and sizes leave room for enough overlap."""
+    left = signatures.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
+    right = signatures.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for n_a, n_b, x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5), strict=True):
+                keep.append(pair_may_link(n_a, n_b, np.frombuffer(x.as_py(), np.uint8), np.frombuffer(y.as_py(), np.uint8), percent))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+    return joined.mapInArrow(run, "a bigint, b bigint")
+
+
+def pair_may_link(n_a: int, n_b: int, map_a: np.ndarray, map_b: np.ndarray, percent: int) -> bool:
+    """The bound between two leaves, for bitmaps of any two widths."""
+    if 100 * n_a < percent * n_b or 100 * n_b < percent * n_a:
+        return False
+    width = min(len(map_a), len(map_b))
+    map_a, map_b = fold(map_a, width), fold(map_b, width)
+    common, only_a, only_b = (int(np.bitwise_count(m).sum()) for m in (map_a & map_b, map_a & ~map_b, map_b & ~map_a))
+    most = min(n_a - only_a, n_b - only_b)
+    return common > 0 and 100 * most >= percent * (n_a + n_b - most)
 
 
 def signature_bits(n: int) -> int:
@@ -309,53 +359,71 @@ def _children(parent: np.ndarray, other: np.ndarray, below: int) -> tuple[np.nda
 def tree_candidates(keys: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (a, b) of nodes in different components that share a key and may be linked.
 
-    keys: (token, node, component); signatures: (node, n, bits).
+    keys: (token, node, component); signatures: (node, n, bits). Tokens over the same nodes are one key. Every cell is a key,
+    or a pair of a key's blocks when it has more than BLOCK nodes.
     """
-    sizes = keys.groupBy("token").agg(F.count("*").alias("held"))
+    groups = keys.groupBy("token").agg(F.count("*").alias("held"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("name"))
+    named = groups.groupBy("held", "name").agg(F.min("token").alias("token")).select("token", "held")
     blocks = F.ceil(F.col("held") / BLOCK).cast("int")
-    placed = keys.join(sizes, "token").select("token", "node", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
-    partner = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = placed.withColumn("partner", partner).select(
-        F.xxhash64("token", F.least("block", "partner"), F.greatest("block", "partner")).alias("cell"), "node", "component", F.col("block") <= F.col("partner"), (F.col("block") == F.col("partner")).alias("alone")
-    ).toDF("cell", "node", "component", "first", "alone")
-    rows = dealt.join(signatures, "node").select("cell", "node", "component", "n", "first", "alone", "bits")
-
-    def run(table: pa.Table) -> pa.Table:
-        node, component, n = (table.column(c).to_numpy() for c in ("node", "component", "n"))
-        first = np.asarray(table.column("first").to_pylist(), dtype=bool)
-        maps = [np.frombuffer(x.as_py(), dtype=np.uint8) for x in table.column("bits")]
-        found = []
-        width = min(len(m) for m in maps)
-        folded = np.stack([fold(m, width) for m in maps])
-        if table.column("alone")[0].as_py():
-            sides = [(np.arange(len(node)), None)]
-        else:
-            sides = [(np.flatnonzero(first), np.flatnonzero(~first))]
-        for l, r in sides:
-            if not len(l) or (r is not None and not len(r)):
-                continue
-            tree = SignatureTree(n[l], folded[l])
-            other = None if r is None else SignatureTree(n[r], folded[r])
-            a, b = tree_pairs(tree, other, component[l], component[l if r is None else r], percent)
-            found.append((node[l][a], node[l if r is None else r][b]))
-        a = np.concatenate([np.minimum(x, y) for x, y in found]) if found else np.empty(0, np.int64)
-        b = np.concatenate([np.maximum(x, y) for x, y in found]) if found else np.empty(0, np.int64)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return rows.groupBy("cell").applyInArrow(run, "a bigint, b bigint").distinct()
-
-
-def signatures(sets: DataFrame) -> DataFrame:
-    """(node, n, bits) of each set."""
+    placed = keys.join(named, "token").select("token", "node", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
+    dealt = placed.withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        F.xxhash64("token", F.least("block", "partner"), F.greatest("block", "partner")).alias("cell"), "node", "component", F.signum(F.col("partner") - F.col("block")).cast("bigint").alias("side")
+    )
+    rows = dealt.join(signatures, "node").select("cell", "node", "component", "n", "side", "bits")
 
     def run(batches):
-        for batch in batches:
-            found = [np.frombuffer(t.as_py(), dtype=np.uint64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array([bitmap(f, signature_bits(len(f))).tobytes() for f in found], pa.binary())], names=["node", "n", "bits"]
-            )
-
-    return sets.select("node", "tokens").mapInArrow(run, "node bigint, n bigint, bits binary")
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        cell, node, component, n, side = (np.concatenate([np.asarray(b.column(k)) for b in parts]) for k in range(5))
+        bits = pa.chunked_array([b.column(5) for b in parts])
+        order = np.lexsort((n, cell))
+        edges = np.flatnonzero(np.r_[True, cell[order][1:] != cell[order][:-1], True])
+        for start, end in zip(edges[:-1], edges[1:], strict=True):
+            rows_ = order[start:end]
+            a, b = cell_pairs(node[rows_], component[rows_], n[rows_], side[rows_], bits.take(pa.array(rows_)), percent)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return rows.repartition("cell").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def cell_pairs(node, component, n, side, bits, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a cell's nodes, sorted by size, that may be linked and have different components; sides -1 and 1 are two blocks."""
+    if len(node) <= TREE_FROM:
+        i, j = np.triu_indices(len(node), 1)
+        keep = (100 * n[i] >= percent * n[j]) & (component[i] != component[j]) & ((side[i] == 0) | (side[i] != side[j]))
+        i, j = i[keep], j[keep]
+        maps = {int(k): np.frombuffer(bits[int(k)].as_py(), np.uint8) for k in np.unique(np.r_[i, j])}
+        keep = np.array([pair_may_link(n[x], n[y], maps[x], maps[y], percent) for x, y in zip(i.tolist(), j.tolist(), strict=True)], dtype=bool)
+        return node[i[keep]], node[j[keep]]
+    maps = [np.frombuffer(x.as_py(), np.uint8) for x in bits]
+    found_a, found_b = [], []
+    # sizes are sorted: bands that overlap by the factor of linked sizes keep bitmaps wide enough for each band
+    start = 0
+    while start < len(node):
+        inner = int(np.searchsorted(n, 2 * n[start], "left"))
+        end = int(np.searchsorted(n, 2 * n[start] * 100 // percent + 1, "right"))
+        inner = max(inner, start + 1)
+        band = np.arange(start, end)
+        width = min(len(maps[k]) for k in band)
+        folded = np.stack([fold(maps[k], width) for k in band])
+        lefts = band[side[band] <= 0] - start
+        rights = band[side[band] > 0] - start
+        if (side[band] == 0).any():
+            tree = SignatureTree(n[band], folded)
+            a, b = tree_pairs(tree, None, component[band], component[band], percent)
+            a, b = band[a], band[b]
+        elif len(lefts) and len(rights):
+            a, b = tree_pairs(SignatureTree(n[band[lefts]], folded[lefts]), SignatureTree(n[band[rights]], folded[rights]), component[band[lefts]], component[band[rights]], percent)
+            a, b = band[lefts[a]], band[rights[b]]
+        else:
+            a = b = np.empty(0, np.int64)
+        own = (a < inner) | (b < inner)
+        found_a.append(node[a[own]])
+        found_b.append(node[b[own]])
+        start = inner
+    return np.concatenate(found_a), np.concatenate(found_b)
 
 
 def open_keys(keys: DataFrame, labels: DataFrame) -> DataFrame:
@@ -379,15 +447,23 @@ def open_keys(keys: DataFrame, labels: DataFrame) -> DataFrame:
 def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(described rows (id, n, node), verified links (a, b) between nodes); the links connect every linked pair's components."""
     described = stored(describe(docs, id_col, text_col, width), "described")
+    signatures = described.filter("bits is not null").select("node", "n", "bits")
+
+    def signed(nodes: DataFrame) -> DataFrame:
+        return signatures.join(nodes, "node", "left_semi").dropDuplicates(["node"])
+
+    def exact(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        sets = stored(node_sets(docs, described, stored(wanted, "wanted"), id_col, text_col, width), "sets")
+        return stored(verified(pairs, sets, percent), "links")
+
     keys = stored(shared_keys(prefixes(docs, text_col, heavy_shingles(described), width, percent)), "keys")
-    pairs = stored(star_pairs(keys), "stars")
-    nodes = keys.select("node").distinct()
-    sets = stored(node_sets(docs, described, nodes, id_col, text_col, width), "sets")
-    near = stored(verified(pairs, sets, percent), "links")
+    stars = star_pairs(keys, percent)
+    ends = keys.select("node").distinct()
+    near = exact(stored(possible(stars, signed(ends), percent), "stars"))
     rest = stored(open_keys(keys, components(near)), "open")
-    wanted = rest.select("node").distinct()
-    candidates = tree_candidates(rest, signatures(sets.join(wanted, "node", "left_semi")), percent)
-    far = stored(verified(stored(candidates, "candidates"), sets, percent), "links")
+    candidates = tree_candidates(rest, signed(rest.select("node").distinct()), percent)
+    far = exact(stored(candidates, "candidates"))
     return described.filter("n is not null").select("id", "n", "node"), near.unionByName(far)
 
 
