@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bomlens.llm.url_filter import HISTORY
+
 _ASSIGN = (
     r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?)([A-Za-z0-9+/_.=-]+)"""
 )
@@ -56,4 +58,16 @@ select page_id, n payload_bytes, digest payload_digest, case when page_id < top
 from named join tops using (digest)
 """
 
-SQL: dict[str, str] = {"op3_secret_scan": OP3, "op4_warc_transactions": OP4, "op9_ngram_jaccard": OP9}
+_ENTRIES = ", ".join(f"('{kind}:{pattern}', {str(action == 'add').lower()}, timestamp '{date}')" for pattern, kind, action, date in HISTORY)
+OP8 = f"""
+with entries(key, adds, dated) as (values {_ENTRIES}),
+changes as (select *, lag(adds, 1, false) over (partition by key order by dated, adds desc) before from (select distinct * from entries)),
+spans as (select key, adds, dated valid_from, lead(dated) over (partition by key order by dated, adds desc) valid_to from changes where adds <> before),
+caps as (select row_number() over () rid, page_id, regexp_replace(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '\\.+$', '') host,
+  regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1) path, timestamp '2024-01-01' + to_days((((page_id % 366) + 366) % 366)::int) fetched from pages),
+rules as (select caps.rid, key, valid_from, valid_to, row_number() over (partition by caps.rid order by key) place, count(*) over (partition by caps.rid) n from caps join spans on spans.adds and valid_from <= fetched and (valid_to is null or valid_to > fetched)
+  and (case when key like 'host:%' then host = substr(key, 6) or ends_with(host, '.' || substr(key, 6)) else starts_with(rtrim(regexp_replace(host || path, '/+', '/', 'g'), '/') || '/', substr(key, 8) || '/') end))
+select page_id, host, fetched, n is not null listed, key rule, valid_from, valid_to, coalesce(n, 0) active_rules from caps left join rules on rules.rid = caps.rid and place = 1
+"""
+
+SQL: dict[str, str] = {"op3_secret_scan": OP3, "op4_warc_transactions": OP4, "op8_url_filter": OP8, "op9_ngram_jaccard": OP9}
