@@ -63,3 +63,13 @@ def with_row_id(df: DataFrame, name: str = "_rid") -> DataFrame:
 def crc_mod(column: str, divisor: int):
     """crc32 of the id written as text, modulo divisor; a null id counts as the text ''."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(divisor))
+
+
+#: A list of keys is broadcast up to this length (16 MB of 8-byte keys with their overhead); beyond it the join shuffles.
+BROADCAST_KEYS = 1_000_000
+
+
+def without_keys(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """df without the rows whose key stands in keys; keys are stored and counted to choose the join."""
+    found = stored(keys.select(on).distinct(), "keys")
+    return df.join(F.broadcast(found) if found.count() <= BROADCAST_KEYS else found, on, "left_anti")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bomlens.llm.common import stored, with_row_id
+from bomlens.llm.common import stored, with_row_id, without_keys
 from bomlens.llm.shingles import REMEMBERED, mix, words
 
 #: The masks; 1 is a word that is hashed.
@@ -192,5 +192,5 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "d
     """docs without the rows whose text overlaps an item; equal rows share their fate."""
     mark = F.xxhash64(F.col(id_col), F.col(text_col))
     marked = docs.select(mark.alias("_mark"), F.col(text_col).alias("text"))
-    bad = overlaps(marked, benchmark, id_col="_mark").select(F.col("doc_id").alias("_mark")).distinct()
-    return docs.withColumn("_mark", mark).join(bad, "_mark", "left_anti").select(*docs.columns)
+    bad = overlaps(marked, benchmark, id_col="_mark").select(F.col("doc_id").alias("_mark"))
+    return without_keys(docs.withColumn("_mark", mark), bad, "_mark").select(*docs.columns)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bomlens.llm.common import stored
+from bomlens.llm.common import stored, without_keys
 from bomlens.llm.components import components
 from bomlens.llm.shingles import WordHashes, set_id, shingle_set
 
@@ -482,3 +482,23 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     by_node = least.join(smallest, "component").select("node", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     salted = described.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
     return salted.join(by_node, ["node", "salt"], "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with the row of the smallest id of every component, with all columns; of rows equal in id and text one stays.
+
+    Rows are told apart by a hash of id and text, so rows that share an id but not the text are judged each on its own.
+    """
+    mark = F.xxhash64(F.col(id_col), F.col(text_col))
+    marked = docs.withColumn("_mark", mark)
+    described, links = jaccard_links(marked, "_mark", text_col)
+    labels = components(links)
+    own = marked.select("_mark", F.col(id_col).cast("bigint").alias("id"))
+    groups = described.filter("node is not null").join(labels, "node", "left").select(F.col("id").alias("_mark"), F.coalesce("component", "node").alias("component"))
+    placed = stored(groups.distinct().join(own.distinct(), "_mark"), "groups")
+    first = placed.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("_mark"))).alias("least"))
+    kept = first.select(F.col("least._mark").alias("_mark"))
+    single = without_keys(marked, placed.select("_mark").join(kept, "_mark", "left_anti"), "_mark")
+    repeated = stored(own.groupBy("_mark").agg(F.count("*").alias("rows")).filter("rows > 1").select("_mark"), "repeated")
+    once = single.join(repeated, "_mark", "left_semi").dropDuplicates(["_mark"])
+    return without_keys(single, repeated, "_mark").unionByName(once).select(*docs.columns)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bomlens.llm import decontaminate, fingerprint, jaccard, lm, oracles, quality, secrets, toxicity, url_filter, warc
+from bomlens.llm import decontaminate, fingerprint, jaccard, lm, oracles, pieces, quality, secrets, toxicity, url_filter, warc
 from bomlens.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op4_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_digest(table(spark, sf_dir, "pages"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.piece_digest(table(spark, sf_dir, "documents"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = url_filter.with_fetch_time(table(spark, sf_dir, "pages"))
     return url_filter.listed(captures, url_filter.history(spark)).withColumnRenamed("id", "page_id")
