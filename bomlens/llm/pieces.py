@@ -41,8 +41,8 @@ NUMERALS = r"\d_\u00b2\u00b3\u00b9\u00bc-\u00be"
 SEGMENT = re.compile(rf"{MARK}*[^\W{NUMERALS}]+|{MARK}*(?:[^\w{MARK}\n]|[{NUMERALS}])+|{MARK}+|\n")
 FOLDED = 48
 HOT, HOT_CHARS = 1 << 20, FOLDED
-COUNTED, REMEMBERED = 300_000, 300_000
-TOGETHER = 1000
+COUNTED = 300_000
+GROUPED = 60_000
 
 
 class PieceTable:
@@ -100,14 +100,9 @@ def word_table(texts: DataFrame) -> DataFrame:
 def lattice(words: DataFrame, table: PieceTable) -> DataFrame:
     """(word, n, edges): all pieces inside each word, packed as place << 36 | start << 28 | end << 20 | id."""
     spark = words.sparkSession
-    size = F.char_length("word")
-    spans = F.flatten(
-        F.transform(
-            F.sequence(F.lit(0), size - 1),
-            lambda s: F.transform(F.sequence(F.lit(1), F.least(F.lit(table.longest), size - s)), lambda k: F.struct(s.alias("s"), (s + k).alias("e"), F.substring(F.col("word"), s + 1, k).alias("piece"))),
-        )
-    )
-    cut = words.select("word", "n", F.explode(spans).alias("span")).select("word", "n", F.col("span.s").alias("s"), F.col("span.e").alias("e"), F.col("span.piece").alias("piece"))
+    starts = words.select("word", "n", F.explode(F.sequence(F.lit(0), F.char_length("word") - 1)).alias("s"))
+    ends = starts.select("word", "n", "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("s") + table.longest, F.char_length("word")))).alias("e"))
+    cut = ends.select("word", "n", "s", "e", F.substring(F.col("word"), F.col("s") + 1, F.col("e") - F.col("s")).alias("piece"))
     found = cut.join(F.broadcast(table.frame(spark)), "piece", "left").filter(F.col("id").isNotNull() | (F.col("e") == 1))  # each word keeps a row
     packed = F.shiftleft(F.col("place").cast("bigint"), 36).bitwiseOR(F.shiftleft(F.col("s").cast("bigint"), 28)).bitwiseOR(F.shiftleft(F.col("e").cast("bigint"), 20)).bitwiseOR(F.col("id").cast("bigint"))
     return found.select("word", "n", packed.alias("edge")).groupBy("word").agg(F.first("n").alias("n"), F.collect_list("edge").alias("edges"))
@@ -123,13 +118,18 @@ def folded(edges, word, byte_base: int):
     def end(edge):
         return F.shiftright(edge, 20).bitwiseAND(F.lit(255).cast("bigint")).cast("int")
 
-    def step(bounds, _):
-        joins = F.filter(edges, lambda edge: F.get(bounds, F.array_position(bounds, start(edge)).cast("int") + 1) == end(edge))
-        joins = F.filter(joins, lambda edge: F.array_position(bounds, start(edge)) > 0)
-        best = F.get(F.transform(F.array(F.array_min(joins)), lambda m: F.when(m.isNull(), bounds).otherwise(F.filter(bounds, lambda b: (b <= start(m)) | (b >= end(m))))), F.lit(0))
-        return best
+    # after[s] is the end of the symbol that starts at s, -1 where none starts
+    def step(after, _):
+        joins = F.filter(edges, lambda edge: F.get(after, F.get(after, start(edge))) == end(edge))
 
-    bounds = F.aggregate(F.sequence(F.lit(1), size), F.sequence(F.lit(0), size), step)
+        def join(edge):
+            middle = F.get(after, start(edge))
+            return F.transform(after, lambda value, at: F.when(at == start(edge), end(edge)).when(at == middle, -1).otherwise(value))
+
+        return F.get(F.transform(F.array(F.array_min(joins)), lambda edge: F.when(edge.isNull(), after).otherwise(join(edge))), F.lit(0))
+
+    after = F.aggregate(F.sequence(F.lit(1), size), F.sequence(F.lit(1), size), step)
+    bounds = F.get(F.transform(F.array(after), lambda done: F.concat(F.filter(F.sequence(F.lit(0), size - 1), lambda s: F.get(done, s) > 0), F.array(size))), F.lit(0))
 
     def ids(cuts):
         def one(k):
@@ -191,6 +191,17 @@ def encoded_words(words: DataFrame, table: PieceTable) -> DataFrame:
     return by_fold.unionByName(rest.mapInArrow(run, "word string, n bigint, ids array<int>"))
 
 
+def _grouped_in_memory(spark: SparkSession, action):
+    """Run action with hash grouping of so many words in a task before it sorts; Spark's own limit is 128."""
+    name = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(GROUPED))
+    try:
+        return action()
+    finally:
+        spark.conf.set(name, before)
+
+
 class HotWords:
     """Frequent words with their ids in one flat array."""
 
@@ -213,7 +224,7 @@ def encode(docs: DataFrame, table: PieceTable, id_col: str = "doc_id", text_col:
     """(_rid, id, text_sha256, ids): the piece ids of every text."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    words = stored(encoded_words(word_table(texts), table), "words")
+    words = _grouped_in_memory(spark, lambda: stored(encoded_words(stored(word_table(texts), "wordtable"), table), "words"))
     hot = words.filter(F.char_length("word") <= HOT_CHARS).orderBy(F.desc("n"), "word").limit(HOT).select("word", "ids").toPandas()
     shared = spark.sparkContext.broadcast(HotWords(hot))
 
