@@ -31,6 +31,7 @@ SHORT_MASK = "1111"
 SHORTEST = 4
 MISS, LEAST_EQUAL, LEAST_RATE = 2, 13, 0.75
 TABLE_BITS = 1 << 23
+PROBES = (0, 20, 40)
 SALTS = 8
 EDGE = b".,!?;:\"'()[]{}"
 
@@ -105,13 +106,22 @@ def item_seeds(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def bit_table(hashes: DataFrame) -> np.ndarray:
-    """TABLE_BITS flags, set for every seed of the benchmark; gathered as distinct bit numbers."""
+    """TABLE_BITS flags, PROBES of them set for every seed of the benchmark; gathered as distinct bit numbers."""
     table = np.zeros(TABLE_BITS, dtype=bool)
-    bits = hashes.select(F.pmod("hash", F.lit(TABLE_BITS)).alias("bit")).distinct().toPandas()["bit"].to_numpy(np.int64)
+    places = F.array(*[F.pmod(F.shiftrightunsigned("hash", shift), F.lit(TABLE_BITS)) for shift in PROBES])
+    bits = hashes.select(F.explode(places).alias("bit")).distinct().toPandas()["bit"].to_numpy(np.int64)
     table[bits] = True
     return table
 
 
+def in_table(found: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    """Positions of the seeds all of whose flags are set."""
+    at = np.flatnonzero(flags[(found & np.uint64(TABLE_BITS - 1)).astype(np.int64)])
+    for shift in PROBES[1:]:
+        at = at[flags[((found[at] >> np.uint64(shift)) & np.uint64(TABLE_BITS - 1)).astype(np.int64)]]
+    return at
+
+
 def hit_documents(docs: DataFrame, table: np.ndarray) -> DataFrame:
     """(key, id, codes, hashes, places) of documents (key, id, text) with seeds in the table."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
@@ -126,7 +136,7 @@ def hit_documents(docs: DataFrame, table: np.ndarray) -> DataFrame:
                 hashes, places = [], []
                 for number, mask in masks:
                     found = seeds(codes, mask, number)
-                    at = np.flatnonzero(flags[(found & np.uint64(TABLE_BITS - 1)).astype(np.int64)])
+                    at = in_table(found, flags)
                     if len(at):
                         hashes.append(found[at])
                         places.append(at)
