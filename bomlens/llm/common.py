@@ -73,3 +73,33 @@ def without_keys(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     """df without the rows whose key stands in keys; keys are stored and counted to choose the join."""
     found = stored(keys.select(on).distinct(), "keys")
     return df.join(F.broadcast(found) if found.count() <= BROADCAST_KEYS else found, on, "left_anti")
+
+
+def most_frequent(df: DataFrame, count: str, bound: int) -> DataFrame:
+    """The rows with the largest counts, at most bound of them: all at or above a step of a scale of 16 steps an octave.
+
+    Only a histogram of a few hundred rows reaches the driver; nothing is sorted.
+    """
+    step = F.floor(F.log2(count) * 16).cast("int")
+    bins = sorted(((r["step"], r["rows"]) for r in df.groupBy(step.alias("step")).agg(F.count("*").alias("rows")).collect()), reverse=True)
+    total, least = 0, None
+    for at, rows in bins:
+        if total + rows > bound:
+            break
+        total, least = total + rows, at
+    return df.filter(step >= least) if least is not None else df.filter(F.lit(False))
+
+
+def published(df: DataFrame, name: str) -> str:
+    """df, bounded by its caller, as Parquet in the shared folder, for workers to read whole; the path."""
+    path = shared_folder(df.sparkSession, name)
+    df.coalesce(1).write.parquet(path)
+    return path
+
+
+def read_published(path: str):
+    """The Arrow table at a path of published; runs on executors."""
+    from pyarrow import dataset, fs
+
+    store, inner = (fs.LocalFileSystem(), path.removeprefix("file://").removeprefix("file:")) if path.startswith("file:") or "://" not in path else fs.FileSystem.from_uri(path)
+    return dataset.dataset(inner, filesystem=store, format="parquet").to_table()

@@ -5,7 +5,7 @@ is counted. The most frequent tokens are learned outputs of the model; any other
 classes, named by a hash of its first and last bytes, and is drawn inside it in proportion to its smoothed count. Each
 tail class sets aside the smoothing of one unknown word, as the base does once.
 
-Counts of the HOT most frequent words are broadcast (a fixed number of rows). The words beyond them join the table of
+Up to HOT of the most frequent words are published for the workers to read (a bounded table). The words beyond them join the table of
 counts by key and add up per document, so no worker needs the vocabulary. One in SAMPLE training documents, at least
 LEAST, train the model: shards train for a pass from the same parameters, Spark averages them position by position,
 and the next pass starts from the average. Both grow with the corpus.
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bomlens.llm import gru
-from bomlens.llm.common import crc_mod, stored, with_row_id
+from bomlens.llm.common import crc_mod, most_frequent, published, read_published, stored, with_row_id
 from bomlens.llm.shingles import words
 
 HELD_OUT = (10, 0)
@@ -79,35 +79,48 @@ def counted(train: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """What a worker needs: keys, counts and model ids of the hot words, and the mass of each tail class."""
+    """What a worker needs: counts and model ids of the hot words, and the mass of each tail class.
 
-    def __init__(self, keys, counts, ends: int, tail_totals: np.ndarray, total: int, distinct: int):
+    The hot words stay in a table of the shared folder until a worker asks for them.
+    """
+
+    def __init__(self, path: str, ends: int, tail_mass: np.ndarray, learned: np.ndarray, total: int, distinct: int):
+        self.path, self.ends, self.tail_mass, self.learned, self.total, self.distinct = path, ends, tail_mass, len(learned), total, distinct
+        self.learned_counts = np.zeros(gru.LEARNED)
+        self.learned_counts[: len(learned) + 1] = [ends, *learned]
+
+    def load(self) -> None:
+        """Read the hot words, most frequent first; the first of them are the learned outputs."""
+        rows = read_published(self.path)
+        keys, counts = rows.column("key").to_numpy(), rows.column("n").to_numpy()
         order = np.lexsort((keys, -counts))
-        keys, counts = keys[order], counts[order]
-        learned = min(len(keys), gru.LEARNED - 1)
-        self.code = {int(k): n + 1 for n, k in enumerate(keys)}
-        self.counts = np.concatenate([[ends], counts]).astype(np.float64)
-        self.learned = learned
-        self.total, self.distinct = total, distinct
-        self.tail_mass = tail_totals + SMOOTHING
+        self.code = dict(zip(keys[order].tolist(), range(1, len(keys) + 1), strict=True))
+        self.counts = np.concatenate([[self.ends], counts[order]]).astype(np.float64)
+
+
+#: The vocabulary that a worker has loaded, by its path.
+_LOADED: dict[str, Vocabulary] = {}
+
 
-    def learned_counts(self) -> np.ndarray:
-        out = np.zeros(gru.LEARNED)
-        out[: self.learned + 1] = self.counts[: self.learned + 1]
-        return out
+def loaded(vocabulary: Vocabulary) -> Vocabulary:
+    if vocabulary.path not in _LOADED:
+        _LOADED.clear()
+        vocabulary.load()
+        _LOADED[vocabulary.path] = vocabulary
+    return _LOADED[vocabulary.path]
 
 
 def vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
     """From the counts of all words. The tail classes' masses leave out the learned words."""
     totals = counts.agg(F.sum("n"), F.count("*")).first()
-    hot = counts.orderBy(F.desc("n"), "key").limit(HOT).toPandas()
+    hot = most_frequent(counts, "n", HOT)
     tails = np.zeros(gru.TAILS)
     for row in counts.groupBy("tail").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect():
         tails[row["tail"]] = row["n"] + SMOOTHING * row["kinds"]
-    hot = hot.sort_values(["n", "key"], ascending=[False, True])
-    for tail, n in hot[["tail", "n"]].head(gru.LEARNED - 1).itertuples(index=False):
-        tails[tail] -= n + SMOOTHING
-    return Vocabulary(hot["key"].to_numpy(np.int64), hot["n"].to_numpy(np.int64), ends, np.maximum(tails, 0), (totals[0] or 0) + ends, totals[1] + (1 if ends else 0))
+    first = hot.orderBy(F.desc("n"), "key").limit(gru.LEARNED - 1).collect()
+    for row in first:
+        tails[row["tail"]] -= row["n"] + SMOOTHING
+    return Vocabulary(published(hot, "hotwords"), ends, np.maximum(tails, 0) + SMOOTHING, np.array([row["n"] for row in first]), (totals[0] or 0) + ends, totals[1] + (1 if ends else 0))
 
 
 class Codes(dict):
@@ -156,7 +169,7 @@ def _codes(vocabulary: Vocabulary) -> Codes:
 def fitted(train: DataFrame, documents: int, vocab) -> dict[str, np.ndarray]:
     """Parameters after PASSES rounds of training shards and averaging them; vocab is a broadcast Vocabulary."""
     spark = train.sparkSession
-    params = gru.initial(vocab.value.learned_counts(), vocab.value.tail_mass)
+    params = gru.initial(vocab.value.learned_counts, vocab.value.tail_mass)
     if not documents:
         return params
     like = {name: np.zeros_like(value) for name, value in params.items()}
@@ -168,7 +181,7 @@ def fitted(train: DataFrame, documents: int, vocab) -> dict[str, np.ndarray]:
         given = spark.sparkContext.broadcast(gru.pack(params))
 
         def run(batches, given=given):
-            codes = _codes(vocab.value)
+            codes = _codes(loaded(vocab.value))
             local, tokens = gru.unpack(given.value, like), 0
             for batch in batches:
                 for at in range(0, batch.num_rows, SHARD_DOCS):
@@ -192,7 +205,7 @@ def scored(docs: DataFrame, vocab, params: dict) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(params)
 
     def run(batches):
-        v = vocab.value
+        v = loaded(vocab.value)
         codes, weights = _codes(v), model.value
         logs, mass = np.log10(v.counts + SMOOTHING), np.log10(v.tail_mass)
         for batch in batches:

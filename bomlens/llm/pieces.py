@@ -5,8 +5,8 @@
 2. Every substring of a word up to the longest piece is exploded and equi-joined to the piece table: the edges of the
    word's lattice. The piece table is broadcast; its size is that of the model file.
 3. The edges are grouped by word and folded with Spark's higher-order `aggregate`.
-4. Encoded words return to the texts: the HOT most frequent by broadcast, the others by an equi-join, so no worker
-   holds the word table.
+4. Encoded words return to the texts: up to HOT of the most frequent from a table that each worker reads, the others by
+   an equi-join, so no worker holds the word table.
 
 The fold: models of byte-pair type give a piece its merge rank and encode by merging neighbours in order of rank, leftmost
 first; a best path through the same lattice (Viterbi) gives other pieces than the model's own library. The fold therefore
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
-from bomlens.llm.common import stored, with_row_id
+from bomlens.llm.common import most_frequent, published, read_published, stored, with_row_id
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -40,7 +40,7 @@ MARK = "▁"
 NUMERALS = r"\d_\u00b2\u00b3\u00b9\u00bc-\u00be"
 SEGMENT = re.compile(rf"{MARK}*[^\W{NUMERALS}]+|{MARK}*(?:[^\w{MARK}\n]|[{NUMERALS}])+|{MARK}+|\n")
 FOLDED = 48
-HOT, HOT_CHARS = 1 << 20, FOLDED
+HOT, HOT_CHARS = 1 << 19, FOLDED
 COUNTED = 300_000
 GROUPED = 60_000
 
@@ -203,13 +203,27 @@ def _grouped_in_memory(spark: SparkSession, action):
 
 
 class HotWords:
-    """Frequent words with their ids in one flat array."""
+    """Frequent words with their ids in one flat array, read from a table of the shared folder."""
 
-    def __init__(self, rows):
-        self.number = {word: n for n, word in enumerate(rows["word"])}
-        lengths = rows["ids"].map(len).to_numpy(np.int64) if len(rows) else np.empty(0, np.int64)
-        self.flat = np.concatenate([np.asarray(x, np.int32) for x in rows["ids"]]) if len(rows) else np.empty(0, np.int32)
-        self.starts, self.lengths = np.cumsum(lengths) - lengths, lengths
+    def __init__(self, path: str):
+        rows = read_published(path).sort_by("word").combine_chunks()
+        self.number = dict(zip(rows.column("word").to_pylist(), range(rows.num_rows), strict=True))
+        ids = rows.column("ids").combine_chunks() if rows.num_rows else None
+        ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
+        self.flat = np.empty(0, np.int32) if ids is None else np.asarray(ids.flatten())
+        self.lengths = np.empty(0, np.int64) if ids is None else np.asarray(ids.value_lengths()).astype(np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+
+#: The hot words that a worker has read, by their path.
+_LOADED: dict[str, HotWords] = {}
+
+
+def hot_words(path: str) -> HotWords:
+    if path not in _LOADED:
+        _LOADED.clear()
+        _LOADED[path] = HotWords(path)
+    return _LOADED[path]
 
 
 def gathered(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, flat: np.ndarray) -> np.ndarray:
@@ -222,14 +236,12 @@ def gathered(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, flat: n
 
 def encode(docs: DataFrame, table: PieceTable, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_rid, id, text_sha256, ids): the piece ids of every text."""
-    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    words = _grouped_in_memory(spark, lambda: stored(encoded_words(stored(word_table(texts), "wordtable"), table), "words"))
-    hot = words.filter(F.char_length("word") <= HOT_CHARS).orderBy(F.desc("n"), "word").limit(HOT).select("word", "ids").toPandas()
-    shared = spark.sparkContext.broadcast(HotWords(hot))
+    words = _grouped_in_memory(docs.sparkSession, lambda: stored(encoded_words(stored(word_table(texts), "wordtable"), table), "words"))
+    path = published(most_frequent(words.filter(F.char_length("word") <= HOT_CHARS), "n", HOT).select("word", "ids"), "hotwords")
 
     def coded(batches):
-        number = shared.value.number
+        number = hot_words(path).number
         for batch in batches:
             codes, rare, digests = [], [], []
             for text in batch.column(2):
@@ -246,7 +258,7 @@ def encode(docs: DataFrame, table: PieceTable, id_col: str = "doc_id", text_col:
     found = places.join(words.select("word", "ids"), "word").groupBy("_rid").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("found"))
 
     def joined(batches):
-        hot_words = shared.value
+        known = hot_words(path)
         for batch in batches:
             out = []
             for codes, lists in zip(batch.column(3), batch.column(4), strict=True):
@@ -255,7 +267,7 @@ def encode(docs: DataFrame, table: PieceTable, id_col: str = "doc_id", text_col:
                 parts = []
                 cuts = np.flatnonzero(row < 0)
                 for start, end, ids in zip(np.r_[0, cuts + 1], np.r_[cuts, len(row)], [*extra, None], strict=True):
-                    parts.append(gathered(row[start:end], hot_words.starts, hot_words.lengths, hot_words.flat))
+                    parts.append(gathered(row[start:end], known.starts, known.lengths, known.flat))
                     if ids is not None:
                         parts.append(ids)
                 out.append(np.concatenate(parts).astype(np.int32))
