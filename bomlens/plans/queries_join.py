@@ -48,7 +48,7 @@ def _(d):
     return matching.not_in_dictionary(d.components(), d.names()).select("id", "cpe")
 
 
-@query("C18_membership", over_domain(X)
+@query("C18_membership", over_domain("select c.id, c.cpe from components c semi join (select cpe_name from cpe_names where part = 'o') n on n.cpe_name = c.cpe"))
 def _(d):
     wanted = d.names().filter("part = 'o'").select(F.col("cpe_name").alias("cpe"))
     return d.components().join(wanted, "cpe", "left_semi").select("id", "cpe")
