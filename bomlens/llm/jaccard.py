@@ -379,24 +379,67 @@ def tree_candidates(keys: DataFrame, signatures: DataFrame, percent: int) -> Dat
         bits = pa.chunked_array([b.column(5) for b in parts])
         order = np.lexsort((n, cell))
         edges = np.flatnonzero(np.r_[True, cell[order][1:] != cell[order][:-1], True])
-        for start, end in zip(edges[:-1], edges[1:], strict=True):
+        held = np.diff(edges)
+        few = order[np.repeat(held <= TREE_FROM, held)]
+        i, j = neighbour_pairs(cell[few], node[few], component[few], n[few], side[few], percent)
+        i, j = few[i], few[j]
+        keep = possible_rows(i, j, n, bits, percent)
+        yield ordered_pairs(node[i[keep]], node[j[keep]])
+        for start, end in zip(edges[:-1][held > TREE_FROM], edges[1:][held > TREE_FROM], strict=True):
             rows_ = order[start:end]
-            a, b = cell_pairs(node[rows_], component[rows_], n[rows_], side[rows_], bits.take(pa.array(rows_)), percent)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            yield ordered_pairs(*tree_cell(node[rows_], component[rows_], n[rows_], side[rows_], bits.take(pa.array(rows_)), percent))
 
     return rows.repartition("cell").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def cell_pairs(node, component, n, side, bits, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a cell's nodes, sorted by size, that may be linked and have different components; sides -1 and 1 are two blocks."""
-    if len(node) <= TREE_FROM:
-        i, j = np.triu_indices(len(node), 1)
+def ordered_pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def neighbour_pairs(cell, node, component, n, side, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs of all small cells, sorted by cell and size, that pass on sizes, components and sides; each node pair once."""
+    left, right = [], []
+    for gap in range(1, TREE_FROM):
+        i = np.flatnonzero(cell[gap:] == cell[:-gap]) if gap < len(cell) else np.empty(0, np.int64)
+        if not len(i):
+            break
+        j = i + gap
         keep = (100 * n[i] >= percent * n[j]) & (component[i] != component[j]) & ((side[i] == 0) | (side[i] != side[j]))
-        i, j = i[keep], j[keep]
-        maps = {int(k): np.frombuffer(bits[int(k)].as_py(), np.uint8) for k in np.unique(np.r_[i, j])}
-        keep = np.array([pair_may_link(n[x], n[y], maps[x], maps[y], percent) for x, y in zip(i.tolist(), j.tolist(), strict=True)], dtype=bool)
-        return node[i[keep]], node[j[keep]]
+        left.append(i[keep])
+        right.append(j[keep])
+    i, j = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
+    low, high = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+    order = np.lexsort((high, low))
+    first = np.ones(len(order), dtype=bool)
+    first[1:] = (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])
+    return i[order[first]], j[order[first]]
+
+
+def possible_rows(i: np.ndarray, j: np.ndarray, n: np.ndarray, bits: pa.ChunkedArray, percent: int) -> np.ndarray:
+    """The bound between leaves for many pairs of rows, a width of bitmaps at a time."""
+    keep = np.zeros(len(i), dtype=bool)
+    used, place = np.unique(np.r_[i, j], return_inverse=True)
+    maps = [np.frombuffer(x.as_py(), np.uint8) for x in bits.take(pa.array(used))] if len(used) else []
+    width = np.array([len(m) for m in maps], dtype=np.int64)
+    place_i, place_j = place[: len(i)], place[len(i) :]
+    narrow = np.minimum(width[place_i], width[place_j]) if len(i) else np.empty(0, np.int64)
+    for w in np.unique(narrow):
+        rows = np.flatnonzero(narrow == w)
+        own, at = np.unique(np.r_[place_i[rows], place_j[rows]], return_inverse=True)
+        table = np.stack([fold(maps[k], int(w)) for k in own])
+        ones = np.bitwise_count(table).sum(axis=1, dtype=np.int64)
+        for start in range(0, len(rows), max(1, 8_000_000 // int(w))):
+            part = slice(start, start + max(1, 8_000_000 // int(w)))
+            a, b, r = at[: len(rows)][part], at[len(rows) :][part], rows[part]
+            common = np.bitwise_count(table[a] & table[b]).sum(axis=1, dtype=np.int64)
+            n_a, n_b = n[i[r]], n[j[r]]
+            most = np.minimum(n_a - (ones[a] - common), n_b - (ones[b] - common))
+            keep[r] = (common > 0) & (100 * most >= percent * (n_a + n_b - most))
+    return keep
+
+
+def tree_cell(node, component, n, side, bits, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a large cell's nodes, sorted by size, that may be linked and have different components; sides -1 and 1 are two blocks."""
     maps = [np.frombuffer(x.as_py(), np.uint8) for x in bits]
     found_a, found_b = [], []
     # sizes are sorted: bands that overlap by the factor of linked sizes keep bitmaps wide enough for each band
