@@ -44,7 +44,7 @@ ALPHABET = 32
 REMEMBERED = 600_000
 EDGE = ".,!?;:\"'()[]{}«»„“”"
 INSERTED = ".-*_"
-_SPACED = re.compile(r"(?<!\S)(?:\S ){3,}\S(?!\S)")
+_SPACED = re.compile(r"(?<!\S)(?:\S ){3,}\S[.,!?;:]*(?!\S)")
 
 
 def _codes() -> dict[int, int]:
@@ -70,7 +70,7 @@ def document_words(text: str | None) -> set[str]:
         return set()
     low = text.lower()
     found = {w.strip(EDGE) for w in set(low.split())}
-    found.update(m.replace(" ", "") for m in _SPACED.findall(low))
+    found.update(m.replace(" ", "").strip(EDGE) for m in _SPACED.findall(low))
     found.discard("")
     return found
 
@@ -160,7 +160,8 @@ class SubsequenceMachine:
         return best
 
     def scores(self, margins: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * margins + self.shift, -50, 50)))
+        """Calibrated scores; beyond its own side of the hinge a margin says nothing more."""
+        return 1 / (1 + np.exp(-np.clip(self.slope * np.clip(margins, -1, 1) + self.shift, -50, 50)))
 
 
 def fit_margin(features: np.ndarray, labels: np.ndarray, costs: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
@@ -252,7 +253,7 @@ def fit(rows: list[tuple[str, int]]) -> SubsequenceMachine | None:
     every = list({w for bag, _ in bags for w in bag})
     known = dict(zip(every, machine.margins(every), strict=True))
     tops = np.array([max((known[x] for x in bag), default=LOWEST) for bag, _ in bags])
-    machine.slope, machine.shift = calibrate(np.maximum(tops, LOWEST), np.array([label for _, label in bags]))
+    machine.slope, machine.shift = calibrate(np.clip(tops, -1, 1), np.array([label for _, label in bags]))
     return machine
 
 

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,9 +60,7 @@ def test_signature_bounds_lose_no_link():
             sets.append(np.unique(copy))
     sizes = np.array([len(s) for s in sets])
     order = np.argsort(sizes, kind="stable")
-    import pyarrow as pa
-
-    bits = pa.chunked_array([pa.array([jaccard.bitmap(sets[k], jaccard.signature_bits(sizes[k])).tobytes() for k in order], pa.binary())])
+    bits = pa.chunked_array([pa.array([jaccard.bitmap(sets[k], jaccard.signature_bits(len(sets[k]))).tobytes() for k in order], pa.binary())])
     a, b = jaccard.tree_cell(order, order, sizes[order], np.zeros(len(sets), np.int64), bits, 80)
     found = {frozenset(p) for p in zip(a.tolist(), b.tolist(), strict=True)}
     true = {frozenset(p) for p in itertools.combinations(range(len(sets)), 2) if jaccard.linked(sets[p[0]], sets[p[1]], 80)}

@@ -42,7 +42,7 @@ def test_toxicity_and_quality(spark, prose):
 
 
 def test_words_of_a_document():
-    assert toxicity.document_words("I d i o t!, (Yes) \n yes") >= {"yes", "idiot!,"}
+    assert toxicity.document_words("I d i o t!, (Yes) \n yes") >= {"yes", "idiot"}
     assert toxicity.document_words(None) == toxicity.document_words("") == set()
 
 
@@ -53,7 +53,6 @@ def test_state_is_carried_over_windows():
     together = gru.log_likelihoods(params, ids)
     alone = np.concatenate([gru.log_likelihoods(params, [x]) for x in ids])
     assert np.allclose(together, alone, rtol=1e-4)
-    full = np.zeros(gru.OUTPUTS)
     state, _ = gru.states(params, params["embed"] @ params["wx"] + params["bx"], np.zeros((1, 1), int), np.ones((1, 1), bool), np.zeros((1, gru.HIDDEN)))
     z = state[0] @ params["wc"] + params["bc"]
     full = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
@@ -62,10 +61,9 @@ def test_state_is_carried_over_windows():
 
 
 def test_training_lowers_the_loss():
-    rng = np.random.default_rng(1)
     pattern = np.tile(np.arange(1, 9), 60)
     params = gru.initial(np.ones(gru.LEARNED), np.ones(gru.TAILS))
     before = gru.log_likelihoods(params, [pattern])[0]
     for _ in range(3):
         params = gru.trained(params, [pattern for _ in range(20)])
-    assert gru.log_likelihoods(params, [pattern])[0] > before * 0.7 or rng is None
+    assert gru.log_likelihoods(params, [pattern])[0] > before * 0.7
