@@ -469,19 +469,27 @@ def tree_cell(node, component, n, side, bits, percent: int) -> tuple[np.ndarray,
     return np.concatenate(found_a), np.concatenate(found_b)
 
 
-def open_keys(keys: DataFrame, labels: DataFrame) -> DataFrame:
-    """(token, node, component) of the keys that hold several components."""
-    labelled = keys.select("token", "node").join(labels, "node", "left").select("token", "node", F.coalesce("component", "node").alias("component"))
+def open_keys(keys: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(token, node, component) of the keys that hold several components, without nodes too far in size from all others.
+
+    k, the number of a set's keys, stands for its size n: n is less than 100 k / (100 - percent), and no less than that of k - 1.
+    """
+    labelled = keys.select("token", "node", "k").join(labels, "node", "left").select("token", "node", F.coalesce("component", "node").alias("component"), "k")
 
     def run(batches):
-        token, node, component = _gathered(batches, 3)
+        token, node, component, k = _gathered(batches, 4)
         if not len(token):
             return
         order = np.lexsort((component, token))
-        token, node, component = token[order], node[order], component[order]
+        token, node, component, k = (x[order] for x in (token, node, component, k))
         first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
         size = np.diff(np.r_[first, len(token)])
         keep = np.repeat(component[first] != component[first + size - 1], size)
+        token, node, component, k = (x[keep] for x in (token, node, component, k))
+        order = np.lexsort((k, token))
+        token, node, component, k = (x[order] for x in (token, node, component, k))
+        close = (token[1:] == token[:-1]) & (100 * k[:-1] > percent * (k[1:] - 1))
+        keep = np.r_[False, close] | np.r_[close, False] if len(k) else np.empty(0, dtype=bool)
         yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (token, node, component)], names=["token", "node", "component"])
 
     return labelled.repartition("token").mapInArrow(run, "token bigint, node bigint, component bigint")
@@ -504,7 +512,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     stars = star_pairs(keys, percent)
     ends = keys.select("node").distinct()
     near = exact(stored(possible(stars, signed(ends), percent), "stars"))
-    rest = stored(open_keys(keys, components(near)), "open")
+    rest = stored(open_keys(keys, components(near), percent), "open")
     candidates = tree_candidates(rest, signed(rest.select("node").distinct()), percent)
     far = exact(stored(candidates, "candidates"))
     return described.filter("n is not null").select("id", "n", "node"), near.unionByName(far)
