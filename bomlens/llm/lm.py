@@ -31,12 +31,12 @@ from bomlens.llm.shingles import words
 
 HELD_OUT = (10, 0)
 SMOOTHING = 0.1
-HOT = 262_144
+HOT = 131_072
 SAMPLE, LEAST, PASSES, SHARD_DOCS = 64, 400, 3, 400
 #: Words counted, or remembered, by a worker at once.
-COUNTED, REMEMBERED = 400_000, 300_000
+COUNTED, REMEMBERED = 150_000, 120_000
 #: Documents that a worker scores together.
-TOGETHER = 4000
+TOGETHER = 2000
 LN10 = math.log(10)
 
 

@@ -40,8 +40,8 @@ MARK = "▁"
 NUMERALS = r"\d_\u00b2\u00b3\u00b9\u00bc-\u00be"
 SEGMENT = re.compile(rf"{MARK}*[^\W{NUMERALS}]+|{MARK}*(?:[^\w{MARK}\n]|[{NUMERALS}])+|{MARK}+|\n")
 FOLDED = 48
-HOT, HOT_CHARS = 1 << 19, FOLDED
-COUNTED = 300_000
+HOT, HOT_CHARS = 1 << 18, FOLDED
+COUNTED = 120_000
 GROUPED = 60_000
 
 

@@ -34,7 +34,7 @@ PER_CLASS, MAX_CHARS, VOCABULARY = 2500, 50_000, 20_000
 WIDTH, NONZERO, HIDDEN = 48, 6, 24
 SHAPES = 2048
 EPOCHS, BATCH, RATE, DECAY = 60, 64, 0.003, 1e-4
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 _RUNS = re.compile(r"(.)\1+")
 
 

@@ -8,7 +8,7 @@ import xxhash
 #: Odd multipliers, one for each place in a shingle.
 _PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 #: Words remembered by a worker at once.
-REMEMBERED = 300_000
+REMEMBERED = 120_000
 
 
 class WordHashes(dict):

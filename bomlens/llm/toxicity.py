@@ -41,7 +41,7 @@ WINDOW, STRIDE = 20, 10
 RIDGE = 1e-8
 LOWEST = -3.0
 ALPHABET = 32
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 EDGE = ".,!?;:\"'()[]{}«»„“”"
 INSERTED = ".-*_"
 _SPACED = re.compile(r"(?<!\S)(?:\S ){3,}\S[.,!?;:]*(?!\S)")
