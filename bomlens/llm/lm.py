@@ -6,9 +6,9 @@ classes, named by a hash of its first and last bytes, and is drawn inside it in
 tail class sets aside the smoothing of one unknown word, as the base does once.
 
 Up to HOT of the most frequent words are published for the workers to read (a bounded table). The words beyond them join the table of
-counts by key and add up per document, so no worker needs the vocabulary. One in SAMPLE training documents, at least
-LEAST, train the model: shards train for a pass from the same parameters, Spark averages them position by position,
-and the next pass starts from the average. Both grow with the corpus.
+counts by key and add up per document, so no worker needs the vocabulary. All training documents train the model: shards
+of SHARD_DOCS train for a pass from the same parameters, Spark averages them position by position, and the next pass
+starts from the average. Both grow with the corpus. Workers add up their shards' parameters before they are averaged.
 
 Words are keyed by 64-bit hashes. Defined cases: a null text is empty and has the end token alone; a null id is no
 held-out row; repeated rows are scored, and counted, once each; without training documents every token is unknown.
@@ -32,7 +32,7 @@ from bomlens.llm.shingles import words
 HELD_OUT = (10, 0)
 SMOOTHING = 0.1
 HOT = 131_072
-SAMPLE, LEAST, PASSES, SHARD_DOCS = 64, 400, 3, 400
+PASSES, SHARD_DOCS = 3, 400
 #: Words counted, or remembered, by a worker at once.
 COUNTED, REMEMBERED = 150_000, 120_000
 #: Documents that a worker scores together.
@@ -166,38 +166,55 @@ def _codes(vocabulary: Vocabulary) -> Codes:
     return codes
 
 
-def fitted(train: DataFrame, documents: int, vocab) -> dict[str, np.ndarray]:
-    """Parameters after PASSES rounds of training shards and averaging them; vocab is a broadcast Vocabulary."""
+def summed(vectors: DataFrame) -> DataFrame:
+    """(params, weight) added up per partition."""
+
+    def run(batches):
+        total, weight = 0.0, 0.0
+        for batch in batches:
+            for vector, w in zip(batch.column(0), batch.column(1), strict=True):
+                total, weight = total + vector.values.to_numpy(), weight + w.as_py()
+        if weight:
+            yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64())), pa.array([weight])], names=["params", "weight"])
+
+    return vectors.mapInArrow(run, "params array<double>, weight double")
+
+
+def fitted(train: DataFrame, documents: int, vocab) -> tuple[dict[str, np.ndarray], int]:
+    """Parameters after PASSES rounds of training shards and averaging them, and the tokens of a round; vocab is a broadcast Vocabulary."""
     spark = train.sparkSession
     params = gru.initial(vocab.value.learned_counts, vocab.value.tail_mass)
+    seen = 0
     if not documents:
-        return params
+        return params, seen
     like = {name: np.zeros_like(value) for name, value in params.items()}
-    share = min(1.0, max(1 / SAMPLE, LEAST / documents))
-    place = F.pmod(F.xxhash64("id", "text"), F.lit(1_000_000))
-    sample = stored(train.filter(place < int(share * 1_000_000)).select("text"), "lmsample")
-    shards = max(1, round(documents * share / SHARD_DOCS))
+    shards = max(1, round(documents / SHARD_DOCS))
+    dealt = stored(train.select("text").repartition(shards), "lmshards")
     for _ in range(PASSES):
         given = spark.sparkContext.broadcast(gru.pack(params))
 
         def run(batches, given=given):
             codes = _codes(loaded(vocab.value))
-            local, tokens = gru.unpack(given.value, like), 0
+            start, total, weight = gru.unpack(given.value, like), np.zeros(len(given.value)), 0
             for batch in batches:
-                for at in range(0, batch.num_rows, SHARD_DOCS):
-                    part = codes.sequences(_texts(batch.slice(at, SHARD_DOCS), 0))
-                    tokens += sum(map(len, part))
-                    local = gru.trained(local, [codes.model_ids(x) for x in part])
-                codes.tidy()
-            if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array([gru.pack(local).tolist()], pa.list_(pa.float32())), pa.array([float(tokens)])], names=["params", "weight"])
-
-        rows = sample.repartition(shards).mapInArrow(run, "params array<float>, weight double")
-        averaged = rows.select("weight", F.posexplode("params").alias("at", "value")).groupBy("at").agg((F.sum(F.col("value") * F.col("weight")) / F.sum("weight")).alias("value")).toPandas()
+                for part in np.array_split(np.arange(batch.num_rows), max(1, round(batch.num_rows / SHARD_DOCS))):
+                    if not len(part):
+                        continue
+                    sequences = codes.sequences(_texts(batch.slice(part[0], len(part)), 0))
+                    tokens = sum(map(len, sequences))
+                    ids = np.split(codes.model_ids(np.concatenate(sequences)), np.cumsum([len(x) for x in sequences])[:-1])
+                    total += tokens * gru.pack(gru.trained(start, ids)).astype(np.float64)
+                    weight += tokens
+                    codes.tidy()
+            if weight:
+                yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64())), pa.array([float(weight)])], names=["params", "weight"])
+
+        rows = summed(dealt.mapInArrow(run, "params array<double>, weight double").repartition(math.isqrt(shards) + 1))
+        averaged = rows.select("weight", F.posexplode("params").alias("at", "value")).groupBy("at").agg((F.sum("value") / F.sum("weight")).alias("value"), F.sum("weight").alias("weight")).toPandas()
         flat = np.empty(len(averaged), np.float32)
         flat[averaged["at"].to_numpy()] = averaged["value"].to_numpy()
-        params = gru.unpack(flat, like) if len(flat) else params
-    return params
+        params, seen = gru.unpack(flat, like), int(averaged["weight"].iloc[0])
+    return params, seen
 
 
 def scored(docs: DataFrame, vocab, params: dict) -> DataFrame:
@@ -238,7 +255,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     counts = stored(counted(train), "counts")
     ends = train.count()
     vocab = docs.sparkSession.sparkContext.broadcast(vocabulary(counts, ends))
-    params = fitted(train, ends, vocab)
+    params, _ = fitted(train, ends, vocab)
     found = stored(scored(with_row_id(rows), vocab, params), "scores")
     rare = found.select("_rid", F.explode("rare").alias("key")).groupBy("_rid", "key").agg(F.count("*").alias("times"))
     joined = rare.join(counts.select("key", "n"), "key", "left")

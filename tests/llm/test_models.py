@@ -4,7 +4,9 @@ import random
 
 import numpy as np
 
-from bomlens.llm import gru, quality, toxicity
+from pyspark.sql import functions as F
+
+from bomlens.llm import gru, lm, quality, toxicity
 
 
 def corpus(prose, spark):
@@ -67,3 +69,10 @@ def test_training_lowers_the_loss():
     for _ in range(3):
         params = gru.trained(params, [pattern for _ in range(20)])
     assert gru.log_likelihoods(params, [pattern])[0] > before * 0.7
+
+
+def test_all_training_documents_reach_the_network(spark):
+    train = spark.range(1500).select("id", F.concat(F.lit("one two "), F.col("id").cast("string")).alias("text"))
+    vocab = spark.sparkContext.broadcast(lm.vocabulary(lm.counted(train), 1500))
+    params, tokens = lm.fitted(train, 1500, vocab)
+    assert tokens == 4 * 1500 == vocab.value.total and all(np.isfinite(v).all() for v in params.values())
