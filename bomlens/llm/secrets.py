@@ -5,6 +5,9 @@ corpus: in how many repositories and under how many owners it stands. A value th
 that was copied around; a value that one owner holds, with the mixed characters of a generated key, looks live.
 Each live candidate adds a span of kind `live` over its value; the candidates' own spans always stay.
 
+Two rules say what is live. `owners_rule` is that of the query's SQL: owners alone. `frequency_rule`, that of the pipeline's
+masking, lets the number of repositories decide beside the owners: a value is copied when either is high.
+
 Positions come from splitting the text at the matches: the lengths of the gaps and of the matches add up to the starts.
 The patterns run only on texts that hold one of their fixed parts.
 
@@ -32,6 +35,8 @@ ASSIGN_LEAST = 6
 KINDS = ("assign", "access", "hex", "live")
 #: A value under at least so many owners is a copied example; under fewer it may be live.
 COPIED_OWNERS, LIVE_OWNERS = 3, 2
+#: A value in at least so many repositories is a copied example, whoever owns them.
+COPIED_REPOSITORIES = 20
 LIVE_LEAST = 16
 SALTS = 16
 
@@ -92,6 +97,16 @@ def looks_generated(value: Column) -> Column:
     return (F.char_length(value) >= LIVE_LEAST) & value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(value, ""))) >= 8)
 
 
+def owners_rule(value: Column, kind: Column, owners: Column, repositories: Column) -> Column:
+    """Whether a value is live by the number of its owners, as in the query's SQL."""
+    return (owners <= LIVE_OWNERS) & looks_generated(value)
+
+
+def frequency_rule(value: Column, kind: Column, owners: Column, repositories: Column) -> Column:
+    """Whether a value is live by the numbers of its owners and repositories."""
+    return (owners <= LIVE_OWNERS) & (repositories < COPIED_REPOSITORIES) & looks_generated(value)
+
+
 def ownership(found: DataFrame) -> DataFrame:
     """(value_hash, repositories, owners) of every candidate value; found has value_hash, repository, owner."""
     repositories = found.select("value_hash", "repository").distinct().groupBy("value_hash").agg(F.count("*").alias("repositories"))
@@ -99,10 +114,10 @@ def ownership(found: DataFrame) -> DataFrame:
     return repositories.join(owners, "value_hash")
 
 
-def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str = "doc_id") -> DataFrame:
-    """A row per document: base and added spans, and the least and greatest number of owners over its values.
+def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str = "doc_id", rule=owners_rule) -> DataFrame:
+    """A row per document: base and added spans, and the greatest numbers of owners and of repositories over its values.
 
-    Columns: _rid, id, base (array of candidate spans), live (array of added spans), n_copied, n_live.
+    Columns: _rid, id, base (array of candidate spans), live (array of added spans), n_copied, n_live, owners, repositories.
     """
     blank = F.lit("")
     scanned = with_row_id(
@@ -118,19 +133,21 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = found.withColumn("value_hash", F.sha2(F.col("span.value").cast("binary"), 256))
     counts = ownership(found).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     judged = found.withColumn("salt", F.pmod(F.xxhash64("_rid"), F.lit(SALTS)).cast("int")).join(counts, ["value_hash", "salt"])
-    live = (F.col("owners") <= LIVE_OWNERS) & looks_generated(F.col("span.value"))
+    live = rule(F.col("span.value"), F.col("span.kind"), F.col("owners"), F.col("repositories"))
     per_doc = (
         judged.groupBy("_rid")
         .agg(
             F.array_sort(F.collect_set(F.when(live, F.struct(F.col("span.value_start").alias("start"), F.lit(3).alias("kind"), F.col("span.end").alias("end"))))).alias("live"),
             F.count_if(F.col("owners") >= COPIED_OWNERS).alias("n_copied"),
+            F.max("owners").alias("owners"),
+            F.max("repositories").alias("repositories"),
         )
     )
     empty = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
     return (
         rows.join(per_doc, "_rid", "left")
         .withColumn("live", F.coalesce("live", empty))
-        .select("_rid", "id", "base", "live", F.coalesce("n_copied", F.lit(0)).cast("bigint").alias("n_copied"), F.size("live").cast("bigint").alias("n_live"))
+        .select("_rid", "id", "base", "live", F.coalesce("n_copied", F.lit(0)).cast("bigint").alias("n_copied"), F.size("live").cast("bigint").alias("n_live"), F.coalesce("owners", F.lit(0)).alias("owners"), F.coalesce("repositories", F.lit(0)).alias("repositories"))
     )
 
 
@@ -174,6 +191,6 @@ def without_live_secrets(docs: DataFrame, text_col: str = "text", **columns: str
     base = F.col("_base")
     scanned = docs.withColumn("_base", candidates(F.coalesce(F.col(text_col), F.lit(""))))
     hits = stored(with_row_id(scanned.filter(F.size(base) > 0), "_row").withColumn("_row", F.col("_row").cast("string")), "masked")
-    judged = secret_spans(hits, id_col="_row", text_col=text_col, **columns).filter(F.size("live") > 0).select(F.col("id").alias("_row"), "live")
+    judged = secret_spans(hits, id_col="_row", text_col=text_col, rule=frequency_rule, **columns).filter(F.size("live") > 0).select(F.col("id").alias("_row"), "live")
     covered = hits.join(judged, "_row", "left").withColumn(text_col, F.when(F.col("live").isNotNull(), masked(F.col(text_col), F.col("live"))).otherwise(F.col(text_col)))
     return scanned.filter(F.size(base) == 0).select(*docs.columns).unionByName(covered.select(*docs.columns))

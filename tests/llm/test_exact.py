@@ -121,6 +121,16 @@ def test_secret_spans(spark):
     assert all(len(masked[k] or "") == len(t or "") for k, t in enumerate(texts))
 
 
+def test_copies_in_one_source_are_examples(spark):
+    value, own = "tok3nA9f8e7d6c5b4", "k3yB8c7d6e5f4a3z2"
+    rows = [(k, f"token={value} {k}", "hot") for k in range(secrets.COPIED_REPOSITORIES)] + [(100, f"token={own}", "hot")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    spans = {r["id"]: r for r in secrets.secret_spans(df, rule=secrets.frequency_rule).collect()}
+    assert (spans[0]["owners"], spans[0]["repositories"], spans[0]["n_live"]) == (1, secrets.COPIED_REPOSITORIES, 0) and spans[100]["n_live"] == 1
+    masked = {r["doc_id"]: r["text"] for r in secrets.without_live_secrets(df).collect()}
+    assert masked[0] == rows[0][1] and own not in masked[100]
+
+
 def test_warc(spark):
     html = ["<p>a</p>", "<p>a</p>", "ünï", None, "", "x" * 200_000, "<p>a</p>", "WARC/1.1\r\n\r\n"]
     df = spark.createDataFrame([(k if k != 6 else None, f"http://h{k}.example/ä?q=1\r\nX", t, 1) for k, t in enumerate(html)], "page_id long, url string, html string, digest int")
