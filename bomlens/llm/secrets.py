@@ -38,6 +38,7 @@ COPIED_OWNERS, LIVE_OWNERS = 3, 2
 #: A value in at least so many repositories is a copied example, whoever owns them.
 COPIED_REPOSITORIES = 20
 LIVE_LEAST = 16
+PLACEHOLDER = r"(?i)example|placeholder|change_?-?me|your[_-]|dummy|redacted|^(?:none|null|undefined|true|false|string|password|passwd|secret|token|api_?key)$"
 SALTS = 16
 
 
@@ -97,14 +98,24 @@ def looks_generated(value: Column) -> Column:
     return (F.char_length(value) >= LIVE_LEAST) & value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(value, ""))) >= 8)
 
 
+def looks_like_placeholder(value: Column) -> Column:
+    """Fewer than three different characters, or a word that stands for a value."""
+    return (F.size(F.array_distinct(F.split(value, ""))) < 3) | value.rlike(PLACEHOLDER)
+
+
 def owners_rule(value: Column, kind: Column, owners: Column, repositories: Column) -> Column:
     """Whether a value is live by the number of its owners, as in the query's SQL."""
     return (owners <= LIVE_OWNERS) & looks_generated(value)
 
 
 def frequency_rule(value: Column, kind: Column, owners: Column, repositories: Column) -> Column:
-    """Whether a value is live by the numbers of its owners and repositories."""
-    return (owners <= LIVE_OWNERS) & (repositories < COPIED_REPOSITORIES) & looks_generated(value)
+    """Whether a value is live by the numbers of its owners and repositories.
+
+    An assigned value or access key counts from the contract's least length on unless it is a placeholder; a bare run of hex
+    digits, which nothing names as a secret, must look generated.
+    """
+    looks = F.when(kind == 2, looks_generated(value)).otherwise(~looks_like_placeholder(value))
+    return (owners <= LIVE_OWNERS) & (repositories < COPIED_REPOSITORIES) & looks
 
 
 def ownership(found: DataFrame) -> DataFrame:

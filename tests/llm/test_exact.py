@@ -131,6 +131,13 @@ def test_copies_in_one_source_are_examples(spark):
     assert masked[0] == rows[0][1] and own not in masked[100]
 
 
+def test_short_secrets_are_masked(spark):
+    values = {0: "hunter22", 1: "abcdefghijklmnopqrstuvwx", 2: "changeme", 3: "xxxxxxxx", 4: "sixsix"}
+    df = spark.createDataFrame([(k, f"password={v} .", f"s{k}") for k, v in values.items()], "doc_id long, text string, source string")
+    masked = {r["doc_id"]: r["text"] for r in secrets.without_live_secrets(df).collect()}
+    assert {k for k, v in values.items() if v not in masked[k]} == {0, 1, 4}
+
+
 def test_warc(spark):
     html = ["<p>a</p>", "<p>a</p>", "ünï", None, "", "x" * 200_000, "<p>a</p>", "WARC/1.1\r\n\r\n"]
     df = spark.createDataFrame([(k if k != 6 else None, f"http://h{k}.example/ä?q=1\r\nX", t, 1) for k, t in enumerate(html)], "page_id long, url string, html string, digest int")
