@@ -5,8 +5,10 @@ masks that look at it. Hashes of benchmark items and of documents meet in an equ
 of the item inside the document, and the words along it are compared one by one: the best stretch, scored +1 for an equal
 word and -MISS for another, is an overlap when it holds enough equal words at a high enough rate.
 
-Words are lower-cased (A-Z), split at ASCII white space and stripped of punctuation around them. Items of SHORTEST to
-MASKS' length - 1 words use the short mask; shorter items are no evidence of anything and match nothing.
+Words are lower-cased (A-Z), split at ASCII white space and stripped of punctuation around them. An item under LONG words is
+also an overlap when LEAST_RATE of its words, rounded up, are equal anywhere along the diagonal. Wherever the allowed
+substitutions stand in it, one of the middle or short masks meets equal words only. Items under SHORTEST words are no
+evidence of anything and match nothing.
 
 Documents that have none of the benchmark's hashes are passed over by a bit table of fixed size; it only saves work,
 the join decides. Seeds are joined under a salt, so one passage in very many documents is dealt out.
@@ -27,8 +29,11 @@ from bomlens.llm.shingles import REMEMBERED, mix, words
 
 #: The masks; 1 is a word that is hashed.
 MASKS = ("1110110111", "1101011011", "1011101101")
-SHORT_MASK = "1111"
-SHORTEST = 4
+MIDDLE_MASKS = ("11101", "100111")
+SHORT_MASKS = ("111", "1101", "1011")
+ALL_MASKS = (*MASKS, *MIDDLE_MASKS, *SHORT_MASKS)
+#: The least words of items that use the short, the middle and the long masks.
+SHORTEST, MIDDLE, LONG = 4, 12, 18
 MISS, LEAST_EQUAL, LEAST_RATE = 2, 13, 0.75
 TABLE_BITS = 1 << 23
 PROBES = (0, 20, 40)
@@ -66,9 +71,8 @@ def seeds(codes: np.ndarray, mask: str, number: int) -> np.ndarray:
 
 def item_masks(length: int) -> list[tuple[int, str]]:
     """(number, mask) of the masks for an item of so many words."""
-    if length >= len(MASKS[0]):
-        return list(enumerate(MASKS))
-    return [(len(MASKS), SHORT_MASK)] if length >= SHORTEST else []
+    group = MASKS if length >= LONG else MIDDLE_MASKS if length >= MIDDLE else SHORT_MASKS if length >= SHORTEST else ()
+    return [(number, mask) for number, mask in enumerate(ALL_MASKS) if mask in group]
 
 
 def best_stretch(equal: np.ndarray) -> tuple[int, int]:
@@ -80,8 +84,13 @@ def best_stretch(equal: np.ndarray) -> tuple[int, int]:
     return int(equal[start:end].sum()), end - start
 
 
-def is_overlap(equal: int, length: int, item_length: int) -> bool:
-    return equal >= min(LEAST_EQUAL, item_length) and equal >= LEAST_RATE * length
+def overlap(same: np.ndarray, item_length: int) -> tuple[int, int] | None:
+    """(equal words, words) of the overlap along a diagonal, None where there is none."""
+    equal, length = best_stretch(same)
+    if equal >= min(LEAST_EQUAL, item_length) and equal >= LEAST_RATE * length:
+        return equal, length
+    whole = int(same.sum())
+    return (whole, len(same)) if item_length < LONG and whole >= LEAST_RATE * item_length else None
 
 
 def item_seeds(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -122,13 +131,12 @@ def in_table(found: np.ndarray, flags: np.ndarray) -> np.ndarray:
     return at
 
 
-def hit_documents(docs: DataFrame, table: np.ndarray) -> DataFrame:
-    """(key, id, codes, hashes, places) of documents (key, id, text) with seeds in the table."""
+def hit_documents(docs: DataFrame, table: np.ndarray, masks: list[tuple[int, str]]) -> DataFrame:
+    """(key, id, codes, hashes, places) of documents (key, id, text) with seeds of the masks in the table."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches):
         known, flags = StrippedHashes(), shared.value
-        masks = [*enumerate(MASKS), (len(MASKS), SHORT_MASK)]
         for batch in batches:
             rows, kept = [], []
             for n, text in enumerate(batch.column(2).cast(pa.binary())):
@@ -162,7 +170,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     numbered = stored(numbered, "items")
     marks = _pairs(numbered, "item")
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    hit = stored(hit_documents(with_row_id(rows, "key"), bit_table(marks)), "hits")
+    words_ = F.size("codes")
+    least = numbered.select(F.when(words_ < MIDDLE, SHORTEST).when(words_ < LONG, MIDDLE).otherwise(LONG).alias("least")).distinct().collect()
+    masks = sorted({mask for row in least for mask in item_masks(row["least"])})
+    hit = stored(hit_documents(with_row_id(rows, "key"), bit_table(marks), masks), "hits")
     return verified(hit, numbered, marks)
 
 
@@ -182,8 +193,9 @@ def verified(hit: DataFrame, items: DataFrame, marks: DataFrame) -> DataFrame:
                     item_codes = np.array(place["item_codes"], np.int64)
                     start = max(0, place["diagonal"])
                     end = min(len(words_), place["diagonal"] + len(item_codes))
-                    equal, length = best_stretch(words_[start:end] == item_codes[start - place["diagonal"] : end - place["diagonal"]])
-                    if is_overlap(equal, length, len(item_codes)):
+                    found_ = overlap(words_[start:end] == item_codes[start - place["diagonal"] : end - place["diagonal"]], len(item_codes))
+                    if found_:
+                        equal, length = found_
                         best[place["item"]] = max(best.get(place["item"], (0, 0, None)), (equal, -length, place["item_id"]), key=lambda x: x[:2])
                 out += [(key, doc, item_id, equal, -length) for equal, length, item_id in best.values()]
             arrays = [pa.array([o[k] for o in out], pa.int64()) for k in range(5)]

@@ -164,6 +164,19 @@ def test_decontamination(spark, prose):
     assert {r["doc_id"] for r in decontaminate.without_contaminated(df, bench).collect()} == {4, 5, 6, 7, 8}
 
 
+def test_substitutions_in_short_items(spark):
+    rows, items = [], []
+    for n in range(4, 18):
+        item = [f"w{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(item)))
+        for changed in itertools.combinations(range(n), n // 4):
+            rows.append((n, " ".join(["before", *("other" if k in changed else w for k, w in enumerate(item)), "after"])))
+        rows.append((-n, " ".join("other" if k <= n // 4 else w for k, w in enumerate(item))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(df, spark.createDataFrame(items, "item_id long, text string")).collect())
+    assert got == {(n, n): math.comb(n, n // 4) for n in range(4, 18)}
+
+
 def test_url_filter(spark):
     entries = [("bad.example", "host", "add", "2024-01-01"), ("bad.example", "host", "remove", "2024-02-01"), ("bad.example", "host", "add", "2024-03-01"), ("ok.example/a/b/", "prefix", "add", "2024-01-01"), (None, "host", "add", "2024-01-01")]
     lists = spark.createDataFrame(entries, "pattern string, kind string, action string, at string")
