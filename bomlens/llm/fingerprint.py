@@ -11,7 +11,8 @@ The vector has DENSE lanes modulo 2^32 from SHA-512 of the paragraph, which deci
 LEVELS x SKETCH lanes modulo 2^16 for likeness: each sentence of the paragraph adds its hash to one
 lane of level 0, every fourth sentence (by hash) also to level 1, every sixteenth to level 2, and so
 on. The likeness of two vectors is the share of lanes in use that hold the same value, taken on the
-first level sparse enough to tell sentences apart.
+first level sparse enough to tell sentences apart, or on the sparsest level in use where none is. The last level takes one
+sentence in 4^11, so that it holds few sentences of the longest text a row can hold.
 
 Defined cases: a null text is the empty text, whose vector is zero; two zero vectors are alike (1.0);
 repeated rows and ties of the id are ordered by text; extra columns are ignored.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 DENSE = 16
 SKETCH = 24
-LEVELS = 5
+LEVELS = 12
 #: A level is sparse enough when at most so many of its lanes are in use.
 SPARSE = 16
 #: Rows in a range of ids that one task orders, and the most ranges.
@@ -63,7 +64,7 @@ def sketch_lanes(text: Column) -> Column:
         return F.transform(
             F.sequence(F.lit(0), F.lit(SKETCH - 1)),
             lambda lane: F.aggregate(
-                F.filter(hashes, lambda h: F.pmod(F.shiftright(h, 10).bitwiseAND(F.lit(0xFFFFF).cast("bigint")), F.lit(SKETCH)) == lane),
+                F.filter(hashes, lambda h: F.pmod(F.shiftright(h, 24).bitwiseAND(F.lit(0xFFFFF).cast("bigint")), F.lit(SKETCH)) == lane),
                 F.lit(0),
                 lambda acc, h: (acc + F.shiftrightunsigned(h, 48).cast("int")).bitwiseAND(F.lit(_M16)),
             ),
@@ -117,7 +118,7 @@ def likeness(left: Column, right: Column) -> Column:
 
     def pick(all_levels: Column) -> Column:
         sparse = F.get(F.filter(all_levels, lambda s: (s["n"] > 0) & (s["n"] <= SPARSE)), F.lit(0))
-        last = F.get(F.filter(all_levels, lambda s: s["n"] > 0), F.lit(0))
+        last = F.get(F.reverse(F.filter(all_levels, lambda s: s["n"] > 0)), F.lit(0))
         return F.coalesce(sparse, last)
 
     same = F.coalesce(_bind(pick(levels), lambda s: s["same"] / s["n"]), F.lit(0.0))

@@ -91,6 +91,16 @@ def test_fingerprints(documents, spark):
     assert row["x"] == row["y"] == row["sum"] and row["less"] == row["p"]
 
 
+def test_likeness_of_long_texts(spark):
+    rows = []
+    for n in (8_000, 20_000, 60_000):
+        text = [f"line {n} {k}." for k in range(n)]
+        rows.append((n, "\n".join(text), "\n".join(text[: 2 * n // 3] + [f"other {n} {k}." for k in range(n // 3)])))
+    df = spark.createDataFrame(rows, "n long, x string, y string")
+    got = df.select("n", fingerprint.likeness(fingerprint.vector(F.col("x")), fingerprint.vector(F.col("y"))).alias("near")).collect()
+    assert all(0.1 < r["near"] < 1 for r in got), got
+
+
 def base_spans(text):
     out = []
     for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text or "", re.IGNORECASE | re.ASCII):
