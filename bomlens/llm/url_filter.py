@@ -4,7 +4,7 @@ A list is a history: dated entries add or remove a pattern. Per pattern the entr
 addition (inclusive) to the next removal (exclusive, or open). A capture is judged by the intervals active at its fetch time.
 
 Patterns are keys of an equi-join: a host pattern matches a host and all its subdomains, a prefix pattern matches a host and
-the beginning of the path, up to PREFIX_PARTS whole segments. A capture is looked up under each suffix of its host and each
+the beginning of the path in whole segments, as deep as the list's deepest prefix; the host's case does not count, the path's does. A capture is looked up under each suffix of its host and each
 prefix of its path. The intervals of a key stand in one row, so a capture meets a key at most once, whatever the history, and
 the as-of condition is evaluated inside the row. Lookups are salted, so a host with a third of all captures is dealt out.
 
@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 
 from bomlens.llm.common import with_row_id
 
-PREFIX_PARTS = 4
 SALTS = 16
 INTERVAL = "array<struct<valid_from:timestamp,valid_to:timestamp>>"
 
@@ -34,12 +33,12 @@ def path(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)", 1)
 
 
-def lookup_keys(host_: Column, path_: Column) -> Column:
-    """All keys under which a capture may be listed: 'host:<suffix>' and 'prefix:<host>/<segments>'."""
+def lookup_keys(host_: Column, path_: Column, deepest: int) -> Column:
+    """All keys under which a capture may be listed: 'host:<suffix>' and 'prefix:<host>/<segments>' of up to deepest segments."""
     labels = F.split(host_, r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.concat(F.lit("host:"), F.array_join(F.slice(labels, k, F.size(labels)), ".")))
     parts = F.filter(F.split(path_, "/"), lambda p: p != "")
-    depth = F.least(F.size(parts), F.lit(PREFIX_PARTS))
+    depth = F.least(F.size(parts), F.lit(deepest))
     prefixes = F.when(
         depth > 0, F.transform(F.sequence(F.lit(1), F.greatest(depth, F.lit(1))), lambda k: F.concat(F.lit("prefix:"), host_, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), k), "/")))
     ).otherwise(F.array().cast("array<string>"))
@@ -49,18 +48,25 @@ def lookup_keys(host_: Column, path_: Column) -> Column:
 def validity(entries: DataFrame) -> DataFrame:
     """(key, intervals) from dated entries (pattern, kind, action, at); kind is host or prefix, action add or remove."""
     known = entries.filter(F.col("kind").isin("host", "prefix") & F.col("action").isin("add", "remove") & F.col("at").isNotNull() & F.col("pattern").isNotNull())
-    keyed = known.select(F.concat("kind", F.lit(":"), F.regexp_replace(F.lower("pattern"), r"/+$", "")).alias("key"), (F.col("action") == "add").alias("on"), F.col("at").cast("timestamp").alias("at")).distinct()
+    keyed = known.select(F.concat("kind", F.lit(":"), F.regexp_replace(F.concat(F.lower(F.substring_index("pattern", "/", 1)), F.substring("pattern", F.char_length(F.substring_index("pattern", "/", 1)) + 1, F.char_length("pattern"))), r"/+$", "")).alias("key"), (F.col("action") == "add").alias("on"), F.col("at").cast("timestamp").alias("at")).distinct()
     by_time = Window.partitionBy("key").orderBy(F.col("at"), F.col("on").desc())
     changes = keyed.withColumn("before", F.lag("on").over(by_time)).filter(F.col("on") != F.coalesce("before", F.lit(False)))
     spans = changes.withColumn("until", F.lead("at").over(by_time)).filter(F.col("on") & (F.col("until").isNull() | (F.col("until") > F.col("at"))))
     return spans.groupBy("key").agg(F.sort_array(F.collect_list(F.struct(F.col("at").alias("valid_from"), F.col("until").alias("valid_to")))).alias("intervals"))
 
 
+def deepest_prefix(lists: DataFrame) -> int:
+    """The number of path segments of the deepest prefix pattern, 0 without any."""
+    depth = F.size(F.split("key", "/")) - 1
+    return lists.filter(F.startswith("key", F.lit("prefix:"))).agg(F.max(depth)).first()[0] or 0
+
+
 def listed(pages: DataFrame, entries: DataFrame, url_col: str = "url", time_col: str = "fetched", id_col: str = "page_id") -> DataFrame:
     """(id, host, fetched, listed, rule, valid_from, valid_to, active_rules): the first active rule by key, and how many are."""
     rows = with_row_id(pages.select(F.col(id_col).alias("id"), host(F.col(url_col)).alias("host"), path(F.col(url_col)).alias("path"), F.col(time_col).cast("timestamp").alias("fetched")))
-    keyed = rows.withColumn("key", F.explode_outer(lookup_keys(F.col("host"), F.col("path")))).withColumn("salt", F.pmod(F.xxhash64("_rid"), F.lit(SALTS)).cast("int"))
-    lists = validity(entries).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    intervals = validity(entries)
+    keyed = rows.withColumn("key", F.explode_outer(lookup_keys(F.col("host"), F.col("path"), deepest_prefix(intervals)))).withColumn("salt", F.pmod(F.xxhash64("_rid"), F.lit(SALTS)).cast("int"))
+    lists = intervals.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     joined = keyed.join(lists, ["key", "salt"], "left")
     active = F.get(F.filter("intervals", lambda s: (s["valid_from"] <= F.col("fetched")) & (s["valid_to"].isNull() | (s["valid_to"] > F.col("fetched")))), F.lit(0))
     rule = F.when(active.isNotNull(), F.struct(F.col("key").alias("rule"), active.alias("span")))

@@ -196,6 +196,13 @@ def test_url_filter(spark):
     assert got == {k: w for k, (_, _, w) in enumerate(pages)}
 
 
+def test_deep_and_mixed_case_prefixes(spark):
+    lists = spark.createDataFrame([("Deep.example/a/b/c/d/e", "prefix", "add", "2024-01-01"), ("Case.example/Blog", "prefix", "add", "2024-01-01")], "pattern string, kind string, action string, at string")
+    urls = {"http://deep.example/a/b/c/d/e/f": True, "http://deep.example/a/b/c/d": False, "http://CASE.example/Blog/x": True, "http://case.example/blog/x": False, "http://case.example": False}
+    df = spark.createDataFrame([(k, u, "2024-05-01") for k, u in enumerate(urls)], "page_id long, url string, fetched string")
+    assert {r["id"]: r["listed"] for r in url_filter.listed(df, lists).collect()} == dict(enumerate(urls.values()))
+
+
 def test_pieces(spark, documents):
     sentencepiece = pytest.importorskip("sentencepiece")
     model = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
