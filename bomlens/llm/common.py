@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bomlens.errors import EngineError
+
 #: ASCII white space, as the word contracts define it.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -21,11 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it.
 
-    Only where spark.checkpoint.dir is unset (tests on one machine) a folder of its own is set.
+    Only where spark.checkpoint.dir is unset and driver and executors are one process (tests) a folder of its own is set.
     """
     context = spark.sparkContext
     root = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise EngineError("no_shared_folder", "spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="bomlens-")
         context.setCheckpointDir(root)
         root = context.getCheckpointDir()
@@ -75,8 +80,8 @@ def without_keys(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     return df.join(F.broadcast(found) if found.count() <= BROADCAST_KEYS else found, on, "left_anti")
 
 
-def most_frequent(df: DataFrame, count: str, bound: int) -> DataFrame:
-    """The rows with the largest counts, at most bound of them: all at or above a step of a scale of 16 steps an octave.
+def is_frequent(df: DataFrame, count: str, bound: int):
+    """The condition on a count that at most bound rows of df meet, the largest counts: all at or above a step of a scale of 16 steps an octave.
 
     Only a histogram of a few hundred rows reaches the driver; nothing is sorted.
     """
@@ -87,7 +92,22 @@ def most_frequent(df: DataFrame, count: str, bound: int) -> DataFrame:
         if total + rows > bound:
             break
         total, least = total + rows, at
-    return df.filter(step >= least) if least is not None else df.filter(F.lit(False))
+    return step >= least if least is not None else F.lit(False)
+
+
+def most_frequent(df: DataFrame, count: str, bound: int) -> DataFrame:
+    """The rows of df that is_frequent tells."""
+    return df.filter(is_frequent(df, count, bound))
+
+
+def scans_files(df: DataFrame) -> bool:
+    """Whether df only reads, filters and projects files, so that its partitions are the same rows each time."""
+    node = df._jdf.queryExecution().optimizedPlan()
+    if not node.deterministic():
+        return False
+    while (name := node.getClass().getSimpleName()) in ("Project", "Filter"):
+        node = node.child()
+    return name == "LogicalRelation"
 
 
 def published(df: DataFrame, name: str) -> str:
@@ -97,9 +117,12 @@ def published(df: DataFrame, name: str) -> str:
     return path
 
 
-def read_published(path: str):
-    """The Arrow table at a path of published; runs on executors."""
+def read_published(path: str, keys=None, missing_ok: bool = False):
+    """The Arrow table at a path of the shared folder, or its rows with some keys; runs on executors."""
     from pyarrow import dataset, fs
 
     store, inner = (fs.LocalFileSystem(), path.removeprefix("file://").removeprefix("file:")) if path.startswith("file:") or "://" not in path else fs.FileSystem.from_uri(path)
-    return dataset.dataset(inner, filesystem=store, format="parquet").to_table()
+    if missing_ok and store.get_file_info(inner).type == fs.FileType.NotFound:
+        return None
+    found = dataset.dataset(inner, filesystem=store, format="parquet")
+    return found.to_table(columns=["key", "ids"], filter=dataset.field("key").isin(keys)) if keys is not None else found.to_table()

@@ -1,280 +1,486 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
-1. A text is escaped (a leading space, spaces as the mark) and cut into segments that no piece of the table crosses. The
-   distinct segments of all texts form the word table.
+1. A text is escaped (a leading space, spaces as the mark) and cut into words that no piece of the table crosses. The
+   distinct words of all texts form the word table, with the input partitions in which each stands.
 2. Every substring of a word up to the longest piece is exploded and equi-joined to the piece table: the edges of the
    word's lattice. The piece table is broadcast; its size is that of the model file.
 3. The edges are grouped by word and folded with Spark's higher-order `aggregate`.
-4. Encoded words return to the texts: up to HOT of the most frequent from a table that each worker reads, the others by
-   an equi-join, so no worker holds the word table.
+4. Encoded words return to the texts. A worker reads up to HOT of the most frequent words, a bounded table, and the other
+   words of its own input partition, which step 1 has listed; so no text and no list of ids is shuffled.
 
-The fold: models of byte-pair type give a piece its merge rank and encode by merging neighbours in order of rank, leftmost
-first; a best path through the same lattice (Viterbi) gives other pieces than the model's own library. The fold therefore
-carries the boundaries of the current symbols through the lattice and removes the boundary inside the best-ranked edge that
-spans two symbols, until none does. Words over FOLDED characters take the same fold with a heap, in Python.
+The fold follows the model's type. A model of log-probabilities takes Viterbi: the fold goes over the edges by their end,
+carries the best score and the back pointer of every position, and the best path is read off backwards. Of equal scores the
+longest last piece stays. A byte-pair model gives pieces their merge ranks; a best path through the lattice gives other
+pieces than the model's own library does, so its fold merges along the lattice: it goes over the edges by rank and start,
+carries the end of the symbol that starts at each position, and joins the two symbols that an edge spans. One pass is
+enough when every piece of the model is made from pieces of lower rank, which is checked for each piece of the table.
 
-Characters without a piece become the pieces of their UTF-8 bytes. Decoding joins the pieces' bytes and drops the leading space.
+Characters without a piece become the pieces of their UTF-8 bytes, or one unknown piece a run where the model has none.
+Decoding joins the pieces' bytes and drops the leading space.
 
 Defined cases: null and empty texts have no pieces and decode to ''; a literal mark in a text decodes to a space, as in the
-model's own library; repeated rows are encoded once each; extra columns are ignored.
+model's own library; repeated rows are encoded once each; extra columns, whatever their names, are ignored; a word of any
+length takes the same path, at a cost that grows with the square of its length beyond some thousand characters.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
-from bomlens.llm.common import most_frequent, published, read_published, stored, with_row_id
+from bomlens.llm.common import is_frequent, published, read_published, scans_files, shared_folder, stored, with_row_id
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Letters or other characters in a row, with the marks before them; a line break stands alone.
-NUMERALS = r"\d_\u00b2\u00b3\u00b9\u00bc-\u00be"
+NUMERALS = r"\d_²³¹¼-¾"
 SEGMENT = re.compile(rf"{MARK}*[^\W{NUMERALS}]+|{MARK}*(?:[^\w{MARK}\n]|[{NUMERALS}])+|{MARK}+|\n")
-FOLDED = 48
-HOT, HOT_CHARS = 1 << 18, FOLDED
-COUNTED = 120_000
-GROUPED = 60_000
+#: Words that every worker reads: so many of the most frequent up to HOT_CHARS characters, and of longer ones so many up to LONG_CHARS.
+HOT, HOT_CHARS = 1 << 20, 48
+HOT_LONG, LONG_CHARS = 4096, 2048
+#: Chunks counted, or remembered, by a worker at once, and texts encoded together.
+COUNTED, REMEMBERED, TOGETHER = 200_000, 200_000, 500
+BEST, MERGES = "best path", "merges"
+#: Bits of a packed edge below its rank: start, length, id.
+START_BITS, LENGTH_BITS, ID_BITS = 24, 6, 17
+
+
+def _model_type(proto: bytes) -> int:
+    """The model type in a serialized model: field 3 of the message in field 2; 1 (log-probabilities) where unset."""
+
+    def fields(data: bytes):
+        at = 0
+
+        def varint() -> int:
+            nonlocal at
+            value = shift = 0
+            while True:
+                byte = data[at]
+                at += 1
+                value |= (byte & 127) << shift
+                shift += 7
+                if byte < 128:
+                    return value
+
+        while at < len(data):
+            tag = varint()
+            kind = tag & 7
+            if kind == 0:
+                yield tag >> 3, varint()
+            else:
+                size = varint() if kind == 2 else 8 if kind == 1 else 4
+                yield tag >> 3, data[at : at + size]
+                at += size
+
+    trainer = next((value for number, value in fields(proto) if number == 2), b"")
+    return next((value for number, value in fields(trainer) if number == 3), 1)
 
 
 class PieceTable:
-    """The pieces of a byte-pair model: names, ids, ranks (equal scores share one), and the first id of the 256 bytes."""
+    """The pieces of a model: rows (name, id, place, score), the first id of the 256 bytes or None, the unknown id, the fold.
+
+    place is the rank of a piece among the scores, from 0 for the highest; in a byte-pair model it is the merge rank.
+    """
 
     def __init__(self, path: str = MODEL):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        size = model.get_piece_size()
-        self.names = [model.id_to_piece(n) for n in range(size)]
-        self.byte_base = next(n for n in range(size) if model.is_byte(n))
-        if [self.names[self.byte_base + b] for b in range(256)] != [f"<0x{b:02X}>" for b in range(256)]:
+        names = [model.id_to_piece(n) for n in range(model.get_piece_size())]
+        special = {n for n in range(len(names)) if model.is_control(n) or model.is_unknown(n)}
+        found = [n for n in range(len(names)) if model.is_byte(n)]
+        kind = MERGES if _model_type(model.serialized_model_proto()) == 2 else BEST
+        self._fill(names, [model.get_score(n) for n in range(len(names))], special, found[0] if found else None, model.unk_id(), kind)
+
+    @classmethod
+    def of(cls, names: list[str], scores: list[float], kind: str = BEST, byte_base: int | None = None, unknown: int = 0) -> PieceTable:
+        """A table from names and scores by id; the unknown id is no piece."""
+        out = cls.__new__(cls)
+        out._fill(names, scores, {unknown}, byte_base, unknown, kind)
+        return out
+
+    def _fill(self, names, scores, special, byte_base, unknown, kind) -> None:
+        self.names, self.byte_base, self.unknown, self.kind = names, byte_base, unknown, kind
+        raw = range(byte_base, byte_base + 256) if byte_base is not None else range(0)
+        if any(names[byte_base + b] != f"<0x{b:02X}>" for b in range(len(raw))):
             raise ValueError("the byte pieces are not in order")
-        plain = [n for n in range(size) if not (model.is_byte(n) or model.is_control(n) or model.is_unknown(n))]
-        if any(SEGMENT.findall(self.names[n]) != [self.names[n]] for n in plain):
-            raise ValueError("a piece crosses the cuts between segments")
-        places = {score: k for k, score in enumerate(sorted({model.get_score(n) for n in plain}, reverse=True))}
-        self.rows = [(self.names[n], n, places[model.get_score(n)]) for n in plain]
-        self.longest = max(len(name) for name, _, _ in self.rows)
-        self.bytes = [bytes([n - self.byte_base]) if self.byte_base <= n < self.byte_base + 256 else b"" if model.is_control(n) or model.is_unknown(n) else self.names[n].replace(MARK, " ").encode() for n in range(size)]
+        plain = [n for n in range(len(names)) if n not in special and n not in raw]
+        if any(SEGMENT.findall(names[n]) != [names[n]] for n in plain):
+            raise ValueError("a piece crosses the cuts between words")
+        places = {score: float(k) for k, score in enumerate(sorted({scores[n] for n in plain}, reverse=True))}
+        by_name = {names[n]: places[scores[n]] for n in plain}
+        if kind == MERGES:
+            _order_merges(by_name)
+        order = {place: k for k, place in enumerate(sorted(set(by_name.values())))}
+        self.rows = [(names[n], n, order[by_name[names[n]]], float(scores[n])) for n in plain]
+        self.longest = max((len(name) for name in by_name), default=1)
+        self.unknown_score = min((scores[n] for n in plain), default=0.0) - 10.0
+        if self.longest >= 1 << LENGTH_BITS or len(names) > 1 << ID_BITS or len(order) >= 1 << 16:
+            raise ValueError("the piece table is too large for packed edges")
+        self.bytes = [bytes([n - byte_base]) if n in raw else b"" if n in special else names[n].replace(MARK, " ").encode() for n in range(len(names))]
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rows, "piece string, id int, place int")
+        return spark.createDataFrame(self.rows, "piece string, id int, place int, score double")
+
+
+def merged_in_order(word: str, places: dict[str, float], longest: int) -> list[int]:
+    """The end of the symbol that starts at each position, -1 where none does, after merging by (place, start) in one pass."""
+    after = list(range(1, len(word) + 1))
+    edges = sorted((places[word[s:e]], s, e) for s in range(len(word)) for e in range(s + 2, min(len(word), s + longest) + 1) if word[s:e] in places)
+    for _, start, end in edges:
+        middle = after[start]
+        if 0 < middle < len(word) and after[middle] == end:
+            after[start], after[middle] = end, -1
+    return after
+
 
-    def lookup(self) -> dict[str, tuple[int, int]]:
-        return {name: (place, n) for name, n, place in self.rows}
+def _order_merges(places: dict[str, float]) -> None:
+    """Raise the places of pieces that rank above all their halves to just behind a half; fail if a piece still is not made in one pass."""
+    longest = max(map(len, places), default=1)
+    for name in sorted(places, key=lambda x: (len(x), x)):
+        if len(name) > 1 and merged_in_order(name, places, longest)[0] != len(name):
+            halves = [max(places[name[:k]], places[name[k:]]) for k in range(1, len(name)) if name[:k] in places and name[k:] in places]
+            if halves:
+                places[name] = min(halves) + 0.5
+            if merged_in_order(name, places, longest)[0] != len(name):
+                raise ValueError(f"{name!r} is not made by merges in order of rank")
 
 
 def segments(text: str | None) -> list[str]:
+    """The words of a text, marks included."""
     return SEGMENT.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
+def chunks(text: str, marked: list, plain: list) -> list | None:
+    """Cut a text at its spaces and line breaks: per line, (first chunk without a mark, chunks with a mark before them).
+
+    All chunks are added to the lists. None when the text has marks or spaces in a row; such texts are cut by `segments`.
+    """
+    if MARK in text:
+        return None
+    lines = []
+    for line in (" " + text).split("\n"):
+        first, *rest = line.split(" ")
+        if "" in rest:
+            return None
+        lines.append((first, rest))
+        plain.append(first)
+        marked += rest
+    return lines
+
+
 def word_table(texts: DataFrame) -> DataFrame:
-    """(word, n): the distinct segments of column text."""
+    """(word, n, parts): the distinct words of column text, their number, and the input partitions that hold them."""
 
     def run(batches):
-        counts: Counter = Counter()
+        part = TaskContext.get().partitionId()
+        with_mark, without, words, breaks = Counter(), Counter(), Counter(), 0
 
         def flushed():
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+            for counts, mark in ((with_mark, MARK), (without, "")):
+                for chunk, n in counts.items():
+                    for word in SEGMENT.findall(mark + chunk):
+                        words[word] += n
+            if breaks:
+                words["\n"] += breaks
+            return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64()), pa.array([part] * len(words), pa.int32())], names=["word", "n", "part"])
 
         for batch in batches:
             for text in batch.column(0):
-                counts.update(segments(text.as_py()))
-                if len(counts) >= COUNTED:
+                marked, plain = [], []
+                text = text.as_py()
+                lines = chunks(text, marked, plain) if text else []
+                if lines is None:
+                    words.update(segments(text))
+                else:
+                    with_mark.update(marked)
+                    without.update(plain)
+                    breaks += max(0, len(lines) - 1)
+                if len(with_mark) + len(without) + len(words) >= COUNTED:
                     yield flushed()
-                    counts.clear()
-        if counts:
-            yield flushed()
+                    with_mark, without, words, breaks = Counter(), Counter(), Counter(), 0
+        yield flushed()
 
-    return texts.select("text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    rows = texts.select("text").mapInArrow(run, "word string, n bigint, part int")
+    return rows.groupBy("word").agg(F.sum("n").alias("n"), F.collect_set("part").alias("parts"))
 
 
 def lattice(words: DataFrame, table: PieceTable) -> DataFrame:
-    """(word, n, edges): all pieces inside each word, packed as place << 36 | start << 28 | end << 20 | id."""
-    spark = words.sparkSession
-    starts = words.select("word", "n", F.explode(F.sequence(F.lit(0), F.char_length("word") - 1)).alias("s"))
-    ends = starts.select("word", "n", "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("s") + table.longest, F.char_length("word")))).alias("e"))
-    cut = ends.select("word", "n", "s", "e", F.substring(F.col("word"), F.col("s") + 1, F.col("e") - F.col("s")).alias("piece"))
-    found = cut.join(F.broadcast(table.frame(spark)), "piece", "left").filter(F.col("id").isNotNull() | (F.col("e") == 1))  # each word keeps a row
-    packed = F.shiftleft(F.col("place").cast("bigint"), 36).bitwiseOR(F.shiftleft(F.col("s").cast("bigint"), 28)).bitwiseOR(F.shiftleft(F.col("e").cast("bigint"), 20)).bitwiseOR(F.col("id").cast("bigint"))
-    return found.select("word", "n", packed.alias("edge")).groupBy("word").agg(F.first("n").alias("n"), F.collect_list("edge").alias("edges"))
-
-
-def folded(edges, word, byte_base: int):
-    """The ids of a word by merging along its edges; all as column expressions."""
+    """(wid, word, edges) of words (wid, word): all pieces inside each word, grouped.
+
+    An edge of a merging model is packed as place, start, length and id; one of a best-path model is a struct
+    (end, start, score, id), and a character without a piece has an edge with the id -1 there.
+    """
+    best = table.kind == BEST
+    size = F.char_length("word")
+    starts = words.select("wid", "word", F.explode(F.sequence(F.lit(0), size - 1)).alias("s"))
+    ends = starts.select("wid", "word", "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("s") + table.longest, size))).alias("e"))
+    first = (F.col("s") == 0) & (F.col("e") == 1)
+    cut = ends.select("wid", F.when(first, F.col("word")).alias("word"), "s", "e", F.substring(F.col("word"), F.col("s") + 1, F.col("e") - F.col("s")).alias("piece"))
+    found = cut.join(F.broadcast(table.frame(words.sparkSession)), "piece", "left")
+    if best:
+        found = found.filter(F.col("id").isNotNull() | (F.col("e") == F.col("s") + 1))
+        edge = F.struct("e", "s", F.coalesce("score", F.lit(table.unknown_score)).alias("score"), F.coalesce("id", F.lit(-1)).alias("id"))
+    else:
+        found = found.filter(F.col("id").isNotNull() | F.col("word").isNotNull())  # each word keeps a row
+        edge = F.shiftleft(F.col("place").cast("bigint"), START_BITS + LENGTH_BITS + ID_BITS)
+        edge = edge.bitwiseOR(F.shiftleft(F.col("s").cast("bigint"), LENGTH_BITS + ID_BITS)).bitwiseOR(F.shiftleft((F.col("e") - F.col("s")).cast("bigint"), ID_BITS)).bitwiseOR(F.col("id").cast("bigint"))
+    return found.select("wid", "word", edge.alias("edge")).groupBy("wid").agg(F.max("word").alias("word"), F.collect_list("edge").alias("edges"))
+
+
+def _bind(value: Column, body) -> Column:
+    """body(value) with value evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _bits(edge: Column, shift: int, width: int) -> Column:
+    return F.shiftright(edge, shift).bitwiseAND(F.lit((1 << width) - 1).cast("bigint")).cast("int")
+
+
+def _raw(word: Column, at: Column, table: PieceTable) -> Column:
+    """The ids of a character without a piece."""
+    if table.byte_base is None:
+        return F.array(F.lit(table.unknown))
+    hexed = F.hex(F.encode(F.substring(word, at + 1, F.lit(1)), "UTF-8"))
+    return F.transform(F.sequence(F.lit(0), (F.length(hexed) / 2 - 1).cast("int")), lambda b: F.conv(F.substring(hexed, (b * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int") + table.byte_base)
+
+
+def merged(edges: Column, word: Column, table: PieceTable) -> Column:
+    """The ids of a word by merging along its packed edges in order of place and start."""
     size = F.char_length(word)
 
     def start(edge):
-        return F.shiftright(edge, 28).bitwiseAND(F.lit(255).cast("bigint")).cast("int")
+        return _bits(edge, LENGTH_BITS + ID_BITS, START_BITS)
 
-    def end(edge):
-        return F.shiftright(edge, 20).bitwiseAND(F.lit(255).cast("bigint")).cast("int")
+    def length(edge):
+        return _bits(edge, ID_BITS, LENGTH_BITS)
 
     # after[s] is the end of the symbol that starts at s, -1 where none starts
-    def step(after, _):
-        joins = F.filter(edges, lambda edge: F.get(after, F.get(after, start(edge))) == end(edge))
-
-        def join(edge):
-            middle = F.get(after, start(edge))
-            return F.transform(after, lambda value, at: F.when(at == start(edge), end(edge)).when(at == middle, -1).otherwise(value))
-
-        return F.get(F.transform(F.array(F.array_min(joins)), lambda edge: F.when(edge.isNull(), after).otherwise(join(edge))), F.lit(0))
-
-    after = F.aggregate(F.sequence(F.lit(1), size), F.sequence(F.lit(1), size), step)
-    bounds = F.get(F.transform(F.array(after), lambda done: F.concat(F.filter(F.sequence(F.lit(0), size - 1), lambda s: F.get(done, s) > 0), F.array(size))), F.lit(0))
-
-    def ids(cuts):
-        def one(k):
-            s, e = F.get(cuts, k), F.get(cuts, k + 1)
-            hit = F.get(F.filter(edges, lambda edge: (start(edge) == s) & (end(edge) == e)), F.lit(0))
-            hexed = F.hex(F.encode(F.substring(word, s + 1, e - s), "UTF-8"))
-            raw = F.transform(F.sequence(F.lit(0), (F.length(hexed) / 2 - 1).cast("int")), lambda b: F.conv(F.substring(hexed, (b * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int") + byte_base)
-            return F.when(hit.isNotNull(), F.array(hit.bitwiseAND(F.lit(0xFFFFF).cast("bigint")).cast("int"))).otherwise(raw)
-
-        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(cuts) - 2), one))
-
-    return F.get(F.transform(F.array(bounds), ids), F.lit(0))
-
-
-def merged(word: str, lookup: dict[str, tuple[int, int]], byte_base: int) -> list[int]:
-    """The same fold for one word with a heap of possible merges."""
-    ends = list(range(1, len(word) + 1))
-    alive, after, before = [True] * len(word), list(range(1, len(word) + 1)), list(range(-1, len(word) - 1))
-    heap: list = []
-
-    def offer(left: int) -> None:
-        right = after[left]
-        if right < len(word) and (found := lookup.get(word[left : ends[right]])):
-            heapq.heappush(heap, (found[0], left, ends[left], ends[right]))
-
-    for left in range(len(word) - 1):
-        offer(left)
-    while heap:
-        _, left, middle, end = heapq.heappop(heap)
-        right = after[left]
-        if not alive[left] or ends[left] != middle or right >= len(word) or ends[right] != end:
-            continue
-        alive[right], ends[left], after[left] = False, end, after[right]
-        if after[left] < len(word):
-            before[after[left]] = left
-        offer(left)
-        if before[left] >= 0:
-            offer(before[left])
-    out: list[int] = []
-    for left in range(len(word)):
-        if alive[left]:
-            found = lookup.get(word[left : ends[left]])
-            out += [found[1]] if found else [byte_base + b for b in word[left : ends[left]].encode("utf-8", "surrogatepass")]
-    return out
+    def step(after, edge):
+        s = start(edge)
+        e, m = s + length(edge), F.get(after, s)
+        joined = F.concat(F.slice(after, F.lit(1), s), F.array(e), F.slice(after, s + 2, m - s - 1), F.array(F.lit(-1)), F.slice(after, m + 2, size))
+        return F.when(F.get(after, m) == e, joined).otherwise(after)
+
+    after = F.aggregate(F.sort_array(F.filter(edges, lambda edge: length(edge) > 1)), F.sequence(F.lit(1), size), step)
+
+    def ids(done: Column) -> Column:
+        kept = F.transform(F.filter(edges, lambda edge: F.get(done, start(edge)) == start(edge) + length(edge)), lambda edge: F.struct(start(edge).alias("s"), _bits(edge, 0, ID_BITS).alias("id")))
+
+        def whole(known: Column) -> Column:
+            live = F.filter(F.sequence(F.lit(0), size - 1), lambda s: F.get(done, s) > 0)
+            bare = F.transform(F.array_except(live, F.transform(known, lambda x: x["s"])), lambda s: F.struct(s.alias("s"), _raw(word, s, table).alias("ids")))
+            named = F.transform(known, lambda x: F.struct(x["s"].alias("s"), F.array(x["id"]).alias("ids")))
+            mixed = F.flatten(F.transform(F.array_sort(F.concat(named, bare)), lambda x: x["ids"]))
+            return F.when(F.size(known) == F.size(live), F.transform(F.array_sort(known), lambda x: x["id"])).otherwise(mixed)
+
+        return _bind(kept, whole)
+
+    return _bind(after, ids)
+
+
+def best_path(edges: Column, word: Column, table: PieceTable) -> Column:
+    """The ids of a word by Viterbi: the path of edges with the greatest sum of scores."""
+    size = F.char_length(word)
+    back = F.struct(F.lit(-1).alias("s"), F.lit(-1).alias("id"))
+    zero = F.struct(F.array(F.lit(0.0)).alias("best"), F.array(back).alias("back"))
+
+    # best[e] and back[e] are the best score of a path to e and its last edge; edges come by their end
+    def step(acc, edge):
+        total = F.get(acc["best"], edge["s"]) + edge["score"]
+        pointer = F.struct(edge["s"].alias("s"), edge["id"].alias("id"))
+        added = F.struct(F.concat(F.slice(acc["best"], F.lit(1), edge["e"]), F.array(total)).alias("best"), F.concat(F.slice(acc["back"], F.lit(1), edge["e"]), F.array(pointer)).alias("back"))
+        reached = F.get(acc["best"], edge["e"])
+        return F.when(reached.isNull() | (total > reached), added).otherwise(acc)
+
+    pointers = F.aggregate(F.array_sort(edges), zero, step, lambda acc: acc["back"])
+
+    def walked(done: Column) -> Column:
+        places = F.reverse(F.transform(done, lambda x, at: F.struct(at.alias("e"), x["s"].alias("s"), x["id"].alias("id"))))
+        start = F.struct(size.alias("at"), F.array().cast("array<struct<s:int,id:int>>").alias("path"))
+
+        def back_step(acc, x):
+            taken = F.struct(x["s"].alias("at"), F.concat(F.array(F.struct(x["s"].alias("s"), x["id"].alias("id"))), acc["path"]).alias("path"))
+            return F.when((x["e"] == acc["at"]) & (x["e"] > 0), taken).otherwise(acc)
+
+        return F.aggregate(places, start, back_step, lambda acc: acc["path"])
+
+    def ids(path: Column) -> Column:
+        if table.byte_base is None:  # a run of unknown characters is one piece
+            path = F.filter(path, lambda x, at: (x["id"] >= 0) | F.coalesce(F.get(path, at - 1)["id"] >= 0, F.lit(True)))
+        return F.flatten(F.transform(path, lambda x: F.when(x["id"] >= 0, F.array(x["id"])).otherwise(_raw(word, x["s"], table))))
+
+    return _bind(_bind(pointers, walked), ids)
 
 
 def encoded_words(words: DataFrame, table: PieceTable) -> DataFrame:
-    """(word, n, ids) of every word."""
-    short = lattice(words.filter(F.char_length("word") <= FOLDED), table)
-    by_fold = short.select("word", "n", folded(F.col("edges"), F.col("word"), table.byte_base).alias("ids"))
-    lookup, base = table.lookup(), table.byte_base
+    """(wid, word, ids) of words (wid, word), a stored table; wid tells the rows apart and is what the edges are grouped by."""
+    fold = best_path if table.kind == BEST else merged
+    grouped = lattice(words.select("wid", "word").repartition("wid"), table)
+    return grouped.select("wid", "word", fold(F.col("edges"), F.col("word"), table).alias("ids"))
 
-    def run(batches):
-        for batch in batches:
-            found = [merged(w, lookup, base) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["word", "n", "ids"])
 
-    rest = words.filter(F.char_length("word") > FOLDED)
-    return by_fold.unionByName(rest.mapInArrow(run, "word string, n bigint, ids array<int>"))
+def _key(word: str) -> int:
+    """The signed 64-bit key of a word, that of Spark's xxhash64."""
+    value = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 42)
+    return value - (1 << 64) if value >> 63 else value
 
 
-def _grouped_in_memory(spark: SparkSession, action):
-    """Run action with hash grouping of so many words in a task before it sorts; Spark's own limit is 128."""
-    name = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(GROUPED))
-    try:
-        return action()
-    finally:
-        spark.conf.set(name, before)
+class Encoded:
+    """Words by key with their ids, each in one flat array."""
 
+    def __init__(self, rows: pa.Table):
+        rows = rows.combine_chunks()
+        keys = rows.column("key").to_numpy()
+        order = np.argsort(keys, kind="stable")
+        self.keys = keys[order]
+        ids = pc.take(rows.column("ids"), pa.array(order)).combine_chunks()
+        ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) and ids.num_chunks else ids
+        self.flat = np.asarray(ids.flatten()).astype(np.int32) if len(keys) else np.empty(0, np.int32)
+        lengths = np.asarray(ids.value_lengths()).astype(np.int64) if len(keys) else np.empty(0, np.int64)
+        self.ends = np.cumsum(lengths)
+        self.starts = self.ends - lengths
 
-class HotWords:
-    """Frequent words with their ids in one flat array, read from a table of the shared folder."""
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The row of each key, -1 where there is none."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
 
-    def __init__(self, path: str):
-        rows = read_published(path).sort_by("word").combine_chunks()
-        self.number = dict(zip(rows.column("word").to_pylist(), range(rows.num_rows), strict=True))
-        ids = rows.column("ids").combine_chunks() if rows.num_rows else None
-        ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
-        self.flat = np.empty(0, np.int32) if ids is None else np.asarray(ids.flatten())
-        self.lengths = np.empty(0, np.int64) if ids is None else np.asarray(ids.value_lengths()).astype(np.int64)
-        self.starts = np.cumsum(self.lengths) - self.lengths
+    def ids(self, row: int) -> np.ndarray:
+        return self.flat[self.starts[row] : self.ends[row]]
 
 
 #: The hot words that a worker has read, by their path.
-_LOADED: dict[str, HotWords] = {}
+_LOADED: dict[str, Encoded] = {}
 
 
-def hot_words(path: str) -> HotWords:
+def _hot_words(path: str) -> Encoded:
     if path not in _LOADED:
         _LOADED.clear()
-        _LOADED[path] = HotWords(path)
+        _LOADED[path] = Encoded(read_published(path))
     return _LOADED[path]
 
 
-def gathered(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, flat: np.ndarray) -> np.ndarray:
-    """The flat rows of all codes, one after another."""
-    sizes = lengths[codes]
-    total = int(sizes.sum())
-    ends = np.cumsum(sizes)
-    return flat[np.arange(total) - np.repeat(ends - sizes - starts[codes], sizes)]
+class Speller:
+    """The ids of texts in a worker: hot words, the words of the input partition, and for any other the whole word table.
+
+    The last is only needed when the input is cut into other partitions than when the words were listed.
+    """
+
+    def __init__(self, hot: str, own: str, every: str):
+        self.tables = [_hot_words(hot)]
+        if (rows := read_published(own, missing_ok=True)) is not None:
+            self.tables.append(Encoded(rows.select(["key", "ids"])))
+        self.every = every
+        self.clear()
+
+    def clear(self) -> None:
+        self.ids: list[np.ndarray] = []
+        self.marked: dict[str, int] = {}
+        self.plain: dict[str, int] = {}
+        self.words: dict[str, np.ndarray] = {}
+
+    def learn(self, words: set[str]) -> None:
+        """Look up the ids of words."""
+        new = [w for w in words if w not in self.words]
+        keys = np.fromiter(map(_key, new), np.int64, len(new))
+        left = np.arange(len(new))
+        for table in self.tables:
+            rows = table.find(keys[left])
+            for k, row in zip(left[rows >= 0], rows[rows >= 0], strict=True):
+                self.words[new[k]] = table.ids(row)
+            left = left[rows < 0]
+        if len(left):
+            wanted = pa.array(keys[left])
+            found = Encoded(read_published(self.every, keys=wanted))
+            rows = found.find(keys[left])
+            if (rows < 0).any():
+                raise ValueError("a word was not listed; the input has changed between its two readings")
+            self.words.update((new[k], found.ids(row)) for k, row in zip(left, rows, strict=True))
+
+    def name(self, chunks_: set[str], mark: str, into: dict[str, int]) -> None:
+        """Number new chunks and keep the ids of each."""
+        new = [c for c in chunks_ if c not in into]
+        cut = [SEGMENT.findall(mark + c) for c in new]
+        self.learn(set(chain.from_iterable(cut)))
+        for chunk, parts in zip(new, cut, strict=True):
+            into[chunk] = len(self.ids)
+            self.ids.append(self.words[parts[0]] if len(parts) == 1 else np.concatenate([self.words[p] for p in parts]) if parts else np.empty(0, np.int32))
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.ids) > REMEMBERED or len(self.words) > REMEMBERED:
+            self.clear()
+        marked, plain = [], []
+        cut = [chunks(text, marked, plain) if text else [] for text in texts]
+        self.name(set(marked), MARK, self.marked)
+        self.name(set(plain), "", self.plain)
+        whole = {n: segments(text) for n, (text, lines) in enumerate(zip(texts, cut, strict=True)) if lines is None}
+        self.learn({"\n"} if any(lines and len(lines) > 1 for lines in cut) else set())
+        self.learn(set(chain.from_iterable(whole.values())))
+        line_break = self.words.get("\n")
+        out = []
+        for n, lines in enumerate(cut):
+            if lines is None:
+                parts = [self.words[w] for w in whole[n]]
+            else:
+                parts = []
+                for k, (first, rest) in enumerate(lines):
+                    if k:
+                        parts.append(line_break)
+                    if first:
+                        parts.append(self.ids[self.plain[first]])
+                    parts += map(self.ids.__getitem__, map(self.marked.__getitem__, rest))
+            out.append(np.concatenate(parts) if parts else np.empty(0, np.int32))
+        return out
 
 
 def encode(docs: DataFrame, table: PieceTable, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_rid, id, text_sha256, ids): the piece ids of every text."""
+    """(id, text_sha256, ids): the piece ids of every text.
+
+    The texts are read twice: once to list the words, once to encode. Anything but a scan of files is stored first.
+    """
+    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    words = _grouped_in_memory(docs.sparkSession, lambda: stored(encoded_words(stored(word_table(texts), "wordtable"), table), "words"))
-    path = published(most_frequent(words.filter(F.char_length("word") <= HOT_CHARS), "n", HOT).select("word", "ids"), "hotwords")
+    if not scans_files(texts):
+        texts = stored(texts, "texts")
+    words = with_row_id(stored(word_table(texts), "wordtable"), "wid")
+    every = shared_folder(spark, "words")
+    found = encoded_words(words, table).join(words.select("wid", "n", "parts"), "wid")
+    found.select(F.xxhash64("word").alias("key"), F.char_length("word").alias("chars"), "n", "parts", "ids").write.option("compression", "zstd").parquet(every)
+    known = spark.read.parquet(every)
+    short = known.filter(F.col("chars") <= HOT_CHARS)
+    long = known.filter(F.col("chars").between(HOT_CHARS + 1, LONG_CHARS))
+    hot = (F.col("chars") <= HOT_CHARS) & is_frequent(short, "n", HOT) | F.col("chars").between(HOT_CHARS + 1, LONG_CHARS) & is_frequent(long, "n", HOT_LONG)
+    hot_path, own = published(known.filter(hot).select("key", "ids"), "hotwords"), shared_folder(spark, "partwords")
+    known.filter(~hot).select(F.explode("parts").alias("part"), "key", "ids").repartition("part").write.partitionBy("part").option("compression", "zstd").parquet(own)
 
-    def coded(batches):
-        number = hot_words(path).number
-        for batch in batches:
-            codes, rare, digests = [], [], []
-            for text in batch.column(2):
-                found = segments(text.as_py())
-                row = np.fromiter((number.get(w, -1) for w in found), np.int32, len(found))
-                codes.append(row)
-                rare.append([found[k] for k in np.flatnonzero(row < 0)])
-                digests.append(hashlib.sha256(text.as_py().encode("utf-8", "surrogatepass")).hexdigest())
-            arrays = [batch.column(0), batch.column(1), pa.array(digests), pa.array(codes, pa.list_(pa.int32())), pa.array(rare, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["_rid", "id", "text_sha256", "codes", "rare"])
-
-    rows = stored(with_row_id(texts).select("_rid", "id", "text").mapInArrow(coded, "_rid bigint, id bigint, text_sha256 string, codes array<int>, rare array<string>"), "codes")
-    places = rows.select("_rid", F.posexplode("rare").alias("at", "word"))
-    found = places.join(words.select("word", "ids"), "word").groupBy("_rid").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("found"))
-
-    def joined(batches):
-        known = hot_words(path)
+    def run(batches):
+        speller = None
         for batch in batches:
-            out = []
-            for codes, lists in zip(batch.column(3), batch.column(4), strict=True):
-                row = np.asarray(codes.values).astype(np.int64)
-                extra = [np.asarray(x["ids"].values) for x in lists] if lists.is_valid else []
-                parts = []
-                cuts = np.flatnonzero(row < 0)
-                for start, end, ids in zip(np.r_[0, cuts + 1], np.r_[cuts, len(row)], [*extra, None], strict=True):
-                    parts.append(gathered(row[start:end], known.starts, known.lengths, known.flat))
-                    if ids is not None:
-                        parts.append(ids)
-                out.append(np.concatenate(parts).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.list_(pa.int32()))], names=["_rid", "id", "text_sha256", "ids"])
+            speller = speller or Speller(hot_path, f"{own}/part={TaskContext.get().partitionId()}", every)
+            for at in range(0, batch.num_rows, TOGETHER):
+                piece = batch.slice(at, TOGETHER)
+                values = piece.column(1).to_pylist()
+                ids = speller.encode(values)
+                digests = [hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest() for text in values]
+                offsets = pa.array(np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32))
+                lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(digests), lists], names=["id", "text_sha256", "ids"])
 
-    whole = rows.drop("rare").join(found, "_rid", "left").select("_rid", "id", "text_sha256", "codes", "found")
-    return whole.mapInArrow(joined, "_rid bigint, id bigint, text_sha256 string, ids array<int>")
+    return texts.mapInArrow(run, "id bigint, text_sha256 string, ids array<int>")
 
 
 def decode_ids(ids, table_bytes: list[bytes]) -> str:
@@ -302,12 +508,12 @@ def piece_digest(docs: DataFrame, model_path: str = MODEL, **columns: str) -> Da
     def run(batches):
         for batch in batches:
             counts, digests, same = [], [], []
-            for want, ids in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
+            for want, ids in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
                 row = np.asarray(ids.values).astype("<i4")
                 counts.append(len(row))
                 digests.append(hashlib.sha256(row.tobytes()).hexdigest())
                 same.append(hashlib.sha256(decode_ids(row.tolist(), shared.value).encode()).hexdigest() == want)
-            arrays = [batch.column(1), pa.array(counts, pa.int64()), pa.array(digests), pa.array(same, pa.bool_())]
+            arrays = [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests), pa.array(same, pa.bool_())]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_pieces", "ids_sha256", "round_trip"])
 
     return encode(docs, table, **columns).mapInArrow(run, "doc_id bigint, n_pieces bigint, ids_sha256 string, round_trip boolean")
