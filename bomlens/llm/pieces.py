@@ -4,7 +4,7 @@
    distinct words of all texts form the word table, with the input partitions in which each stands.
 2. Every substring of a word up to the longest piece is exploded and equi-joined to the piece table: the edges of the
    word's lattice. The piece table is broadcast; its size is that of the model file.
-3. The edges are grouped by word and folded with Spark's higher-order `aggregate`.
+3. The edges are grouped by word, where they were made, and folded with Spark's higher-order `aggregate`.
 4. Encoded words return to the texts. A worker reads up to HOT of the most frequent words, a bounded table, and the other
    words of its own input partition, which step 1 has listed; so no text and no list of ids is shuffled.
 
@@ -37,9 +37,9 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import ArrayType, StringType, StructType
 
-from bomlens.llm.common import is_frequent, published, read_published, scans_files, shared_folder, stored, with_row_id
+from bomlens.llm.common import is_frequent, published, read_published, scans_files, shared_folder, stored
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -54,6 +54,9 @@ COUNTED, REMEMBERED, TOGETHER = 200_000, 200_000, 500
 BEST, MERGES = "best path", "merges"
 #: Bits of a packed edge below its rank: start, length, id.
 START_BITS, LENGTH_BITS, ID_BITS = 24, 6, 17
+NO_ID = (1 << ID_BITS) - 1
+#: Characters by which a start looks up how far its pieces reach.
+PREFIX = 4
 
 
 def _model_type(proto: bytes) -> int:
@@ -126,7 +129,7 @@ class PieceTable:
         self.rows = [(names[n], n, order[by_name[names[n]]], float(scores[n])) for n in plain]
         self.longest = max((len(name) for name in by_name), default=1)
         self.unknown_score = min((scores[n] for n in plain), default=0.0) - 10.0
-        if self.longest >= 1 << LENGTH_BITS or len(names) > 1 << ID_BITS or len(order) >= 1 << 16:
+        if self.longest >= 1 << LENGTH_BITS or len(names) > NO_ID or len(order) >= 1 << 16:
             raise ValueError("the piece table is too large for packed edges")
         self.bytes = [bytes([n - byte_base]) if n in raw else b"" if n in special else names[n].replace(MARK, " ").encode() for n in range(len(names))]
 
@@ -162,6 +165,11 @@ def segments(text: str | None) -> list[str]:
     return SEGMENT.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
+def cut(chunk: str, mark: str) -> list[str]:
+    """The words of a chunk without spaces and line breaks."""
+    return [mark + chunk] if chunk.isalpha() else SEGMENT.findall(mark + chunk)
+
+
 def chunks(text: str, marked: list, plain: list) -> list | None:
     """Cut a text at its spaces and line breaks: per line, (first chunk without a mark, chunks with a mark before them).
 
@@ -190,7 +198,7 @@ def word_table(texts: DataFrame) -> DataFrame:
         def flushed():
             for counts, mark in ((with_mark, MARK), (without, "")):
                 for chunk, n in counts.items():
-                    for word in SEGMENT.findall(mark + chunk):
+                    for word in cut(chunk, mark):
                         words[word] += n
             if breaks:
                 words["\n"] += breaks
@@ -212,31 +220,75 @@ def word_table(texts: DataFrame) -> DataFrame:
                     with_mark, without, words, breaks = Counter(), Counter(), Counter(), 0
         yield flushed()
 
+    def summed(batches):
+        parts = [b for b in batches if b.num_rows]
+        if parts:
+            found = pa.Table.from_batches(parts).group_by("word").aggregate([("n", "sum"), ("part", "distinct")])
+            yield from found.select(["word", "n_sum", "part_distinct"]).rename_columns(["word", "n", "parts"]).to_batches(max_chunksize=100_000)
+
     rows = texts.select("text").mapInArrow(run, "word string, n bigint, part int")
-    return rows.groupBy("word").agg(F.sum("n").alias("n"), F.collect_set("part").alias("parts"))
+    return rows.repartition("word").mapInArrow(summed, "word string, n bigint, parts array<int>")
+
+
+def longest_by_prefix(table: PieceTable) -> list[tuple[str, int]]:
+    """(prefix, longest): for the first PREFIX characters of the pieces that are as long, the length of the longest such piece."""
+    found: dict[str, int] = {}
+    for name, *_ in table.rows:
+        if len(name) >= PREFIX:
+            found[name[:PREFIX]] = max(found.get(name[:PREFIX], 0), len(name))
+    return sorted(found.items())
 
 
 def lattice(words: DataFrame, table: PieceTable) -> DataFrame:
-    """(wid, word, edges) of words (wid, word): all pieces inside each word, grouped.
+    """(word, note, edges) of words (word, note): all pieces inside each word, and one edge for a character without a piece.
 
-    An edge of a merging model is packed as place, start, length and id; one of a best-path model is a struct
-    (end, start, score, id), and a character without a piece has an edge with the id -1 there.
+    A best-path edge is a struct (end, start, score, id). A merging model packs an edge as place, start, length and id,
+    with place 0 for single characters; sorted, they come first and in order.
+
+    A start looks up the longest piece that begins with its PREFIX characters, and only substrings up to there are exploded
+    and joined to the pieces. Both tables are broadcast, so the edges of a word follow one another, from that of its first
+    character on, and are grouped as they come, a batch at a time.
     """
-    best = table.kind == BEST
-    size = F.char_length("word")
-    starts = words.select("wid", "word", F.explode(F.sequence(F.lit(0), size - 1)).alias("s"))
-    ends = starts.select("wid", "word", "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("s") + table.longest, size))).alias("e"))
+    spark, best, size = words.sparkSession, table.kind == BEST, F.char_length("word")
+    prefixes = spark.createDataFrame(longest_by_prefix(table), "prefix string, longest int")
+    starts = words.select("word", "note", F.explode(F.sequence(F.lit(0), size - 1)).alias("s"))
+    starts = starts.withColumn("prefix", F.substring(F.col("word"), F.col("s") + 1, F.lit(PREFIX))).join(F.broadcast(prefixes), "prefix", "left")
+    furthest = F.least(F.col("s") + F.coalesce("longest", F.lit(PREFIX - 1)), size)
+    ends = starts.select("word", "note", "s", F.explode(F.sequence(F.col("s") + 1, furthest)).alias("e"))
     first = (F.col("s") == 0) & (F.col("e") == 1)
-    cut = ends.select("wid", F.when(first, F.col("word")).alias("word"), "s", "e", F.substring(F.col("word"), F.col("s") + 1, F.col("e") - F.col("s")).alias("piece"))
-    found = cut.join(F.broadcast(table.frame(words.sparkSession)), "piece", "left")
+    cut = ends.select("s", "e", F.substring(F.col("word"), F.col("s") + 1, F.col("e") - F.col("s")).alias("piece"), F.when(first, F.concat_ws(" ", F.coalesce("note", F.lit("")), F.col("word"))).alias("head"))
+    one = F.col("e") == F.col("s") + 1
+    found = cut.join(F.broadcast(table.frame(spark)), "piece", "left").filter(F.col("id").isNotNull() | one)
     if best:
-        found = found.filter(F.col("id").isNotNull() | (F.col("e") == F.col("s") + 1))
         edge = F.struct("e", "s", F.coalesce("score", F.lit(table.unknown_score)).alias("score"), F.coalesce("id", F.lit(-1)).alias("id"))
     else:
-        found = found.filter(F.col("id").isNotNull() | F.col("word").isNotNull())  # each word keeps a row
-        edge = F.shiftleft(F.col("place").cast("bigint"), START_BITS + LENGTH_BITS + ID_BITS)
-        edge = edge.bitwiseOR(F.shiftleft(F.col("s").cast("bigint"), LENGTH_BITS + ID_BITS)).bitwiseOR(F.shiftleft((F.col("e") - F.col("s")).cast("bigint"), ID_BITS)).bitwiseOR(F.col("id").cast("bigint"))
-    return found.select("wid", "word", edge.alias("edge")).groupBy("wid").agg(F.max("word").alias("word"), F.collect_list("edge").alias("edges"))
+        place = F.shiftleft(F.when(one, 0).otherwise(F.col("place") + 1).cast("bigint"), START_BITS + LENGTH_BITS + ID_BITS)
+        edge = place.bitwiseOR(F.shiftleft(F.col("s").cast("bigint"), LENGTH_BITS + ID_BITS)).bitwiseOR(F.shiftleft((F.col("e") - F.col("s")).cast("bigint"), ID_BITS)).bitwiseOR(F.coalesce("id", F.lit(NO_ID)).cast("bigint"))
+    rows = found.select(edge.alias("edge"), "head")
+
+    def group(edge_: pa.Array, head: pa.Array, starts_: np.ndarray) -> pa.RecordBatch:
+        offsets = np.r_[starts_, len(head)].astype(np.int32)
+        if not best:
+            values = edge_.to_numpy()
+            edge_ = pa.array(values[np.lexsort((values, np.repeat(np.arange(len(starts_)), np.diff(offsets))))])
+        return pa.RecordBatch.from_arrays([head.take(pa.array(starts_)), pa.ListArray.from_arrays(pa.array(offsets), edge_)], names=["head", "edges"])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            edge_, head = (pa.concat_arrays([held[k], batch.column(k)]) if held else batch.column(k) for k in range(2))
+            starts_ = np.flatnonzero(head.is_valid().to_numpy(zero_copy_only=False))
+            last = int(starts_[-1])  # the last word may go on in the next batch
+            if last:
+                yield group(edge_.slice(0, last), head.slice(0, last), starts_[:-1])
+            held = edge_.slice(last), head.slice(last)
+        if held:
+            yield group(*held, np.zeros(1, np.int64))
+
+    grouped = rows.mapInArrow(run, StructType().add("head", StringType()).add("edges", ArrayType(rows.schema["edge"].dataType)))
+    return grouped.select(F.expr("substr(head, instr(head, ' ') + 1)").alias("word"), F.substring_index("head", " ", 1).alias("note"), "edges")
 
 
 def _bind(value: Column, body) -> Column:
@@ -244,10 +296,6 @@ def _bind(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _bits(edge: Column, shift: int, width: int) -> Column:
-    return F.shiftright(edge, shift).bitwiseAND(F.lit((1 << width) - 1).cast("bigint")).cast("int")
-
-
 def _raw(word: Column, at: Column, table: PieceTable) -> Column:
     """The ids of a character without a piece."""
     if table.byte_base is None:
@@ -257,37 +305,38 @@ def _raw(word: Column, at: Column, table: PieceTable) -> Column:
 
 
 def merged(edges: Column, word: Column, table: PieceTable) -> Column:
-    """The ids of a word by merging along its packed edges in order of place and start."""
-    size = F.char_length(word)
+    """The ids of a word by merging along its packed and sorted edges, single characters first."""
+    size, mask = F.char_length(word), F.lit(NO_ID).cast("bigint")
+    dead = F.array(F.lit(-1).cast("bigint"))
 
     def start(edge):
-        return _bits(edge, LENGTH_BITS + ID_BITS, START_BITS)
+        return F.shiftright(edge, LENGTH_BITS + ID_BITS).bitwiseAND(F.lit((1 << START_BITS) - 1).cast("bigint")).cast("int")
 
-    def length(edge):
-        return _bits(edge, ID_BITS, LENGTH_BITS)
+    def end(symbol):
+        return F.shiftright(symbol, ID_BITS).cast("int")
 
-    # after[s] is the end of the symbol that starts at s, -1 where none starts
-    def step(after, edge):
+    # symbols[s] is the symbol that starts at s, as end and id; -1 where none starts
+    def step(symbols, edge):
         s = start(edge)
-        e, m = s + length(edge), F.get(after, s)
-        joined = F.concat(F.slice(after, F.lit(1), s), F.array(e), F.slice(after, s + 2, m - s - 1), F.array(F.lit(-1)), F.slice(after, m + 2, size))
-        return F.when(F.get(after, m) == e, joined).otherwise(after)
-
-    after = F.aggregate(F.sort_array(F.filter(edges, lambda edge: length(edge) > 1)), F.sequence(F.lit(1), size), step)
-
-    def ids(done: Column) -> Column:
-        kept = F.transform(F.filter(edges, lambda edge: F.get(done, start(edge)) == start(edge) + length(edge)), lambda edge: F.struct(start(edge).alias("s"), _bits(edge, 0, ID_BITS).alias("id")))
-
-        def whole(known: Column) -> Column:
-            live = F.filter(F.sequence(F.lit(0), size - 1), lambda s: F.get(done, s) > 0)
-            bare = F.transform(F.array_except(live, F.transform(known, lambda x: x["s"])), lambda s: F.struct(s.alias("s"), _raw(word, s, table).alias("ids")))
-            named = F.transform(known, lambda x: F.struct(x["s"].alias("s"), F.array(x["id"]).alias("ids")))
-            mixed = F.flatten(F.transform(F.array_sort(F.concat(named, bare)), lambda x: x["ids"]))
-            return F.when(F.size(known) == F.size(live), F.transform(F.array_sort(known), lambda x: x["id"])).otherwise(mixed)
-
-        return _bind(kept, whole)
+        e = s + F.shiftright(edge, ID_BITS).bitwiseAND(F.lit((1 << LENGTH_BITS) - 1).cast("bigint")).cast("int")
+        m = end(F.get(symbols, s))
+        symbol = F.shiftleft(e.cast("bigint"), ID_BITS).bitwiseOR(edge.bitwiseAND(mask))
+        joined = F.concat(F.slice(symbols, F.lit(1), s), F.array(symbol), F.slice(symbols, s + 2, m - s - 1), dead, F.slice(symbols, m + 2, F.size(symbols)))
+        return F.when(end(F.get(symbols, m)) == e, joined).otherwise(symbols)
+
+    singles = F.transform(F.slice(edges, F.lit(1), size), lambda edge, at: F.shiftleft((at + 1).cast("bigint"), ID_BITS).bitwiseOR(edge.bitwiseAND(mask)))
+    done = F.aggregate(F.slice(edges, size + 1, F.size(edges)), singles, step)
+
+    def ids(symbols: Column) -> Column:
+        live = F.transform(F.filter(symbols, lambda x: x > 0), lambda x: x.bitwiseAND(mask).cast("int"))
+        placed = F.filter(F.transform(symbols, lambda x, at: F.struct(x.alias("symbol"), at.alias("s"))), lambda x: x["symbol"] > 0)
+        mixed = F.transform(placed, lambda x: F.when(x["symbol"].bitwiseAND(mask) == NO_ID, _raw(word, x["s"], table)).otherwise(F.array(x["symbol"].bitwiseAND(mask).cast("int"))))
+        if table.byte_base is None:  # a run of unknown characters is one piece
+            return F.filter(live, lambda x, at: (x != NO_ID) | F.coalesce(F.get(live, at - 1) != NO_ID, F.lit(True)))
+        return _bind(live, lambda found: F.when(F.array_contains(found, F.lit(NO_ID)), F.flatten(mixed)).otherwise(found))
 
-    return _bind(after, ids)
+    found = _bind(done, ids)
+    return found if table.byte_base is not None else F.transform(found, lambda x: F.when(x == NO_ID, F.lit(table.unknown)).otherwise(x))
 
 
 def best_path(edges: Column, word: Column, table: PieceTable) -> Column:
@@ -304,7 +353,7 @@ def best_path(edges: Column, word: Column, table: PieceTable) -> Column:
         reached = F.get(acc["best"], edge["e"])
         return F.when(reached.isNull() | (total > reached), added).otherwise(acc)
 
-    pointers = F.aggregate(F.array_sort(edges), zero, step, lambda acc: acc["back"])
+    pointers = F.aggregate(F.sort_array(edges), zero, step, lambda acc: acc["back"])
 
     def walked(done: Column) -> Column:
         places = F.reverse(F.transform(done, lambda x, at: F.struct(at.alias("e"), x["s"].alias("s"), x["id"].alias("id"))))
@@ -325,10 +374,9 @@ def best_path(edges: Column, word: Column, table: PieceTable) -> Column:
 
 
 def encoded_words(words: DataFrame, table: PieceTable) -> DataFrame:
-    """(wid, word, ids) of words (wid, word), a stored table; wid tells the rows apart and is what the edges are grouped by."""
+    """(word, note, ids) of words (word, note); a note goes with each word and has no space."""
     fold = best_path if table.kind == BEST else merged
-    grouped = lattice(words.select("wid", "word").repartition("wid"), table)
-    return grouped.select("wid", "word", fold(F.col("edges"), F.col("word"), table).alias("ids"))
+    return lattice(words, table).withColumn("ids", fold(F.col("edges"), F.col("word"), table)).drop("edges")
 
 
 def _key(word: str) -> int:
@@ -359,8 +407,12 @@ class Encoded:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, at, -1)
 
-    def ids(self, row: int) -> np.ndarray:
-        return self.flat[self.starts[row] : self.ends[row]]
+    def ids(self, rows: np.ndarray) -> list[list[int]]:
+        """The ids of some rows."""
+        sizes = self.ends[rows] - self.starts[rows]
+        ends = np.cumsum(sizes)
+        flat = self.flat[np.arange(int(sizes.sum())) + np.repeat(self.starts[rows] - ends + sizes, sizes)].tolist()
+        return [flat[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
 
 
 #: The hot words that a worker has read, by their path.
@@ -388,51 +440,48 @@ class Speller:
         self.clear()
 
     def clear(self) -> None:
-        self.ids: list[np.ndarray] = []
-        self.marked: dict[str, int] = {}
-        self.plain: dict[str, int] = {}
-        self.words: dict[str, np.ndarray] = {}
+        self.words: dict[str, list[int]] = {}
+        self.marked: dict[str, list[int]] = {}
+        self.plain: dict[str, list[int]] = {}
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, words) -> None:
         """Look up the ids of words."""
         new = [w for w in words if w not in self.words]
         keys = np.fromiter(map(_key, new), np.int64, len(new))
         left = np.arange(len(new))
         for table in self.tables:
-            rows = table.find(keys[left])
-            for k, row in zip(left[rows >= 0], rows[rows >= 0], strict=True):
-                self.words[new[k]] = table.ids(row)
-            left = left[rows < 0]
+            left = self._found(table, new, keys, left)
         if len(left):
-            wanted = pa.array(keys[left])
-            found = Encoded(read_published(self.every, keys=wanted))
-            rows = found.find(keys[left])
-            if (rows < 0).any():
+            left = self._found(Encoded(read_published(self.every, keys=pa.array(keys[left]))), new, keys, left)
+            if len(left):
                 raise ValueError("a word was not listed; the input has changed between its two readings")
-            self.words.update((new[k], found.ids(row)) for k, row in zip(left, rows, strict=True))
 
-    def name(self, chunks_: set[str], mark: str, into: dict[str, int]) -> None:
-        """Number new chunks and keep the ids of each."""
+    def _found(self, table: Encoded, new: list[str], keys: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """Keep the words that the table has; the numbers of the others."""
+        rows = table.find(keys[left])
+        there = rows >= 0
+        self.words.update(zip([new[k] for k in left[there].tolist()], table.ids(rows[there]), strict=True))
+        return left[~there]
+
+    def name(self, chunks_: set[str], mark: str, into: dict[str, list[int]]) -> None:
+        """Keep the ids of new chunks."""
         new = [c for c in chunks_ if c not in into]
-        cut = [SEGMENT.findall(mark + c) for c in new]
-        self.learn(set(chain.from_iterable(cut)))
-        for chunk, parts in zip(new, cut, strict=True):
-            into[chunk] = len(self.ids)
-            self.ids.append(self.words[parts[0]] if len(parts) == 1 else np.concatenate([self.words[p] for p in parts]) if parts else np.empty(0, np.int32))
+        parts = [cut(c, mark) for c in new]
+        self.learn(set(chain.from_iterable(parts)))
+        into.update(zip(new, [self.words[p[0]] if len(p) == 1 else [k for w in p for k in self.words[w]] for p in parts], strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.ids) > REMEMBERED or len(self.words) > REMEMBERED:
+        if len(self.marked) + len(self.plain) > REMEMBERED or len(self.words) > REMEMBERED:
             self.clear()
         marked, plain = [], []
-        cut = [chunks(text, marked, plain) if text else [] for text in texts]
+        lines_of = [chunks(text, marked, plain) if text else [] for text in texts]
         self.name(set(marked), MARK, self.marked)
         self.name(set(plain), "", self.plain)
-        whole = {n: segments(text) for n, (text, lines) in enumerate(zip(texts, cut, strict=True)) if lines is None}
-        self.learn({"\n"} if any(lines and len(lines) > 1 for lines in cut) else set())
+        whole = {n: segments(text) for n, (text, lines) in enumerate(zip(texts, lines_of, strict=True)) if lines is None}
+        self.learn({"\n"} if any(lines and len(lines) > 1 for lines in lines_of) else ())
         self.learn(set(chain.from_iterable(whole.values())))
-        line_break = self.words.get("\n")
-        out = []
-        for n, lines in enumerate(cut):
+        line_break, out = self.words.get("\n"), []
+        for n, lines in enumerate(lines_of):
             if lines is None:
                 parts = [self.words[w] for w in whole[n]]
             else:
@@ -441,9 +490,9 @@ class Speller:
                     if k:
                         parts.append(line_break)
                     if first:
-                        parts.append(self.ids[self.plain[first]])
-                    parts += map(self.ids.__getitem__, map(self.marked.__getitem__, rest))
-            out.append(np.concatenate(parts) if parts else np.empty(0, np.int32))
+                        parts.append(self.plain[first])
+                    parts += map(self.marked.__getitem__, rest)
+            out.append(np.fromiter(chain.from_iterable(parts), np.int32))
         return out
 
 
@@ -456,16 +505,16 @@ def encode(docs: DataFrame, table: PieceTable, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     if not scans_files(texts):
         texts = stored(texts, "texts")
-    words = with_row_id(stored(word_table(texts), "wordtable"), "wid")
+    words = stored(word_table(texts), "wordtable").select("word", F.concat_ws(",", F.col("n").cast("string"), F.col("parts").cast("array<string>")).alias("note"))
     every = shared_folder(spark, "words")
-    found = encoded_words(words, table).join(words.select("wid", "n", "parts"), "wid")
-    found.select(F.xxhash64("word").alias("key"), F.char_length("word").alias("chars"), "n", "parts", "ids").write.option("compression", "zstd").parquet(every)
+    note = F.split("note", ",", 2)
+    encoded_words(words, table).select(F.xxhash64("word").alias("key"), F.char_length("word").alias("chars"), note[0].cast("bigint").alias("n"), note[1].alias("parts"), "ids").write.option("compression", "zstd").parquet(every)
     known = spark.read.parquet(every)
     short = known.filter(F.col("chars") <= HOT_CHARS)
     long = known.filter(F.col("chars").between(HOT_CHARS + 1, LONG_CHARS))
     hot = (F.col("chars") <= HOT_CHARS) & is_frequent(short, "n", HOT) | F.col("chars").between(HOT_CHARS + 1, LONG_CHARS) & is_frequent(long, "n", HOT_LONG)
     hot_path, own = published(known.filter(hot).select("key", "ids"), "hotwords"), shared_folder(spark, "partwords")
-    known.filter(~hot).select(F.explode("parts").alias("part"), "key", "ids").repartition("part").write.partitionBy("part").option("compression", "zstd").parquet(own)
+    known.filter(~hot).select(F.explode(F.split("parts", ",")).alias("part"), "key", "ids").repartition("part").write.partitionBy("part").option("compression", "zstd").parquet(own)
 
     def run(batches):
         speller = None
