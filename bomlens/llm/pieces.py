@@ -49,8 +49,8 @@ SEGMENT = re.compile(rf"{MARK}*[^\W{NUMERALS}]+|{MARK}*(?:[^\w{MARK}\n]|[{NUMERA
 #: Words that every worker reads: so many of the most frequent up to HOT_CHARS characters, and of longer ones so many up to LONG_CHARS.
 HOT, HOT_CHARS = 1 << 20, 48
 HOT_LONG, LONG_CHARS = 4096, 2048
-#: Chunks counted, or remembered, by a worker at once, and texts encoded together.
-COUNTED, REMEMBERED, TOGETHER = 200_000, 200_000, 500
+#: Words counted, chunks counted, or chunks remembered, by a worker at once, and texts encoded together.
+COUNTED, CHUNKS, REMEMBERED, TOGETHER = 400_000, 60_000, 120_000, 500
 BEST, MERGES = "best path", "merges"
 #: Bits of a packed edge below its rank: start, length, id.
 START_BITS, LENGTH_BITS, ID_BITS = 24, 6, 17
@@ -193,16 +193,19 @@ def word_table(texts: DataFrame) -> DataFrame:
 
     def run(batches):
         part = TaskContext.get().partitionId()
-        with_mark, without, words, breaks = Counter(), Counter(), Counter(), 0
+        with_mark, without, words = Counter(), Counter(), Counter()
 
-        def flushed():
+        def gathered() -> None:
             for counts, mark in ((with_mark, MARK), (without, "")):
                 for chunk, n in counts.items():
                     for word in cut(chunk, mark):
                         words[word] += n
-            if breaks:
-                words["\n"] += breaks
-            return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64()), pa.array([part] * len(words), pa.int32())], names=["word", "n", "part"])
+                counts.clear()
+
+        def flushed():
+            out = pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64()), pa.array([part] * len(words), pa.int32())], names=["word", "n", "part"])
+            words.clear()
+            return out
 
         for batch in batches:
             for text in batch.column(0):
@@ -214,10 +217,13 @@ def word_table(texts: DataFrame) -> DataFrame:
                 else:
                     with_mark.update(marked)
                     without.update(plain)
-                    breaks += max(0, len(lines) - 1)
-                if len(with_mark) + len(without) + len(words) >= COUNTED:
+                    if len(lines) > 1:
+                        words["\n"] += len(lines) - 1
+                if len(with_mark) + len(without) >= CHUNKS:
+                    gathered()
+                if len(words) >= COUNTED:
                     yield flushed()
-                    with_mark, without, words, breaks = Counter(), Counter(), Counter(), 0
+        gathered()
         yield flushed()
 
     def summed(batches):
@@ -407,12 +413,12 @@ class Encoded:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, at, -1)
 
-    def ids(self, rows: np.ndarray) -> list[list[int]]:
-        """The ids of some rows."""
+    def ids(self, rows: np.ndarray) -> list[bytes]:
+        """The ids of some rows, each as the bytes of 32-bit numbers."""
         sizes = self.ends[rows] - self.starts[rows]
         ends = np.cumsum(sizes)
-        flat = self.flat[np.arange(int(sizes.sum())) + np.repeat(self.starts[rows] - ends + sizes, sizes)].tolist()
-        return [flat[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+        flat = self.flat[np.arange(int(sizes.sum())) + np.repeat(self.starts[rows] - ends + sizes, sizes)].tobytes()
+        return [flat[a:b] for a, b in zip((4 * (ends - sizes)).tolist(), (4 * ends).tolist(), strict=True)]
 
 
 #: The hot words that a worker has read, by their path.
@@ -437,12 +443,9 @@ class Speller:
         if (rows := read_published(own, missing_ok=True)) is not None:
             self.tables.append(Encoded(rows.select(["key", "ids"])))
         self.every = every
-        self.clear()
-
-    def clear(self) -> None:
-        self.words: dict[str, list[int]] = {}
-        self.marked: dict[str, list[int]] = {}
-        self.plain: dict[str, list[int]] = {}
+        self.words: dict[str, bytes] = {}
+        self.marked: dict[str, bytes] = {}
+        self.plain: dict[str, bytes] = {}
 
     def learn(self, words) -> None:
         """Look up the ids of words."""
@@ -463,16 +466,19 @@ class Speller:
         self.words.update(zip([new[k] for k in left[there].tolist()], table.ids(rows[there]), strict=True))
         return left[~there]
 
-    def name(self, chunks_: set[str], mark: str, into: dict[str, list[int]]) -> None:
-        """Keep the ids of new chunks."""
+    def name(self, chunks_: set[str], mark: str, into: dict[str, bytes]) -> None:
+        """Keep the ids of new chunks; when there are many, forget those that are not used now."""
+        if len(into) > REMEMBERED:
+            kept = {c: into[c] for c in chunks_ if c in into}
+            into.clear()
+            into.update(kept)
         new = [c for c in chunks_ if c not in into]
         parts = [cut(c, mark) for c in new]
         self.learn(set(chain.from_iterable(parts)))
-        into.update(zip(new, [self.words[p[0]] if len(p) == 1 else [k for w in p for k in self.words[w]] for p in parts], strict=True))
+        into.update(zip(new, [self.words[p[0]] if len(p) == 1 else b"".join([self.words[w] for w in p]) for p in parts], strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.marked) + len(self.plain) > REMEMBERED or len(self.words) > REMEMBERED:
-            self.clear()
+        self.words.clear()  # the chunks keep what is used again
         marked, plain = [], []
         lines_of = [chunks(text, marked, plain) if text else [] for text in texts]
         self.name(set(marked), MARK, self.marked)
@@ -492,7 +498,7 @@ class Speller:
                     if first:
                         parts.append(self.plain[first])
                     parts += map(self.marked.__getitem__, rest)
-            out.append(np.fromiter(chain.from_iterable(parts), np.int32))
+            out.append(np.frombuffer(b"".join(parts), np.int32))
         return out
 
 
