@@ -27,7 +27,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from itertools import chain
 
 import numpy as np
@@ -49,8 +48,8 @@ SEGMENT = re.compile(rf"{MARK}*[^\W{NUMERALS}]+|{MARK}*(?:[^\w{MARK}\n]|[{NUMERA
 #: Words that every worker reads: so many of the most frequent up to HOT_CHARS characters, and of longer ones so many up to LONG_CHARS.
 HOT, HOT_CHARS = 1 << 20, 48
 HOT_LONG, LONG_CHARS = 4096, 2048
-#: Words counted, chunks counted, or chunks remembered, by a worker at once, and texts encoded together.
-COUNTED, CHUNKS, REMEMBERED, TOGETHER = 400_000, 60_000, 120_000, 500
+#: Words counted by a worker at once, and bytes of texts taken together.
+COUNTED, TOGETHER = 800_000, 6_000_000
 BEST, MERGES = "best path", "merges"
 #: Bits of a packed edge below its rank: start, length, id.
 START_BITS, LENGTH_BITS, ID_BITS = 24, 6, 17
@@ -165,75 +164,74 @@ def segments(text: str | None) -> list[str]:
     return SEGMENT.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
-def cut(chunk: str, mark: str) -> list[str]:
-    """The words of a chunk without spaces and line breaks."""
-    return [mark + chunk] if chunk.isalpha() else SEGMENT.findall(mark + chunk)
+def tokens(texts: pa.Array) -> pa.ListArray:
+    """Per text, tokens that no word crosses: cut at line breaks and before spaces, with marks for the spaces; some are empty."""
+    special = pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.match_substring(texts, MARK)), pc.or_(pc.starts_with(texts, " "), pc.equal(pc.binary_length(texts), 0)))
+    special = special.to_numpy(zero_copy_only=False)
+    quick = texts.filter(pa.array(~special)) if special.any() else texts
+    spaced = pc.replace_substring(pc.replace_substring(quick, " ", " " + MARK), "\n", " \n ")
+    lists = pc.split_pattern(pc.binary_join_element_wise(MARK, spaced, ""), " ")
+    if not special.any():
+        return lists
+    whole = pa.array([segments(text) for text in texts.filter(pa.array(special)).to_pylist()], pa.list_(pa.string()))
+    return pa.concat_arrays([lists, whole]).take(pa.array(np.argsort(np.r_[np.flatnonzero(~special), np.flatnonzero(special)])))
 
 
-def chunks(text: str, marked: list, plain: list) -> list | None:
-    """Cut a text at its spaces and line breaks: per line, (first chunk without a mark, chunks with a mark before them).
+def words_of(found: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of tokens in the tokens' order, and the number of the token of each."""
+    simple = pc.utf8_is_alpha(pc.utf8_ltrim(found, MARK)).to_numpy(zero_copy_only=False)
+    mixed = np.flatnonzero(~simple)
+    parts = [SEGMENT.findall(token) for token in found.take(pa.array(mixed)).to_pylist()]
+    words = pa.concat_arrays([found.filter(pa.array(simple)), pa.array(list(chain.from_iterable(parts)), pa.string())])
+    owner = np.r_[np.flatnonzero(simple), np.repeat(mixed, np.fromiter(map(len, parts), np.int64, len(parts)))]
+    order = np.argsort(owner, kind="stable")
+    return words.take(pa.array(order)), owner[order]
 
-    All chunks are added to the lists. None when the text has marks or spaces in a row; such texts are cut by `segments`.
-    """
-    if MARK in text:
-        return None
-    lines = []
-    for line in (" " + text).split("\n"):
-        first, *rest = line.split(" ")
-        if "" in rest:
-            return None
-        lines.append((first, rest))
-        plain.append(first)
-        marked += rest
-    return lines
+
+def slices(texts: pa.Array):
+    """(start, length) of runs of texts with about TOGETHER bytes each."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // TOGETHER
+    starts = np.flatnonzero(np.r_[True, ends[1:] != ends[:-1]]) if len(ends) else []
+    return zip(starts, np.diff(np.r_[starts, len(ends)]), strict=True)
 
 
 def word_table(texts: DataFrame) -> DataFrame:
     """(word, n, parts): the distinct words of column text, their number, and the input partitions that hold them."""
 
+    def summed(tables: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(tables).group_by("word").aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"])
+
     def run(batches):
         part = TaskContext.get().partitionId()
-        with_mark, without, words = Counter(), Counter(), Counter()
+        held, size = [], 0
 
-        def gathered() -> None:
-            for counts, mark in ((with_mark, MARK), (without, "")):
-                for chunk, n in counts.items():
-                    for word in cut(chunk, mark):
-                        words[word] += n
-                counts.clear()
-
-        def flushed():
-            out = pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64()), pa.array([part] * len(words), pa.int32())], names=["word", "n", "part"])
-            words.clear()
-            return out
+        def listed(table: pa.Table):
+            return table.append_column("part", pa.array(np.full(table.num_rows, part, np.int32))).to_batches(max_chunksize=100_000)
 
         for batch in batches:
-            for text in batch.column(0):
-                marked, plain = [], []
-                text = text.as_py()
-                lines = chunks(text, marked, plain) if text else []
-                if lines is None:
-                    words.update(segments(text))
-                else:
-                    with_mark.update(marked)
-                    without.update(plain)
-                    if len(lines) > 1:
-                        words["\n"] += len(lines) - 1
-                if len(with_mark) + len(without) >= CHUNKS:
-                    gathered()
-                if len(words) >= COUNTED:
-                    yield flushed()
-        gathered()
-        yield flushed()
-
-    def summed(batches):
+            for start, length in slices(batch.column(0)):
+                coded = tokens(batch.column(0).slice(start, length)).flatten().dictionary_encode()
+                counts = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary))
+                words, owner = words_of(coded.dictionary)
+                held.append(pa.table({"word": words, "n": counts[owner]}))
+                size += len(words)
+                if size >= COUNTED:
+                    held = [summed(held)]
+                    size = held[0].num_rows
+                    if size >= COUNTED / 2:
+                        yield from listed(held[0])
+                        held, size = [], 0
+        if held:
+            yield from listed(summed(held))
+
+    def gathered(batches):
         parts = [b for b in batches if b.num_rows]
         if parts:
             found = pa.Table.from_batches(parts).group_by("word").aggregate([("n", "sum"), ("part", "distinct")])
             yield from found.select(["word", "n_sum", "part_distinct"]).rename_columns(["word", "n", "parts"]).to_batches(max_chunksize=100_000)
 
     rows = texts.select("text").mapInArrow(run, "word string, n bigint, part int")
-    return rows.repartition("word").mapInArrow(summed, "word string, n bigint, parts array<int>")
+    return rows.repartition("word").mapInArrow(gathered, "word string, n bigint, parts array<int>")
 
 
 def longest_by_prefix(table: PieceTable) -> list[tuple[str, int]]:
@@ -385,10 +383,16 @@ def encoded_words(words: DataFrame, table: PieceTable) -> DataFrame:
     return lattice(words, table).withColumn("ids", fold(F.col("edges"), F.col("word"), table)).drop("edges")
 
 
-def _key(word: str) -> int:
-    """The signed 64-bit key of a word, that of Spark's xxhash64."""
-    value = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 42)
-    return value - (1 << 64) if value >> 63 else value
+def _keys(words: pa.Array) -> np.ndarray:
+    """The signed 64-bit keys of words, those of Spark's xxhash64."""
+    return np.fromiter((xxhash.xxh64_intdigest(word, 42) for word in words.cast(pa.binary()).to_pylist()), np.uint64, len(words)).view(np.int64)
+
+
+def spread(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The parts of flat that start at starts and have the given sizes, for all rows, one after another."""
+    sizes = sizes[rows]
+    ends = np.cumsum(sizes)
+    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[rows] - ends + sizes, sizes)]
 
 
 class Encoded:
@@ -399,12 +403,10 @@ class Encoded:
         keys = rows.column("key").to_numpy()
         order = np.argsort(keys, kind="stable")
         self.keys = keys[order]
-        ids = pc.take(rows.column("ids"), pa.array(order)).combine_chunks()
-        ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) and ids.num_chunks else ids
-        self.flat = np.asarray(ids.flatten()).astype(np.int32) if len(keys) else np.empty(0, np.int32)
-        lengths = np.asarray(ids.value_lengths()).astype(np.int64) if len(keys) else np.empty(0, np.int64)
-        self.ends = np.cumsum(lengths)
-        self.starts = self.ends - lengths
+        lists = [chunk for chunk in rows.column("ids").chunks if len(chunk)]
+        self.flat = np.concatenate([np.asarray(x.flatten()) for x in lists]).astype(np.int32) if lists else np.empty(0, np.int32)
+        sizes = np.concatenate([np.asarray(x.value_lengths()) for x in lists]).astype(np.int64) if lists else np.empty(0, np.int64)
+        self.starts, self.sizes = (np.cumsum(sizes) - sizes)[order], sizes[order]
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The row of each key, -1 where there is none."""
@@ -413,13 +415,6 @@ class Encoded:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, at, -1)
 
-    def ids(self, rows: np.ndarray) -> list[bytes]:
-        """The ids of some rows, each as the bytes of 32-bit numbers."""
-        sizes = self.ends[rows] - self.starts[rows]
-        ends = np.cumsum(sizes)
-        flat = self.flat[np.arange(int(sizes.sum())) + np.repeat(self.starts[rows] - ends + sizes, sizes)].tobytes()
-        return [flat[a:b] for a, b in zip((4 * (ends - sizes)).tolist(), (4 * ends).tolist(), strict=True)]
-
 
 #: The hot words that a worker has read, by their path.
 _LOADED: dict[str, Encoded] = {}
@@ -443,63 +438,37 @@ class Speller:
         if (rows := read_published(own, missing_ok=True)) is not None:
             self.tables.append(Encoded(rows.select(["key", "ids"])))
         self.every = every
-        self.words: dict[str, bytes] = {}
-        self.marked: dict[str, bytes] = {}
-        self.plain: dict[str, bytes] = {}
-
-    def learn(self, words) -> None:
-        """Look up the ids of words."""
-        new = [w for w in words if w not in self.words]
-        keys = np.fromiter(map(_key, new), np.int64, len(new))
-        left = np.arange(len(new))
-        for table in self.tables:
-            left = self._found(table, new, keys, left)
+
+    def look_up(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(flat, starts, sizes): the ids of the words with these keys."""
+        flats, starts, sizes, left, at = [], np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), np.arange(len(keys)), 0
+        for number in range(len(self.tables) + 1):
+            if number == len(self.tables) and not len(left):
+                break
+            table = self.tables[number] if number < len(self.tables) else Encoded(read_published(self.every, keys=pa.array(keys[left])))
+            rows = table.find(keys[left])
+            there = rows >= 0
+            flats.append(spread(table.flat, table.starts, table.sizes, rows[there]))
+            own = table.sizes[rows[there]]
+            sizes[left[there]], starts[left[there]] = own, at + np.cumsum(own) - own
+            left, at = left[~there], at + len(flats[-1])
         if len(left):
-            left = self._found(Encoded(read_published(self.every, keys=pa.array(keys[left]))), new, keys, left)
-            if len(left):
-                raise ValueError("a word was not listed; the input has changed between its two readings")
-
-    def _found(self, table: Encoded, new: list[str], keys: np.ndarray, left: np.ndarray) -> np.ndarray:
-        """Keep the words that the table has; the numbers of the others."""
-        rows = table.find(keys[left])
-        there = rows >= 0
-        self.words.update(zip([new[k] for k in left[there].tolist()], table.ids(rows[there]), strict=True))
-        return left[~there]
-
-    def name(self, chunks_: set[str], mark: str, into: dict[str, bytes]) -> None:
-        """Keep the ids of new chunks; when there are many, forget those that are not used now."""
-        if len(into) > REMEMBERED:
-            kept = {c: into[c] for c in chunks_ if c in into}
-            into.clear()
-            into.update(kept)
-        new = [c for c in chunks_ if c not in into]
-        parts = [cut(c, mark) for c in new]
-        self.learn(set(chain.from_iterable(parts)))
-        into.update(zip(new, [self.words[p[0]] if len(p) == 1 else b"".join([self.words[w] for w in p]) for p in parts], strict=True))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        self.words.clear()  # the chunks keep what is used again
-        marked, plain = [], []
-        lines_of = [chunks(text, marked, plain) if text else [] for text in texts]
-        self.name(set(marked), MARK, self.marked)
-        self.name(set(plain), "", self.plain)
-        whole = {n: segments(text) for n, (text, lines) in enumerate(zip(texts, lines_of, strict=True)) if lines is None}
-        self.learn({"\n"} if any(lines and len(lines) > 1 for lines in lines_of) else ())
-        self.learn(set(chain.from_iterable(whole.values())))
-        line_break, out = self.words.get("\n"), []
-        for n, lines in enumerate(lines_of):
-            if lines is None:
-                parts = [self.words[w] for w in whole[n]]
-            else:
-                parts = []
-                for k, (first, rest) in enumerate(lines):
-                    if k:
-                        parts.append(line_break)
-                    if first:
-                        parts.append(self.plain[first])
-                    parts += map(self.marked.__getitem__, rest)
-            out.append(np.frombuffer(b"".join(parts), np.int32))
-        return out
+            raise ValueError("a word was not listed; the input has changed between its two readings")
+        return np.concatenate(flats), starts, sizes
+
+    def encode(self, texts: pa.Array) -> pa.ListArray:
+        lists = tokens(texts)
+        coded = lists.flatten().dictionary_encode()
+        words, owner = words_of(coded.dictionary)
+        named = words.dictionary_encode()
+        flat, starts, sizes = self.look_up(_keys(named.dictionary))
+        word = named.indices.to_numpy()
+        flat = spread(flat, starts, sizes, word)
+        token_sizes = np.bincount(owner, weights=sizes[word], minlength=len(coded.dictionary)).astype(np.int64)
+        token = coded.indices.to_numpy()
+        ends = np.r_[0, np.cumsum(token_sizes[token])]
+        bounds = np.r_[0, np.cumsum(lists.value_lengths().to_numpy())]
+        return pa.ListArray.from_arrays(pa.array(ends[bounds].astype(np.int32)), pa.array(spread(flat, np.cumsum(token_sizes) - token_sizes, token_sizes, token)))
 
 
 def encode(docs: DataFrame, table: PieceTable, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -526,14 +495,10 @@ def encode(docs: DataFrame, table: PieceTable, id_col: str = "doc_id", text_col:
         speller = None
         for batch in batches:
             speller = speller or Speller(hot_path, f"{own}/part={TaskContext.get().partitionId()}", every)
-            for at in range(0, batch.num_rows, TOGETHER):
-                piece = batch.slice(at, TOGETHER)
-                values = piece.column(1).to_pylist()
-                ids = speller.encode(values)
-                digests = [hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest() for text in values]
-                offsets = pa.array(np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32))
-                lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(digests), lists], names=["id", "text_sha256", "ids"])
+            for start, length in slices(batch.column(1)):
+                piece = batch.slice(start, length)
+                digests = [hashlib.sha256(text).hexdigest() for text in piece.column(1).cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(digests), speller.encode(piece.column(1))], names=["id", "text_sha256", "ids"])
 
     return texts.mapInArrow(run, "id bigint, text_sha256 string, ids array<int>")
 
