@@ -46,7 +46,7 @@ MARK = "▁"
 NUMERALS = r"\d_²³¹¼-¾"
 SEGMENT = re.compile(rf"{MARK}*[^\W{NUMERALS}]+|{MARK}*(?:[^\w{MARK}\n]|[{NUMERALS}])+|{MARK}+|\n")
 #: Words that every worker reads: so many of the most frequent up to HOT_CHARS characters, and of longer ones so many up to LONG_CHARS.
-HOT, HOT_CHARS = 1 << 20, 48
+HOT, HOT_CHARS = 1 << 19, 48
 HOT_LONG, LONG_CHARS = 4096, 2048
 #: Words counted by a worker at once, and bytes of texts taken together.
 COUNTED, TOGETHER = 800_000, 6_000_000
@@ -472,7 +472,17 @@ class Speller:
 
 
 def encode(docs: DataFrame, table: PieceTable, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text_sha256, ids): the piece ids of every text.
+    """(id, text_sha256, ids): the piece ids of every text."""
+
+    def emit(ids: pa.Array, texts: pa.Array, lists: pa.ListArray) -> pa.RecordBatch:
+        digests = [hashlib.sha256(text).hexdigest() for text in texts.cast(pa.binary()).to_pylist()]
+        return pa.RecordBatch.from_arrays([ids, pa.array(digests, pa.string()), lists], names=["id", "text_sha256", "ids"])
+
+    return encoded(docs, table, emit, "id bigint, text_sha256 string, ids array<int>", id_col, text_col)
+
+
+def encoded(docs: DataFrame, table: PieceTable, emit, schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What emit(ids, texts, lists of piece ids) gives for all texts, a few megabytes of them at a time.
 
     The texts are read twice: once to list the words, once to encode. Anything but a scan of files is stored first.
     """
@@ -497,10 +507,9 @@ def encode(docs: DataFrame, table: PieceTable, id_col: str = "doc_id", text_col:
             speller = speller or Speller(hot_path, f"{own}/part={TaskContext.get().partitionId()}", every)
             for start, length in slices(batch.column(1)):
                 piece = batch.slice(start, length)
-                digests = [hashlib.sha256(text).hexdigest() for text in piece.column(1).cast(pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(digests), speller.encode(piece.column(1))], names=["id", "text_sha256", "ids"])
+                yield emit(piece.column(0), piece.column(1), speller.encode(piece.column(1)))
 
-    return texts.mapInArrow(run, "id bigint, text_sha256 string, ids array<int>")
+    return texts.mapInArrow(run, schema)
 
 
 def decode_ids(ids, table_bytes: list[bytes]) -> str:
@@ -525,15 +534,13 @@ def piece_digest(docs: DataFrame, model_path: str = MODEL, **columns: str) -> Da
     table = PieceTable(model_path)
     shared = docs.sparkSession.sparkContext.broadcast(table.bytes)
 
-    def run(batches):
-        for batch in batches:
-            counts, digests, same = [], [], []
-            for want, ids in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-                row = np.asarray(ids.values).astype("<i4")
-                counts.append(len(row))
-                digests.append(hashlib.sha256(row.tobytes()).hexdigest())
-                same.append(hashlib.sha256(decode_ids(row.tolist(), shared.value).encode()).hexdigest() == want)
-            arrays = [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests), pa.array(same, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_pieces", "ids_sha256", "round_trip"])
-
-    return encode(docs, table, **columns).mapInArrow(run, "doc_id bigint, n_pieces bigint, ids_sha256 string, round_trip boolean")
+    def emit(ids: pa.Array, texts: pa.Array, lists: pa.ListArray) -> pa.RecordBatch:
+        flat, bounds = lists.values.to_numpy().astype("<i4"), lists.offsets.to_numpy()
+        digests, same = [], []
+        for start, end, text in zip(bounds[:-1], bounds[1:], texts.to_pylist(), strict=True):
+            digests.append(hashlib.sha256(flat[start:end].tobytes()).hexdigest())
+            same.append(decode_ids(flat[start:end].tolist(), shared.value) == text)
+        arrays = [ids, pa.array(np.diff(bounds), pa.int64()), pa.array(digests, pa.string()), pa.array(same, pa.bool_())]
+        return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_pieces", "ids_sha256", "round_trip"])
+
+    return encoded(docs, table, emit, "doc_id bigint, n_pieces bigint, ids_sha256 string, round_trip boolean", **columns)
