@@ -60,6 +60,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores behind it as it takes to clash with no column of df, whatever their case."""
+    used = {c.lower() for c in df.columns}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def with_row_id(df: DataFrame, name: str = "_rid") -> DataFrame:
     """A number for each row. Only stable once the frame is stored."""
     return df.withColumn(name, F.monotonically_increasing_id())

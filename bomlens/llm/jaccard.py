@@ -12,9 +12,13 @@ Two documents link when their sets of word shingles overlap by at least `percent
 4. `signature trees`: keys that still hold several components become trees. A leaf is a node's bitmap; an inner node holds
    the OR of its leaves' bitmaps and their range of sizes. Two tree nodes are traversed together and a pair is dropped
    when no set below one can overlap a set below the other enough: by sizes, or by the bits of the one missing in the
-   other. Pairs of leaves of different components that remain are compared exactly.
+   other. Pairs of leaves of different components that remain may link; only a forest of them leaves a task, which names
+   the clusters of nodes that may be linked to each other.
+5. `verified_cells`: the sets of a cluster meet in one place, each once. Trees over them give the pairs, the pairs that a
+   union-find has not joined yet are compared exactly, and at most nodes - 1 links leave a cell.
 
-Keys with more than BLOCK nodes are dealt out as pairs of blocks. Components come from the verified links.
+A node of a large key is compared with nodes of near size only: keys are cut into bands of sizes. Cells that are still too
+large are dealt out as pairs of blocks. Components come from the verified links.
 
 Defined cases: a null or blank text has no shingles, links with nothing and is its own component; a null id may be linked,
 but is no smallest id; repeated rows are one node; extra columns are ignored.
@@ -22,12 +26,14 @@ but is no smallest id; repeated rows are one node; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bomlens.llm.common import stored, without_keys
+from bomlens.llm.common import free_name, stored, without_keys
 from bomlens.llm.components import components
 from bomlens.llm.shingles import WordHashes, set_id, shingle_set
 
@@ -47,6 +53,8 @@ BROADCAST_IDS = 1_000_000
 STAR_SHARE = 0.25
 #: Keys with more nodes become trees; the nodes of the others are compared by sorted sizes.
 TREE_FROM = 48
+#: Shingles of the sets that are compared in one place, and sets compared with one at a time.
+CELL_TOKENS, COMPARED = 2_000_000, 512
 
 
 def _signed(values: np.ndarray) -> np.ndarray:
@@ -186,7 +194,7 @@ def node_sets(docs: DataFrame, described: DataFrame, wanted: DataFrame, id_col:
     key = F.coalesce("id", F.lit(-(2**63)).cast("bigint"))  # a null id is found again too
     homes = described.filter("node is not null").select("node", key.alias("id")).join(wanted, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"))
     ids = stored(homes.select("id").distinct(), "homes")
-    small = ids.count() <= BROADCAST_IDS
+    small = ids.count() <= BROADCAST_IDS and wanted.count() <= BROADCAST_IDS
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).withColumn("id", key).join(F.broadcast(ids) if small else ids, "id", "left_semi")
 
     def run(batches):
@@ -356,20 +364,63 @@ def _children(parent: np.ndarray, other: np.ndarray, below: int) -> tuple[np.nda
     return child[there], partner[there]
 
 
+class Forest:
+    """Union-find over the numbers of some nodes; keeps the pairs that joined two trees."""
+
+    def __init__(self, count: int):
+        self.parent = np.arange(count)
+        self.left: list[int] = []
+        self.right: list[int] = []
+
+    def root(self, k: int) -> int:
+        parent = self.parent
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return int(k)
+
+    def roots(self, nodes: np.ndarray) -> np.ndarray:
+        found = self.parent[nodes]
+        while len(found) and ((above := self.parent[found]) != found).any():
+            found = above
+        self.parent[nodes] = found
+        return found
+
+    def join(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Join the pairs one by one; those that are joined already are passed over."""
+        apart = self.roots(i) != self.roots(j)
+        for a, b in zip(i[apart].tolist(), j[apart].tolist(), strict=True):
+            x, y = self.root(a), self.root(b)
+            if x != y:
+                self.parent[max(x, y)] = min(x, y)
+                self.left.append(a)
+                self.right.append(b)
+
+
+def size_band(n, percent: int):
+    """The band of a set's size: linked sets lie in the same band or in neighbouring ones."""
+    return F.floor(F.log(n.cast("double")) / math.log(100 / percent) + 1e-9).cast("int")
+
+
 def tree_candidates(keys: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) of nodes in different components that share a key and may be linked.
+    """Pairs (a, b) of nodes in different components that share a key and may be linked: forests that span all such pairs.
 
     keys: (token, node, component); signatures: (node, n, bits). Tokens over the same nodes are one key. Every cell is a key,
-    or a pair of a key's blocks when it has more than BLOCK nodes.
+    or two neighbouring bands of sizes of a key with more than BLOCK nodes, or a pair of their blocks.
     """
     groups = keys.groupBy("token").agg(F.count("*").alias("held"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("name"))
     named = groups.groupBy("held", "name").agg(F.min("token").alias("token")).select("token", "held")
-    blocks = F.ceil(F.col("held") / BLOCK).cast("int")
-    placed = keys.join(named, "token").select("token", "node", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
-    dealt = placed.withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        F.xxhash64("token", F.least("block", "partner"), F.greatest("block", "partner")).alias("cell"), "node", "component", F.signum(F.col("partner") - F.col("block")).cast("bigint").alias("side")
+    placed = keys.join(named, "token")
+    small = placed.filter(F.col("held") <= BLOCK).select(F.xxhash64("token").alias("cell"), "node", "component", F.lit(0).cast("bigint").alias("side"))
+    sized = placed.filter(F.col("held") > BLOCK).join(signatures.select("node", "n"), "node")
+    large = sized.withColumn("own", size_band(F.col("n"), percent)).select("token", "node", "component", F.explode(F.array("own", F.col("own") + 1)).alias("band"))
+    blocks = F.ceil(F.col("in_band") / BLOCK).cast("int")
+    banded = large.join(large.groupBy("token", "band").agg(F.count("*").alias("in_band")), ["token", "band"])
+    banded = banded.select("token", "band", "node", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
+    dealt = banded.withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        F.xxhash64("token", "band", F.least("block", "partner"), F.greatest("block", "partner")).alias("cell"), "node", "component", F.signum(F.col("partner") - F.col("block")).cast("bigint").alias("side")
     )
-    rows = dealt.join(signatures, "node").select("cell", "node", "component", "n", "side", "bits")
+    rows = small.unionByName(dealt).join(signatures, "node").select("cell", "node", "component", "n", "side", "bits")
 
     def run(batches):
         parts = [b for b in batches if b.num_rows]
@@ -377,6 +428,8 @@ def tree_candidates(keys: DataFrame, signatures: DataFrame, percent: int) -> Dat
             return
         cell, node, component, n, side = (np.concatenate([np.asarray(b.column(k)) for b in parts]) for k in range(5))
         bits = pa.chunked_array([b.column(5) for b in parts])
+        names, number = np.unique(node, return_inverse=True)
+        forest = Forest(len(names))
         order = np.lexsort((n, cell))
         edges = np.flatnonzero(np.r_[True, cell[order][1:] != cell[order][:-1], True])
         held = np.diff(edges)
@@ -384,14 +437,82 @@ def tree_candidates(keys: DataFrame, signatures: DataFrame, percent: int) -> Dat
         i, j = neighbour_pairs(cell[few], node[few], component[few], n[few], side[few], percent)
         i, j = few[i], few[j]
         keep = possible_rows(i, j, n, bits, percent)
-        yield ordered_pairs(node[i[keep]], node[j[keep]])
+        forest.join(number[i[keep]], number[j[keep]])
         for start, end in zip(edges[:-1][held > TREE_FROM], edges[1:][held > TREE_FROM], strict=True):
             rows_ = order[start:end]
-            yield ordered_pairs(*tree_cell(node[rows_], component[rows_], n[rows_], side[rows_], bits.take(pa.array(rows_)), percent))
+            maps = [np.frombuffer(x.as_py(), np.uint8) for x in bits.take(pa.array(rows_))]
+            for a, b in cell_pairs(component[rows_], n[rows_], side[rows_], maps, percent):
+                forest.join(number[rows_[a]], number[rows_[b]])
+        yield ordered_pairs(*(names[np.array(x, np.int64)] for x in (forest.left, forest.right)))
 
     return rows.repartition("cell").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def verified_cells(maybe: DataFrame, labels: DataFrame, signatures: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Verified links (a, b) that join the nodes of each cluster of maybe (a, b) as far as links connect them.
+
+    labels: (node, component) of known links; signatures: (node, n); sets: (node, tokens). Clusters of more than
+    CELL_TOKENS shingles are dealt out as pairs of blocks.
+    """
+    clusters = components(maybe).withColumnRenamed("component", "cluster").join(signatures.select("node", "n"), "node").join(labels, "node", "left")
+    totals = clusters.groupBy("cluster").agg(F.ceil(F.sum("n") / CELL_TOKENS).cast("int").alias("blocks"))
+    placed = clusters.join(totals, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = placed.withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        F.xxhash64("cluster", F.least("block", "partner"), F.greatest("block", "partner")).alias("cell"), "node", F.coalesce("component", "node").alias("component"), F.signum(F.col("partner") - F.col("block")).cast("bigint").alias("side")
+    )
+    rows = dealt.join(sets, "node").select("cell", "node", "component", "side", "tokens")
+
+    def run(batches):
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        cell, node, component, side = (np.concatenate([np.asarray(b.column(k)) for b in parts]) for k in range(4))
+        tokens = pa.chunked_array([b.column(4) for b in parts])
+        order = np.argsort(cell, kind="stable")
+        edges = np.flatnonzero(np.r_[True, cell[order][1:] != cell[order][:-1], True])
+        for start, end in zip(edges[:-1], edges[1:], strict=True):
+            rows_ = order[start:end]
+            found = [np.frombuffer(x.as_py(), np.uint64) for x in tokens.take(pa.array(rows_))]
+            a, b = exact_cell(component[rows_], side[rows_], found, percent)
+            yield ordered_pairs(node[rows_[a]], node[rows_[b]])
+
+    return rows.repartition("cell").mapInArrow(run, "a bigint, b bigint")
+
+
+def exact_cell(component: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs of a cell's sets, fewer than there are sets, that join all sets which links connect."""
+    n = np.array([len(x) for x in sets])
+    order = np.argsort(n, kind="stable")
+    sets, n, component, side = [sets[k] for k in order], n[order], component[order], side[order]
+    forest = Forest(len(sets))
+    _, first, label = np.unique(component, return_index=True, return_inverse=True)
+    forest.parent = first[label]
+    names, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(n)
+    starts, mark = ends - n, np.zeros(len(names), bool)
+    maps = [bitmap(x, signature_bits(len(x))) for x in sets]
+    for i, j in cell_pairs(component, n, side, maps, percent):
+        by_left = np.lexsort((j, i))
+        i, j = i[by_left], j[by_left]
+        bounds = np.flatnonzero(np.r_[True, i[1:] != i[:-1], True]) if len(i) else np.zeros(1, np.int64)
+        for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+            a, others = int(i[low]), j[low:high]
+            own = codes[starts[a] : ends[a]]
+            mark[own] = True
+            for at in range(0, len(others), COMPARED):
+                part = others[at : at + COMPARED]
+                part = part[forest.roots(part) != forest.root(a)]
+                if not len(part):
+                    continue
+                cuts = np.cumsum(n[part]) - n[part]
+                places = np.arange(n[part].sum()) + np.repeat(starts[part] - cuts, n[part])
+                common = np.add.reduceat(mark[codes[places]].astype(np.int64), cuts)
+                hit = part[100 * common >= percent * (n[a] + n[part] - common)]
+                forest.join(np.full(len(hit), a), hit)
+            mark[own] = False
+    return order[np.array(forest.left, np.int64)], order[np.array(forest.right, np.int64)]
+
+
 def ordered_pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
@@ -438,13 +559,11 @@ def possible_rows(i: np.ndarray, j: np.ndarray, n: np.ndarray, bits: pa.ChunkedA
     return keep
 
 
-def tree_cell(node, component, n, side, bits, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a large cell's nodes, sorted by size, that may be linked and have different components; sides -1 and 1 are two blocks."""
-    maps = [np.frombuffer(x.as_py(), np.uint8) for x in bits]
-    found_a, found_b = [], []
+def cell_pairs(component, n, side, maps: list[np.ndarray], percent: int):
+    """Arrays (i, j) of a cell's nodes, sorted by size, that may be linked and have different components; sides -1 and 1 are two blocks."""
     # sizes are sorted: bands that overlap by the factor of linked sizes keep bitmaps wide enough for each band
     start = 0
-    while start < len(node):
+    while start < len(n):
         inner = int(np.searchsorted(n, 2 * n[start], "left"))
         end = int(np.searchsorted(n, 2 * n[start] * 100 // percent + 1, "right"))
         inner = max(inner, start + 1)
@@ -456,17 +575,21 @@ def tree_cell(node, component, n, side, bits, percent: int) -> tuple[np.ndarray,
         if (side[band] == 0).any():
             tree = SignatureTree(n[band], folded)
             a, b = tree_pairs(tree, None, component[band], component[band], percent)
-            a, b = band[a], band[b]
         elif len(lefts) and len(rights):
             a, b = tree_pairs(SignatureTree(n[band[lefts]], folded[lefts]), SignatureTree(n[band[rights]], folded[rights]), component[band[lefts]], component[band[rights]], percent)
-            a, b = band[lefts[a]], band[rights[b]]
+            a, b = lefts[a], rights[b]
         else:
             a = b = np.empty(0, np.int64)
+        a, b = band[a], band[b]
         own = (a < inner) | (b < inner)
-        found_a.append(node[a[own]])
-        found_b.append(node[b[own]])
+        yield a[own], b[own]
         start = inner
-    return np.concatenate(found_a), np.concatenate(found_b)
+
+
+def tree_cell(node, component, n, side, bits, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of cell_pairs as nodes."""
+    pairs = list(cell_pairs(component, n, side, [np.frombuffer(x.as_py(), np.uint8) for x in bits], percent))
+    return tuple(np.concatenate([node[p[k]] for p in pairs]) for k in range(2))
 
 
 def open_keys(keys: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -503,18 +626,19 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def signed(nodes: DataFrame) -> DataFrame:
         return signatures.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
-    def exact(pairs: DataFrame) -> DataFrame:
+    def sets_of(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        sets = stored(node_sets(docs, described, stored(wanted, "wanted"), id_col, text_col, width), "sets")
-        return stored(verified(pairs, sets, percent), "links")
+        return stored(node_sets(docs, described, stored(wanted, "wanted"), id_col, text_col, width), "sets")
 
     keys = stored(shared_keys(prefixes(docs, text_col, heavy_shingles(described), width, percent)), "keys")
     stars = star_pairs(keys, percent)
     ends = keys.select("node").distinct()
-    near = exact(stored(possible(stars, signed(ends), percent), "stars"))
-    rest = stored(open_keys(keys, components(near), percent), "open")
-    candidates = tree_candidates(rest, signed(rest.select("node").distinct()), percent)
-    far = exact(stored(candidates, "candidates"))
+    pairs = stored(possible(stars, signed(ends), percent), "stars")
+    near = stored(verified(pairs, sets_of(pairs), percent), "links")
+    labels = stored(components(near), "labels")
+    rest = stored(open_keys(keys, labels, percent), "open")
+    maybe = stored(tree_candidates(rest, signed(rest.select("node").distinct()), percent), "maybe")
+    far = stored(verified_cells(maybe, labels, signed(maybe.select(F.explode(F.array("a", "b")).alias("node")).distinct()), sets_of(maybe), percent), "links")
     return described.filter("n is not null").select("id", "n", "node"), near.unionByName(far)
 
 
@@ -540,16 +664,16 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Rows are told apart by a hash of id and text, so rows that share an id but not the text are judged each on its own.
     """
-    mark = F.xxhash64(F.col(id_col), F.col(text_col))
-    marked = docs.withColumn("_mark", mark)
-    described, links = jaccard_links(marked, "_mark", text_col)
+    name = free_name(docs, "_mark")
+    marked = docs.withColumn(name, F.xxhash64(F.col(id_col), F.col(text_col)))
+    described, links = jaccard_links(marked, name, text_col)
     labels = components(links)
-    own = marked.select("_mark", F.col(id_col).cast("bigint").alias("id"))
+    own = marked.select(F.col(name).alias("_mark"), F.col(id_col).cast("bigint").alias("id"))
     groups = described.filter("node is not null").join(labels, "node", "left").select(F.col("id").alias("_mark"), F.coalesce("component", "node").alias("component"))
     placed = stored(groups.distinct().join(own.distinct(), "_mark"), "groups")
     first = placed.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("_mark"))).alias("least"))
     kept = first.select(F.col("least._mark").alias("_mark"))
-    single = without_keys(marked, placed.select("_mark").join(kept, "_mark", "left_anti"), "_mark")
-    repeated = stored(own.groupBy("_mark").agg(F.count("*").alias("rows")).filter("rows > 1").select("_mark"), "repeated")
-    once = single.join(repeated, "_mark", "left_semi").dropDuplicates(["_mark"])
-    return without_keys(single, repeated, "_mark").unionByName(once).select(*docs.columns)
+    single = without_keys(marked, placed.select("_mark").join(kept, "_mark", "left_anti").withColumnRenamed("_mark", name), name)
+    repeated = stored(own.groupBy("_mark").agg(F.count("*").alias("rows")).filter("rows > 1").select(F.col("_mark").alias(name)), "repeated")
+    once = single.join(repeated, name, "left_semi").dropDuplicates([name])
+    return without_keys(single, repeated, name).unionByName(once).select(*docs.columns)
