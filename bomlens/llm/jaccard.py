@@ -39,7 +39,7 @@ from bomlens.llm.shingles import WordHashes, set_id, shingle_set
 
 WIDTH, PERCENT = 5, 80
 #: A shingle is heavy from this share of all shingles on.
-HEAVY = 1 / 200_000
+HEAVY = 1 / 500_000
 #: Shingles looked at together for heavy hitters.
 CHUNK = 4_000_000
 BLOCK = 1024
@@ -272,8 +272,8 @@ def pair_may_link(n_a: int, n_b: int, map_a: np.ndarray, map_b: np.ndarray, perc
 
 
 def signature_bits(n: int) -> int:
-    """Bits of a set's bitmap: the power of two from four times its size on, 256 at least."""
-    return max(256, 1 << (4 * n - 1).bit_length())
+    """Bits of a set's bitmap: the power of two from twice its size on, 128 at least."""
+    return max(128, 1 << (2 * n - 1).bit_length())
 
 
 def bitmap(tokens: np.ndarray, bits: int) -> np.ndarray:
