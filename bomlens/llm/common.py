@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -118,6 +119,15 @@ def scans_files(df: DataFrame) -> bool:
     return name == "LogicalRelation"
 
 
+def slices(texts, size: int):
+    """(start, length) of runs of an Arrow column of texts with about size bytes each."""
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)) // size
+    starts = np.flatnonzero(np.r_[True, ends[1:] != ends[:-1]]) if len(ends) else np.empty(0, np.int64)
+    return zip(starts.tolist(), np.diff(np.r_[starts, len(ends)]).tolist(), strict=True)
+
+
 def published(df: DataFrame, name: str) -> str:
     """df, bounded by its caller, as Parquet in the shared folder, for workers to read whole; the path."""
     path = shared_folder(df.sparkSession, name)

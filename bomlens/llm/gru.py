@@ -17,8 +17,10 @@ LEARNED = CLASSES * PER_CLASS
 INPUTS = LEARNED + TAILS
 OUTPUTS = CLASSES + TAILS
 HIDDEN = 16
-LANES, WINDOW = 256, 64
-TRAIN_LANES, TRAIN_WINDOW, RATE, CLIP = 32, 16, 0.01, 1.0
+LANES, WINDOW = 512, 32
+TRAIN_LANES, TRAIN_WINDOW, RATE, CLIP = 256, 16, 0.01, 1.0
+#: Bound of an output weight, so that logits of states in (-1, 1) stay in the range of exp.
+LARGEST = 3.0
 NAMES = ("embed", "wx", "bx", "uzr", "uc", "wc", "bc", "wt", "bt")
 
 
@@ -82,30 +84,57 @@ def arranged(sequences: list[np.ndarray], count: int) -> tuple[np.ndarray, np.nd
 
 
 def output_class(ids: np.ndarray) -> np.ndarray:
-    return np.where(ids < LEARNED, ids // PER_CLASS, ids - LEARNED + CLASSES)
-
-
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    return np.where(ids < LEARNED, ids // PER_CLASS, ids - (LEARNED - CLASSES))
 
 
 def states(params: dict, table: np.ndarray, inputs: np.ndarray, fresh: np.ndarray, state: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(states after every step, last state) of a window; fresh marks steps that start a sequence."""
-    out = np.empty((inputs.shape[1], inputs.shape[0], HIDDEN), np.float32)
-    for t in range(inputs.shape[1]):
-        before = state * ~fresh[:, t, None]
-        given = table[inputs[:, t]]
-        gates = _sigmoid(given[:, : 2 * HIDDEN] + before @ params["uzr"])
-        z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-        reset = r * before
-        c = np.tanh(given[:, 2 * HIDDEN :] + reset @ params["uc"])
-        state = before + z * (c - before)
-        out[t] = state
-        if keep is not None:
-            keep.append((before, z, r, reset, c))
+    """(states after every step, last state) of a window; fresh marks steps that start a sequence.
+
+    keep receives, as arrays of steps x lanes, the states before, the update and reset gates, the reset states and the candidates.
+    """
+    lanes_, steps = inputs.shape
+    given = table.take(inputs.T.ravel(), axis=0).reshape(steps, lanes_, 3 * HIDDEN)
+    carried = (~fresh.T).astype(np.float32)[:, :, None]
+    out, befores, resets, candidates = (np.empty((steps, lanes_, HIDDEN), np.float32) for _ in range(4))
+    gates = np.empty((steps, lanes_, 2 * HIDDEN), np.float32)
+    for t in range(steps):
+        before, gate, c, reset = befores[t], gates[t], candidates[t], resets[t]
+        np.multiply(state, carried[t], out=before)
+        np.matmul(before, params["uzr"], out=gate)
+        gate += given[t, :, : 2 * HIDDEN]
+        gate *= 0.5  # the logistic function by way of tanh
+        np.tanh(gate, out=gate)
+        gate += 1
+        gate *= 0.5
+        np.multiply(gate[:, HIDDEN:], before, out=reset)
+        np.matmul(reset, params["uc"], out=c)
+        c += given[t, :, 2 * HIDDEN :]
+        np.tanh(c, out=c)
+        state = out[t]
+        np.subtract(c, before, out=state)
+        state *= gate[:, :HIDDEN]
+        state += before
+    if keep is not None:
+        keep += [befores, gates[:, :, :HIDDEN], gates[:, :, HIDDEN:], resets, candidates]
     return out, state
 
 
+def by_class(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, edges): the rows in order of their class, and where each learned class starts and ends."""
+    order = np.argsort(classes.astype(np.uint8), kind="stable")
+    return order, np.searchsorted(classes[order], np.arange(CLASSES + 1))
+
+
+_ONES = np.ones(max(OUTPUTS, PER_CLASS), np.float32)
+
+
+def _shares(logits: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(exponentials in place of the logits, log share of each row's id); the weights are bounded, so nothing overflows."""
+    picked = logits[np.arange(len(ids)), ids]
+    np.exp(logits, out=logits)
+    return logits, picked - np.log(logits @ _ONES[: logits.shape[1]])
+
+
 def log_likelihoods(params: dict, sequences: list[np.ndarray]) -> np.ndarray:
     """Natural log-likelihood of each sequence: classes, and tokens inside learned classes."""
     total = np.zeros(len(sequences))
@@ -121,21 +150,17 @@ def log_likelihoods(params: dict, sequences: list[np.ndarray]) -> np.ndarray:
         if not alive.all():
             inputs, targets, owner, fresh, state = inputs[alive], targets[alive], owner[alive], fresh[alive], state[alive]
         found, state = states(params, table, inputs[:, part], fresh[:, part], state)
-        seen = owner[:, part].T >= 0
-        hidden, ids, who = found[seen], targets[:, part].T[seen], owner[:, part].T[seen]
-        logits = hidden @ params["wc"] + params["bc"]
+        seen = np.flatnonzero(owner[:, part].T.ravel() >= 0)
+        ids, who = targets[:, part].T.ravel()[seen], owner[:, part].T.ravel()[seen]
         classes = output_class(ids)
-        picked = logits[np.arange(len(ids)), classes]
-        top = logits.max(axis=1)
-        value = picked - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))
-        order = np.argsort(classes, kind="stable")
-        edges = np.searchsorted(classes[order], np.arange(CLASSES + 1))
+        order, edges = by_class(classes)
+        ids, who, classes = ids[order], who[order], classes[order]
+        hidden = found.reshape(-1, HIDDEN).take(seen[order], axis=0)
+        _, value = _shares(hidden @ params["wc"] + params["bc"], classes)
         for k in range(CLASSES):
-            rows = order[edges[k] : edges[k + 1]]
-            if len(rows):
-                inner = hidden[rows] @ params["wt"][k] + params["bt"][k]
-                high = inner.max(axis=1)
-                value[rows] += inner[np.arange(len(rows)), ids[rows] % PER_CLASS] - high - np.log(np.exp(inner - high[:, None]).sum(axis=1))
+            rows = slice(edges[k], edges[k + 1])
+            if edges[k] < edges[k + 1]:
+                value[rows] += _shares(hidden[rows] @ params["wt"][k] + params["bt"][k], ids[rows] % PER_CLASS)[1]
         total += np.bincount(who, weights=value, minlength=len(total))
     return total
 
@@ -146,68 +171,106 @@ def gradients(params: dict, inputs: np.ndarray, targets: np.ndarray, alive: np.n
     table = (params["embed"] @ params["wx"] + params["bx"]).astype(np.float32)
     found, last = states(params, table, inputs, fresh, state, kept)
     steps, rows = inputs.shape[1], inputs.shape[0]
-    seen = alive.T
-    n = max(1, int(seen.sum()))
-    hidden, ids = found[seen], targets.T[seen]
+    seen = np.flatnonzero(alive.T.ravel())
+    n = max(1, len(seen))
+    ids = targets.T.ravel()[seen]
     classes = output_class(ids)
-    logits = hidden @ params["wc"] + params["bc"]
-    error = np.exp(logits - logits.max(axis=1, keepdims=True))
-    error /= error.sum(axis=1, keepdims=True)
-    error[np.arange(len(ids)), classes] -= 1
-    error /= n
-    grads = {name: np.zeros_like(params[name]) for name in NAMES}
-    grads["wc"], grads["bc"] = hidden.T @ error, error.sum(axis=0)
+    order, edges = by_class(classes)
+    seen, ids, classes = seen[order], ids[order], classes[order]
+    hidden = found.reshape(-1, HIDDEN).take(seen, axis=0)
+    grads = {"wt": np.zeros_like(params["wt"]), "bt": np.zeros_like(params["bt"])}
+
+    def errors(logits: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        np.exp(logits, out=logits)
+        logits /= (logits @ _ONES[: logits.shape[1]])[:, None] * n
+        logits[np.arange(len(wanted)), wanted] -= np.float32(1 / n)
+        return logits
+
+    error = errors(hidden @ params["wc"] + params["bc"], classes)
+    grads["wc"], grads["bc"] = hidden.T @ error, _ONES[:1].repeat(len(error)) @ error
     back = error @ params["wc"].T
-    for k in np.unique(classes[classes < CLASSES]):
-        at = np.flatnonzero(classes == k)
-        inner = hidden[at] @ params["wt"][k] + params["bt"][k]
-        off = np.exp(inner - inner.max(axis=1, keepdims=True))
-        off /= off.sum(axis=1, keepdims=True)
-        off[np.arange(len(at)), ids[at] % PER_CLASS] -= 1
-        off /= n
-        grads["wt"][k], grads["bt"][k] = hidden[at].T @ off, off.sum(axis=0)
-        back[at] += off @ params["wt"][k].T
-    onto = np.zeros((steps, rows, HIDDEN), np.float32)
+    for k in range(CLASSES):
+        at = slice(edges[k], edges[k + 1])
+        if edges[k] < edges[k + 1]:
+            off = errors(hidden[at] @ params["wt"][k] + params["bt"][k], ids[at] % PER_CLASS)
+            grads["wt"][k], grads["bt"][k] = hidden[at].T @ off, off.sum(axis=0)
+            back[at] += off @ params["wt"][k].T
+    onto = np.zeros((steps * rows, HIDDEN), np.float32)
     onto[seen] = back
+    onto = onto.reshape(steps, rows, HIDDEN)
+    befores, z_all, r_all, resets, candidates = kept
+    given, carried = np.empty((steps, rows, 3 * HIDDEN), np.float32), (~fresh.T).astype(np.float32)[:, :, None]
     flow = np.zeros((rows, HIDDEN), np.float32)
     for t in reversed(range(steps)):
-        before, z, r, reset, c = kept[t]
+        before, z, r, c, d = befores[t], z_all[t], r_all[t], candidates[t], given[t]
         flow = flow + onto[t]
-        d_c = flow * z * (1 - c * c)
-        d_z = flow * (c - before) * z * (1 - z)
+        towards = flow * z
+        d_c = d[:, 2 * HIDDEN :]
+        np.multiply(towards, 1 - c * c, out=d_c)
+        np.multiply((c - before) * towards, 1 - z, out=d[:, :HIDDEN])
         d_reset = d_c @ params["uc"].T
-        d_r = d_reset * before * r * (1 - r)
-        d_gates = np.concatenate([d_z, d_r], axis=1)
-        d_given = np.concatenate([d_gates, d_c], axis=1)
-        grads["uc"] += reset.T @ d_c
-        grads["uzr"] += before.T @ d_gates
-        taken = params["embed"][inputs[:, t]]
-        grads["wx"] += taken.T @ d_given
-        grads["bx"] += d_given.sum(axis=0)
-        np.add.at(grads["embed"], inputs[:, t], d_given @ params["wx"].T)
-        flow = (flow * (1 - z) + d_reset * r + d_gates @ params["uzr"].T) * ~fresh[:, t, None]
+        np.multiply(d_reset * before, r * (1 - r), out=d[:, HIDDEN : 2 * HIDDEN])
+        flow -= towards
+        flow += d_reset * r
+        flow += d[:, : 2 * HIDDEN] @ params["uzr"].T
+        flow *= carried[t]
+    given = given.reshape(-1, 3 * HIDDEN)
+    grads["uc"] = resets.reshape(-1, HIDDEN).T @ given[:, 2 * HIDDEN :]
+    grads["uzr"] = befores.reshape(-1, HIDDEN).T @ given[:, : 2 * HIDDEN]
+    used = inputs.T.ravel().astype(np.int16)
+    order = np.argsort(used, kind="stable")
+    first = np.flatnonzero(np.r_[True, np.diff(used[order]) > 0])
+    by_input = np.zeros((INPUTS, 3 * HIDDEN), np.float32)
+    by_input[used[order][first]] = np.add.reduceat(given.take(order, axis=0), first, axis=0)
+    grads["embed"], grads["wx"], grads["bx"] = by_input @ params["wx"].T, params["embed"].T @ by_input, by_input.sum(axis=0)
     return grads, last
 
 
+class Trainer:
+    """Adam over windows of sequences; the state is carried between the windows of a sequence."""
+
+    def __init__(self, params: dict):
+        self.params = {name: value.copy() for name, value in params.items()}
+        self.first = {name: np.zeros_like(value) for name, value in params.items()}
+        self.second = {name: np.zeros_like(value) for name, value in params.items()}
+        self.step = 0
+
+    def read(self, sequences: list[np.ndarray]) -> None:
+        """One pass over the sequences."""
+        inputs, targets, owner = arranged(sequences, TRAIN_LANES)
+        fresh = np.c_[np.ones(len(inputs), bool), owner[:, 1:] != owner[:, :-1]]
+        state = np.zeros((len(inputs), HIDDEN), np.float32)
+        for at in range(0, inputs.shape[1], TRAIN_WINDOW):
+            alive = owner[:, at] >= 0
+            if not alive.all():
+                inputs, targets, owner, fresh, state = inputs[alive], targets[alive], owner[alive], fresh[alive], state[alive]
+            part = slice(at, at + TRAIN_WINDOW)
+            grads, state = gradients(self.params, inputs[:, part], targets[:, part], owner[:, part] >= 0, fresh[:, part], state)
+            self._update(grads)
+
+    def _update(self, grads: dict) -> None:
+        self.step += 1
+        norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
+        shrink = np.float32(min(1.0, CLIP / max(norm, 1e-9)))
+        rate = np.float32(RATE / np.sqrt(1 + self.step / 400) / (1 - 0.9**self.step))
+        scale = np.float32(1 / (1 - 0.99**self.step))
+        for name, g in grads.items():
+            g *= shrink
+            first, second = self.first[name], self.second[name]
+            first *= np.float32(0.9)
+            first += np.float32(0.1) * g
+            g *= g
+            second *= np.float32(0.99)
+            second += np.float32(0.01) * g
+            self.params[name] -= rate * first / (np.sqrt(second * scale) + np.float32(1e-6))
+            if name in ("wc", "wt"):
+                np.clip(self.params[name], -LARGEST, LARGEST, out=self.params[name])
+
+
 def trained(params: dict, sequences: list[np.ndarray]) -> dict[str, np.ndarray]:
-    """One pass over the sequences by Adam with gradients cut to windows; the state is carried between windows."""
+    """Parameters after one pass over the sequences."""
     if not sequences:
         return params
-    params = {name: value.copy() for name, value in params.items()}
-    inputs, targets, owner = arranged(sequences, TRAIN_LANES)
-    fresh = np.c_[np.ones(len(inputs), bool), owner[:, 1:] != owner[:, :-1]]
-    state = np.zeros((len(inputs), HIDDEN), np.float32)
-    first = {name: np.zeros_like(value) for name, value in params.items()}
-    second = {name: np.zeros_like(value) for name, value in params.items()}
-    for step, at in enumerate(range(0, inputs.shape[1], TRAIN_WINDOW), 1):
-        part = slice(at, at + TRAIN_WINDOW)
-        grads, state = gradients(params, inputs[:, part], targets[:, part], owner[:, part] >= 0, fresh[:, part], state)
-        norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
-        shrink = min(1.0, CLIP / max(norm, 1e-9))
-        rate = RATE / np.sqrt(1 + step / 400)
-        for name, g in grads.items():
-            g = g * shrink
-            first[name] = 0.9 * first[name] + 0.1 * g
-            second[name] = 0.99 * second[name] + 0.01 * g * g
-            params[name] -= (rate * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
-    return params
+    trainer = Trainer(params)
+    trainer.read(sequences)
+    return trainer.params

@@ -2,80 +2,111 @@
 
 Tokens are the words of a text with A-Z in lower case, split at ASCII white space, and one end. Every training document
 is counted. The most frequent tokens are learned outputs of the model; any other word belongs to one of the model's tail
-classes, named by a hash of its first and last bytes, and is drawn inside it in proportion to its smoothed count. Each
-tail class sets aside the smoothing of one unknown word, as the base does once.
+classes, named by its first and last bytes, and is drawn inside it in proportion to its smoothed count. Each tail class sets
+aside the smoothing of one unknown word, as the base does once.
 
-Up to HOT of the most frequent words are published for the workers to read (a bounded table). The words beyond them join the table of
-counts by key and add up per document, so no worker needs the vocabulary. All training documents train the model: shards
-of SHARD_DOCS train for a pass from the same parameters, Spark averages them position by position, and the next pass
-starts from the average. Both grow with the corpus. Workers add up their shards' parameters before they are averaged.
+Up to HOT of the most frequent words are published for the workers to read (a bounded table). The words beyond them join
+the table of counts by key and add up per document, so no worker needs the vocabulary. All training documents train the
+model, whole and each once: those that a hash of the text deals to the first of two rounds, then the others. In a round every
+task reads its partition from the same parameters on, and Spark averages what the tasks have learned, weighted by tokens;
+the second round starts from that average. Texts are read where they lie, none is shuffled. Both grow with the corpus.
 
 Words are keyed by 64-bit hashes. Defined cases: a null text is empty and has the end token alone; a null id is no
-held-out row; repeated rows are scored, and counted, once each; without training documents every token is unknown.
+held-out row; repeated rows, and ties of any kind, are scored, and counted, once each; a text of any length is read whole,
+with its state carried from window to window; extra columns, whatever their names, are ignored; without training documents
+every token is unknown; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bomlens.llm import gru
-from bomlens.llm.common import crc_mod, most_frequent, published, read_published, stored, with_row_id
-from bomlens.llm.shingles import words
+from bomlens.llm.common import crc_mod, most_frequent, published, read_published, slices, stored, with_row_id
 
 HELD_OUT = (10, 0)
 SMOOTHING = 0.1
 HOT = 131_072
-PASSES, SHARD_DOCS = 3, 400
-#: Words counted, or remembered, by a worker at once.
-COUNTED, REMEMBERED = 150_000, 120_000
-#: Documents that a worker scores together.
-TOGETHER = 2000
+#: One text in so many, by its hash, is read in the first round; documents whose tasks' parameters are added up together.
+FIRST_SHARE, MERGED_DOCS = 8, 2000
+#: Words counted by a worker at once, and bytes of texts taken together.
+COUNTED, TOGETHER = 500_000, 6_000_000
 LN10 = math.log(10)
 
 
-def key(word: bytes) -> int:
-    """A signed 64-bit key."""
-    value = xxhash.xxh3_64_intdigest(word)
-    return value - (1 << 64) if value >> 63 else value
-
-
-def tail_class(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word[:1] + b" " + word[-2:]) % gru.TAILS
+class Tokens:
+    """The tokens of some texts: distinct words, their keys and tail classes, and per token the number of its word.
 
+    The end token, after the words of each text, has the number behind the last word. bounds are the texts' first tokens.
+    """
 
-def _texts(batch: pa.RecordBatch, at: int):
-    return (value.as_py() for value in batch.column(at).cast(pa.binary()))
+    def __init__(self, texts: pa.Array):
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.ascii_trim_whitespace(texts)))
+        coded = lists.flatten().dictionary_encode()
+        self.words = coded.dictionary
+        number, owner = coded.indices.to_numpy(), np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy())
+        blank = pc.index(self.words, "").as_py()  # a blank text is split into one empty word
+        if blank >= 0:
+            number, owner = number[number != blank], owner[number != blank]
+        self.end = len(self.words)
+        counts = np.bincount(owner, minlength=len(texts)) + 1
+        self.bounds = np.r_[0, np.cumsum(counts)]
+        self.numbers = np.full(self.bounds[-1], self.end, np.int64)
+        self.numbers[np.arange(len(number)) + owner] = number
+        raw = self.words.cast(pa.binary())
+        self.keys = np.fromiter(map(xxhash.xxh3_64_intdigest, raw.to_pylist()), np.uint64, len(raw)).view(np.int64)
+        self.tails = tail_classes(raw)
+
+    def per_text(self, values: np.ndarray) -> np.ndarray:
+        """The sum over each text of its tokens' values, given by number; the last value is that of the end."""
+        return np.add.reduceat(values[self.numbers], self.bounds[:-1]) if len(self.bounds) > 1 else np.empty(0, values.dtype)
+
+
+def tail_classes(words: pa.Array) -> np.ndarray:
+    """The tail class of each word, by its first byte and its last two."""
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    starts, ends = offsets[:-1], offsets[1:]
+    out, full = np.zeros(len(words), np.int64), ends > starts
+    starts, ends = starts[full], ends[full]
+    mixed = (data[starts].astype(np.uint64) << np.uint64(16)) | (data[np.maximum(ends - 2, starts)].astype(np.uint64) << np.uint64(8)) | data[ends - 1]
+    out[full] = ((mixed * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % gru.TAILS
+    return out
 
 
 def counted(train: DataFrame) -> DataFrame:
     """(key, tail, n) of every word of the training texts."""
 
-    def run(batches):
-        counts: Counter = Counter()
-
-        def flushed():
-            k = list(counts)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(map(key, k), pa.int64(), size=len(k)), pa.array(map(tail_class, k), pa.int32(), size=len(k)), pa.array(counts.values(), pa.int64(), size=len(k))], names=["key", "tail", "n"]
-            )
+    def summed(tables: list[pa.Table]) -> pa.Table:
+        found = pa.concat_tables(tables).group_by("key").aggregate([("tail", "min"), ("n", "sum")])
+        return found.select(["key", "tail_min", "n_sum"]).rename_columns(["key", "tail", "n"])
 
+    def run(batches):
+        held, size = [], 0
         for batch in batches:
-            for text in _texts(batch, 0):
-                counts.update(words(text))
-                if len(counts) >= COUNTED:
-                    yield flushed()
-                    counts.clear()
-        if counts:
-            yield flushed()
-
-    return train.select("text").mapInArrow(run, "key bigint, tail int, n bigint").groupBy("key").agg(F.first("tail").alias("tail"), F.sum("n").alias("n"))
+            for start, length in slices(batch.column(0), TOGETHER):
+                found = Tokens(batch.column(0).slice(start, length))
+                counts = np.bincount(found.numbers, minlength=found.end + 1)[:-1]
+                held.append(pa.table({"key": found.keys[counts > 0], "tail": found.tails[counts > 0].astype(np.int32), "n": counts[counts > 0]}))
+                size += held[-1].num_rows
+                if size >= COUNTED:
+                    held = [summed(held)]
+                    size = held[0].num_rows
+                    if size >= COUNTED / 2:
+                        yield from held[0].to_batches(max_chunksize=100_000)
+                        held, size = [], 0
+        if held:
+            yield from summed(held).to_batches(max_chunksize=100_000)
+
+    texts = train.select(F.coalesce("text", F.lit("")).alias("text"))
+    return texts.mapInArrow(run, "key bigint, tail int, n bigint").groupBy("key").agg(F.first("tail").alias("tail"), F.sum("n").alias("n"))
 
 
 class Vocabulary:
@@ -93,9 +124,27 @@ class Vocabulary:
         """Read the hot words, most frequent first; the first of them are the learned outputs."""
         rows = read_published(self.path)
         keys, counts = rows.column("key").to_numpy(), rows.column("n").to_numpy()
-        order = np.lexsort((keys, -counts))
-        self.code = dict(zip(keys[order].tolist(), range(1, len(keys) + 1), strict=True))
-        self.counts = np.concatenate([[self.ends], counts[order]]).astype(np.float64)
+        rank = np.empty(len(keys), np.int64)
+        rank[np.lexsort((keys, -counts))] = np.arange(1, len(keys) + 1)
+        order = np.argsort(keys)
+        self.keys, self.counts, self.ranks = keys[order], counts[order].astype(np.float64), rank[order]
+
+    def counts_of(self, found: Tokens) -> np.ndarray:
+        """The count of each word and of the end; -1 for words that are not hot."""
+        at = self._rows(found)
+        return np.r_[np.where(at >= 0, self.counts[at], -1.0) if len(self.keys) else np.full(len(at), -1.0), self.ends]
+
+    def model_ids(self, found: Tokens) -> np.ndarray:
+        """The model's id of each word and of the end, 0: learned words' own ids, the ids of tail classes for all others."""
+        at = self._rows(found)
+        rank = np.where(at >= 0, self.ranks[at], self.learned + 1) if len(self.keys) else np.full(len(at), self.learned + 1)
+        return np.r_[np.where(rank <= self.learned, rank, gru.LEARNED + found.tails), 0]
+
+    def _rows(self, found: Tokens) -> np.ndarray:
+        if not len(self.keys):
+            return np.full(len(found.keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, found.keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == found.keys, at, -1)
 
 
 #: The vocabulary that a worker has loaded, by its path.
@@ -123,49 +172,6 @@ def vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
     return Vocabulary(published(hot, "hotwords"), ends, np.maximum(tails, 0) + SMOOTHING, np.array([row["n"] for row in first]), (totals[0] or 0) + ends, totals[1] + (1 if ends else 0))
 
 
-class Codes(dict):
-    """Numbers of words in a worker: 0 the end, then the hot words, then rare words as they come, with their tail and key."""
-
-    def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary = vocabulary
-        self.first = len(vocabulary.counts)
-        self.tails = np.full(self.first, -1, np.int32)
-        self.rare_tails, self.rare_keys = [], []
-
-    def __missing__(self, word: bytes) -> int:
-        k = key(word)
-        value = self.vocabulary.code.get(k)
-        if value is None:
-            value = self.first + len(self.rare_keys)
-            self.rare_keys.append(k)
-            self.rare_tails.append(tail_class(word))
-        elif value > self.vocabulary.learned:
-            self.tails[value] = tail_class(word)
-        self[word] = value
-        return value
-
-    def tidy(self) -> None:
-        """Forget all words between batches when there are many."""
-        if len(self) > REMEMBERED + self.first or len(self.rare_keys) > REMEMBERED:
-            self.clear()
-            self.rare_tails, self.rare_keys = [], []
-
-    def sequences(self, texts) -> list[np.ndarray]:
-        """Codes of each text and the end."""
-        return [np.fromiter(map(self.__getitem__, tokens := words(text) + [b""]), dtype=np.int32, count=len(tokens)) for text in texts]
-
-    def model_ids(self, codes: np.ndarray) -> np.ndarray:
-        """Learned tokens' own ids; the ids of tail classes for all others."""
-        tails = np.concatenate([self.tails, np.array(self.rare_tails, np.int32)])
-        return np.where(codes <= self.vocabulary.learned, codes, gru.LEARNED + tails[codes])
-
-
-def _codes(vocabulary: Vocabulary) -> Codes:
-    codes = Codes(vocabulary)
-    dict.__setitem__(codes, b"", 0)
-    return codes
-
-
 def summed(vectors: DataFrame) -> DataFrame:
     """(params, weight) added up per partition."""
 
@@ -173,7 +179,7 @@ def summed(vectors: DataFrame) -> DataFrame:
         total, weight = 0.0, 0.0
         for batch in batches:
             for vector, w in zip(batch.column(0), batch.column(1), strict=True):
-                total, weight = total + vector.values.to_numpy(), weight + w.as_py()
+                total, weight = total + vector.values.to_numpy().astype(np.float64), weight + w.as_py()
         if weight:
             yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64())), pa.array([weight])], names=["params", "weight"])
 
@@ -181,39 +187,35 @@ def summed(vectors: DataFrame) -> DataFrame:
 
 
 def fitted(train: DataFrame, documents: int, vocab) -> tuple[dict[str, np.ndarray], int]:
-    """Parameters after PASSES rounds of training shards and averaging them, and the tokens of a round; vocab is a broadcast Vocabulary."""
+    """The parameters after both rounds and the tokens that were read; vocab is a broadcast Vocabulary."""
     spark = train.sparkSession
     params = gru.initial(vocab.value.learned_counts, vocab.value.tail_mass)
     seen = 0
     if not documents:
         return params, seen
     like = {name: np.zeros_like(value) for name, value in params.items()}
-    shards = max(1, round(documents / SHARD_DOCS))
-    dealt = stored(train.select("text").repartition(shards), "lmshards")
-    for _ in range(PASSES):
+    texts = train.select(F.coalesce("text", F.lit("")).alias("text"))
+    early = F.pmod(F.xxhash64("text"), F.lit(FIRST_SHARE)) == 0
+    for part in (early, ~early):
         given = spark.sparkContext.broadcast(gru.pack(params))
 
         def run(batches, given=given):
-            codes = _codes(loaded(vocab.value))
-            start, total, weight = gru.unpack(given.value, like), np.zeros(len(given.value)), 0
+            v, trainer, weight = loaded(vocab.value), gru.Trainer(gru.unpack(given.value, like)), 0
             for batch in batches:
-                for part in np.array_split(np.arange(batch.num_rows), max(1, round(batch.num_rows / SHARD_DOCS))):
-                    if not len(part):
-                        continue
-                    sequences = codes.sequences(_texts(batch.slice(part[0], len(part)), 0))
-                    tokens = sum(map(len, sequences))
-                    ids = np.split(codes.model_ids(np.concatenate(sequences)), np.cumsum([len(x) for x in sequences])[:-1])
-                    total += tokens * gru.pack(gru.trained(start, ids)).astype(np.float64)
-                    weight += tokens
-                    codes.tidy()
+                for start, length in slices(batch.column(0), TOGETHER):
+                    found = Tokens(batch.column(0).slice(start, length))
+                    trainer.read(np.split(v.model_ids(found)[found.numbers], found.bounds[1:-1]))
+                    weight += len(found.numbers)
             if weight:
-                yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64())), pa.array([float(weight)])], names=["params", "weight"])
+                total = (gru.pack(trainer.params) * np.float32(weight)).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float32())), pa.array([float(weight)])], names=["params", "weight"])
 
-        rows = summed(dealt.mapInArrow(run, "params array<double>, weight double").repartition(math.isqrt(shards) + 1))
+        rows = summed(texts.filter(part).mapInArrow(run, "params array<float>, weight double").repartition(math.isqrt(documents // MERGED_DOCS) + 1))
         averaged = rows.select("weight", F.posexplode("params").alias("at", "value")).groupBy("at").agg((F.sum("value") / F.sum("weight")).alias("value"), F.sum("weight").alias("weight")).toPandas()
-        flat = np.empty(len(averaged), np.float32)
-        flat[averaged["at"].to_numpy()] = averaged["value"].to_numpy()
-        params, seen = gru.unpack(flat, like), int(averaged["weight"].iloc[0])
+        if len(averaged):
+            flat = np.empty(len(averaged), np.float32)
+            flat[averaged["at"].to_numpy()] = averaged["value"].to_numpy()
+            params, seen = gru.unpack(flat, like), seen + int(averaged["weight"].iloc[0])
     return params, seen
 
 
@@ -222,28 +224,23 @@ def scored(docs: DataFrame, vocab, params: dict) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(params)
 
     def run(batches):
-        v = loaded(vocab.value)
-        codes, weights = _codes(v), model.value
-        logs, mass = np.log10(v.counts + SMOOTHING), np.log10(v.tail_mass)
+        v, weights = loaded(vocab.value), model.value
+        mass = np.log10(v.tail_mass)
         for batch in batches:
-            for at in range(0, batch.num_rows, TOGETHER):
-                piece = batch.slice(at, TOGETHER)
-                sequences = codes.sequences(_texts(piece, 1))
-                ids = [codes.model_ids(s) for s in sequences] if len(sequences) < 50 else np.split(codes.model_ids(np.concatenate(sequences)), np.cumsum([len(s) for s in sequences])[:-1])
-                model_log = gru.log_likelihoods(weights, ids) / LN10
-                known, base, tail, rare = [], [], [], []
-                keys = np.array(codes.rare_keys, np.int64)
-                for s, i in zip(sequences, ids, strict=True):
-                    hot = s < codes.first
-                    value = logs[s[hot]]
-                    known.append(int(hot.sum()) if v.counts[0] else int((s[hot] > 0).sum()))
-                    base.append(value.sum())
-                    inside = i >= gru.LEARNED
-                    tail.append(value[inside[hot]].sum() - mass[i[inside] - gru.LEARNED].sum())
-                    rare.append(keys[s[~hot] - codes.first])
-                arrays = [piece.column(0), piece.column(2), piece.column(3), pa.array([len(s) for s in sequences], pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(model_log + np.array(tail), pa.float64()), pa.array(rare, pa.list_(pa.int64()))]
+            for start, length in slices(batch.column(1), TOGETHER):
+                piece = batch.slice(start, length)
+                found = Tokens(piece.column(1))
+                counts, ids = v.counts_of(found), v.model_ids(found)
+                hot = counts >= 0
+                logs = np.where(hot, np.log10(np.maximum(counts, 0) + SMOOTHING), 0.0)
+                tail = np.where(ids >= gru.LEARNED, logs - mass[np.maximum(ids - gru.LEARNED, 0)], 0.0)
+                model_log = gru.log_likelihoods(weights, np.split(ids[found.numbers], found.bounds[1:-1])) / LN10
+                rare = ~hot[found.numbers]
+                offsets = np.r_[0, np.cumsum(rare)][found.bounds].astype(np.int32)
+                rare_keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.r_[found.keys, 0][found.numbers[rare]]))
+                known = found.per_text((counts > 0).astype(np.int64))
+                arrays = [piece.column(0), piece.column(2), piece.column(3), pa.array(np.diff(found.bounds)), pa.array(known), pa.array(found.per_text(logs)), pa.array(model_log + found.per_text(tail)), rare_keys]
                 yield pa.RecordBatch.from_arrays(arrays, names=["_rid", "id", "held_out", "n_tokens", "known", "base", "model", "rare"])
-                codes.tidy()
 
     return docs.select("_rid", "text", "id", "held_out").mapInArrow(run, "_rid bigint, id bigint, held_out boolean, n_tokens bigint, known bigint, base double, model double, rare array<bigint>")
 

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
-from bomlens.llm.common import is_frequent, published, read_published, scans_files, shared_folder, stored
+from bomlens.llm.common import is_frequent, published, read_published, scans_files, shared_folder, slices, stored
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -188,13 +188,6 @@ def words_of(found: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return words.take(pa.array(order)), owner[order]
 
 
-def slices(texts: pa.Array):
-    """(start, length) of runs of texts with about TOGETHER bytes each."""
-    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // TOGETHER
-    starts = np.flatnonzero(np.r_[True, ends[1:] != ends[:-1]]) if len(ends) else []
-    return zip(starts, np.diff(np.r_[starts, len(ends)]), strict=True)
-
-
 def word_table(texts: DataFrame) -> DataFrame:
     """(word, n, parts): the distinct words of column text, their number, and the input partitions that hold them."""
 
@@ -209,7 +202,7 @@ def word_table(texts: DataFrame) -> DataFrame:
             return table.append_column("part", pa.array(np.full(table.num_rows, part, np.int32))).to_batches(max_chunksize=100_000)
 
         for batch in batches:
-            for start, length in slices(batch.column(0)):
+            for start, length in slices(batch.column(0), TOGETHER):
                 coded = tokens(batch.column(0).slice(start, length)).flatten().dictionary_encode()
                 counts = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary))
                 words, owner = words_of(coded.dictionary)
@@ -505,7 +498,7 @@ def encoded(docs: DataFrame, table: PieceTable, emit, schema: str, id_col: str =
         speller = None
         for batch in batches:
             speller = speller or Speller(hot_path, f"{own}/part={TaskContext.get().partitionId()}", every)
-            for start, length in slices(batch.column(1)):
+            for start, length in slices(batch.column(1), TOGETHER):
                 piece = batch.slice(start, length)
                 yield emit(piece.column(0), piece.column(1), speller.encode(piece.column(1)))
 
