@@ -18,7 +18,7 @@ INPUTS = LEARNED + TAILS
 OUTPUTS = CLASSES + TAILS
 HIDDEN = 16
 LANES, WINDOW = 512, 32
-TRAIN_LANES, TRAIN_WINDOW, RATE, CLIP = 256, 16, 0.01, 1.0
+TRAIN_LANES, TRAIN_WINDOW, RATE, CLIP = 256, 32, 0.01, 1.0
 #: Bound of an output weight, so that logits of states in (-1, 1) stay in the range of exp.
 LARGEST = 3.0
 NAMES = ("embed", "wx", "bx", "uzr", "uc", "wc", "bc", "wt", "bt")
@@ -128,11 +128,24 @@ def by_class(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _ONES = np.ones(max(OUTPUTS, PER_CLASS), np.float32)
 
 
-def _shares(logits: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(exponentials in place of the logits, log share of each row's id); the weights are bounded, so nothing overflows."""
+def _with_one(hidden: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The rows of hidden with a last column of ones, which meets the offsets of the output weights."""
+    out = np.empty((len(rows), HIDDEN + 1), np.float32)
+    hidden.take(rows, axis=0, out=out[:, :HIDDEN], mode="clip")
+    out[:, HIDDEN] = 1
+    return out
+
+
+def _shares(logits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The log share of each row's id; the weights are bounded, so nothing overflows."""
     picked = logits[np.arange(len(ids)), ids]
     np.exp(logits, out=logits)
-    return logits, picked - np.log(logits @ _ONES[: logits.shape[1]])
+    return picked - np.log(logits @ _ONES[: logits.shape[1]])
+
+
+def _outputs(params: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The weights of the classes, and of the tokens inside each, with their offsets as a last row."""
+    return np.concatenate([params["wc"], params["bc"][None]]), np.concatenate([params["wt"], params["bt"][:, None]], axis=1)
 
 
 def log_likelihoods(params: dict, sequences: list[np.ndarray]) -> np.ndarray:
@@ -144,6 +157,7 @@ def log_likelihoods(params: dict, sequences: list[np.ndarray]) -> np.ndarray:
     table = (params["embed"] @ params["wx"] + params["bx"]).astype(np.float32)
     state = np.zeros((len(inputs), HIDDEN), np.float32)
     fresh = np.c_[np.ones(len(inputs), bool), owner[:, 1:] != owner[:, :-1]]
+    to_class, inside = _outputs(params)
     for at in range(0, inputs.shape[1], WINDOW):
         part = slice(at, at + WINDOW)
         alive = owner[:, at] >= 0
@@ -155,12 +169,12 @@ def log_likelihoods(params: dict, sequences: list[np.ndarray]) -> np.ndarray:
         classes = output_class(ids)
         order, edges = by_class(classes)
         ids, who, classes = ids[order], who[order], classes[order]
-        hidden = found.reshape(-1, HIDDEN).take(seen[order], axis=0)
-        _, value = _shares(hidden @ params["wc"] + params["bc"], classes)
+        hidden = _with_one(found.reshape(-1, HIDDEN), seen[order])
+        value = _shares(hidden @ to_class, classes)
         for k in range(CLASSES):
             rows = slice(edges[k], edges[k + 1])
             if edges[k] < edges[k + 1]:
-                value[rows] += _shares(hidden[rows] @ params["wt"][k] + params["bt"][k], ids[rows] % PER_CLASS)[1]
+                value[rows] += _shares(hidden[rows] @ inside[k], ids[rows] % PER_CLASS)
         total += np.bincount(who, weights=value, minlength=len(total))
     return total
 
@@ -175,44 +189,63 @@ def gradients(params: dict, inputs: np.ndarray, targets: np.ndarray, alive: np.n
     n = max(1, len(seen))
     ids = targets.T.ravel()[seen]
     classes = output_class(ids)
-    order, edges = by_class(classes)
+    order = np.argsort(ids.astype(np.int16), kind="stable")  # by class, and by token inside the learned ones
     seen, ids, classes = seen[order], ids[order], classes[order]
-    hidden = found.reshape(-1, HIDDEN).take(seen, axis=0)
-    grads = {"wt": np.zeros_like(params["wt"]), "bt": np.zeros_like(params["bt"])}
-
-    def errors(logits: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        np.exp(logits, out=logits)
-        logits /= (logits @ _ONES[: logits.shape[1]])[:, None] * n
-        logits[np.arange(len(wanted)), wanted] -= np.float32(1 / n)
-        return logits
-
-    error = errors(hidden @ params["wc"] + params["bc"], classes)
-    grads["wc"], grads["bc"] = hidden.T @ error, _ONES[:1].repeat(len(error)) @ error
-    back = error @ params["wc"].T
+    edges = np.searchsorted(classes, np.arange(CLASSES + 1))
+    hidden = _with_one(found.reshape(-1, HIDDEN), seen)
+    to_class, inside = _outputs(params)
+
+    first_ = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]) if n and len(ids) else np.empty(0, np.int64)
+    by_id = np.zeros((CLASSES * PER_CLASS + TAILS, HIDDEN + 1), np.float32)  # the rows of each target, added up
+    by_id[ids[first_]] = np.add.reduceat(hidden, first_, axis=0) / np.float32(n) if len(ids) else 0
+    by_learned = by_id[:LEARNED].reshape(CLASSES, PER_CLASS, HIDDEN + 1)
+    by_output = np.concatenate([by_learned.sum(axis=1), by_id[LEARNED:]])
+
+    def pulled(weights: np.ndarray, rows: np.ndarray, ids_: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(gradient of the weights, of the rows) of the mean loss: shares, less 1 at the ids; sums are the rows by id."""
+        powers = rows @ weights
+        np.exp(powers, out=powers)
+        scale = 1 / (n * (powers @ _ONES[: powers.shape[1]]))[:, None]
+        towards = (rows * scale).T @ powers - sums.T
+        back_ = powers @ np.ascontiguousarray(weights[:HIDDEN].T)
+        back_ *= scale
+        back_ -= np.ascontiguousarray(weights[:HIDDEN].T / np.float32(n)).take(ids_, axis=0)
+        return towards, back_
+
+    grads = {"wt": np.zeros_like(params["wt"]), "bt": np.zeros_like(params["bt"]), "wc": np.zeros_like(params["wc"]), "bc": np.zeros_like(params["bc"])}
+    back = np.zeros((len(ids), HIDDEN), np.float32)
+    if len(ids):
+        towards, back = pulled(to_class, hidden, classes, by_output)
+        grads["wc"], grads["bc"] = towards[:HIDDEN], towards[HIDDEN]
     for k in range(CLASSES):
         at = slice(edges[k], edges[k + 1])
         if edges[k] < edges[k + 1]:
-            off = errors(hidden[at] @ params["wt"][k] + params["bt"][k], ids[at] % PER_CLASS)
-            grads["wt"][k], grads["bt"][k] = hidden[at].T @ off, off.sum(axis=0)
-            back[at] += off @ params["wt"][k].T
+            towards, further = pulled(inside[k], hidden[at], ids[at] % PER_CLASS, by_learned[k])
+            grads["wt"][k], grads["bt"][k] = towards[:HIDDEN], towards[HIDDEN]
+            back[at] += further
     onto = np.zeros((steps * rows, HIDDEN), np.float32)
     onto[seen] = back
     onto = onto.reshape(steps, rows, HIDDEN)
     befores, z_all, r_all, resets, candidates = kept
     given, carried = np.empty((steps, rows, 3 * HIDDEN), np.float32), (~fresh.T).astype(np.float32)[:, :, None]
+    rest = 1 - z_all
+    by_candidate = z_all * (1 - candidates * candidates)
+    by_update = (candidates - befores) * z_all * rest
+    by_reset = resets * (1 - r_all)
+    uc_back, uzr_back = np.ascontiguousarray(params["uc"].T), np.ascontiguousarray(params["uzr"].T)
     flow = np.zeros((rows, HIDDEN), np.float32)
     for t in reversed(range(steps)):
-        before, z, r, c, d = befores[t], z_all[t], r_all[t], candidates[t], given[t]
-        flow = flow + onto[t]
-        towards = flow * z
-        d_c = d[:, 2 * HIDDEN :]
-        np.multiply(towards, 1 - c * c, out=d_c)
-        np.multiply((c - before) * towards, 1 - z, out=d[:, :HIDDEN])
-        d_reset = d_c @ params["uc"].T
-        np.multiply(d_reset * before, r * (1 - r), out=d[:, HIDDEN : 2 * HIDDEN])
-        flow -= towards
-        flow += d_reset * r
-        flow += d[:, : 2 * HIDDEN] @ params["uzr"].T
+        d = given[t]
+        flow += onto[t]
+        d_c = flow * by_candidate[t]
+        d[:, 2 * HIDDEN :] = d_c
+        np.multiply(flow, by_update[t], out=d[:, :HIDDEN])
+        d_reset = d_c @ uc_back
+        np.multiply(d_reset, by_reset[t], out=d[:, HIDDEN : 2 * HIDDEN])
+        flow *= rest[t]
+        d_reset *= r_all[t]
+        flow += d_reset
+        flow += d[:, : 2 * HIDDEN] @ uzr_back
         flow *= carried[t]
     given = given.reshape(-1, 3 * HIDDEN)
     grads["uc"] = resets.reshape(-1, HIDDEN).T @ given[:, 2 * HIDDEN :]
