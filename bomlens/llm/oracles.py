@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bomlens.llm.url_filter import HISTORY
+from bomlens.llm.secrets import COPIED_OWNERS, COPIED_REPOSITORIES, LIVE_LEAST, LIVE_OWNERS, PLACEHOLDER
 
 _ASSIGN = (
     r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?)([A-Za-z0-9+/_.=-]+)"""
@@ -21,15 +21,17 @@ found as materialized (
   select * from ({_hits(0, _ASSIGN, f"regexp_extract(hit, '^{_ASSIGN}$', 2)")}) where length(val) >= 6
   union all {_hits(1, "AKIA[A-Z0-9]{16,}", "hit")}
   union all {_hits(2, "[0-9a-f]{24,}", "hit")}),
-counts as (select val, count(distinct own) owners from found join docs using (rid) group by val),
-judged as (select found.*, owners, owners <= 2 and length(val) >= 16 and regexp_matches(val, '[0-9]') and regexp_matches(val, '[A-Za-z]') and len(list_distinct(string_split(val, ''))) >= 8 live from found join counts using (val)),
-named as (select rid, kind, start, fin, owners, live, ['assign', 'access', 'hex', 'live'][kind + 1] || ':' || start || ':' || fin label from judged),
+counts as (select val, count(distinct own) owners, count(distinct repo) repositories from found join docs using (rid) group by val),
+looked as (select found.*, owners, repositories, len(list_distinct(string_split(val, ''))) kinds from found join counts using (val)),
+judged as (select *, owners <= {LIVE_OWNERS} and repositories < {COPIED_REPOSITORIES} and case when kind = 2 then length(val) >= {LIVE_LEAST} and regexp_matches(val, '[0-9]') and regexp_matches(val, '[A-Za-z]') and kinds >= 8
+  else kinds >= 3 and not regexp_matches(val, '{PLACEHOLDER}') end live from looked),
+named as (select rid, kind, start, fin, owners, repositories, ['assign', 'access', 'hex', 'live'][kind + 1] || ':' || start || ':' || fin label from judged),
 alls as (select rid, kind, start, fin from judged union all select distinct rid, 3, fin - length(val), fin from judged where live),
 per as (select rid, count(*) filter (kind = 0) n_assign, count(*) filter (kind = 1) n_access, count(*) filter (kind = 2) n_hex,
-  string_agg(label, ',' order by start, kind, fin) base, count(*) filter (owners >= 3) n_copied from named group by rid),
+  string_agg(label, ',' order by start, kind, fin) base, count(*) filter (owners >= {COPIED_OWNERS} or repositories >= {COPIED_REPOSITORIES}) n_copied, max(owners) owners, max(repositories) repositories from named group by rid),
 spans as (select rid, string_agg(['assign', 'access', 'hex', 'live'][kind + 1] || ':' || start || ':' || fin, ',' order by start, kind, fin) spans, count(*) filter (kind = 3) n_live from alls group by rid)
 select doc_id, coalesce(n_assign, 0) n_assign, coalesce(n_access, 0) n_access, coalesce(n_hex, 0) n_hex, sha256(coalesce(base, '')) base_sha256,
-  coalesce(spans, '') spans, coalesce(n_copied, 0) n_copied, coalesce(n_live, 0) n_live
+  coalesce(spans, '') spans, coalesce(n_copied, 0) n_copied, coalesce(n_live, 0) n_live, coalesce(owners, 0) owners, coalesce(repositories, 0) repositories
 from docs left join per using (rid) left join spans using (rid)
 """
 
@@ -58,15 +60,23 @@ select page_id, n payload_bytes, digest payload_digest, case when page_id < top
 from named join tops using (digest)
 """
 
-_ENTRIES = ", ".join(f"('{kind}:{pattern}', {str(action == 'add').lower()}, timestamp '{date}')" for pattern, kind, action, date in HISTORY)
 OP8 = f"""
-with entries(key, adds, dated) as (values {_ENTRIES}),
-changes as (select *, lag(adds, 1, false) over (partition by key order by dated, adds desc) before from (select distinct * from entries)),
-spans as (select key, adds, dated valid_from, lead(dated) over (partition by key order by dated, adds desc) valid_to from changes where adds <> before),
-caps as (select row_number() over () rid, page_id, regexp_replace(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '\\.+$', '') host,
+with caps as materialized (select row_number() over () rid, page_id, regexp_replace(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '\\.+$', '') host,
   regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1) path, timestamp '2024-01-01' + to_days((((page_id % 366) + 366) % 366)::int) fetched from pages),
+seen as (select distinct host, path from caps where host <> ''),
+months as (select host, m, ('0x' || substr(md5(host || '#' || m), 1, 7))::bigint code from (select distinct host from seen) h, range(1, 13) r(m)),
+coded as (select host, path, ('0x' || substr(md5(host || path), 1, 7))::bigint code from seen),
+dated as (select host, regexp_replace(path, '/+', '/', 'g') path, code, make_date(2024, (1 + code % 12)::bigint, (1 + code % 28)::bigint)::timestamp added from coded),
+entries(key, adds, dated) as (
+  select 'host:' || host, code % 4 = 0, make_date(2024, m, (1 + code % 28)::bigint)::timestamp from months where code % 4 < 2
+  union select 'prefix:' || host || regexp_replace(path, '/$', ''), true, added from dated where code % 3 = 0
+  union select 'prefix:' || host || regexp_replace(path, '/$', ''), false, added + interval 60 day from dated where code % 3 = 0 and code % 2 = 0
+  union select 'prefix:' || host || regexp_replace(upper(path), '/$', ''), true, added from dated where code % 3 = 1
+  union select 'prefix:' || host || regexp_replace(path || '/a/b/c/d/e', '/+', '/', 'g'), true, added from dated where code % 3 = 1),
+changes as (select *, lag(adds, 1, false) over (partition by key order by dated, adds desc) before from entries),
+spans as materialized (select key, adds, dated valid_from, lead(dated) over (partition by key order by dated, adds desc) valid_to from changes where adds <> before),
 rules as (select caps.rid, key, valid_from, valid_to, row_number() over (partition by caps.rid order by key) place, count(*) over (partition by caps.rid) n from caps join spans on spans.adds and valid_from <= fetched and (valid_to is null or valid_to > fetched)
-  and (case when key like 'host:%' then host = substr(key, 6) or ends_with(host, '.' || substr(key, 6)) else starts_with(rtrim(regexp_replace(host || path, '/+', '/', 'g'), '/') || '/', substr(key, 8) || '/') end))
+  and (case when key like 'host:%' then host = substr(key, 6) or ends_with(host, '.' || substr(key, 6)) else host <> '' and starts_with(rtrim(regexp_replace(host || path, '/+', '/', 'g'), '/') || '/', substr(key, 8) || '/') end))
 select page_id, host, fetched, n is not null listed, key rule, valid_from, valid_to, coalesce(n, 0) active_rules from caps left join rules on rules.rid = caps.rid and place = 1
 """
 

@@ -19,8 +19,8 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    captures = url_filter.with_fetch_time(table(spark, sf_dir, "pages"))
-    return url_filter.listed(captures, url_filter.history(spark)).withColumnRenamed("id", "page_id")
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.listed(url_filter.with_fetch_time(pages), url_filter.history(pages)).withColumnRenamed("id", "page_id")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

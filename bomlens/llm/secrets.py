@@ -1,12 +1,10 @@
 """Secret scans with corpus-wide ownership frequency (native expressions only).
 
 Candidates are found by three patterns in every whole text. The hash of each candidate's value is then counted over the
-corpus: in how many repositories and under how many owners it stands. A value that many owners carry is an example
-that was copied around; a value that one owner holds, with the mixed characters of a generated key, looks live.
-Each live candidate adds a span of kind `live` over its value; the candidates' own spans always stay.
-
-Two rules say what is live. `owners_rule` is that of the query's SQL: owners alone. `frequency_rule`, that of the pipeline's
-masking, lets the number of repositories decide beside the owners: a value is copied when either is high.
+corpus: in how many repositories and under how many owners it stands. A value that many owners or many repositories carry is
+an example that was copied around; a value that few of both hold looks live, unless it is a placeholder, or a bare run of hex
+digits without the mixed characters of a generated key. Each live candidate adds a span of kind `live` over its value; the
+candidates' own spans always stay.
 
 Positions come from splitting the text at the matches: the lengths of the gaps and of the matches add up to the starts.
 The patterns run only on texts that hold one of their fixed parts.
@@ -15,7 +13,9 @@ Hot values: distinct (value, repository) and (value, owner) pairs are formed bef
 counting combines map-side, and the counts are joined back under a salt of the row.
 
 Defined cases: a null text is empty; a null owner or repository counts as one owner or repository of its own (the text
-''); repeated rows each get their spans, and count once per repository; extra columns are ignored.
+''); repeated rows each get their spans, and count once per repository; a value at the limit of either count is copied; texts
+of any length are searched whole, with work in proportion to the matches; an empty table gives no rows; extra columns, whatever
+their names, are ignored or, where rows are returned with their own columns, kept.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bomlens.llm.common import stored, with_row_id
+from bomlens.llm.common import free_name, stored, with_row_id
 
 #: The patterns, their order and the least lengths.
 ASSIGN = (
@@ -33,13 +33,31 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 ASSIGN_LEAST = 6
 KINDS = ("assign", "access", "hex", "live")
-#: A value under at least so many owners is a copied example; under fewer it may be live.
+#: A value under at least so many owners is a copied example; under at most so many it may be live.
 COPIED_OWNERS, LIVE_OWNERS = 3, 2
 #: A value in at least so many repositories is a copied example, whoever owns them.
 COPIED_REPOSITORIES = 20
 LIVE_LEAST = 16
 PLACEHOLDER = r"(?i)example|placeholder|change_?-?me|your[_-]|dummy|redacted|^(?:none|null|undefined|true|false|string|password|passwd|secret|token|api_?key)$"
 SALTS = 16
+FULL = 256
+
+
+def _appending(items: Column, state: Column, kind: str, step) -> Column:
+    """array<kind>: what step(state, item) -> (next state, value or null) gives for the items, in time in proportion to them.
+
+    Values are gathered by the FULL, so that no long array is copied for each of them.
+    """
+    start = F.struct(state.alias("state"), F.array().cast(f"array<{kind}>").alias("last"), F.array().cast(f"array<array<{kind}>>").alias("full"))
+
+    def one(acc: Column, item: Column) -> Column:
+        after, value = step(acc["state"], item)
+        closed = F.size(acc["last"]) >= FULL
+        last = F.when(closed, F.array(value)).otherwise(F.concat(acc["last"], F.array(value)))
+        full = F.when(closed, F.concat(acc["full"], F.array(acc["last"]))).otherwise(acc["full"])
+        return F.struct(after.alias("state"), last.alias("last"), full.alias("full"))
+
+    return F.filter(F.aggregate(items, start, one, lambda acc: F.flatten(F.concat(acc["full"], F.array(acc["last"])))), lambda x: x.isNotNull())
 
 
 def _found(text: Column, pattern: str) -> Column:
@@ -47,16 +65,12 @@ def _found(text: Column, pattern: str) -> Column:
     pairs = F.zip_with(
         F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, hit: F.struct(F.char_length(gap).alias("gap"), hit.alias("hit"))
     )
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,hit:string>>").alias("out"))
 
-    def step(acc: Column, pair: Column) -> Column:
-        begin = acc["at"] + pair["gap"]
-        return F.when(
-            pair["hit"].isNotNull(),
-            F.struct((begin + F.char_length(pair["hit"])).alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), pair["hit"].alias("hit")))).alias("out")),
-        ).otherwise(acc)
+    def step(at: Column, pair: Column) -> tuple[Column, Column]:
+        begin = at + pair["gap"]
+        return begin + F.coalesce(F.char_length(pair["hit"]), F.lit(0)), F.when(pair["hit"].isNotNull(), F.struct(begin.alias("start"), pair["hit"].alias("hit")))
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    return _appending(pairs, F.lit(0).cast("bigint"), "struct<start:bigint,hit:string>", step)
 
 
 def candidates(text: Column) -> Column:
@@ -103,11 +117,6 @@ def looks_like_placeholder(value: Column) -> Column:
     return (F.size(F.array_distinct(F.split(value, ""))) < 3) | value.rlike(PLACEHOLDER)
 
 
-def owners_rule(value: Column, kind: Column, owners: Column, repositories: Column) -> Column:
-    """Whether a value is live by the number of its owners, as in the query's SQL."""
-    return (owners <= LIVE_OWNERS) & looks_generated(value)
-
-
 def frequency_rule(value: Column, kind: Column, owners: Column, repositories: Column) -> Column:
     """Whether a value is live by the numbers of its owners and repositories.
 
@@ -125,7 +134,7 @@ def ownership(found: DataFrame) -> DataFrame:
     return repositories.join(owners, "value_hash")
 
 
-def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str = "doc_id", rule=owners_rule) -> DataFrame:
+def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str = "doc_id", rule=frequency_rule) -> DataFrame:
     """A row per document: base and added spans, and the greatest numbers of owners and of repositories over its values.
 
     Columns: _rid, id, base (array of candidate spans), live (array of added spans), n_copied, n_live, owners, repositories.
@@ -149,7 +158,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         judged.groupBy("_rid")
         .agg(
             F.array_sort(F.collect_set(F.when(live, F.struct(F.col("span.value_start").alias("start"), F.lit(3).alias("kind"), F.col("span.end").alias("end"))))).alias("live"),
-            F.count_if(F.col("owners") >= COPIED_OWNERS).alias("n_copied"),
+            F.count_if((F.col("owners") >= COPIED_OWNERS) | (F.col("repositories") >= COPIED_REPOSITORIES)).alias("n_copied"),
             F.max("owners").alias("owners"),
             F.max("repositories").alias("repositories"),
         )
@@ -179,29 +188,35 @@ def secret_digest(docs: DataFrame, **columns: str) -> DataFrame:
         spans_text(F.array_sort(F.concat(plain, F.col("live")))).alias("spans"),
         "n_copied",
         "n_live",
+        "owners",
+        "repositories",
     )
 
 
 def masked(text: Column, spans: Column) -> Column:
     """text with the characters of the spans, in order of their starts, replaced by as many `*`."""
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, span: Column) -> Column:
-        begin, end = F.greatest(span["start"], acc["at"]), F.greatest(span["end"], acc["at"])
-        kept = F.substring(text, (acc["at"] + 1).cast("int"), (begin - acc["at"]).cast("int"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], kept, F.repeat(F.lit("*"), (end - begin).cast("int"))).alias("out"))
+    def step(at: Column, span: Column) -> tuple[Column, Column]:
+        begin, end = F.greatest(span["start"], at), F.greatest(span["end"], at)
+        kept = F.substring(text, (at + 1).cast("int"), (begin - at).cast("int"))
+        return end, F.struct(F.concat(kept, F.repeat(F.lit("*"), (end - begin).cast("int"))).alias("part"), end.alias("end"))
+
+    def rest(parts: Column) -> Column:
+        end = F.coalesce(F.array_max(F.transform(parts, lambda x: x["end"])), F.lit(0).cast("bigint"))
+        return F.concat(F.array_join(F.transform(parts, lambda x: x["part"]), ""), F.substring(text, (end + 1).cast("int"), F.char_length(text)))
 
-    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.char_length(text))))
+    parts = _appending(spans, F.lit(0).cast("bigint"), "struct<part:string,end:bigint>", step)
+    return F.get(F.transform(F.array(parts), rest), F.lit(0))
 
 
 def without_live_secrets(docs: DataFrame, text_col: str = "text", **columns: str) -> DataFrame:
-    """docs with every live value's characters replaced by `*`; copied examples and all else stay.
+    """docs with every live value's characters replaced by `*`; copied examples and all else stay, and so do all columns.
 
     Only rows with candidates are set aside and judged; the others pass as they are.
     """
-    base = F.col("_base")
-    scanned = docs.withColumn("_base", candidates(F.coalesce(F.col(text_col), F.lit(""))))
-    hits = stored(with_row_id(scanned.filter(F.size(base) > 0), "_row").withColumn("_row", F.col("_row").cast("string")), "masked")
-    judged = secret_spans(hits, id_col="_row", text_col=text_col, rule=frequency_rule, **columns).filter(F.size("live") > 0).select(F.col("id").alias("_row"), "live")
-    covered = hits.join(judged, "_row", "left").withColumn(text_col, F.when(F.col("live").isNotNull(), masked(F.col(text_col), F.col("live"))).otherwise(F.col(text_col)))
+    base, row, live = free_name(docs, "_base"), free_name(docs, "_row"), free_name(docs, "_live")
+    scanned = docs.withColumn(base, candidates(F.coalesce(F.col(text_col), F.lit(""))))
+    hits = stored(with_row_id(scanned.filter(F.size(base) > 0), row).withColumn(row, F.col(row).cast("string")), "masked")
+    judged = secret_spans(hits, id_col=row, text_col=text_col, **columns).filter(F.size("live") > 0).select(F.col("id").alias(row), F.col("live").alias(live))
+    covered = hits.join(judged, row, "left").withColumn(text_col, F.when(F.col(live).isNotNull(), masked(F.col(text_col), F.col(live))).otherwise(F.col(text_col)))
     return scanned.filter(F.size(base) == 0).select(*docs.columns).unionByName(covered.select(*docs.columns))

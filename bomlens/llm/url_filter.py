@@ -4,16 +4,20 @@ A list is a history: dated entries add or remove a pattern. Per pattern the entr
 addition (inclusive) to the next removal (exclusive, or open). A capture is judged by the intervals active at its fetch time.
 
 Patterns are keys of an equi-join: a host pattern matches a host and all its subdomains, a prefix pattern matches a host and
-the beginning of the path in whole segments, as deep as the list's deepest prefix; the host's case does not count, the path's does. A capture is looked up under each suffix of its host and each
-prefix of its path. The intervals of a key stand in one row, so a capture meets a key at most once, whatever the history, and
+the beginning of the path in whole segments, as deep as the list's deepest prefix. Patterns and captures have one normal
+form: the host in lower case, the path as it is, slashes in a row as one. A capture is looked up under each suffix of its
+host and each prefix of its path. The intervals of a key stand in one row, so a capture meets a key at most once, whatever the history, and
 the as-of condition is evaluated inside the row. Lookups are salted, so a host with a third of all captures is dealt out.
 
 Defined cases: a null or unparsable url has no host and is never listed; a null fetch time is never listed; entries at the same
-instant for one pattern: a removal comes after an addition; repeated additions or removals change nothing; repeated rows stay.
+instant for one pattern: a removal comes after an addition; repeated additions or removals change nothing; repeated rows stay;
+an empty table of pages gives no rows, an empty list lists none; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,16 +43,16 @@ def lookup_keys(host_: Column, path_: Column, deepest: int) -> Column:
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.concat(F.lit("host:"), F.array_join(F.slice(labels, k, F.size(labels)), ".")))
     parts = F.filter(F.split(path_, "/"), lambda p: p != "")
     depth = F.least(F.size(parts), F.lit(deepest))
-    prefixes = F.when(
-        depth > 0, F.transform(F.sequence(F.lit(1), F.greatest(depth, F.lit(1))), lambda k: F.concat(F.lit("prefix:"), host_, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), k), "/")))
-    ).otherwise(F.array().cast("array<string>"))
+    prefixes = F.transform(F.sequence(F.lit(0), depth), lambda k: F.array_join(F.concat(F.array(F.concat(F.lit("prefix:"), host_)), F.slice(parts, F.lit(1), k)), "/"))
     return F.when(host_ != "", F.array_distinct(F.concat(suffixes, prefixes))).otherwise(F.array().cast("array<string>"))
 
 
 def validity(entries: DataFrame) -> DataFrame:
     """(key, intervals) from dated entries (pattern, kind, action, at); kind is host or prefix, action add or remove."""
     known = entries.filter(F.col("kind").isin("host", "prefix") & F.col("action").isin("add", "remove") & F.col("at").isNotNull() & F.col("pattern").isNotNull())
-    keyed = known.select(F.concat("kind", F.lit(":"), F.regexp_replace(F.concat(F.lower(F.substring_index("pattern", "/", 1)), F.substring("pattern", F.char_length(F.substring_index("pattern", "/", 1)) + 1, F.char_length("pattern"))), r"/+$", "")).alias("key"), (F.col("action") == "add").alias("on"), F.col("at").cast("timestamp").alias("at")).distinct()
+    host_ = F.substring_index("pattern", "/", 1)
+    path_ = F.regexp_replace(F.regexp_replace(F.substring("pattern", F.char_length(host_) + 1, F.char_length("pattern")), "/+", "/"), "/$", "")
+    keyed = known.select(F.concat("kind", F.lit(":"), F.lower(host_), path_).alias("key"), (F.col("action") == "add").alias("on"), F.col("at").cast("timestamp").alias("at")).distinct()
     by_time = Window.partitionBy("key").orderBy(F.col("at"), F.col("on").desc())
     changes = keyed.withColumn("before", F.lag("on").over(by_time)).filter(F.col("on") != F.coalesce("before", F.lit(False)))
     spans = changes.withColumn("until", F.lead("at").over(by_time)).filter(F.col("on") & (F.col("until").isNull() | (F.col("until") > F.col("at"))))
@@ -76,27 +80,31 @@ def listed(pages: DataFrame, entries: DataFrame, url_col: str = "url", time_col:
     )
 
 
-#: The history that the registered query applies: (pattern, kind, action, date).
-HISTORY = (
-    ("spam-farm.example.org", "host", "add", "2023-11-01"),
-    ("spam-farm.example.org", "host", "remove", "2024-03-01"),
-    ("spam-farm.example.org", "host", "add", "2024-06-15"),
-    ("cheap-pills.example.com", "host", "add", "2024-02-10"),
-    ("cheap-pills.example.com", "host", "add", "2024-02-20"),
-    ("cheap-pills.example.com", "host", "remove", "2024-10-01"),
-    ("blog.tionble.example.com", "host", "add", "2024-05-01"),
-    ("blog.tionble.example.com", "host", "remove", "2024-05-01"),
-    ("tionsh.example.net", "host", "add", "2024-01-20"),
-    ("tionsh.example.net", "host", "remove", "2024-02-05"),
-    ("tionsh.example.net", "host", "add", "2024-09-01"),
-    ("tionsh.example.net/en", "prefix", "add", "2024-04-01"),
-    ("tionsh.example.net/en", "prefix", "remove", "2024-07-01"),
-    ("thther.example.org", "host", "add", "2024-03-15"),
-)
-
-
-def history(spark) -> DataFrame:
-    return spark.createDataFrame(list(HISTORY), "pattern string, kind string, action string, date string").select("pattern", "kind", "action", F.col("date").cast("timestamp").alias("at"))
+def _number(text: Column) -> Column:
+    """A number from the first 28 bits of a text's MD5."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 7), 16, 10).cast("int")
+
+
+def history(pages: DataFrame, url_col: str = "url") -> DataFrame:
+    """A made list over the hosts and paths of pages, for tables without one: (pattern, kind, action, at).
+
+    A host is added or removed in each month of 2024 as a hash of host and month says. One path in three is added as a
+    prefix, with the host in upper case, and half of these are removed 60 days later; another one in three stands in the list
+    in upper case and with five more segments, neither of which the page itself matches.
+    """
+    seen = pages.select(host(F.col(url_col)).alias("host"), path(F.col(url_col)).alias("path")).filter(F.col("host") != "").distinct()
+    months = seen.select("host").distinct().withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(12)))).withColumn("code", _number(F.concat_ws("#", "host", F.col("month").cast("string"))))
+    hosts = months.filter(F.col("code") % 4 < 2).select(F.col("host").alias("pattern"), F.lit("host").alias("kind"), F.when(F.col("code") % 4 == 0, "add").otherwise("remove").alias("action"), F.make_date(F.lit(2024), "month", 1 + F.col("code") % 28).cast("timestamp").alias("at"))
+    coded = seen.withColumn("code", _number(F.concat("host", "path"))).withColumn("on", F.make_date(F.lit(2024), 1 + F.col("code") % 12, 1 + F.col("code") % 28))
+    known, other = coded.filter(F.col("code") % 3 == 0), coded.filter(F.col("code") % 3 == 1)
+    entries = [
+        known.select(F.concat(F.upper("host"), "path").alias("pattern"), F.lit("add").alias("action"), "on"),
+        known.filter(F.col("code") % 2 == 0).select(F.concat("host", "path").alias("pattern"), F.lit("remove").alias("action"), F.date_add("on", 60).alias("on")),
+        other.select(F.concat("host", F.upper("path")).alias("pattern"), F.lit("add").alias("action"), "on"),
+        other.select(F.concat("host", "path", F.lit("/a/b/c/d/e")).alias("pattern"), F.lit("add").alias("action"), "on"),
+    ]
+    prefixes = reduce(DataFrame.unionByName, entries).select("pattern", F.lit("prefix").alias("kind"), "action", F.col("on").cast("timestamp").alias("at"))
+    return hosts.unionByName(prefixes)
 
 
 def with_fetch_time(pages: DataFrame) -> DataFrame:
