@@ -5,15 +5,17 @@ masks that look at it. Hashes of benchmark items and of documents meet in an equ
 of the item inside the document, and the words along it are compared one by one: the best stretch, scored +1 for an equal
 word and -MISS for another, is an overlap when it holds enough equal words at a high enough rate.
 
-Words are lower-cased (A-Z), split at ASCII white space and stripped of punctuation around them. An item under LONG words is
-also an overlap when LEAST_RATE of its words, rounded up, are equal anywhere along the diagonal. Wherever the allowed
-substitutions stand in it, one of the middle or short masks meets equal words only. Items under SHORTEST words are no
-evidence of anything and match nothing.
+Words are lower-cased (A-Z), split at ASCII white space and stripped of punctuation around them. Masks look at the fewer words
+the shorter the item is, so that the substitutions that an overlap may have leave some mask whole. An item under WHOLE words is
+also an overlap when LEAST_RATE of its words, rounded up, are equal anywhere along the diagonal. An item under SHORTEST words
+is an overlap only of a document that has the same words and no others.
 
 Documents that have none of the benchmark's hashes are passed over by a bit table of fixed size; it only saves work,
 the join decides. Seeds are joined under a salt, so one passage in very many documents is dealt out.
 
-Defined cases: null and empty texts and items match nothing; repeated rows give repeated results; equal items each match.
+Defined cases: null and empty texts and items match nothing; repeated rows give repeated results; equal items each match; of
+an item's overlaps in a text the one with the most equal words is given, of those the shortest; a text of any length is
+compared whole; empty tables give no rows; extra columns, whatever their names, are ignored or, where rows are returned, kept.
 """
 
 from __future__ import annotations
@@ -24,16 +26,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bomlens.llm.common import stored, with_row_id, without_keys
+from bomlens.llm.common import free_name, stored, with_row_id, without_keys
 from bomlens.llm.shingles import REMEMBERED, mix, words
 
 #: The masks; 1 is a word that is hashed.
 MASKS = ("1110110111", "1101011011", "1011101101")
+WIDE_MASKS = ("1101011", "1110011", "10110101")
 MIDDLE_MASKS = ("11101", "100111")
 SHORT_MASKS = ("111", "1101", "1011")
-ALL_MASKS = (*MASKS, *MIDDLE_MASKS, *SHORT_MASKS)
-#: The least words of items that use the short, the middle and the long masks.
-SHORTEST, MIDDLE, LONG = 4, 12, 18
+WHOLE_MASKS = ("1", "11", "111")
+ALL_MASKS = (*MASKS, *MIDDLE_MASKS, *SHORT_MASKS, *WIDE_MASKS, *WHOLE_MASKS)
+#: The least words of items that use the short, the middle, the wide and the long masks, and of those without the whole-item rule.
+SHORTEST, MIDDLE, WIDE, LONG, WHOLE = 4, 12, 18, 28, 18
 MISS, LEAST_EQUAL, LEAST_RATE = 2, 13, 0.75
 TABLE_BITS = 1 << 23
 PROBES = (0, 20, 40)
@@ -71,8 +75,11 @@ def seeds(codes: np.ndarray, mask: str, number: int) -> np.ndarray:
 
 def item_masks(length: int) -> list[tuple[int, str]]:
     """(number, mask) of the masks for an item of so many words."""
-    group = MASKS if length >= LONG else MIDDLE_MASKS if length >= MIDDLE else SHORT_MASKS if length >= SHORTEST else ()
-    return [(number, mask) for number, mask in enumerate(ALL_MASKS) if mask in group]
+    first = len(ALL_MASKS) - len(WHOLE_MASKS)
+    if length < SHORTEST:
+        return [(first + length - 1, WHOLE_MASKS[length - 1])] if length else []
+    group = MASKS if length >= LONG else WIDE_MASKS if length >= WIDE else MIDDLE_MASKS if length >= MIDDLE else SHORT_MASKS
+    return [(number, mask) for number, mask in enumerate(ALL_MASKS[:first]) if mask in group]
 
 
 def best_stretch(equal: np.ndarray) -> tuple[int, int]:
@@ -86,11 +93,13 @@ def best_stretch(equal: np.ndarray) -> tuple[int, int]:
 
 def overlap(same: np.ndarray, item_length: int) -> tuple[int, int] | None:
     """(equal words, words) of the overlap along a diagonal, None where there is none."""
+    if item_length < SHORTEST:
+        return (item_length, item_length) if len(same) == item_length and same.all() else None
     equal, length = best_stretch(same)
     if equal >= min(LEAST_EQUAL, item_length) and equal >= LEAST_RATE * length:
         return equal, length
     whole = int(same.sum())
-    return (whole, len(same)) if item_length < LONG and whole >= LEAST_RATE * item_length else None
+    return (whole, len(same)) if item_length < WHOLE and whole >= LEAST_RATE * item_length else None
 
 
 def item_seeds(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -133,7 +142,7 @@ def in_table(found: np.ndarray, flags: np.ndarray) -> np.ndarray:
 
 def hit_documents(docs: DataFrame, table: np.ndarray, masks: list[tuple[int, str]]) -> DataFrame:
     """(key, id, codes, hashes, places) of documents (key, id, text) with seeds of the masks in the table."""
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    shared, whole = docs.sparkSession.sparkContext.broadcast(table), len(ALL_MASKS) - len(WHOLE_MASKS)
 
     def run(batches):
         known, flags = StrippedHashes(), shared.value
@@ -143,6 +152,8 @@ def hit_documents(docs: DataFrame, table: np.ndarray, masks: list[tuple[int, str
                 codes = word_codes(text.as_py(), known)
                 hashes, places = [], []
                 for number, mask in masks:
+                    if number >= whole and len(codes) != len(mask):
+                        continue
                     found = seeds(codes, mask, number)
                     at = in_table(found, flags)
                     if len(at):
@@ -170,9 +181,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     numbered = stored(numbered, "items")
     marks = _pairs(numbered, "item")
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    words_ = F.size("codes")
-    least = numbered.select(F.when(words_ < MIDDLE, SHORTEST).when(words_ < LONG, MIDDLE).otherwise(LONG).alias("least")).distinct().collect()
-    masks = sorted({mask for row in least for mask in item_masks(row["least"])})
+    lengths = numbered.select(F.least(F.size("codes"), F.lit(LONG)).alias("n")).distinct().collect()
+    masks = sorted({mask for row in lengths for mask in item_masks(row["n"])})
     hit = stored(hit_documents(with_row_id(rows, "key"), bit_table(marks), masks), "hits")
     return verified(hit, numbered, marks)
 
@@ -181,23 +191,25 @@ def verified(hit: DataFrame, items: DataFrame, marks: DataFrame) -> DataFrame:
     salted = marks.withColumnRenamed("place", "item_place").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     found = _pairs(hit, "key").withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(salted, ["hash", "salt"])
     diagonals = found.select("key", "item", (F.col("place") - F.col("item_place")).alias("diagonal")).distinct()
-    beside = diagonals.join(items.select("item", "item_id", F.col("codes").alias("item_codes")), "item").groupBy("key").agg(F.collect_list(F.struct("item", "item_id", "diagonal", "item_codes")).alias("found"))
+    by_item = diagonals.groupBy("key", "item").agg(F.collect_list("diagonal").alias("diagonals")).join(items.select("item", "item_id", F.col("codes").alias("item_codes")), "item")
+    beside = by_item.groupBy("key").agg(F.collect_list(F.struct("item_id", "diagonals", "item_codes")).alias("found"))
 
     def run(batches):
         for batch in batches:
             out = []
             for key, doc, codes, places in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 words_ = np.array(codes, np.int64)
-                best: dict = {}
-                for place in places:
-                    item_codes = np.array(place["item_codes"], np.int64)
-                    start = max(0, place["diagonal"])
-                    end = min(len(words_), place["diagonal"] + len(item_codes))
-                    found_ = overlap(words_[start:end] == item_codes[start - place["diagonal"] : end - place["diagonal"]], len(item_codes))
-                    if found_:
-                        equal, length = found_
-                        best[place["item"]] = max(best.get(place["item"], (0, 0, None)), (equal, -length, place["item_id"]), key=lambda x: x[:2])
-                out += [(key, doc, item_id, equal, -length) for equal, length, item_id in best.values()]
+                for item in places:
+                    item_codes, best = np.array(item["item_codes"], np.int64), None
+                    if len(item_codes) < SHORTEST and len(words_) != len(item_codes):
+                        continue
+                    for diagonal in item["diagonals"]:
+                        start, end = max(0, diagonal), min(len(words_), diagonal + len(item_codes))
+                        found_ = overlap(words_[start:end] == item_codes[start - diagonal : end - diagonal], len(item_codes))
+                        if found_ and (best is None or (found_[0], -found_[1]) > best):
+                            best = found_[0], -found_[1]
+                    if best:
+                        out.append((key, doc, item["item_id"], best[0], -best[1]))
             arrays = [pa.array([o[k] for o in out], pa.int64()) for k in range(5)]
             yield pa.RecordBatch.from_arrays(arrays, names=["key", "doc_id", "item_id", "n_equal", "n_words"])
 
@@ -212,7 +224,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **columns: str) -> DataF
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows whose text overlaps an item; equal rows share their fate."""
-    mark = F.xxhash64(F.col(id_col), F.col(text_col))
-    marked = docs.select(mark.alias("_mark"), F.col(text_col).alias("text"))
-    bad = overlaps(marked, benchmark, id_col="_mark").select(F.col("doc_id").alias("_mark"))
-    return without_keys(docs.withColumn("_mark", mark), bad, "_mark").select(*docs.columns)
+    name = free_name(docs, "_mark")
+    marked = docs.withColumn(name, F.xxhash64(F.col(id_col), F.col(text_col)))
+    bad = overlaps(marked.select(F.col(name).alias("mark"), F.col(text_col).alias("text")), benchmark, id_col="mark").select(F.col("doc_id").alias(name))
+    return without_keys(marked, bad, name).select(*docs.columns)

@@ -39,9 +39,9 @@ _RUNS = re.compile(r"(.)\1+")
 
 
 def shape(token: str) -> str:
-    """Letters as a or A, digits as 0, other characters as they are; runs folded; 12 kinds at most are told apart by place."""
-    kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in token[:64])
-    return _RUNS.sub(r"\1", kinds)[:12] + ("+" if len(token) > 24 else "")
+    """Letters as a or A, digits as 0, other characters as they are; runs folded; tokens over 24 characters marked by +."""
+    kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in token)
+    return _RUNS.sub(r"\1", kinds) + ("+" if len(token) > 24 else "")
 
 
 def index_vector(name: str) -> np.ndarray:

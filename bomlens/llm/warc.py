@@ -7,15 +7,18 @@ record; `transactions` brings the records of a capture together by that identifi
 Archives are written by the tasks to the shared folder, at most ARCHIVE_BYTES at a time, under names no other attempt uses.
 Only archives in the manifest of successful attempts are read, so retried or lost tasks leave nothing behind that counts.
 
-Payloads are compared by SHA-1. Of equal payloads of at least REVISIT_LEAST bytes the capture with the largest page id is the
+The readers hash the payload of every response and fail when it is not what its header says. Payloads are compared by SHA-1. Of equal payloads of at least REVISIT_LEAST bytes the capture with the largest page id is the
 response and the others revisit it. Defined cases: a null html is an empty payload and a null url an empty one; rows tied at
-the largest page id are all responses; a null page id is smaller than any other; extra columns are ignored.
+the largest page id are all responses; a null page id is smaller than any other; repeated rows are captures of their own; a
+payload of any length is one record; an empty table writes nothing and gives no rows; extra columns, whatever their names, are
+ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import gzip
+import hashlib
 import io
 import uuid
 import zlib
@@ -29,6 +32,8 @@ from bomlens.llm.common import shared_folder, stored
 
 REVISIT_LEAST = 0
 ARCHIVE_BYTES = 16 * 1024 * 1024
+#: Tasks that read archives, at most; each reads its share one by one.
+MOST_READERS = 100_000
 VERSION = b"WARC/1.1\r\n"
 DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -55,6 +60,18 @@ def open_for_writing(path: str):
     return store.open_output_stream(inner)
 
 
+def read_whole(path: str) -> bytes:
+    """The bytes at a path that open_for_writing takes."""
+    if path.startswith("file:") or "://" not in path:
+        with open(urlsplit(path).path if path.startswith("file:") else path, "rb") as source:
+            return source.read()
+    from pyarrow import fs
+
+    store, inner = fs.FileSystem.from_uri(path)
+    with store.open_input_stream(inner) as source:
+        return source.read()
+
+
 def record(kind: str, record_id: str, headers: list[tuple[str, str]], block: bytes) -> bytes:
     """One record as a gzip member; header values hold no line breaks."""
     lines = [("WARC-Type", kind), ("WARC-Record-ID", record_id), ("WARC-Date", DATE), *headers, ("Content-Length", str(len(block)))]
@@ -157,9 +174,13 @@ def members(content: bytes):
         yield from parse_records(b"".join(data))
 
 
-def read_records(spark: SparkSession, paths: list[str] | str, with_payload: bool = True) -> DataFrame:
-    """A row per record of the archives (RECORD_SCHEMA); without payloads their sizes and digests stay."""
-    files = spark.read.format("binaryFile").load(paths).select("content")
+def read_records(spark: SparkSession, paths: DataFrame | list[str], with_payload: bool = True) -> DataFrame:
+    """A row per record of the archives (RECORD_SCHEMA) at paths, or at column path of a frame, each read by one task.
+
+    Sizes and digests of payloads are those of the bytes that were read, for a revisit those of its header; a response
+    whose digest is not that of its header fails. Without payloads their sizes and digests stay.
+    """
+    files = (paths if isinstance(paths, DataFrame) else spark.createDataFrame([(p,) for p in paths], "path string")).select("path")
 
     def run(batches):
         names = [part.split(" ")[0] for part in RECORD_SCHEMA.replace("map<string,string>", "map").split(", ")]
@@ -171,7 +192,7 @@ def read_records(spark: SparkSession, paths: list[str] | str, with_payload: bool
         for batch in batches:
             for content in batch.column(0):
                 rows, size = [], 0
-                for headers, block in members(content.as_py()):
+                for headers, block in members(read_whole(content.as_py())):
                     fields, payload = [], None
                     kind = headers.get("content-type", "")
                     if kind.startswith("application/http"):
@@ -180,6 +201,11 @@ def read_records(spark: SparkSession, paths: list[str] | str, with_payload: bool
                         fields = [tuple(p.strip() for p in line.split(":", 1)) for line in block.decode("utf-8", "replace").splitlines() if ":" in line]
                     digest = headers.get("warc-payload-digest")
                     held = len(payload) if payload is not None else None
+                    if headers.get("warc-type") == "response":
+                        found = f"sha1:{base32_digest(hashlib.sha1(payload or b'').hexdigest())}"
+                        if digest not in (None, found):
+                            raise ValueError(f"the payload of {headers.get('warc-record-id')} is not what its digest says")
+                        digest = found
                     rows.append((headers.get("warc-record-id"), headers.get("warc-type"), headers.get("warc-concurrent-to"), headers.get("warc-target-uri"), headers.get("warc-date"), digest, kind, fields, held, payload if with_payload else None))
                     size += held or 0
                     if size > 4 * 1024 * 1024 or len(rows) >= 5000:
@@ -208,10 +234,8 @@ def archived_pages(pages: DataFrame, with_payload: bool = False, **columns: str)
     spark = pages.sparkSession
     folder = shared_folder(spark, "warc")
     manifest = stored(write_archives(pages, folder, **columns), "manifest")
-    paths = [row["path"] for row in manifest.select("path").collect()]
-    if not paths:
-        return transactions(spark.createDataFrame([], RECORD_SCHEMA))
-    return transactions(read_records(spark, paths, with_payload))
+    archives = manifest.count()
+    return transactions(read_records(spark, manifest.repartition(max(1, min(archives, MOST_READERS)), "path"), with_payload))
 
 
 def archive_digest(pages: DataFrame, **columns: str) -> DataFrame:
@@ -219,7 +243,7 @@ def archive_digest(pages: DataFrame, **columns: str) -> DataFrame:
     fields = F.col("metadata.fields")
     return archived_pages(pages, **columns).select(
         fields["page-id"].cast("bigint").alias("page_id"),
-        fields["payload-bytes"].cast("bigint").alias("payload_bytes"),
+        F.when(F.col("response.record_type") == "response", F.col("response.payload_bytes")).otherwise(fields["payload-bytes"].cast("bigint")).alias("payload_bytes"),
         F.regexp_replace("response.payload_digest", "^sha1:", "").alias("payload_digest"),
         F.col("response.record_type").alias("record_type"),
         fields["refers-to-page"].cast("bigint").alias("refers_to"),
