@@ -3,6 +3,11 @@
 quality classifier, n-gram Jaccard join, benchmark decontamination, secret scan, SentencePiece encoding. Every stage but the
 last returns the columns of documents. Stages are written to the shared folder and read again, so a lost executor repeats
 tasks of one stage only.
+
+Defined cases, for every stage: a null or empty text is judged like any other (the classifier scores it, it is no duplicate,
+holds no benchmark item, no secret and no pieces); a null id is an id of its own; repeated rows are one duplicate group, of
+which one row stays; ties between ids go to the least id; texts of any length are read whole; extra columns, whatever their
+names, stay as they are up to the last stage; an empty table gives an empty table of the same columns.
 """
 
 from __future__ import annotations
