@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -119,6 +121,23 @@ def scans_files(df: DataFrame) -> bool:
     return name == "LogicalRelation"
 
 
+def tidied(run):
+    """run for mapInArrow, after which a worker gives freed memory back to the system; workers live on between tasks."""
+
+    def wrapped(batches):
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return wrapped
+
+
 def slices(texts, size: int):
     """(start, length) of runs of an Arrow column of texts with about size bytes each."""
     import pyarrow.compute as pc

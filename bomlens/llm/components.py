@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bomlens.llm.common import stored
+from bomlens.llm.common import stored, tidied
 
 MAX_ROUNDS = 50
 #: So many links (16 MB) are solved by one task; more take the rounds.
@@ -62,7 +62,7 @@ def components(edges: DataFrame) -> DataFrame:
     current = stored(edges.select("a", "b").filter("a <> b").distinct(), "edges")
     before = _state(current)
     if before[0] <= ONE_TASK:
-        return current.repartition(1).mapInArrow(_solved_in_task, "node bigint, component bigint")
+        return current.repartition(1).mapInArrow(tidied(_solved_in_task), "node bigint, component bigint")
     for _ in range(MAX_ROUNDS):
         current = stored(_star(_star(current, True), False), "edges")
         after = _state(current)

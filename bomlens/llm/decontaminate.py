@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bomlens.llm.common import free_name, stored, with_row_id, without_keys
+from bomlens.llm.common import free_name, stored, tidied, with_row_id, without_keys
 from bomlens.llm.shingles import REMEMBERED, mix, words
 
 #: The masks; 1 is a word that is hashed.
@@ -120,7 +120,7 @@ def item_seeds(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, names=["item_id", "codes", "hashes", "places"])
 
     rows = benchmark.select(F.col(id_col).cast("bigint").alias("item_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "item_id bigint, codes array<bigint>, hashes array<bigint>, places array<bigint>")
+    return rows.mapInArrow(tidied(run), "item_id bigint, codes array<bigint>, hashes array<bigint>, places array<bigint>")
 
 
 def bit_table(hashes: DataFrame) -> np.ndarray:
@@ -167,7 +167,7 @@ def hit_documents(docs: DataFrame, table: np.ndarray, masks: list[tuple[int, str
                 lists = [pa.array([r[k] for r in rows], pa.list_(pa.int64())) for k in range(3)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *lists], names=["key", "id", "codes", "hashes", "places"])
 
-    return docs.select("key", "id", "text").mapInArrow(run, "key bigint, id bigint, codes array<bigint>, hashes array<bigint>, places array<bigint>")
+    return docs.select("key", "id", "text").mapInArrow(tidied(run), "key bigint, id bigint, codes array<bigint>, hashes array<bigint>, places array<bigint>")
 
 
 def _pairs(rows: DataFrame, *own: str) -> DataFrame:
@@ -214,7 +214,7 @@ def verified(hit: DataFrame, items: DataFrame, marks: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, names=["key", "doc_id", "item_id", "n_equal", "n_words"])
 
     joined = hit.select("key", "id", "codes").join(beside, "key")
-    return joined.mapInArrow(run, "key bigint, doc_id bigint, item_id bigint, n_equal bigint, n_words bigint")
+    return joined.mapInArrow(tidied(run), "key bigint, doc_id bigint, item_id bigint, n_equal bigint, n_words bigint")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **columns: str) -> DataFrame:

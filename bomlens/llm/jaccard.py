@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bomlens.llm.common import free_name, stored, without_keys
+from bomlens.llm.common import free_name, stored, tidied, without_keys
 from bomlens.llm.components import components
 from bomlens.llm.shingles import WordHashes, set_id, shingle_set
 
@@ -41,7 +41,7 @@ WIDTH, PERCENT = 5, 80
 #: A shingle is heavy from this share of all shingles on.
 HEAVY = 1 / 500_000
 #: Shingles looked at together for heavy hitters.
-CHUNK = 4_000_000
+CHUNK = 2_000_000
 BLOCK = 1024
 STAR_MEMBERS = 512
 FANOUT = 8
@@ -118,7 +118,7 @@ def describe(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
             yield frequent()
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id bigint, n bigint, node bigint, bits binary, token bigint, seen bigint")
+    return rows.mapInArrow(tidied(run), "id bigint, n bigint, node bigint, bits binary, token bigint, seen bigint")
 
 
 def heavy_shingles(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -158,7 +158,7 @@ def prefixes(docs: DataFrame, text_col: str, heavy, width: int, percent: int) ->
                 arrays = [pa.array(_signed(np.concatenate(out_tokens))), pa.array(np.concatenate(out_nodes)), pa.array(np.concatenate(out_sizes))]
                 yield pa.RecordBatch.from_arrays(arrays, names=["token", "node", "k"])
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "token bigint, node bigint, k int")
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(tidied(run), "token bigint, node bigint, k int")
 
 
 def _gathered(batches, columns: int) -> list[np.ndarray]:
@@ -186,7 +186,7 @@ def shared_keys(pairs: DataFrame) -> DataFrame:
             part = slice(at, at + 1_000_000)
             yield pa.RecordBatch.from_arrays([pa.array(x[part][keep[part]]) for x in (token, node, k, low, high)], names=["token", "node", "k", "low", "high"])
 
-    return pairs.repartition("token").mapInArrow(run, "token bigint, node bigint, k int, low bigint, high bigint")
+    return pairs.repartition("token").mapInArrow(tidied(run), "token bigint, node bigint, k int, low bigint, high bigint")
 
 
 def node_sets(docs: DataFrame, described: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -207,7 +207,7 @@ def node_sets(docs: DataFrame, described: DataFrame, wanted: DataFrame, id_col:
                 done.clear()
             yield pa.RecordBatch.from_arrays([pa.array([nodes[n] for n in fresh], pa.int64()), pa.array([found[n].tobytes() for n in fresh], pa.binary())], names=["node", "tokens"])
 
-    found = rows.mapInArrow(run, "node bigint, tokens binary")
+    found = rows.mapInArrow(tidied(run), "node bigint, tokens binary")
     return found.join(F.broadcast(wanted) if small else wanted, "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -257,7 +257,7 @@ def possible(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
-    return joined.mapInArrow(run, "a bigint, b bigint")
+    return joined.mapInArrow(tidied(run), "a bigint, b bigint")
 
 
 def pair_may_link(n_a: int, n_b: int, map_a: np.ndarray, map_b: np.ndarray, percent: int) -> bool:
@@ -445,7 +445,7 @@ def tree_candidates(keys: DataFrame, signatures: DataFrame, percent: int) -> Dat
                 forest.join(number[rows_[a]], number[rows_[b]])
         yield ordered_pairs(*(names[np.array(x, np.int64)] for x in (forest.left, forest.right)))
 
-    return rows.repartition("cell").mapInArrow(run, "a bigint, b bigint").distinct()
+    return rows.repartition("cell").mapInArrow(tidied(run), "a bigint, b bigint").distinct()
 
 
 def verified_cells(maybe: DataFrame, labels: DataFrame, signatures: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -476,7 +476,7 @@ def verified_cells(maybe: DataFrame, labels: DataFrame, signatures: DataFrame, s
             a, b = exact_cell(component[rows_], side[rows_], found, percent)
             yield ordered_pairs(node[rows_[a]], node[rows_[b]])
 
-    return rows.repartition("cell").mapInArrow(run, "a bigint, b bigint")
+    return rows.repartition("cell").mapInArrow(tidied(run), "a bigint, b bigint")
 
 
 def exact_cell(component: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -615,7 +615,7 @@ def open_keys(keys: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
         keep = np.r_[False, close] | np.r_[close, False] if len(k) else np.empty(0, dtype=bool)
         yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (token, node, component)], names=["token", "node", "component"])
 
-    return labelled.repartition("token").mapInArrow(run, "token bigint, node bigint, component bigint")
+    return labelled.repartition("token").mapInArrow(tidied(run), "token bigint, node bigint, component bigint")
 
 
 def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:

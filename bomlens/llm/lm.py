@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bomlens.llm import gru
-from bomlens.llm.common import crc_mod, most_frequent, published, read_published, slices, stored, with_row_id
+from bomlens.llm.common import crc_mod, most_frequent, published, read_published, slices, stored, tidied, with_row_id
 
 HELD_OUT = (10, 0)
 SMOOTHING = 0.1
@@ -106,7 +106,7 @@ def counted(train: DataFrame) -> DataFrame:
             yield from summed(held).to_batches(max_chunksize=100_000)
 
     texts = train.select(F.coalesce("text", F.lit("")).alias("text"))
-    return texts.mapInArrow(run, "key bigint, tail int, n bigint").groupBy("key").agg(F.first("tail").alias("tail"), F.sum("n").alias("n"))
+    return texts.mapInArrow(tidied(run), "key bigint, tail int, n bigint").groupBy("key").agg(F.first("tail").alias("tail"), F.sum("n").alias("n"))
 
 
 class Vocabulary:
@@ -183,7 +183,7 @@ def summed(vectors: DataFrame) -> DataFrame:
         if weight:
             yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64())), pa.array([weight])], names=["params", "weight"])
 
-    return vectors.mapInArrow(run, "params array<double>, weight double")
+    return vectors.mapInArrow(tidied(run), "params array<double>, weight double")
 
 
 def fitted(train: DataFrame, documents: int, vocab) -> tuple[dict[str, np.ndarray], int]:
@@ -210,7 +210,7 @@ def fitted(train: DataFrame, documents: int, vocab) -> tuple[dict[str, np.ndarra
                 total = (gru.pack(trainer.params) * np.float32(weight)).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float32())), pa.array([float(weight)])], names=["params", "weight"])
 
-        rows = summed(texts.filter(part).mapInArrow(run, "params array<float>, weight double").repartition(math.isqrt(documents // MERGED_DOCS) + 1))
+        rows = summed(texts.filter(part).mapInArrow(tidied(run), "params array<float>, weight double").repartition(math.isqrt(documents // MERGED_DOCS) + 1))
         averaged = rows.select("weight", F.posexplode("params").alias("at", "value")).groupBy("at").agg((F.sum("value") / F.sum("weight")).alias("value"), F.sum("weight").alias("weight")).toPandas()
         if len(averaged):
             flat = np.empty(len(averaged), np.float32)
@@ -242,7 +242,7 @@ def scored(docs: DataFrame, vocab, params: dict) -> DataFrame:
                 arrays = [piece.column(0), piece.column(2), piece.column(3), pa.array(np.diff(found.bounds)), pa.array(known), pa.array(found.per_text(logs)), pa.array(model_log + found.per_text(tail)), rare_keys]
                 yield pa.RecordBatch.from_arrays(arrays, names=["_rid", "id", "held_out", "n_tokens", "known", "base", "model", "rare"])
 
-    return docs.select("_rid", "text", "id", "held_out").mapInArrow(run, "_rid bigint, id bigint, held_out boolean, n_tokens bigint, known bigint, base double, model double, rare array<bigint>")
+    return docs.select("_rid", "text", "id", "held_out").mapInArrow(tidied(run), "_rid bigint, id bigint, held_out boolean, n_tokens bigint, known bigint, base double, model double, rare array<bigint>")
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
-from bomlens.llm.common import is_frequent, published, read_published, scans_files, shared_folder, slices, stored
+from bomlens.llm.common import is_frequent, published, read_published, scans_files, shared_folder, slices, stored, tidied
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -223,8 +223,8 @@ def word_table(texts: DataFrame) -> DataFrame:
             found = pa.Table.from_batches(parts).group_by("word").aggregate([("n", "sum"), ("part", "distinct")])
             yield from found.select(["word", "n_sum", "part_distinct"]).rename_columns(["word", "n", "parts"]).to_batches(max_chunksize=100_000)
 
-    rows = texts.select("text").mapInArrow(run, "word string, n bigint, part int")
-    return rows.repartition("word").mapInArrow(gathered, "word string, n bigint, parts array<int>")
+    rows = texts.select("text").mapInArrow(tidied(run), "word string, n bigint, part int")
+    return rows.repartition("word").mapInArrow(tidied(gathered), "word string, n bigint, parts array<int>")
 
 
 def longest_by_prefix(table: PieceTable) -> list[tuple[str, int]]:
@@ -284,7 +284,7 @@ def lattice(words: DataFrame, table: PieceTable) -> DataFrame:
         if held:
             yield group(*held, np.zeros(1, np.int64))
 
-    grouped = rows.mapInArrow(run, StructType().add("head", StringType()).add("edges", ArrayType(rows.schema["edge"].dataType)))
+    grouped = rows.mapInArrow(tidied(run), StructType().add("head", StringType()).add("edges", ArrayType(rows.schema["edge"].dataType)))
     return grouped.select(F.expr("substr(head, instr(head, ' ') + 1)").alias("word"), F.substring_index("head", " ", 1).alias("note"), "edges")
 
 
@@ -502,7 +502,7 @@ def encoded(docs: DataFrame, table: PieceTable, emit, schema: str, id_col: str =
                 piece = batch.slice(start, length)
                 yield emit(piece.column(0), piece.column(1), speller.encode(piece.column(1)))
 
-    return texts.mapInArrow(run, schema)
+    return texts.mapInArrow(tidied(run), schema)
 
 
 def decode_ids(ids, table_bytes: list[bytes]) -> str:
@@ -519,7 +519,7 @@ def decode(rows: DataFrame, table: PieceTable, ids_col: str = "ids", name: str =
             texts = [decode_ids(x or (), shared.value) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, name])
 
-    return rows.mapInArrow(run, StructType([*rows.schema.fields]).add(name, StringType()))
+    return rows.mapInArrow(tidied(run), StructType([*rows.schema.fields]).add(name, StringType()))
 
 
 def piece_digest(docs: DataFrame, model_path: str = MODEL, **columns: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from bomlens.llm.common import crc_mod
+from bomlens.llm.common import crc_mod, tidied
 from bomlens.llm.sampling import labelled_sample
 
 HELD_OUT = (3, 1)
@@ -177,7 +177,7 @@ def with_score(docs: DataFrame, model: QualityModel | None, text_col: str = "tex
             score = np.concatenate(parts) if parts else np.empty(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(name, DoubleType()))
+    return docs.mapInArrow(tidied(run), StructType([*docs.schema.fields]).add(name, DoubleType()))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bomlens.llm.common import crc_mod
+from bomlens.llm.common import crc_mod, tidied
 from bomlens.llm.sampling import labelled_sample
 
 HELD_OUT = (4, 2)
@@ -322,5 +322,5 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64())], names=["doc_id", "held_out", "score"])
 
     selected = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), (crc_mod("doc_id", HELD_OUT[0]) == HELD_OUT[1]).alias("held_out"), F.col("text"))
-    scored = selected.mapInArrow(run, "doc_id bigint, held_out boolean, score double")
+    scored = selected.mapInArrow(tidied(run), "doc_id bigint, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
