@@ -60,12 +60,29 @@ def message(status_: Column, fields: Column) -> Column:
     )
 
 
+def bind(value: Column, of) -> Column:
+    """of(value) with value worked out once, however often it is used; nothing is inlined into what follows."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
+def parsed(cpe: Column) -> Column:
+    """struct(fields, status, the eleven attributes) of a name; attributes are '' unless it is valid."""
+
+    def attributes(fields: Column, status_: Column) -> Column:
+        found = [F.when(status_ == VALID, F.get(fields, F.lit(k))).otherwise("").alias(f) for k, f in enumerate(FIELDS)]
+        return F.struct(fields.alias("fields"), status_.alias("status"), *found)
+
+    def whole(name: Column) -> Column:
+        fields = F.when(F.startswith(name, F.lit(PREFIX)) & body(name).rlike(_WHOLE), raw_fields(name))
+        return bind(fields, lambda f: bind(status(name, f), lambda s: attributes(f, s)))
+
+    return bind(cpe, whole)
+
+
 def parse(df, column: str = "cpe"):
     """df with `status`, `fields` (array) and the eleven attributes, which are '' unless the name is valid."""
-    cpe = F.col(column)
-    out = df.withColumn("fields", F.when(F.startswith(cpe, F.lit(PREFIX)) & body(cpe).rlike(_WHOLE), raw_fields(cpe)))
-    out = out.withColumn("status", status(cpe, F.col("fields")))
-    return out.withColumns({f: F.when(F.col("status") == VALID, F.get(F.col("fields"), F.lit(k))).otherwise("") for k, f in enumerate(FIELDS)})
+    out, found = df.withColumn("_parsed", parsed(F.col(column))), F.col("_parsed")
+    return out.withColumns({f: found[f] for f in ("fields", "status", *FIELDS)}).drop("_parsed")
 
 
 def version_kind(version: Column) -> Column:

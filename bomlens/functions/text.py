@@ -130,6 +130,21 @@ def page_window(page: Column, total: Column, width: int = 5) -> Column:
     return F.when(total >= 1, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
 
 
+#: Parts of the names of properties that help to tell where a component comes from.
+RELEVANT_TERMS = ("source", "upstream", "package", "manager", "type", "ecosystem", "foundby", "cpe", "location", "path")
+
+
+def relevant_properties(properties: Column, terms: tuple[str, ...] = RELEVANT_TERMS) -> Column:
+    """The entries of array<struct(key, value)> whose key holds one of the terms, whatever its case."""
+    wanted = F.array(*map(F.lit, terms))
+    return F.filter(properties, lambda p: F.exists(wanted, lambda t: F.contains(F.lower(p["key"]), t)))
+
+
+def candidate_values(properties: Column, key: str, primary: Column) -> Column:
+    """array<struct(value, is_primary)> of the entries with a key; is_primary where the value is the component's own name."""
+    return F.transform(F.filter(properties, lambda p: p["key"] == key), lambda p: F.struct(p["value"].alias("value"), (p["value"] == primary).alias("is_primary")))
+
+
 def percent(ratio: Column) -> Column:
     """A share as a percentage with one digit, kept between 0 and 100."""
     return F.concat(F.format_number(F.greatest(F.lit(0.0), F.least(F.lit(100.0), ratio * 100)), 1), F.lit("%"))

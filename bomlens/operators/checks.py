@@ -61,6 +61,11 @@ def exact_matches_inside(found: DataFrame, names: DataFrame) -> DataFrame:
     return found.join(names.select(F.col("cpe_name").alias("cpe")), "cpe", "left_semi").select("cpe")
 
 
+def missing_keys(present, required: tuple[str, ...]):
+    """The required keys that an array of keys lacks."""
+    return F.array_except(F.array(*map(F.lit, required)), present)
+
+
 def require_empty(checks: dict[str, DataFrame], examples: int = 3) -> None:
     """Raise one IntegrityError that names every check with violations; one job for all of them."""
     tagged = [df.select(F.lit(name).alias("check"), F.to_json(F.struct(*df.columns)).alias("row")) for name, df in checks.items()]

@@ -46,16 +46,30 @@ def rolled_up(grouped: DataFrame, level: str) -> DataFrame:
     return grouped.groupBy(*KEYS[level]).agg(*[F.sum(m).alias(m) for m in MEASURES])
 
 
+def _key(level: str) -> Column:
+    """The key of a level as a struct of level and four fields; fields beyond the level are ''."""
+    return F.struct(F.lit(level).alias("level"), *[(F.col(f) if f in KEYS[level] else F.lit("")).alias(f) for f in KEYS["four"]])
+
+
+def level_counts(grouped: DataFrame) -> DataFrame:
+    """(key, total, active, deprecated) of grouped_names at all three levels, from one pass over the grouped rows."""
+    keyed = grouped.select(F.explode(F.array(*[_key(level) for level in KEYS])).alias("key"), *MEASURES)
+    return keyed.groupBy("key").agg(*[F.sum(m).alias(m) for m in MEASURES])
+
+
 def mismatches(components: DataFrame, names: DataFrame) -> DataFrame:
-    """A row per unmatched name: attributes, component_count, counts of the three levels, and its profile."""
-    parsed = population(components, names)
-    grouped = grouped_names(relevant_names(names, parsed))
-    out = parsed
-    for level, keys in KEYS.items():
-        counts = rolled_up(grouped, level).select(*keys, *[F.col(m).alias(f"{level}_{m}") for m in MEASURES])
-        out = out.join(counts, list(keys), "left").na.fill(0, [f"{level}_{m}" for m in MEASURES])
+    """A row per unmatched name: attributes, component_count, counts of the three levels, and its profile.
+
+    Valid names look up their three keys in one join; the components are read once, the dictionary once for the exact match
+    and once for the counts.
+    """
+    population_ = population(components, names).select("cpe", "status", *KEYS["four"], "component_count")
+    keys = F.when(F.col("status") == VALID, F.array(*[_key(level) for level in KEYS]))
+    looked = population_.withColumn("key", F.explode_outer(keys)).join(level_counts(grouped_names(names)), "key", "left")
+    counts = {f"{level}_{m}": F.coalesce(F.sum(F.when(F.col("key.level") == level, F.col(m))), F.lit(0)).alias(f"{level}_{m}") for level in KEYS for m in MEASURES}
+    out = looked.groupBy("cpe").agg(*[F.first(c).alias(c) for c in ("status", *KEYS["four"], "component_count")], *counts.values())
     return out.withColumn("profile", profile_of(F.col("status"), F.col("four_total"), F.col("three_total"), F.col("two_total"))).select(
-        "cpe", "status", *KEYS["four"], "component_count", *[f"{level}_{m}" for level in KEYS for m in MEASURES], "profile"
+        "cpe", "status", *KEYS["four"], "component_count", *counts, "profile"
     )
 
 

@@ -11,17 +11,16 @@ from bomlens.functions.cpe import present, safe_ratio
 def image_overview(images: DataFrame, sboms: DataFrame, components: DataFrame) -> DataFrame:
     """Every image with numbers of sboms, components, named components and different names; 0 where there is none.
 
-    Components are first summed per sbom and name, so the image join moves no component row.
+    Components are first summed per sbom and name, so the image join moves no component row. sboms hold an id once.
     """
-    per = components.groupBy("sbom_document_id", "cpe").agg(F.count("*").alias("n"))
-    joined = images.join(sboms.select(F.col("id").alias("sbom_document_id"), "docker_image_id"), F.col("id") == F.col("docker_image_id"), "left").join(per, "sbom_document_id", "left")
+    own = sboms.filter("docker_image_id is not null").select(F.col("id").alias("sbom_document_id"), "docker_image_id")
+    held = own.groupBy("docker_image_id").agg(F.count("*").alias("sboms"))
+    per = components.groupBy("sbom_document_id", F.coalesce("cpe", F.lit("")).alias("cpe")).agg(F.count("*").alias("n"))
+    by_name = per.join(own, "sbom_document_id").groupBy("docker_image_id", "cpe").agg(F.sum("n").alias("n"))
     named = present(F.col("cpe"))
-    out = joined.groupBy("id", "repository", "tag").agg(
-        F.countDistinct("sbom_document_id").alias("sboms"),
-        F.coalesce(F.sum("n"), F.lit(0)).alias("components"),
-        F.coalesce(F.sum(F.when(named, F.col("n"))), F.lit(0)).alias("with_cpe"),
-        F.countDistinct(F.when(named, F.col("cpe"))).alias("unique_cpes"),
-    )
+    counts = by_name.groupBy("docker_image_id").agg(F.sum("n").alias("components"), F.sum(F.when(named, F.col("n"))).alias("with_cpe"), F.count_if(named).alias("unique_cpes"))
+    out = images.select(F.col("id").alias("docker_image_id"), "repository", "tag").join(held, "docker_image_id", "left").join(counts, "docker_image_id", "left")
+    out = out.na.fill(0, ["sboms", "components", "with_cpe", "unique_cpes"]).withColumnRenamed("docker_image_id", "id")
     return out.withColumn("ratio", safe_ratio(F.col("with_cpe"), F.col("components")))
 
 
@@ -52,3 +51,14 @@ def sboms_of_images(images: DataFrame, sboms: DataFrame) -> DataFrame:
     per = sboms.filter("docker_image_id is not null").groupBy("docker_image_id").agg(F.sort_array(F.collect_list(F.struct("id", "source_path"))).alias("documents"))
     joined = images.join(per, F.col("id") == F.col("docker_image_id"), "left").drop("docker_image_id")
     return joined.withColumn("documents", F.coalesce("documents", F.array().cast("array<struct<id:bigint,source_path:string>>")))
+
+
+def result_counts(rows: DataFrame, succeeded) -> DataFrame:
+    """(total, succeeded, failed, ratio) of rows by a condition."""
+    counted = rows.agg(F.count("*").alias("total"), F.count_if(succeeded).alias("succeeded"), F.count_if(~succeeded).alias("failed"))
+    return counted.withColumn("ratio", safe_ratio(F.col("succeeded"), F.col("total")))
+
+
+def types_of_reviews(bridge: DataFrame) -> DataFrame:
+    """(ground_truth_id, types): the names of each review's correction types, in order."""
+    return bridge.groupBy("ground_truth_id").agg(F.sort_array(F.collect_set("name")).alias("types"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bomlens.functions.cpe import PARTS, STATUSES, VALID, VERSION_KINDS, joined_distinct, parse, present, safe_ratio, version_kind
+from bomlens.functions.cpe import FIELDS, PARTS, STATUSES, VALID, VERSION_KINDS, joined_distinct, parsed, present, safe_ratio, version_kind
 from bomlens.operators.matching import zero_filled
 
 
@@ -15,9 +15,9 @@ def image_coverage(located: DataFrame) -> DataFrame:
 
 
 def parsed_components(components: DataFrame) -> DataFrame:
-    """Components with a name, parsed once per different name."""
-    named = components.filter(present(F.col("cpe")))
-    return named.join(parse(named.select("cpe").distinct()).drop("fields").withColumnRenamed("version", "cpe_version"), "cpe")
+    """Components with a name, and its attributes; the name's version is cpe_version. No shuffle: a name is parsed where it stands."""
+    named, found = components.filter(present(F.col("cpe"))).withColumn("_parsed", parsed(F.col("cpe"))), F.col("_parsed")
+    return named.withColumns({"status": found["status"]} | {"cpe_version" if f == "version" else f: found[f] for f in FIELDS}).drop("_parsed")
 
 
 def _counts(parsed: DataFrame, *keys) -> DataFrame:
@@ -42,18 +42,21 @@ def vendor_counts(parsed: DataFrame) -> DataFrame:
 
 
 def vendor_products(parsed: DataFrame) -> DataFrame:
-    """Components, names and images by part, vendor and product."""
-    valid = parsed.filter(F.col("status") == VALID)
-    return valid.groupBy("part", "vendor", "product").agg(F.count("*").alias("components"), F.countDistinct("cpe").alias("unique_cpes"), F.countDistinct("docker_image_id").alias("images"))
+    """Components, names and images by part, vendor and product; rows of equal name and image are added up first."""
+    valid = parsed.filter(F.col("status") == VALID).groupBy("part", "vendor", "product", "cpe", "docker_image_id").agg(F.count("*").alias("n"))
+    return valid.groupBy("part", "vendor", "product").agg(F.sum("n").alias("components"), F.countDistinct("cpe").alias("unique_cpes"), F.countDistinct("docker_image_id").alias("images"))
 
 
 def cpe_usage(parsed: DataFrame) -> DataFrame:
-    """A row per name: numbers of components, images, sboms and component names, and the joined repositories and names."""
+    """A row per name: numbers of components, images, sboms and component names, and the joined repositories and names.
+
+    Images and names are counted from the sets that the report lists anyway, so rows are not multiplied.
+    """
     return parsed.groupBy("cpe", "status").agg(
         F.count("*").alias("components"),
-        F.countDistinct("docker_image_id").alias("images"),
+        F.size(F.collect_set("docker_image_id")).cast("bigint").alias("images"),
         F.countDistinct("sbom_document_id").alias("sboms"),
-        F.countDistinct("name").alias("names"),
+        F.size(F.collect_set("name")).cast("bigint").alias("names"),
         joined_distinct(F.col("repository")).alias("repositories"),
         joined_distinct(F.col("name")).alias("component_names"),
     )
@@ -63,21 +66,31 @@ def invalid_usage(usage: DataFrame) -> DataFrame:
     return usage.filter(F.col("status") != VALID)
 
 
-def image_summary(images: DataFrame, parsed: DataFrame, coverage: DataFrame) -> DataFrame:
+def name_counts(located: DataFrame) -> DataFrame:
+    """(docker_image_id, cpe, n): components by image and name, of which the summaries are made."""
+    return located.groupBy("docker_image_id", F.coalesce("cpe", F.lit("")).alias("cpe")).agg(F.count("*").alias("n"))
+
+
+def image_summary(images: DataFrame, counts: DataFrame) -> DataFrame:
     """Every image, with its coverage, valid and invalid components and different names; images without components have 0."""
-    per = parsed.filter("docker_image_id is not null").groupBy("docker_image_id").agg(
-        F.count_if(F.col("status") == VALID).alias("valid"), F.count_if(F.col("status") != VALID).alias("invalid"), F.countDistinct("cpe").alias("unique_cpes")
+    named = present(F.col("cpe"))
+    judged = counts.filter("docker_image_id is not null").withColumn("valid", parsed(F.col("cpe"))["status"] == VALID)
+    per = judged.groupBy("docker_image_id").agg(
+        F.sum("n").alias("total"),
+        F.sum(F.when(named, F.col("n"))).alias("with_cpe"),
+        F.sum(F.when(named & F.col("valid"), F.col("n"))).alias("valid"),
+        F.sum(F.when(named & ~F.col("valid"), F.col("n"))).alias("invalid"),
+        F.count_if(named).alias("unique_cpes"),
     )
-    joined = images.join(coverage, F.col("id") == F.col("docker_image_id"), "left").drop("docker_image_id").join(per, F.col("id") == F.col("docker_image_id"), "left")
-    filled = joined.na.fill(0, ["total", "with_cpe", "valid", "invalid", "unique_cpes"])
-    return filled.select("id", "repository", "tag", "total", "with_cpe", safe_ratio(F.col("with_cpe"), F.col("total")).alias("ratio"), "valid", "invalid", "unique_cpes")
-
-
-def profile_summary(components: DataFrame, parsed: DataFrame, summary: DataFrame) -> DataFrame:
-    """One row: total_components sums image rows only, all_components counts every component."""
-    totals = summary.agg(F.sum("total").alias("total_components"), F.sum("with_cpe").alias("components_with_cpe"), F.count("*").alias("images"))
-    uses = parsed.groupBy("cpe").agg(F.count("*").alias("n"))
-    reuse = uses.agg(F.count("*").alias("unique_cpes"), F.count_if(F.col("n") > 1).alias("reused_primary_cpes"))
-    everything = components.agg(F.count("*").alias("all_components"))
-    joined = totals.withColumn("one", F.lit(1)).join(reuse.withColumn("one", F.lit(1)), "one").join(everything.withColumn("one", F.lit(1)), "one").drop("one")
+    joined = images.join(per, F.col("id") == F.col("docker_image_id"), "left").na.fill(0, ["total", "with_cpe", "valid", "invalid", "unique_cpes"])
+    return joined.select("id", "repository", "tag", "total", "with_cpe", safe_ratio(F.col("with_cpe"), F.col("total")).alias("ratio"), "valid", "invalid", "unique_cpes")
+
+
+def profile_summary(images: DataFrame, counts: DataFrame) -> DataFrame:
+    """One row: total_components sums image rows only, all_components counts every component. counts is name_counts."""
+    totals = image_summary(images, counts).agg(F.sum("total").alias("total_components"), F.sum("with_cpe").alias("components_with_cpe"), F.count("*").alias("images"))
+    uses = counts.groupBy("cpe").agg(F.sum("n").alias("n"))
+    named = present(F.col("cpe"))
+    reuse = uses.agg(F.count_if(named).alias("unique_cpes"), F.count_if(named & (F.col("n") > 1)).alias("reused_primary_cpes"), F.coalesce(F.sum("n"), F.lit(0)).alias("all_components"))
+    joined = totals.withColumn("one", F.lit(1)).join(reuse.withColumn("one", F.lit(1)), "one").drop("one")
     return joined.withColumn("ratio", safe_ratio(F.col("components_with_cpe"), F.col("total_components")))

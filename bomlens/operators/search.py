@@ -114,6 +114,14 @@ def page(rows: DataFrame, number=1, size=None) -> DataFrame:
     return rows.offset((positive(number, "invalid_page") - 1) * size).limit(size)
 
 
+def existing_page(rows: DataFrame, number=1, size=None) -> DataFrame:
+    """The same, but a page behind the last one is an error; the first page of nothing is empty."""
+    found = page(rows, number, size)
+    if positive(number, "invalid_page") > 1 and not found.limit(1).count():
+        raise EngineError("invalid_page", str(number))
+    return found
+
+
 def envelope(rows: DataFrame, number: int = 1, size: int | None = None) -> DataFrame:
     """(count, page, page_size, total_pages, next_page, previous_page); an empty result has one page."""
     size = page_size(size)

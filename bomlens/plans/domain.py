@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bomlens.functions.cpe import bind
 from bomlens.session import configure
 
 
@@ -62,26 +63,29 @@ class Domain:
             (F.col("l_orderkey") % 4).alias("b"),
         )
 
-        def name(*parts):
-            return F.concat(F.lit("cpe:2.3:"), *[F.col(p[1:]) if p[0] == "$" else F.lit(p) for p in parts])
-
-        head = ("$part", ":", "$vendor", ":", "$product")
-        broken = (
-            F.when(F.col("b") == 0, F.concat(F.lit("cpe:/a:"), "vendor"))
-            .when(F.col("b") == 1, name(*head))
-            .when(F.col("b") == 2, name("x:", "$vendor", ":", "$product", ":1:*:*:*:*:*:*:*"))
-            .otherwise(name(*head, ":1:*:*:*:*:*:*:*\\"))
-        )
-        cpe = (
-            F.when(F.col("k") == 0, "")
-            .when(F.col("k").isin(1, 2), F.col("cpe_name"))
-            .when(F.col("k") == 3, name(*head, ":", "$version", ":u1:*:*:*:*:*:*"))
-            .when(F.col("k") == 4, name(*head, ":99.9:*:*:*:*:*:*:*"))
-            .when(F.col("k") == 5, name("$part", ":syft:", "$product", ":", "$version", ":*:*:*:*:*:*:*"))
-            .when(F.col("k") == 6, name("$part", ":", "$vendor", ":lib", "$product", ":*:*:*:*:*:*:*:*"))
-            .when(F.col("k") == 7, broken)
-            .otherwise(name(*head, ":-:*:*:*:*:*:*:*"))
-        )
+        def name(row, *parts):
+            return F.concat(F.lit("cpe:2.3:"), *[row[p[1:]] if p[0] == "$" else F.lit(p) for p in parts])
+
+        def cpe(row):
+            head = ("$part", ":", "$vendor", ":", "$product")
+            broken = (
+                F.when(row["b"] == 0, F.concat(F.lit("cpe:/a:"), row["vendor"]))
+                .when(row["b"] == 1, name(row, *head))
+                .when(row["b"] == 2, name(row, "x:", "$vendor", ":", "$product", ":1:*:*:*:*:*:*:*"))
+                .otherwise(name(row, *head, ":1:*:*:*:*:*:*:*\\"))
+            )
+            return (
+                F.when(row["k"] == 0, "")
+                .when(row["k"].isin(1, 2), row["cpe_name"])
+                .when(row["k"] == 3, name(row, *head, ":", "$version", ":u1:*:*:*:*:*:*"))
+                .when(row["k"] == 4, name(row, *head, ":99.9:*:*:*:*:*:*:*"))
+                .when(row["k"] == 5, name(row, "$part", ":syft:", "$product", ":", "$version", ":*:*:*:*:*:*:*"))
+                .when(row["k"] == 6, name(row, "$part", ":", "$vendor", ":lib", "$product", ":*:*:*:*:*:*:*:*"))
+                .when(row["k"] == 7, broken)
+                .otherwise(name(row, *head, ":-:*:*:*:*:*:*:*"))
+            )
+
+        cpe = bind(F.struct("part", "vendor", "product", "version", "cpe_name", "k", "b"), cpe)
         return joined.select("id", "sbom_document_id", "bom_ref", "name", "version", cpe.alias("cpe"))
 
     def located(self) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bomlens.functions.cpe import parse, safe_ratio
+from bomlens.functions.cpe import parse
 from bomlens.operators import checks, matching, mismatch, overview, profile, review
 from bomlens.plans.domain import over_domain
 from bomlens.plans.registry import query
@@ -130,8 +130,7 @@ _E11 = f"""select i.id, i.repository, i.tag, coalesce(t.total, 0) total, coalesc
 
 
 def _summary(d):
-    located = d.located()
-    return profile.image_summary(d.images(), profile.parsed_components(located), profile.image_coverage(located))
+    return profile.image_summary(d.images(), profile.name_counts(d.located()))
 
 
 @query("E11_image_summary", over_domain(_E11))
@@ -141,7 +140,7 @@ def _(d):
 
 @query("E12_profile_summary", over_domain(f"select sum(total)::bigint total_components, sum(with_cpe)::bigint components_with_cpe, count(*) images, (select count(*) from usage) unique_cpes, (select count(*) from usage where component_count > 1) reused_primary_cpes, (select count(*) from components) all_components, case when sum(total) = 0 then 0.0 else sum(with_cpe)::double / sum(total)::double end ratio from ({_E11})"))
 def _(d):
-    return profile.profile_summary(d.components(), _parsed(d), _summary(d))
+    return profile.profile_summary(d.images(), profile.name_counts(d.located()))
 
 
 _E13 = """select v.match_status, coalesce(u, 0) unique_cpes, coalesce(n, 0) components from (values ('OFFICIAL_ACTIVE'),('OFFICIAL_DEPRECATED'),('NOT_IN_DICTIONARY'),('NOT_PRESENT')) v(match_status)
@@ -153,7 +152,8 @@ def _(d):
     return matching.match_counts(d.components(), d.names())
 
 
-@query("J04_match_identities", "select true four_statuses, true blank_is_no_name, true no_negative, true components_cover_names, true names_behind_components")
+@query("J04_match_identities", over_domain(f"""select count(*) = 4 four_statuses, sum(unique_cpes) filter (match_status = 'NOT_PRESENT') = 0 blank_is_no_name, min(components) >= 0 no_negative,
+ count(*) filter (components < unique_cpes) = 0 components_cover_names, count(*) filter (unique_cpes = 0 and components > 0 and match_status <> 'NOT_PRESENT') = 0 names_behind_components from ({_E13})"""))
 def _(d):
     return checks.match_identities(matching.match_counts(d.components(), d.names()))
 
@@ -246,19 +246,27 @@ def _(d):
     return checks.duplicates(d.table("lineitem"), "l_orderkey", "l_linenumber")
 
 
-@query("J02_unique_component_refs", over_domain("select sbom_document_id, bom_ref, count(*) as \"rows\" from components group by 1, 2 having count(*) > 1"))
+@query("J02_unique_component_refs", over_domain("select sbom_document_id, bom_ref, count(*) as \"rows\" from (select * from components union all select * from components where id % 50 = 0) group by 1, 2 having count(*) > 1"))
 def _(d):
-    return checks.duplicates(d.components(), "sbom_document_id", "bom_ref")
+    found = d.components()
+    return checks.duplicates(found.unionByName(found.filter("id % 50 = 0")), "sbom_document_id", "bom_ref")
 
 
-@query("J03_duplicate_names", over_domain("select cpe_name, count(*) as \"rows\" from cpe_names group by 1 having count(*) > 1"))
+@query("J03_duplicate_names", over_domain("select cpe_name, count(*) as \"rows\" from (select * from cpe_names union all select * from cpe_names where id % 20 = 0) group by 1 having count(*) > 1"))
 def _(d):
-    return checks.duplicates(d.names(), "cpe_name")
+    found = d.names()
+    return checks.duplicates(found.unionByName(found.filter("id % 20 = 0")), "cpe_name")
 
 
-@query("J05_mismatch_violations", over_domain("select cpe, 'x' as rule from mismatch where component_count < 1"))
+_BROKEN = "select * replace (four_total + (length(cpe) % 5 = 0)::int as four_total, component_count * (length(cpe) % 7 > 0)::int as component_count) from mismatch"
+
+
+@query("J05_mismatch_violations", over_domain(f"""select cpe, 'four_total' as rule from ({_BROKEN}) where four_total <> four_active + four_deprecated union all select cpe, 'levels' from ({_BROKEN}) where four_total > three_total or three_total > two_total
+ union all select cpe, 'profile' from ({_BROKEN}) where profile <> case when status <> 'STRUCTURALLY_VALID' then 'UNPARSABLE' when four_total > 0 then 'SAME_PART_VENDOR_PRODUCT_VERSION' when three_total > 0 then 'SAME_PART_VENDOR_PRODUCT' when two_total > 0 then 'SAME_PART_PRODUCT' else 'NO_STRUCTURED_MATCH' end
+ union all select cpe, 'component_count' from ({_BROKEN}) where component_count < 1"""))
 def _(d):
-    return checks.mismatch_violations(_mismatches(d))
+    broken = {"four_total": F.col("four_total") + (F.length("cpe") % 5 == 0).cast("int"), "component_count": F.col("component_count") * (F.length("cpe") % 7 > 0).cast("int")}
+    return checks.mismatch_violations(_mismatches(d).withColumns(broken))
 
 
 @query("J06_row_identities", over_domain("select count(*) as \"rows\", count(*) filter (two_total = two_active + two_deprecated and four_total <= three_total and three_total <= two_total) consistent from mismatch"))
@@ -268,15 +276,64 @@ def _(d):
     return found.agg(F.count("*").alias("rows"), F.count_if(ok).alias("consistent"))
 
 
-@query("J07_no_exact_match_inside", over_domain("select m.cpe from mismatch m semi join cpe_names n on n.cpe_name = m.cpe"))
+@query("J07_no_exact_match_inside", over_domain("select m.cpe from (select cpe from mismatch union all select cpe_name from cpe_names where id % 25 = 0) m semi join cpe_names n on n.cpe_name = m.cpe"))
 def _(d):
-    return checks.exact_matches_inside(_mismatches(d), d.names())
+    planted = d.names().filter("id % 25 = 0").select(F.col("cpe_name").alias("cpe"))
+    return checks.exact_matches_inside(_mismatches(d).select("cpe").unionByName(planted), d.names())
+
+
+#: Planted requests to write reviews, one rule or more broken by most of them, with the tables that they are held against.
+_REQUESTS = """req as (select doc_id component_id, case when doc_id % 12 in (0, 1, 2, 3, 8) then 1 + doc_id % 50 when doc_id % 12 = 9 then -1 end name_id,
+  case doc_id % 12 when 4 then ' cpe:2.3:a:v:p:1:*:*:*:*:*:*:* ' when 5 then 'broken' when 8 then 'cpe:2.3:a:v:p:1:*:*:*:*:*:*:*' end manual,
+  case doc_id % 12 when 1 then [1] when 2 then [2, 2] when 3 then [3] when 4 then [3] when 6 then [1] when 7 then [9] else [] end ids, doc_id % 12 = 10 odd from labels),
+held as (select *, coalesce(trim(manual), '') m, case when doc_id_name is null then null else doc_id_name end gt from (select req.*, n.cpe_name doc_id_name from req left join cpe_names n on n.id = req.name_id)),
+done as (select held.*, case when gt = o.cpe_name then 'C' when gt is not null then 'D' when m <> '' then 'M' else 'N' end ended from held left join cpe_names o on held.component_id % 3 = 0 and o.id = 1 + held.component_id % 50)"""
+_RULES = {
+    "unknown_field": "odd", "repeated_type": "len(ids) <> len(list_distinct(ids))", "unknown_name": "name_id is not null and gt is null", "two_sources": "gt is not null and m <> ''", "invalid_manual": "m = 'broken'",
+    "corrections_forbidden": "ended in ('C', 'N') and len(ids) > 0", "unknown_type": "list_contains(ids, 9)", "inactive_type": "list_contains(ids, 3) and component_id % 24 <> 4", "other_snapshot": "gt is not null and name_id % 10 = 0",
+}
+
+
+def _write_violations(d):
+    doc, m = F.col("doc_id"), F.col("doc_id") % 12
+    requests = d.table("labels").select(
+        doc.alias("component_id"),
+        F.when(m.isin(0, 1, 2, 3, 8), 1 + doc % 50).when(m == 9, -1).alias("dictionary_cpe_id"),
+        F.when(m == 4, " cpe:2.3:a:v:p:1:*:*:*:*:*:*:* ").when(m == 5, "broken").when(m == 8, "cpe:2.3:a:v:p:1:*:*:*:*:*:*:*").alias("manual_cpe"),
+        F.when(m.isin(1, 6), F.array(F.lit(1))).when(m == 2, F.array(F.lit(2), F.lit(2))).when(m.isin(3, 4), F.array(F.lit(3))).when(m == 7, F.array(F.lit(9))).otherwise(F.array().cast("array<int>")).cast("array<bigint>").alias("correction_type_ids"),
+        F.when(m == 10, F.array(F.lit("note"), F.lit("colour"))).otherwise(F.array(F.lit("note"))).alias("given"),
+    )
+    names = d.names().select("id", "cpe_name", F.when(F.col("id") % 10 == 0, "s0").otherwise("s1").alias("snapshot_id"))
+    own = names.select((F.col("id") - 1).alias("k"), F.col("cpe_name").alias("cpe"))
+    components = d.table("labels").filter("doc_id % 3 = 0").select(doc.alias("id"), (doc % 50).alias("k")).join(own, "k").select("id", "cpe")
+    types = d.spark.createDataFrame([(1, True), (2, True), (3, False)], "id bigint, is_active boolean")
+    links = d.table("labels").filter("doc_id % 24 = 4").select(doc.alias("component_id"), F.lit(3).cast("bigint").alias("correction_type_id"))
+    return review.write_violations(requests, components, names, types, links, "s1")
+
+
+def _write_sql(*rules):
+    return over_domain("").rstrip() + ",\n" + _REQUESTS + "\n" + " union all ".join(f"select component_id, '{rule}' as rule from done where {_RULES[rule]}" for rule in rules)
+
+
+_SOURCES = ("unknown_name", "two_sources", "invalid_manual", "other_snapshot")
 
 
-@query("J08_review_sources", over_domain("select component_id, 'two_sources' as rule from reviews where ground_truth_cpe is not null and manual_ground_truth_cpe <> ''"))
+@query("J08_review_sources", _write_sql(*_SOURCES))
 def _(d):
-    reviews = d.reviews().withColumn("outcome", review.outcome(F.col("ground_truth_cpe"), F.col("original_cpe"), F.col("manual_ground_truth_cpe")))
-    return review.review_violations(reviews.withColumn("n_corrections", F.lit(0)))
+    return _write_violations(d).filter(F.col("rule").isin(*_SOURCES))
+
+
+_CHOICES = ("unknown_field", "repeated_type", "unknown_type", "inactive_type")
+
+
+@query("J09_write_rules", _write_sql(*_CHOICES, "corrections_forbidden"))
+def _(d):
+    return _write_violations(d).filter(F.col("rule").isin(*_CHOICES, "corrections_forbidden"))
+
+
+@query("L01_write_violations", _write_sql(*_RULES))
+def _(d):
+    return _write_violations(d)
 
 
 @query("J09_forbidden_corrections", over_domain("select component_id, 'corrections_forbidden' as rule from outcomes where outcome in ('ORIGINAL_OFFICIAL_CONFIRMED', 'DIRECT_OFFICIAL_NOT_CONFIRMED') and component_id % 3 > 0"))
@@ -296,6 +353,4 @@ def _(d):
 
 @query("A34_result_counts", over_domain("select count(*) total, count(*) filter (status = 'STRUCTURALLY_VALID') succeeded, count(*) filter (status <> 'STRUCTURALLY_VALID') failed, case when count(*) = 0 then 0.0 else (count(*) filter (status = 'STRUCTURALLY_VALID'))::double / count(*) end ratio from parsed where cpe <> ''"))
 def _(d):
-    parsed = parse(matching.usage(d.components()))
-    ok = F.count_if(F.col("status") == "STRUCTURALLY_VALID")
-    return parsed.agg(F.count("*").alias("total"), ok.alias("succeeded"), F.count_if(F.col("status") != "STRUCTURALLY_VALID").alias("failed")).withColumn("ratio", safe_ratio(F.col("succeeded"), F.col("total")))
+    return overview.result_counts(parse(matching.usage(d.components())), F.col("status") == "STRUCTURALLY_VALID")

@@ -9,48 +9,53 @@ from bomlens.sources import dictionary, images, sbom
 
 
 def _documents(d):
-    """A nested document per conversation: its first turns are components of the document, the others of the first."""
-    turns = d.table("conversations").filter("turn < 4")
-    node = F.struct(
-        F.col("turn"), F.concat(F.lit("ref-"), F.col("turn").cast("string")).alias("ref"), F.col("role")
+    """A document per conversation: every turn is a component inside that of the turn before. Tools, and what is wrong, differ."""
+    node = F.struct(F.col("turn"), F.concat(F.lit("ref-"), F.col("turn").cast("string")).alias("ref"), F.col("role"))
+    per = d.table("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(node)).alias("turns"))
+
+    def around(inner, t):
+        return F.concat(F.lit('{"bom-ref":"'), t["ref"], F.lit('","type":"library","name":"'), t["role"], F.lit('","components":['), inner, F.lit("]}"))
+
+    conv, minor = F.col("conv_id"), (F.col("conv_id") % 5).cast("string")
+    tools = (
+        F.when(conv % 4 == 0, F.concat(F.lit('[{"name":"syft","version":"1.'), minor, F.lit('"}]')))
+        .when(conv % 4 == 1, F.concat(F.lit('{"components":[{"name":"other","version":"9"},{"name":"Syft","version":"2.'), minor, F.lit('"}]}')))
+        .when(conv % 4 == 2, F.lit('[{"name":"other"},{"name":"EMBA","version":"3"}]'))
+        .otherwise(F.lit('[{"name":"other","version":""},{"name":"syft"}]'))
     )
-    per = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(node)).alias("turns"))
-
-    def leaf(t):
-        return F.concat(F.lit('{"bom-ref":"'), t["ref"], F.lit('","type":"library","name":"'), t["role"], F.lit('"}'))
-
-    head = F.get("turns", F.lit(0))
-    nested = F.array_join(F.transform(F.filter("turns", lambda t: t["turn"] != head["turn"]), leaf), ",")
     text = F.concat(
-        F.lit('{"bomFormat":"CycloneDX","specVersion":"1.6","version":1,"metadata":{"timestamp":"2024-01-01T00:00:00Z","tools":[{"name":"syft","version":"1.0"}]},"components":[{"bom-ref":"'),
-        head["ref"], F.lit('","type":"library","name":"'), head["role"], F.lit('","components":['), nested, F.lit("]}]}"),
+        F.lit('{"bomFormat":"CycloneDX",'), F.when(conv % 5 == 0, "").otherwise('"specVersion":"1.6",'), F.lit('"version":'), F.when(conv % 7 == 0, "0").otherwise("1"),
+        F.lit(',"metadata":{"timestamp":"2024-01-01T00:00:00Z","tools":'), tools, F.lit('},"components":['), F.aggregate(F.reverse("turns"), F.lit(""), around), F.lit("]}"),
     )
-    return sbom.from_bytes(per.select(F.concat(F.lit("conv-"), F.col("conv_id").cast("string")).alias("source_path"), text.cast("binary").alias("content")))
+    return sbom.from_bytes(per.select(F.concat(F.lit("conv-"), conv.cast("string")).alias("source_path"), text.cast("binary").alias("content")))
+
+
+_CONVERSATIONS = "(select conv_id, conv_id % 4 r, '' || (conv_id % 5) k from conversations group by 1)"
 
 
-@query("A23_component_tree", "select 'conv-' || conv_id source_path, 'ref-' || turn bom_ref, role as name from conversations where turn < 4")
+@query("A23_component_tree", "select 'conv-' || conv_id source_path, 'ref-' || turn bom_ref, role as name, row_number() over (partition by conv_id order by turn) depth from conversations")
 def _(d):
-    return sbom.components(_documents(d)).select("source_path", "bom_ref", "name")
+    return sbom.components(_documents(d)).select("source_path", "bom_ref", "name", F.size("place").cast("bigint").alias("depth"))
 
 
-@query("A24_envelopes", "select 'conv-' || conv_id source_path, '1.6' spec_version, 0 n_errors from conversations where turn < 4 group by conv_id")
+@query("A24_envelopes", f"select 'conv-' || conv_id source_path, case when conv_id % 5 > 0 then '1.6' end spec_version, (r >= 2)::int + (conv_id % 5 = 0)::int + (conv_id % 7 = 0)::int n_errors from {_CONVERSATIONS}")
 def _(d):
     return sbom.envelopes(_documents(d)).select("source_path", "spec_version", F.size("errors").alias("n_errors"))
 
 
-@query("A21_strict_generator", "select 'conv-' || conv_id source_path, 'syft' as name, '1.0' as version from conversations where turn < 4 group by conv_id")
+@query("A21_strict_generator", f"select 'conv-' || conv_id source_path, case r when 0 then 'syft' when 1 then 'Syft' end as name, case r when 0 then '1.' || k when 1 then '2.' || k end as version from {_CONVERSATIONS}")
 def _(d):
     return _documents(d).select("source_path", sbom.strict_generator(F.col("doc")).alias("g")).select("source_path", "g.name", "g.version")
 
 
-@query("A22_lenient_generator", "select 'conv-' || conv_id source_path, 'syft' as name, '1.0' as version from conversations where turn < 4 group by conv_id")
+@query("A22_lenient_generator", f"select 'conv-' || conv_id source_path, case r when 0 then 'syft' when 2 then 'EMBA' else 'other' end as name, case r when 0 then '1.' || k when 1 then '9' when 2 then '3' else '' end as version from {_CONVERSATIONS}")
 def _(d):
     return _documents(d).select("source_path", sbom.lenient_generator(F.col("doc")).alias("g")).select("source_path", "g.name", "g.version")
 
 
-@query("A28_import_tallies", "select count(distinct conv_id) documents, count(*) components from conversations where turn < 4")
+@query("A28_import_tallies", "select 'conv-' || conv_id source_path, count(*) components, 0 with_cpe from conversations group by conv_id")
 def _(d):
-    return sbom.components(_documents(d)).agg(F.countDistinct("source_path").alias("documents"), F.count("*").alias("components"))
+    return sbom.file_tallies(_documents(d))
 
 
 def _products(d):
@@ -103,8 +108,7 @@ def _(d):
     return images.digest_records(text).select("repository", "pinned_reference", "filename")
 
 
-@query("A39_row_template")
+@query("A39_row_template", "select n_nationkey, case when n_nationkey % 3 = 0 then 'failed' else 'success' end status, case when n_nationkey % 3 = 0 then 'PlatformError' end error_type, case when n_nationkey % 3 = 0 then 'platform ' || n_nationkey end error_message from nation")
 def _(d):
-    error = F.when(F.col("n_nationkey") % 3 == 0, F.struct(F.lit("PlatformError").alias("type"), F.lit("platform_not_unique").alias("message")))
-    status = F.when(error.isNull(), "success").otherwise("failed")
-    return d.table("nation").select("n_nationkey", status.alias("status"), error.alias("error"))
+    row = images.result_row(F.col("n_nationkey") % 3 != 0, F.lit("PlatformError"), F.concat(F.lit("platform "), F.col("n_nationkey").cast("string")))
+    return d.table("nation").select("n_nationkey", row.alias("row")).select("n_nationkey", "row.*")

@@ -8,6 +8,7 @@ from bomlens.functions.cpe import present
 from bomlens.operators import checks, matching, overview, review, search
 from bomlens.plans.domain import over_domain
 from bomlens.plans.registry import query
+from bomlens.sources import sbom
 
 
 def _docs(d):
@@ -72,7 +73,7 @@ def _(d):
 
 @query("C16_empty_queue", "select doc_id id, source, lang from documents where false")
 def _(d):
-    return _docs(d).filter(F.lit(False))
+    return review.queue(_docs(d), _reviews(d), "NOT_PRESENT")
 
 
 @query("G07_queue_order", over_domain("select doc_id id, source, lang from documents d anti join reviews r on r.component_id = d.doc_id order by id desc limit 50"))
@@ -154,33 +155,35 @@ def _(d):
     return checks.missing_and_extra(expected, d.table("customer").filter("c_custkey % 3 > 0").select(F.col("c_custkey").alias("key")), "key")
 
 
-@query("D09_nested_sboms")
+@query("D09_nested_sboms", over_domain("select i.id, i.repository, i.tag, i.platform, coalesce(list(s.id || ' ' || s.source_path order by s.id) filter (s.id is not null), []) documents from images i left join sboms s on s.docker_image_id = i.id group by all"))
 def _(d):
-    return overview.sboms_of_images(d.images(), d.sboms())
+    nested = overview.sboms_of_images(d.images(), d.sboms())
+    return nested.withColumn("documents", F.transform("documents", lambda x: F.concat_ws(" ", x["id"].cast("string"), x["source_path"])))
 
 
-@query("D10_nested_types")
+@query("D10_nested_types", "select doc_id id, list_sort(list(distinct t)) types from (select doc_id, unnest(list_filter([case when quality = 1 then 'quality' end, case when toxic = 1 then 'toxic' end], lambda x: x is not null)) t from labels) group by 1")
 def _(d):
-    labels = d.table("labels").select(F.col("doc_id").alias("id"), F.explode(F.array_compact(F.array(F.when(F.col("quality") == 1, "quality"), F.when(F.col("toxic") == 1, "toxic")))).alias("type"))
-    return labels.groupBy("id").agg(F.sort_array(F.collect_list("type")).alias("types"))
+    bridge = d.table("labels").select(F.col("doc_id").alias("ground_truth_id"), F.explode(F.array_compact(F.array(F.when(F.col("quality") == 1, "quality"), F.when(F.col("toxic") == 1, "toxic")))).alias("name"))
+    return overview.types_of_reviews(bridge).withColumnRenamed("ground_truth_id", "id")
 
 
-@query("D14_foreign_violations", "select l_orderkey, l_linenumber, l_partkey from lineitem l join part on p_partkey = l_partkey where p_partkey % 10 = 0 and l_quantity > 49")
+@query("D14_foreign_violations", "select l_orderkey * 10 + l_linenumber component_id, l_partkey dictionary_cpe_id from lineitem semi join (select p_partkey from part where p_partkey % 10 = 0) p on p.p_partkey = l_partkey where l_quantity > 49")
 def _(d):
-    joined = d.table("lineitem").join(d.table("part"), F.col("l_partkey") == F.col("p_partkey"))
-    return joined.filter("p_partkey % 10 = 0 and l_quantity > 49").select("l_orderkey", "l_linenumber", "l_partkey")
+    requests = d.table("lineitem").filter("l_quantity > 49").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("component_id"), F.col("l_partkey").alias("dictionary_cpe_id"))
+    names = d.names().select("id", F.when(F.col("id") % 10 == 0, "old").otherwise("current").alias("snapshot_id"))
+    return review.foreign_names(requests, names, "current")
 
 
 @query("H02_missing_keys", "select event_id, list_filter(['k', 'value'], lambda x: not list_contains(json_keys(props), x)) missing from events")
 def _(d):
-    return d.table("events").select("event_id", F.array_except(F.array(F.lit("k"), F.lit("value")), F.json_object_keys("props")).alias("missing"))
+    return d.table("events").select("event_id", checks.missing_keys(F.json_object_keys("props"), ("k", "value")).alias("missing"))
 
 
-@query("H04_new_inactive", "select c_custkey id from customer where c_custkey % 4 = 1 and c_custkey not in (select o_custkey from orders) and c_acctbal < 0")
+@query("H04_new_inactive", "select o_orderkey component_id, o_custkey correction_type_id from orders semi join (select c_custkey from customer where c_acctbal < 1000) c on c.c_custkey = o_custkey where o_orderkey % 3 > 0")
 def _(d):
-    selected = d.table("customer").filter("c_custkey % 4 = 1")
-    known = d.table("orders").select(F.col("o_custkey").alias("c_custkey"))
-    return selected.join(known, "c_custkey", "left_anti").filter("c_acctbal < 0").select(F.col("c_custkey").alias("id"))
+    chosen = d.table("orders").select(F.col("o_orderkey").alias("component_id"), F.col("o_custkey").alias("correction_type_id"))
+    types = d.table("customer").select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") >= 1000).alias("is_active"))
+    return review.newly_inactive(chosen, types, chosen.filter("component_id % 3 = 0"))
 
 
 _A29 = "select sha256(text) sha, min(doc_id) existing_id, count(*) as \"rows\" from documents group by 1 having count(*) > 1"
@@ -188,5 +191,7 @@ _A29 = "select sha256(text) sha, min(doc_id) existing_id, count(*) as \"rows\" f
 
 @query("A29_upload_duplicates", _A29)
 def _(d):
-    docs = d.table("documents").select("doc_id", F.sha2(F.col("text"), 256).alias("sha"))
-    return docs.groupBy("sha").agg(F.min("doc_id").alias("existing_id"), F.count("*").alias("rows")).filter("rows > 1").select("sha", "existing_id", "rows")
+    docs = d.table("documents").select(F.col("doc_id").alias("id"), F.sha2(F.col("text"), 256).alias("file_sha256"))
+    first = docs.groupBy("file_sha256").agg(F.min("id").alias("id"))
+    found = sbom.duplicate_uploads(docs.drop("id"), first).groupBy("file_sha256", "existing_id").agg(F.count("*").alias("rows")).filter("rows > 1")
+    return found.withColumnRenamed("file_sha256", "sha")

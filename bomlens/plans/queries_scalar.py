@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from bomlens.functions import cpe as C
 from bomlens.functions import text as T
-from bomlens.operators import matching
+from bomlens.operators import matching, review
 from bomlens.plans.domain import over_domain
 from bomlens.plans.registry import query
 
@@ -146,11 +146,9 @@ def _(d):
     return d.table("orders").select("o_orderpriority", T.title_words(F.replace(F.col("o_orderpriority"), F.lit(" "), F.lit("_"))).alias("title")).distinct()
 
 
-@query("B28_edit_signature")
+@query("B28_edit_signature", """select doc_id, sha256('{"key":' || doc_id || ',"types":[' || least(toxic, quality) || ',' || greatest(toxic, quality) || ']}') signature from labels""")
 def _(d):
-    labels = d.table("labels")
-    ids = F.array_sort(F.array(F.col("toxic"), F.col("quality")))
-    return labels.select("doc_id", F.sha2(F.to_json(F.struct("doc_id", ids.alias("types"))), 256).alias("signature"))
+    return d.table("labels").select("doc_id", review.edit_signature(F.col("doc_id"), F.array("toxic", "quality")).alias("signature"))
 
 
 @query("G13_page_window", "select c_custkey, list_transform(range(greatest(1, least(p - 2, 8)), least(12, greatest(1, least(p - 2, 8)) + 4) + 1), lambda x: x::int) pages from (select c_custkey, (c_custkey % 12 + 1)::int p from customer)")
@@ -168,24 +166,25 @@ def _(d):
     return d.names().select("cpe_name", "vendor", "product")
 
 
-_TERMS = "['k', 'package', 'language']"
-
-
 @query("C19_property_filter", "select event_id, json_extract_string(props, '$.k') as value from events where json_extract_string(props, '$.k') <> '5'")
 def _(d):
-    events = d.table("events").select("event_id", F.map_entries(F.from_json("props", "map<string,string>")).alias("properties"))
-    kept = events.withColumn("properties", F.filter("properties", lambda p: (p["key"] == "k") & (p["value"] != "5"))).filter(F.size("properties") > 0)
-    return kept.select("event_id", F.get("properties", F.lit(0))["value"].alias("value"))
+    found = T.candidate_values(F.map_entries(F.from_json("props", "map<string,string>")), "k", F.lit("5"))
+    kept = d.table("events").select("event_id", F.filter(found, lambda c: ~c["is_primary"]).alias("candidates")).filter(F.size("candidates") > 0)
+    return kept.select("event_id", F.get("candidates", F.lit(0))["value"].alias("value"))
+
+
+def _entries():
+    return F.array(F.struct(F.concat(F.lit("syft:Package:"), F.col("event_type")).alias("key"), F.col("props").alias("value")), F.struct(F.col("event_type").alias("key"), F.col("event_type").alias("value")))
 
 
-@query("C20_relevant_properties")
+@query("C20_relevant_properties", f"select event_id, case when {' or '.join(f"contains(event_type, '{t}')" for t in T.RELEVANT_TERMS)} then ['syft:Package:' || event_type, event_type] else ['syft:Package:' || event_type] end keys from events")
 def _(d):
-    terms = F.array(*[F.lit(t) for t in ("k", "package", "language")])
-    events = d.table("events").select("event_id", F.map_entries(F.from_json("props", "map<string,string>")).alias("properties"))
-    return events.withColumn("properties", F.filter("properties", lambda p: F.exists(terms, lambda t: F.contains(F.lower(p["key"]), t))))
+    kept = T.relevant_properties(_entries())
+    return d.table("events").select("event_id", F.transform(kept, lambda p: p["key"]).alias("keys"))
 
 
-@query("C23_equals_primary")
+@query("C23_equals_primary", "select event_id, [json_extract_string(props, '$.k') || ':' || case when json_extract_string(props, '$.k') = cast(event_id % 10 as varchar) then 'true' else 'false' end] candidates from events")
 def _(d):
-    events = d.table("events").select("event_id", "event_type", F.map_entries(F.from_json("props", "map<string,string>")).alias("properties"))
-    return events.select("event_id", F.transform("properties", lambda p: F.struct(p["key"].alias("name"), p["value"].alias("value"), (p["value"] == F.col("event_type")).alias("is_primary"))).alias("properties"))
+    entries = F.map_entries(F.from_json("props", "map<string,string>"))
+    found = T.candidate_values(entries, "k", (F.col("event_id") % 10).cast("string"))
+    return d.table("events").select("event_id", F.transform(found, lambda c: F.concat_ws(":", c["value"], c["is_primary"].cast("string"))).alias("candidates"))

@@ -55,9 +55,9 @@ def _(d):
     return d.names().join(F.broadcast(one), "cpe_name", "left_semi").select("id", "cpe_name")
 
 
-@query("C08_dictionary_contains", over_domain("select id, cpe_name from cpe_names where contains(lower(cpe_name), 'r_1') or contains(lower(vendor), 'r_1') or contains(lower(product), 'r_1') or contains(lower(version), 'r_1')"))
+@query("C08_dictionary_contains", over_domain("select id, cpe_name from cpe_names where contains(lower(cpe_name), '#1') or contains(lower(vendor), '#1') or contains(lower(product), '#1') or contains(lower(version), '#1')"))
 def _(d):
-    return d.names().filter(any_contains_ci("R_1", "cpe_name", "vendor", "product", "version")).select("id", "cpe_name")
+    return d.names().filter(any_contains_ci("#1", "cpe_name", "vendor", "product", "version")).select("id", "cpe_name")
 
 
 @query("C09_component_contains", over_domain("select id, cpe from components where contains(lower(name), 'syft') or contains(lower(version), 'syft') or contains(lower(cpe), 'syft') or contains(lower(bom_ref), 'syft')"))
@@ -90,9 +90,9 @@ def _(d):
     return search.filter_scope(d.located(), sbom=5).select("id", "cpe")
 
 
-@query("C21_image_search", over_domain("select id, repository from images where contains(lower(repository), 'ira') or contains(lower(tag), 'ira') or contains(lower(platform), 'ira')"))
+@query("C21_image_search", over_domain("select id, repository from images where contains(lower(repository), '_1') or contains(lower(tag), '_1') or contains(lower(platform), '_1')"))
 def _(d):
-    return d.images().filter(any_contains_ci("IRA", "repository", "tag", "platform")).select("id", "repository")
+    return d.images().filter(any_contains_ci("_1", "repository", "tag", "platform")).select("id", "repository")
 
 
 @query("C22_picker", "select s_suppkey, lower(s_name) = 'supplier#000000003' exact from supplier where contains(lower(s_name), '00003')")

@@ -6,7 +6,9 @@ import hashlib
 import json
 import os
 import re
+import shutil
 import tarfile
+import tempfile
 from datetime import UTC, datetime
 from pathlib import PurePosixPath
 
@@ -23,6 +25,10 @@ META_KEYS = ("lastModifiedDate", "size", "zipSize", "gzSize", "sha256")
 MEMBER_FOLDERS = ("", "nvdcpe-2.0-chunks")
 MEMBER = re.compile(r"nvdcpe-2\.0-chunk-(\d{5})\.json")
 BLOCK = 1 << 20
+SNAPSHOT_ID, SHA256_TEXT = re.compile(r"\d{8}T\d{6}Z"), re.compile("[0-9a-f]{64}")
+MANIFEST_FILE, ARCHIVE_FILE, META_FILE = "manifest.json", "nvdcpe-2.0.tar.gz", "nvdcpe-2.0.meta"
+#: The least and the greatest number of rows in a batch.
+BATCH_SIZES = (100, 20_000)
 
 
 def parse_metadata(text: str) -> dict:
@@ -123,20 +129,76 @@ def write_new(path: str, value: dict) -> None:
         sink.write("\n")
 
 
+def verify_snapshot(root: str, snapshot_id: str) -> dict:
+    """The manifest of an acquired snapshot below root, after its id, schema, member list and bytes were checked."""
+    if not SNAPSHOT_ID.fullmatch(snapshot_id):
+        raise EngineError("invalid_snapshot_id", snapshot_id)
+    folder = os.path.join(root, snapshot_id)
+    for name in (MANIFEST_FILE, ARCHIVE_FILE, META_FILE):
+        if not os.path.isfile(os.path.join(folder, name)):
+            raise EngineError("snapshot_incomplete", name)
+    with open(os.path.join(folder, MANIFEST_FILE), encoding="utf-8") as source:
+        manifest = json.load(source)
+    if not isinstance(manifest, dict) or manifest.get("snapshot_id") != snapshot_id or not isinstance(manifest.get("archive"), dict) or not isinstance(manifest.get("content"), dict):
+        raise EngineError("invalid_manifest", "snapshot_id, archive or content")
+    members = manifest["content"].get("members")
+    if manifest["archive"].get("filename") != ARCHIVE_FILE or not isinstance(members, list) or manifest["content"].get("member_count") != len(members) or [m.get("sequence") for m in members] != list(range(1, len(members) + 1)):
+        raise EngineError("invalid_manifest", "archive or members")
+    if any(not SHA256_TEXT.fullmatch(str(x)) for x in (manifest["archive"].get("sha256"), manifest["content"].get("aggregate_sha256"))):
+        raise EngineError("invalid_manifest", "sha256")
+    verify_manifest(manifest, os.path.join(folder, ARCHIVE_FILE))
+    with open(os.path.join(folder, META_FILE), encoding="utf-8") as source:
+        metadata = parse_metadata(source.read())
+    if (manifest["content"]["aggregate_sha256"], manifest["content"]["aggregate_size"], manifest["archive"]["size"]) != (metadata["sha256"], metadata["size"], metadata["gzSize"]):
+        raise EngineError("invalid_manifest", "content differs from the metadata")
+    return manifest
+
+
+def acquire_snapshot(root: str, archive: str, metadata_text: str, dry_run: bool = False) -> dict:
+    """Take a fetched archive and its metadata into root as one folder, or verify the one that is there.
+
+    The folder appears whole, by a rename, after everything was checked. A dry run only tells what would be done.
+    """
+    metadata = parse_metadata(metadata_text)
+    snapshot_id = metadata["last_modified"].strftime("%Y%m%dT%H%M%SZ")
+    folder = os.path.join(root, snapshot_id)
+    there = os.path.isdir(folder)
+    if dry_run:
+        return {"snapshot_id": snapshot_id, "action": "verify" if there else "acquire"}
+    if there:
+        if verify_snapshot(root, snapshot_id)["content"]["aggregate_sha256"] != metadata["sha256"]:
+            raise EngineError("snapshot_differs", snapshot_id)
+        return {"snapshot_id": snapshot_id, "action": "verified"}
+    if os.path.getsize(archive) != metadata["gzSize"]:
+        raise EngineError("invalid_archive", f"gzSize is {metadata['gzSize']}, the archive has {os.path.getsize(archive)} bytes")
+    os.makedirs(root, exist_ok=True)
+    staging = tempfile.mkdtemp(dir=root, prefix=".staging-")
+    try:
+        shutil.copyfile(archive, os.path.join(staging, ARCHIVE_FILE))
+        write_new(os.path.join(staging, MANIFEST_FILE), build_manifest(os.path.join(staging, ARCHIVE_FILE), snapshot_id, metadata))
+        with open(os.path.join(staging, META_FILE), "x", encoding="utf-8") as sink:
+            sink.write(metadata_text)
+        os.rename(staging, folder)
+    finally:
+        shutil.rmtree(staging, ignore_errors=True)
+    return {"snapshot_id": snapshot_id, "action": "acquired"}
+
+
 def archive_chunks(spark: SparkSession, path: str, members: list[dict]) -> DataFrame:
-    """(sequence, content) of the members; each task opens the archive for its own members."""
-    rows = [(m["sequence"], m["name"]) for m in members]
+    """(sequence, content) of the members. A compressed archive is read from its start, so one task reads it, once, member by member."""
+    sequences = {m["name"]: m["sequence"] for m in members}
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            with tarfile.open(path, "r:*") as archive:
-                for sequence, name in zip(batch.column(0), batch.column(1), strict=True):
-                    content = archive.extractfile(name.as_py()).read().decode()
-                    yield pa.RecordBatch.from_pydict({"sequence": [sequence.as_py()], "content": [content]}, schema=pa.schema([("sequence", pa.int32()), ("content", pa.string())]))
+            for name in batch.column(0).to_pylist():
+                with tarfile.open(name, "r:*") as archive:
+                    for member in archive:
+                        if member.name in sequences:
+                            yield pa.RecordBatch.from_pydict({"sequence": [sequences[member.name]], "content": [archive.extractfile(member).read().decode()]}, schema=pa.schema([("sequence", pa.int32()), ("content", pa.string())]))
 
-    return spark.createDataFrame(rows, "sequence int, name string").repartition(len(rows)).mapInArrow(run, "sequence int, content string")
+    return spark.createDataFrame([(path,)], "path string").coalesce(1).mapInArrow(run, "sequence int, content string")
 
 
 def chunk_violations(chunks: DataFrame) -> DataFrame:
@@ -200,29 +262,59 @@ def feed_totals(found: DataFrame) -> DataFrame:
     return found.agg(F.count("*").alias("total"), F.count_if(~F.col("deprecated")).alias("active"), F.count_if("deprecated").alias("deprecated"))
 
 
-def import_snapshot(spark: SparkSession, archive: str, snapshot_id: str, target: str) -> dict:
-    """Parse, check and publish a snapshot as Parquet; a snapshot that is there is compared by its totals, never rewritten."""
-    chunks = archive_chunks(spark, archive, archive_members(archive))
-    found = records(products(chunks))
-    bad = found.filter(F.size("errors") > 0).select("cpe_name", "errors")
-    require_empty({"chunk": chunk_violations(chunks), "record": bad, "repeated uuid": duplicates(found, "cpe_name_id"), "repeated name": duplicates(found, "cpe_name")})
-    totals = feed_totals(found).first().asDict()
-    final = f"{target}/snapshot_id={snapshot_id}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(final)
-    store = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if store.exists(hadoop):
-        there = feed_totals(spark.read.parquet(final)).first().asDict()
-        if there != totals:
-            raise EngineError("snapshot_differs", f"{there} against {totals}")
+def import_snapshot(spark: SparkSession, archive: str, snapshot_id: str, target: str, batch_size: int = 5_000, dry_run: bool = False) -> dict:
+    """Parse, check and publish a snapshot as Parquet with at most batch_size rows a file.
+
+    A snapshot that is there must come from the same bytes and hold the rows that it tells; it is never rewritten. A dry run
+    checks everything and publishes nothing.
+    """
+    if type(batch_size) is not int or not BATCH_SIZES[0] <= batch_size <= BATCH_SIZES[1]:
+        raise EngineError("invalid_batch_size", f"{batch_size!r} is not between {BATCH_SIZES[0]} and {BATCH_SIZES[1]}")
+    members = archive_members(archive)
+    hashes = {"archive_sha256": file_sha256(archive), "content_sha256": aggregate(archive, members)["sha256"], "members": len(members)}
+    jvm = spark.sparkContext._jvm
+    final, about = f"{target}/snapshot_id={snapshot_id}", f"{target}/snapshot_id={snapshot_id}/_snapshot.json"
+    path = jvm.org.apache.hadoop.fs.Path
+    store = path(final).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if store.exists(path(final)) and not dry_run:
+        if not store.exists(path(about)):
+            raise EngineError("snapshot_differs", "it does not say what it was made from")
+        stream = store.open(path(about))
+        known = json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        stream.close()
+        totals = feed_totals(spark.read.parquet(final)).first().asDict()
+        if known != hashes | totals:
+            raise EngineError("snapshot_differs", f"{known} against {hashes | totals}")
         return totals | {"already_imported": True}
-    staging = f"{target}/_staging-{snapshot_id}"
-    kept = found.select("cpe_name_id", "cpe_name", "deprecated", "created_at_nvd", "last_modified_at_nvd", *FIELDS, *[F.to_json(F.col(c)).alias(c) for c in ("titles", "references", "deprecated_by", "deprecates")])
-    kept.write.mode("overwrite").parquet(staging)
-    if not store.rename(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staging), hadoop):
-        raise EngineError("publish_failed")
+    staging, unpacked = f"{target}/_staging-{snapshot_id}", f"{target}/_chunks-{snapshot_id}"
+    try:
+        archive_chunks(spark, archive, members).write.mode("overwrite").option("maxRecordsPerFile", 1).parquet(unpacked)
+        chunks = spark.read.parquet(unpacked)
+        found = records(products(chunks))
+        bad = found.filter(F.size("errors") > 0).select("cpe_name", "errors")
+        require_empty({"chunk": chunk_violations(chunks), "record": bad, "repeated uuid": duplicates(found, "cpe_name_id"), "repeated name": duplicates(found, "cpe_name")})
+        totals = feed_totals(found).first().asDict()
+        if dry_run:
+            return totals | {"already_imported": False}
+        kept = found.select("cpe_name_id", "cpe_name", "deprecated", "created_at_nvd", "last_modified_at_nvd", *FIELDS, *[F.to_json(F.col(c)).alias(c) for c in ("titles", "references", "deprecated_by", "deprecates")])
+        kept.write.mode("overwrite").option("maxRecordsPerFile", batch_size).parquet(staging)
+        sink = store.create(path(f"{staging}/_snapshot.json"))
+        sink.writeBytes(json.dumps(hashes | totals))
+        sink.close()
+        if not store.rename(path(staging), path(final)):
+            raise EngineError("publish_failed")
+    finally:
+        for folder in (staging, unpacked):
+            store.delete(path(folder), True)
     return totals | {"already_imported": False}
 
 
+def import_acquired(spark: SparkSession, root: str, snapshot_id: str, target: str, batch_size: int = 5_000, dry_run: bool = False) -> dict:
+    """import_snapshot of an acquired snapshot below root, after verify_snapshot."""
+    verify_snapshot(root, snapshot_id)
+    return import_snapshot(spark, os.path.join(root, snapshot_id, ARCHIVE_FILE), snapshot_id, target, batch_size, dry_run)
+
+
 def representative_title(titles: Column) -> Column:
     """The first title in English, else the first that is not empty, else ''; other shapes are passed over."""
     plain = F.transform(titles, lambda t: F.struct(F.try_variant_get(t, "$.title", "string").alias("title"), F.schema_of_variant(F.try_variant_get(t, "$.title", "variant")).alias("kind"), F.try_variant_get(t, "$.lang", "string").alias("lang")))

@@ -27,6 +27,13 @@ def digest_records(texts: DataFrame, expected: int | None = None) -> DataFrame:
     return found
 
 
+def result_row(status, error_type=None, message=None):
+    """struct(status, error_type, error_message) of a result; one that did not succeed stays failed, with its error told."""
+    error = [F.lit(None).cast("string") if x is None else x for x in (error_type, message)]
+    done = F.coalesce(status, F.lit(False))
+    return F.struct(F.when(done, "success").otherwise("failed").alias("status"), F.when(~done, error[0]).alias("error_type"), F.when(~done, error[1]).alias("error_message"))
+
+
 def platform_manifest(indexes: DataFrame, os_name: str = "linux", architecture: str = "amd64") -> DataFrame:
     """(source_path, digest, matches, error): the one descriptor of a platform in each index (source_path, content)."""
     doc = F.from_json("content", "mediaType string, manifests array<struct<digest:string,mediaType:string,platform:struct<os:string,architecture:string>>>")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from bomlens.errors import EngineError
 from bomlens.functions.text import content_path
-from bomlens.operators.checks import duplicates
+from bomlens.operators.checks import duplicates, metadata_mismatches, missing_and_extra, require_empty
 from bomlens.session import configure
 
 
@@ -103,13 +103,12 @@ def envelopes(documents: DataFrame, strict: bool = True) -> DataFrame:
 def components(documents: DataFrame) -> DataFrame:
     """A row per component at any depth, in pre-order by `place`: bom_ref, type, name and the optional texts; `ok` marks the rule-abiding."""
     spark = configure(documents.sparkSession)
-    documents.select("source_path", "doc").createOrReplaceTempView("_bomlens_documents")
     tree = spark.sql("""
         WITH RECURSIVE tree AS (
-          SELECT d.source_path, v.value AS node, array(v.pos) AS place FROM _bomlens_documents d, LATERAL variant_explode(try_variant_get(d.doc, '$.components', 'variant')) v
+          SELECT d.source_path, v.value AS node, array(v.pos) AS place FROM {documents} d, LATERAL variant_explode(try_variant_get(d.doc, '$.components', 'variant')) v
           UNION ALL
           SELECT t.source_path, v.value, array_append(t.place, v.pos) FROM tree t, LATERAL variant_explode(try_variant_get(t.node, '$.components', 'variant')) v)
-        SELECT source_path, node, place FROM tree""")
+        SELECT source_path, node, place FROM tree""", documents=documents.select("source_path", "doc"))
     node = F.col("node")
     texts = {name: F.coalesce(optional_text(node, f"$.{name}"), F.lit("")) for name in ("version", "group", "publisher", "purl", "cpe")}
     required = {"bom_ref": required_text(node, "$['bom-ref']"), "component_type": required_text(node, "$.type"), "name": required_text(node, "$.name")}
@@ -118,6 +117,52 @@ def components(documents: DataFrame) -> DataFrame:
     return tree.select("source_path", "place", *[c.alias(n) for n, c in {**required, **texts}.items()], properties.alias("properties"), ok.alias("ok"))
 
 
+def file_tallies(documents: DataFrame) -> DataFrame:
+    """(source_path, components, with_cpe) of every document, also of those without components."""
+    counts = components(documents).groupBy("source_path").agg(F.count("*").alias("components"), F.count_if(F.col("cpe") != "").alias("with_cpe"))
+    return documents.select("source_path").join(counts, "source_path", "left").na.fill(0, ["components", "with_cpe"])
+
+
+def new_images(records: DataFrame, images: DataFrame) -> DataFrame:
+    """The image records whose digest is not there yet; other metadata under a known digest, or a known pinned reference under another, is fatal."""
+    fields = ["repository", "tag", "platform", "pinned_reference"]
+    known = images.select(F.col("manifest_digest").alias("known_digest"), "pinned_reference")
+    collisions = records.join(known, "pinned_reference").filter(F.col("known_digest") != F.col("manifest_digest")).select("pinned_reference")
+    require_empty({"image metadata": metadata_mismatches(images, records, "manifest_digest", fields), "pinned reference": collisions})
+    return records.join(images.select("manifest_digest"), "manifest_digest", "left_anti")
+
+
+def import_documents(documents: DataFrame, records: DataFrame, images: DataFrame, sboms: DataFrame, dry_run: bool = False) -> dict[str, DataFrame]:
+    """A whole set of documents as frames: images, sboms and components to append, tallies per file, and totals.
+
+    documents are read_documents with manifest_digest; each belongs to one record. Nothing is given unless everything keeps
+    the rules; a document whose bytes are there already is skipped if its metadata is the same, else it is fatal. A dry run gives
+    the tallies alone.
+    """
+    enveloped = envelopes(documents)
+    own = enveloped.select("file_sha256", "source_path", "spec_version", F.col("generator.name").alias("generator_name"), F.col("generator.version").alias("generator_version"), "manifest_digest")
+    fields = ["source_path", "spec_version", "generator_name", "generator_version", "manifest_digest"]
+    found = components(documents)
+    require_empty(
+        {
+            "envelope": enveloped.filter(F.size("errors") > 0).select("source_path", "errors"),
+            "component": found.filter(~F.col("ok")).select("source_path", "place"),
+            "repeated bom-ref": repeated_refs(found),
+            "image without document": missing_and_extra(records.select("manifest_digest"), documents.select("manifest_digest"), "manifest_digest"),
+            "document metadata": metadata_mismatches(sboms, own, "file_sha256", fields),
+        }
+    )
+    created = new_images(records, images)
+    fresh = own.join(sboms.select("file_sha256"), "file_sha256", "left_anti")
+    skipped = own.join(sboms.select("file_sha256"), "file_sha256", "left_semi").select("source_path", F.lit("skipped").alias("status"))
+    status = fresh.select("source_path", F.lit("created").alias("status")).unionByName(skipped)
+    tallies = file_tallies(documents).join(status, "source_path")
+    done = F.col("status") == "created"
+    totals = tallies.agg(F.count("*").alias("files"), F.count_if(done).alias("created"), F.count_if(~done).alias("skipped"), F.sum(F.when(done, F.col("components")).otherwise(0)).alias("components_created"), F.sum("with_cpe").alias("with_cpe"))
+    out = {"files": tallies, "totals": totals}
+    return out if dry_run else out | {"images": created, "sboms": fresh, "components": found.join(fresh.select("source_path", "file_sha256"), "source_path")}
+
+
 def repeated_refs(found: DataFrame) -> DataFrame:
     """bom-refs that stand more than once in a document."""
     return duplicates(found, "source_path", "bom_ref")

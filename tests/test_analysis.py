@@ -63,6 +63,12 @@ def test_mismatch_scans_the_dictionary_once_per_use(spark):
     assert "PythonUDF" not in plan and "MapIn" not in plan
 
 
+def test_mismatch_reads_each_table_once_per_use(spark):
+    plan = mismatch.profile_counts(mismatch.mismatches(Domain(spark, SF).components(), Domain(spark, SF).names()))._jdf.queryExecution().optimizedPlan().toString()
+    scans = [line for line in plan.splitlines() if "Relation [" in line]
+    assert sum("l_partkey" in line for line in scans) == 1 and sum("p_partkey" in line for line in scans) == 3  # lines, exact match, counts
+
+
 def test_flagship_counts(spark):
     got = {r["profile"]: r["unique_cpes"] for r in registry.flagship(spark, SF).collect()}
     assert got == {mismatch.NONE: 175, mismatch.TWO: 185, mismatch.THREE: 351, mismatch.FOUR: 180, mismatch.UNPARSABLE: 279}
@@ -116,3 +122,41 @@ def test_empty_tables(spark, official):
     assert {r["components"] for r in matching.match_counts(empty, official).collect()} == {0}
     assert mismatch.mismatches(empty, official.filter("false")).count() == 0
     assert search.envelope(empty).first()["total_pages"] == 1
+
+
+def test_ground_truth_writes(spark, official):
+    names = official.withColumn("snapshot_id", F.lit("s"))
+    parts = frame(spark, [name("a", "v", "three", "8"), "x", "y"])
+    types = spark.createDataFrame([(1, "one", "One", "", True), (2, "two", "Two", "", False)], "id long, code string, name string, description string, is_active boolean")
+    links = spark.createDataFrame([(1, 2)], "component_id long, correction_type_id long")
+    reviews = spark.createDataFrame([(1, None, "old", "x", "MANUAL_FROM_OFFICIAL_FAMILY")], "component_id long, ground_truth_cpe string, manual_ground_truth_cpe string, original_cpe string, outcome string")
+    schema = "component_id long, dictionary_cpe_id long, manual_cpe string, correction_type_ids array<long>, given array<string>"
+    good = spark.createDataFrame([(0, 3, None, [], ["note"]), (1, 4, " ", [1, 2], ["dictionary_cpe_id"])], schema)
+    after, chosen = api.put_ground_truth(reviews, links, good, parts, names, types, "s")
+    assert {r["component_id"]: r["outcome"] for r in after.collect()} == {0: review.CONFIRMED, 1: review.CORRECTED}
+    assert sorted(map(tuple, chosen.collect())) == [(1, 1), (1, 2)]
+    assert api.ground_truth(after, chosen, types, 1).first()["types"] == ["One", "Two"]
+    bad = spark.createDataFrame([(0, 3, None, [1], ["colour"]), (2, 99, "broken", [1, 1, 2, 7], [])], schema)
+    got = sorted(map(tuple, review.write_violations(bad, parts, names, types, links, "t").collect()))
+    assert got == [(0, "corrections_forbidden"), (0, "other_snapshot"), (0, "unknown_field"), (2, "inactive_type"), (2, "invalid_manual"), (2, "repeated_type"), (2, "unknown_name"), (2, "unknown_type")]
+    with pytest.raises(IntegrityError):
+        api.put_ground_truth(reviews, links, bad, parts, names, types, "s")
+    made = api.create_correction_types(types, spark.createDataFrame([(3, " THREE ", " Three ", None)], "id long, code string, name string, description string"))
+    assert [tuple(r) for r in made.filter("id = 3").collect()] == [(3, "three", "Three", "", True)]
+    with pytest.raises(IntegrityError):
+        api.create_correction_types(types, spark.createDataFrame([(3, "x", " ONE", None)], "id long, code string, name string, description string"))
+    with pytest.raises(EngineError, match="code"):
+        api.patch_correction_type(types, 1, {"code": "x"})
+    assert [r["is_active"] for r in api.patch_correction_type(types, 2, {"is_active": True}).orderBy("id").collect()] == [True, True]
+    assert [(r["id"], r["usage_count"]) for r in api.correction_types(types, links, active="all").collect()] == [(1, 0), (2, 1)]
+
+
+def test_details_and_pages(spark):
+    d = Domain(spark, SF)
+    row = api.component_detail(d, d.located().filter("cpe <> ''").agg(F.min("id")).first()[0]).first()
+    assert row["match_status"] != "NOT_PRESENT" and row["component_version"]
+    assert api.sbom_detail(d, d.sboms().agg(F.max("id")).first()[0]).count() == 1 and api.dictionary_detail(d, 1).count() == 1
+    assert '"all_components"' in api.profile_text(d)
+    for wrong in (lambda: api.sbom_detail(d, 10**12), lambda: api.components_list(d, search.ComponentQuery(), 10**6), lambda: api.review_queue(frame(spark, ["a"]), frame(spark, []).selectExpr("id component_id", "cpe outcome"), page=2)):
+        with pytest.raises(EngineError):
+            wrong()

@@ -92,3 +92,54 @@ def test_unsafe_archives(tmp_path, names):
 def test_bad_metadata(text):
     with pytest.raises(EngineError):
         dictionary.parse_metadata(text)
+
+
+def snapshot_files(tmp_path, ids=(1, 2)):
+    content = chunk(1, list(ids), len(ids))
+    path = archive(tmp_path / f"f{len(ids)}.tar.gz", [("nvdcpe-2.0-chunk-00001.json", content)])
+    size = (tmp_path / f"f{len(ids)}.tar.gz").stat().st_size
+    return path, f"lastModifiedDate:2026-07-24T23:50:02-04:00\nsize:{len(content)}\nzipSize:1\ngzSize:{size}\nsha256:{hashlib.sha256(content).hexdigest()}\n"
+
+
+def test_acquired_snapshots(spark, tmp_path):
+    root, out = str(tmp_path / "root"), str(tmp_path / "out")
+    path, meta = snapshot_files(tmp_path)
+    assert dictionary.acquire_snapshot(root, path, meta, dry_run=True) == {"snapshot_id": "20260725T035002Z", "action": "acquire"}
+    with pytest.raises(EngineError, match="gzSize"):
+        dictionary.acquire_snapshot(root, path, meta.replace("gzSize:", "gzSize:1"))
+    assert dictionary.acquire_snapshot(root, path, meta)["action"] == "acquired"
+    assert [p.name for p in (tmp_path / "root").iterdir()] == ["20260725T035002Z"]
+    assert dictionary.acquire_snapshot(root, path, meta)["action"] == "verified"
+    for bad in (99, 20_001, "100"):
+        with pytest.raises(EngineError):
+            dictionary.import_acquired(spark, root, "20260725T035002Z", out, bad)
+    with pytest.raises(EngineError):
+        dictionary.verify_snapshot(root, "2026")
+    assert dictionary.import_acquired(spark, root, "20260725T035002Z", out, dry_run=True)["total"] == 2 and not list((tmp_path / "out").glob("*"))
+    assert dictionary.import_acquired(spark, root, "20260725T035002Z", out) == {"total": 2, "active": 1, "deprecated": 1, "already_imported": False}
+    assert dictionary.import_acquired(spark, root, "20260725T035002Z", out)["already_imported"]
+    other, _ = snapshot_files(tmp_path, (4, 5))
+    with pytest.raises(EngineError, match="against"):
+        dictionary.import_snapshot(spark, other, "20260725T035002Z", out)
+    manifest = tmp_path / "root" / "20260725T035002Z" / "manifest.json"
+    manifest.write_text(manifest.read_text().replace('"VERIFIED"', '"PENDING"'))
+    with pytest.raises(EngineError):
+        dictionary.verify_snapshot(root, "20260725T035002Z")
+
+
+def test_whole_set_import(spark):
+    docs = frame(spark, json.dumps(document()), json.dumps(document(version=5))).withColumn("manifest_digest", F.concat(F.lit("d"), F.substring("source_path", 2, 1)))
+    records = spark.createDataFrame([("d0", "r", "1", "p", "r@d0"), ("d1", "r", "2", "p", "r@d1")], "manifest_digest string, repository string, tag string, platform string, pinned_reference string")
+    images = records.filter("manifest_digest = 'd0'")
+    sboms = spark.createDataFrame([], "file_sha256 string, source_path string, spec_version string, generator_name string, generator_version string, manifest_digest string")
+    got = sbom.import_documents(docs, records, images, sboms)
+    assert got["totals"].first().asDict() == {"files": 2, "created": 2, "skipped": 0, "components_created": 6, "with_cpe": 2}
+    assert [r["manifest_digest"] for r in got["images"].collect()] == ["d1"] and got["components"].count() == 6
+    again = sbom.import_documents(docs, records, records, got["sboms"], dry_run=True)
+    assert set(again) == {"files", "totals"} and again["totals"].first()["skipped"] == 2
+    with pytest.raises(EngineError, match="document metadata"):
+        sbom.import_documents(docs, records, images, got["sboms"].withColumn("spec_version", F.lit("0")))
+    with pytest.raises(EngineError, match="image metadata"):
+        sbom.import_documents(docs, records, images.withColumn("tag", F.lit("9")), sboms)
+    with pytest.raises(EngineError, match="image without document"):
+        sbom.import_documents(docs.filter("manifest_digest = 'd0'"), records, images, sboms)
