@@ -1,7 +1,7 @@
 """Toxicity by a support vector machine on a gap-weighted subsequence string kernel with Nystroem landmarks.
 
 A sentence is a bag of words, and its margin is the greatest of its words' margins; a document's score is a calibrated
-function of its worst sentence. The kernel of two words sums their common subsequences of two and of three characters,
+function of its worst sentence, so an insult of several words that are ordinary one by one is not seen. The kernel of two words sums their common subsequences of two and of three characters,
 each weighted by DECAY to the power of the stretch it spans, so characters inserted between the letters of an insult
 cost weight but do not hide it. Both lengths are normalised on their own. Runs of four or more single characters
 ("i d i o t") also count as one word; a word over WINDOW characters is read in overlapping windows, all of it.
@@ -11,8 +11,10 @@ clean documents are the first witnesses; the machine is then refitted with the c
 toxic document not yet explained offers its best word. Witnesses are also learnt with characters inserted. The subsequence
 weights that the landmarks span are explicit, so scoring a word is a sum of table look-ups.
 
-Defined cases: null and empty texts have no sentence and score the calibrated value of LOWEST; equal texts score alike;
-without labelled rows of both kinds every score is 0.
+Defined cases: null and empty texts have no sentence and score the calibrated value of LOWEST; equal texts, and so repeated
+rows, score alike; a null id is no held-out row; texts of any length are read whole; words that tie for a rank are taken in
+alphabetic order; extra columns, whatever their names, are ignored; without labelled rows of both kinds every score is 0; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,14 +39,14 @@ THRESHOLD = 0.3
 PER_CLASS, MAX_CHARS = 2500, 50_000
 LANDMARKS = 240
 DECAY = 0.7
-WINDOW, STRIDE = 20, 10
+WINDOW, STRIDE = 20, 4
 RIDGE = 1e-8
 LOWEST = -3.0
 ALPHABET = 32
 REMEMBERED = 250_000
 EDGE = ".,!?;:\"'()[]{}«»„“”"
 INSERTED = ".-*_"
-_SPACED = re.compile(r"(?<!\S)(?:\S ){3,}\S[.,!?;:]*(?!\S)")
+_SPACED = re.compile(r"(?<!\S)(?:\S\s{1,3}){3,}\S[.,!?;:]*(?!\S)")
 
 
 def _codes() -> dict[int, int]:
@@ -55,11 +57,11 @@ _CODES = _codes()
 
 
 def code(char: str) -> int:
-    """1-26 for letters without accents, 27 digits, 28-29 other letters, 30 anything else."""
+    """1-26 for letters without accents, 27 digits, 30 anything else; letters of other scripts by a hash, 1-29."""
     found = _CODES.get(ord(char))
     if found is None:
         base = unicodedata.normalize("NFD", char)[0]
-        found = _CODES.get(ord(base), 28 + ord(char) % 2 if char.isalpha() else 30)
+        found = _CODES.get(ord(base), 1 + (ord(char) * 2654435761 >> 7) % 29 if char.isalpha() else 30)
         _CODES[ord(char)] = found
     return found
 
@@ -70,17 +72,21 @@ def document_words(text: str | None) -> set[str]:
         return set()
     low = text.lower()
     found = {w.strip(EDGE) for w in set(low.split())}
-    found.update(m.replace(" ", "").strip(EDGE) for m in _SPACED.findall(low))
+    found.update("".join(m.split()).strip(EDGE) for m in _SPACED.findall(low))
     found.discard("")
     return found
 
 
+def windows(word: str) -> list[str]:
+    """The overlapping windows of a word, the word itself if it is short."""
+    return [word[at : at + WINDOW] for at in range(0, max(1, len(word) - (WINDOW - STRIDE)), STRIDE)] if len(word) > WINDOW else [word]
+
+
 def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(codes of WINDOW characters padded with 0, number of the word) of every window of every word."""
     rows, owners = [], []
     for n, word in enumerate(words):
-        for at in range(0, max(1, len(word) - STRIDE), STRIDE) if len(word) > WINDOW else (0,):
-            piece = word[at : at + WINDOW]
+        for piece in windows(word):
             rows.append([code(c) for c in piece] + [0] * (WINDOW - len(piece)))
             owners.append(n)
     return np.array(rows, dtype=np.int64).reshape(-1, WINDOW), np.array(owners, dtype=np.int64)
@@ -217,7 +223,7 @@ def fit(rows: list[tuple[str, int]]) -> SubsequenceMachine | None:
     spread_out = witnesses[half // 2 :][:: max(1, len(witnesses) * 2 // half)][: half // 2]
     gapped = [v for w in witnesses[:12] for v in inserted(w)[:1]]
     landmarks = list(dict.fromkeys(witnesses[: half // 2] + gapped + spread_out + negatives[:: max(1, len(negatives) // half)][:half]))
-    codes, _ = encode([w[:WINDOW] for w in landmarks])
+    codes, _ = encode([w[:WINDOW] for w in landmarks])  # a landmark may be any string
     two, three = weights(codes)
     values, vectors = np.linalg.eigh(two @ two.T + three @ three.T)
     kept = values > 1e-4 * values.max()
@@ -231,9 +237,9 @@ def fit(rows: list[tuple[str, int]]) -> SubsequenceMachine | None:
         return np.array([seen[w] for w in words])
 
     for _ in range(4):
-        positive = {w: float(toxic[w]) for w in witnesses}
-        positive |= {v: toxic[w] / 4 for w in witnesses[:300] for v in inserted(w)}
-        negative = {w: 1.0 + np.log1p(clean.get(w, 0)) for w in negatives} | {v: 0.5 for w in common[:300] for v in inserted(w)}
+        positive = {v: float(toxic[w]) for w in witnesses for v in windows(w)}
+        positive |= {x: toxic[w] / 4 for w in witnesses[:300] for v in inserted(w) for x in windows(v)}
+        negative = {v: 1.0 + np.log1p(clean.get(w, 0)) for w in negatives for v in windows(w)} | {x: 0.5 for w in common[:300] for v in inserted(w) for x in windows(v)}
         labels = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
         costs = [np.array(list(part.values())) for part in (positive, negative)]
         costs = np.concatenate([c / c.sum() * share for c, share in zip(costs, (1, 2), strict=True)])
@@ -258,8 +264,8 @@ def fit(rows: list[tuple[str, int]]) -> SubsequenceMachine | None:
 
 
 def _features(words: list[str], two: np.ndarray, three: np.ndarray) -> np.ndarray:
-    """Whitened kernels of the words' first windows with the landmarks; two and three are tables of rows per subsequence."""
-    codes, _ = encode([w[:WINDOW] for w in words])
+    """Whitened kernels of words of one window with the landmarks; two and three are tables of rows per subsequence."""
+    codes, _ = encode(words)
     lengths = (codes > 0).sum(axis=1)
     out = np.zeros((len(codes), two.shape[1]), np.float32)
     for width in np.unique(lengths):

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import itertools
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -240,3 +241,187 @@ def test_empty_tables(spark, schema):
     assert secrets.secret_digest(empty).count() == 0 and warc.archive_digest(empty).count() == 0
     assert pieces.piece_digest(empty).count() == 0 and lm.lm_scores(empty).count() == 0
     assert decontaminate.contaminated(empty, spark.createDataFrame([], "item_id long, text string")).count() == 0
+
+
+def paths(word, names):
+    """All ways to cut a word into pieces; a character without a piece stands alone."""
+    if not word:
+        return [[]]
+    ends = [e for e in range(1, len(word) + 1) if word[:e] in names or e == 1]
+    return [[word[:e], *rest] for e in ends for rest in paths(word[e:], names)]
+
+
+@pytest.mark.parametrize("byte_base", [None, 1])
+def test_viterbi_against_all_cuts(spark, byte_base):
+    rng = random.Random(5)
+    mark = pieces.MARK
+    made = sorted({mark, "a", "b", mark + "a", *("".join(rng.choice("abc") for _ in range(rng.randint(1, 4))) for _ in range(25)), mark + "ab"} - {"c"})
+    names = ["<unk>", *[f"<0x{b:02X}>" for b in range(256 if byte_base else 0)], *made]
+    scores = [0.0] * (len(names) - len(made)) + [-rng.random() * 9 - 1 for _ in made]
+    table = pieces.PieceTable.of(names, scores, byte_base=byte_base)
+    score, unknown = dict(zip(names, scores, strict=True)), min(scores[-len(made) :]) - 10
+    texts = ["".join(rng.choice("abcab ") for _ in range(rng.randint(0, 14))).strip() for _ in range(60)] + ["ccc", "cac\nab"]
+    got = pieces.encode(spark.createDataFrame([(k, t, 0) for k, t in enumerate(texts)], "doc_id long, text string, ids int"), table).collect()
+    for row in got:
+        want = []
+        for word in pieces.segments(texts[row["id"]]):
+            best = max(paths(word, set(made)), key=lambda cut: sum(score.get(p, unknown) for p in cut))
+            ids, before = [], None
+            for p in best:
+                if p in made:
+                    ids.append(names.index(p))
+                elif byte_base:
+                    ids += [byte_base + b for b in p.encode()]
+                elif before != "unknown":
+                    ids.append(0)
+                before = p if p in made else "unknown"
+            want += ids
+        assert list(row["ids"]) == want, texts[row["id"]]
+
+
+def test_tokens_cut_like_segments():
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["a", "bc", " ", " ", "\n", "  ", ",", "1", "▁", "é", "漢", "\t", "_"]) for _ in range(rng.randint(0, 30))) for _ in range(500)] + ["", " ", "\n"]
+    lists = pieces.tokens(pa.array(texts)).to_pylist()
+    for text, found in zip(texts, lists, strict=True):
+        words_, _ = pieces.words_of(pa.array(found, pa.string()))
+        assert words_.to_pylist() == pieces.segments(text), repr(text)
+
+
+def test_keys_and_unlisted_words(spark, documents):
+    df = spark.createDataFrame([("▁hello",), ("漢字",), ("",)], "w string")
+    want = [r[0] for r in df.select(F.xxhash64("w")).collect()]
+    assert pieces._keys(pa.array(["▁hello", "漢字", ""])).tolist() == want
+    table = pieces.PieceTable()
+    long = spark.createDataFrame([(1, "ab" * 1500), (2, "=" * 3000), (3, None)], "doc_id long, text string")
+    sentencepiece = pytest.importorskip("sentencepiece")
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    assert {r["id"]: list(r["ids"]) for r in pieces.encode(long, table).collect()} == {1: model.encode("ab" * 1500), 2: model.encode("=" * 3000), 3: []}
+    with pytest.raises(ValueError):
+        pieces.PieceTable.of(["<unk>", "a", "b", "c", "ab", "abc", "xbc"], [0, -1, -2, -3, -9, -1.5, -1.2], kind=pieces.MERGES)
+
+
+def test_near_copies_make_few_rows(spark, monkeypatch):
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for k in range(160):
+        text = list(base)
+        for _ in range(k % 9):
+            text[rng.randrange(len(text))] = f"x{k}y{rng.random()}"
+        rows.append((k, " ".join(text), "m"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, _mark string")
+    sets = [shingles(t) for _, t, _ in rows]
+    parent = list(range(len(rows)))
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            x, y = sorted((root(a), root(b)))
+            parent[y] = x
+    seen = []
+    inner = jaccard.stored
+
+    def counting(frame, name):
+        out = inner(frame, name)
+        if name in ("maybe", "links"):
+            seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "stored", counting)
+    monkeypatch.setattr(jaccard, "TREE_FROM", 8)
+    monkeypatch.setattr(jaccard, "BLOCK", 64)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(df).collect()}
+    assert got == {k: root(k) for k in range(len(rows))}
+    assert len(seen) == 3 and max(seen) < 8 * len(rows)
+    kept = jaccard.one_of_each(df)
+    assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {root(k) for k in range(len(rows))} and {r["_mark"] for r in kept.collect()} == {"m"}
+
+
+def test_exact_cell_against_pairs():
+    rng = np.random.default_rng(6)
+    sets = []
+    for _ in range(12):
+        base = rng.integers(0, 2**62, 60).astype(np.uint64)
+        for _ in range(6):
+            copy = base.copy()
+            moved = rng.random(60) < rng.choice([0.05, 0.1, 0.2])
+            copy[moved] = rng.integers(0, 2**62, moved.sum()).astype(np.uint64)
+            sets.append(np.unique(copy))
+    a, b = jaccard.exact_cell(np.arange(len(sets)), np.zeros(len(sets), np.int64), sets, 80)
+    assert all(jaccard.linked(sets[x], sets[y], 80) for x, y in zip(a, b, strict=True)) and len(a) < len(sets)
+    want = components.solved(*np.array([(x, y) for x, y in itertools.combinations(range(len(sets)), 2) if jaccard.linked(sets[x], sets[y], 80)]).T)
+    got = components.solved(a, b)
+    assert dict(zip(*map(np.ndarray.tolist, want), strict=True)) == dict(zip(*map(np.ndarray.tolist, got), strict=True))
+
+
+def test_components_by_rounds(spark, monkeypatch):
+    monkeypatch.setattr(components, "ONE_TASK", 0)
+    edges = [(k, k + 1) for k in range(1, 20)] + [(100, 90), (90, 95), (7, 7)]
+    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {k: 1 for k in range(1, 21)} | {90: 90, 95: 90, 100: 90}
+
+
+def test_likeness_follows_the_shared_share(spark):
+    rng, rows = random.Random(4), []
+    for k in range(60):
+        share, n = (k % 6) / 5, 40 + 40 * (k % 5)
+        shared = [f"common {k} {j} {rng.random()}." for j in range(n)]
+        cut = int(n * share)
+        rows.append((share, "\n".join(shared), "\n".join(shared[:cut] + [f"other {k} {j} {rng.random()}." for j in range(n - cut)])))
+    df = spark.createDataFrame(rows, "share double, x string, y string")
+    got = df.select("share", fingerprint.likeness(fingerprint.vector(F.col("x")), fingerprint.vector(F.col("y"))).alias("near")).groupBy("share").agg(F.avg("near").alias("near")).orderBy("share").collect()
+    near = [r["near"] for r in got]
+    assert near == sorted(near) and near[0] < 0.1 and near[-1] == 1.0
+
+
+def test_substitutions_against_brute_force(spark):
+    rng, rows, items, want = random.Random(9), [], [], set()
+    for n, length in enumerate([6, 9, 14, 18, 20, 22, 26, 30, 40] * 8):
+        item = [f"i{n}w{k}" for k in range(length)]
+        items.append((n, " ".join(item)))
+        changed = set(rng.sample(range(length), int(length * rng.choice([0.1, 0.2, 0.25]))))
+        text = ["other" if k in changed else w for k, w in enumerate(item)]
+        rows.append((n, " ".join([f"a{k}" for k in range(n % 7)] + text + ["z"])))
+        if decontaminate.overlap(np.array([k not in changed for k in range(length)]), length):
+            want.add((n, n))
+    items += [(900, "two words"), (901, "three little words")]
+    rows += [(900, "Two words!"), (901, "two words more"), (902, "three little words")]
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {x for x in got if x[0] >= 900} == {(900, 900), (902, 901)}
+    found = {x for x in got if x[0] < 900}
+    assert found <= want and len(found) >= 0.9 * len(want)
+
+
+def test_readers_hash_payloads(spark, tmp_path):
+    right, wrong = warc.capture_records(1, "http://a/", b"xy", warc.base32_digest(hashlib.sha1(b"xy").hexdigest()), None), warc.capture_records(2, "http://b/", b"xy", "A" * 32, None)
+    for name, records in (("right", right), ("wrong", wrong)):
+        (tmp_path / name).write_bytes(b"".join(records))
+    assert warc.read_records(spark, [str(tmp_path / "right")]).count() == 3
+    with pytest.raises(Exception, match="not what its digest says"):
+        warc.read_records(spark, [str(tmp_path / "wrong")]).count()
+
+
+def test_clashing_columns_and_many_hits(spark):
+    many = " ".join(f"password=val{k}x9" for k in range(1500))
+    df = spark.createDataFrame([(1, "token=abcdefg1", "s", "own", "r"), (2, many, "s", "own", "r")], "doc_id long, text string, source string, _base string, _row string")
+    out = {r["doc_id"]: r for r in secrets.without_live_secrets(df).collect()}
+    assert out[1]["_base"] == "own" and out[1]["_row"] == "r" and "abcdefg1" not in out[1]["text"] and "val" not in out[2]["text"] and len(out[2]["text"]) == len(many)
+    row = secrets.secret_digest(df.filter("doc_id = 2")).first()
+    assert row["n_assign"] == 1500 and row["spans"].startswith("assign:0:") and row["base_sha256"] == hashlib.sha256(",".join(f"assign:{a}:{b}" for a, _, b in base_spans(many)).encode()).hexdigest()
+    bench = spark.createDataFrame([(0, "one two three four five")], "item_id long, text string")
+    kept = decontaminate.without_contaminated(df.withColumnRenamed("_base", "_mark"), bench)
+    assert kept.count() == 2 and {r["_mark"] for r in kept.collect()} == {"own"}
+
+
+def test_lists_with_blank_segments(spark):
+    lists = spark.createDataFrame([("K.example/a//b/", "prefix", "add", "2024-01-01"), ("only.example", "prefix", "add", "2024-01-01")], "pattern string, kind string, action string, at string")
+    urls = {"http://k.example/a/b/c": True, "http://k.example//a//b": True, "http://k.example/a": False, "http://only.example/x": True, "http://only.example": True, "http://sub.only.example/": False}
+    df = spark.createDataFrame([(k, u, "2024-05-01") for k, u in enumerate(urls)], "page_id long, url string, fetched string")
+    assert {r["id"]: r["listed"] for r in url_filter.listed(df, lists).collect()} == dict(enumerate(urls.values()))
+    empty = url_filter.with_fetch_time(spark.createDataFrame([], "page_id long, url string"))
+    assert url_filter.listed(empty, url_filter.history(empty)).count() == 0

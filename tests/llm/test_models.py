@@ -1,5 +1,6 @@
 """Trained operators: held-out accuracy, gradients, defined cases."""
 
+import itertools
 import random
 
 import numpy as np
@@ -76,3 +77,85 @@ def test_all_training_documents_reach_the_network(spark):
     vocab = spark.sparkContext.broadcast(lm.vocabulary(lm.counted(train), 1500))
     params, tokens = lm.fitted(train, 1500, vocab)
     assert tokens == 4 * 1500 == vocab.value.total and all(np.isfinite(v).all() for v in params.values())
+
+
+def test_gradients_against_differences():
+    rng = np.random.default_rng(3)
+    params = {k: (v + rng.normal(0, 0.1, v.shape)).astype(np.float32) for k, v in gru.initial(np.ones(gru.LEARNED), np.ones(gru.TAILS)).items()}
+    inputs, targets = rng.integers(0, gru.INPUTS, (4, 6)), rng.integers(0, gru.INPUTS, (4, 6))
+    alive, fresh = np.ones((4, 6), bool), np.zeros((4, 6), bool)
+    alive[3, 4:], fresh[1, 3] = False, True
+    state = np.zeros((4, gru.HIDDEN), np.float32)
+
+    def loss(p):
+        found, _ = gru.states(p, p["embed"] @ p["wx"] + p["bx"], inputs, fresh, state)
+        hidden, ids = found[alive.T].astype(np.float64), targets.T[alive.T]
+        total = 0.0
+        for h, token, k in zip(hidden, ids, gru.output_class(ids), strict=True):
+            z = h @ p["wc"] + p["bc"]
+            total += z[k] - np.log(np.exp(z).sum())
+            if k < gru.CLASSES:
+                z = h @ p["wt"][k] + p["bt"][k]
+                total += z[token % gru.PER_CLASS] - np.log(np.exp(z).sum())
+        return -total / len(ids)
+
+    grads, _ = gru.gradients(params, inputs, targets, alive, fresh, state)
+    for name in gru.NAMES:
+        for at in np.argsort(-np.abs(grads[name]).ravel())[:3]:
+            values = []
+            for step in (2e-3, -2e-3):
+                moved = {k: v.copy() for k, v in params.items()}
+                moved[name].ravel()[at] += step
+                values.append(loss(moved))
+            assert abs((values[0] - values[1]) / 4e-3 - grads[name].ravel()[at]) < 0.01 * abs(grads[name].ravel()[at]) + 1e-5, name
+
+
+def test_kernel_against_enumeration():
+    words = ["idiot", "i.d.i.o.t", "ab", "aab"]
+    codes, _ = toxicity.encode(words)
+    two, three = toxicity.weights(codes)
+    for n, word in enumerate(words):
+        chars = [toxicity.code(c) for c in word]
+        for table, size in ((two, 2), (three, 3)):
+            plain = {}
+            for places in itertools.combinations(range(len(chars)), size):
+                key = tuple(chars[p] for p in places)
+                plain[key] = plain.get(key, 0) + toxicity.DECAY ** (places[-1] - places[0] + 1)
+            norm = sum(v * v for v in plain.values()) ** 0.5
+            got = {k: table[n][sum(c * toxicity.ALPHABET ** (size - 1 - i) for i, c in enumerate(k))] for k in plain}
+            assert all(abs(got[k] - v / norm) < 1e-5 for k, v in plain.items())
+            assert abs(float(toxicity.self_kernels(codes[n : n + 1])[size - 2][0]) - norm**2) < 1e-4
+    short = codes[:1, :5]
+    sums = toxicity._weighted_sums(short, np.ascontiguousarray(two.T), np.ascontiguousarray(three.T))
+    assert np.allclose(sums, two[:1] @ two.T + three[:1] @ three.T, atol=1e-4)
+    assert len({toxicity.code(c) for c in "漢字仮名日本語"}) > 3 and toxicity.windows("x" * 45)[0] == "x" * 20 and "".join(w[: toxicity.STRIDE] for w in toxicity.windows("abcdefghijklmnopqrstuvwxyz")).startswith("abcdefgh")
+
+
+def test_quality_against_a_plain_version():
+    texts = ["Good words here here", None, "", "x9!! " * 30, "word " * 5000]
+    words = {"words": 0, "here": 1}
+    vectors = np.random.default_rng(1).normal(size=(2 + quality.SHAPES, 7)).astype(np.float32)
+    numbers = quality.TokenNumbers(words, 2)
+    got = quality.pooled(texts, numbers, vectors)
+    for row, text in zip(got, texts, strict=True):
+        found = (text or "").split()
+        if not found:
+            assert not row.any()
+            continue
+        mean = np.mean([vectors[numbers[t]].astype(np.float64) for t in found], axis=0)
+        assert np.allclose(row[:-3], mean, atol=1e-3) and np.allclose(row[-3:], [np.log1p(len(found)), len(set(found)) / len(found), sum(a == b for a, b in zip(found, found[1:], strict=False)) / len(found)])
+    z, y = np.array([4.0, -3.0, 2.0, -0.5, 1.0, -4.0]), np.array([1, 0, 0, 1, 1, 0])
+    best = quality.fit_temperature(z, y)
+    loss = lambda t: np.mean([np.log1p(np.exp(-(a if b else -a) / t)) for a, b in zip(z, y, strict=True)])
+    assert loss(best) <= min(loss(t) for t in np.linspace(0.2, 20, 400)) + 1e-3
+    assert quality.shape("Ab1" * 40 + "!") != quality.shape("Ab1" * 40 + "?") and quality.shape("aaa") == quality.shape("bb")
+
+
+def test_empty_tables_and_clashes(spark, prose):
+    docs, labels = corpus(prose, spark)
+    empty = docs.filter("false")
+    assert toxicity.toxicity_scores(empty, labels).count() == 0 and quality.quality_scores(empty, labels).count() == 0 and quality.without_rejected(empty, labels).count() == 0
+    clash = docs.filter("doc_id < 60 or doc_id >= 1000").withColumn("score", F.lit("s")).withColumn("_quality", F.lit("q")).withColumn("held_out", F.lit(1))
+    kept = quality.without_rejected(clash, labels)
+    assert kept.columns == clash.columns and {r["_quality"] for r in kept.collect()} <= {"q"}
+    assert toxicity.toxicity_scores(clash.unionByName(clash.limit(1)), labels).count() == clash.count() + 1

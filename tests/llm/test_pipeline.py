@@ -27,3 +27,17 @@ def test_pipeline(spark):
     assert masked.count() == len(kept) and masked.filter(F.length("text") != F.col("n_chars")).count() == 0 and len(changed) < len(kept) / 2
     assert {r["doc_id"] for r in corpus_pipeline.encode_pieces(spark, masked, SF).collect()} == kept
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_classifier", "ngram_jaccard", "decontamination", "secret_scan", "sentencepiece"]
+
+
+def test_pipeline_of_odd_rows(spark):
+    docs = table(spark, SF, "documents")
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "", "en", "s", 0), (1, None, None, "s", None), (10**9, "x " * 20_000, "en", "s", 40_000)], docs.schema)
+    given = docs.limit(40).unionByName(odd).unionByName(odd).withColumn("_mark", F.lit("m")).withColumn("_base", F.lit(1))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, given, SF)
+        assert out.dtypes == given.dtypes, name
+        assert 0 < out.count() <= given.count(), name
+        empty = stage(spark, given.filter("false"), SF)
+        assert empty.columns == given.columns and empty.count() == 0, name
+    assert corpus_pipeline.encode_pieces(spark, given, SF).count() == given.count()
+    assert corpus_pipeline.encode_pieces(spark, given.filter("false"), SF).count() == 0
