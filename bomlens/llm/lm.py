@@ -33,7 +33,7 @@ from bomlens.llm.common import crc_mod, most_frequent, published, read_published
 
 HELD_OUT = (10, 0)
 SMOOTHING = 0.1
-HOT = 131_072
+HOT = 524_288
 #: One text in so many, by its hash, is read in the first round; documents whose tasks' parameters are added up together.
 FIRST_SHARE, MERGED_DOCS = 8, 2000
 #: Words counted by a worker at once, and bytes of texts taken together.
