@@ -121,19 +121,31 @@ def scans_files(df: DataFrame) -> bool:
     return name == "LogicalRelation"
 
 
-def tidied(run):
-    """run for mapInArrow, after which a worker gives freed memory back to the system; workers live on between tasks."""
+#: Numbers of malloc's options for the trim and the map threshold.
+_TRIM, _MAP = -1, -3
+
+
+def tidied(run, hold: int = 1 << 20):
+    """run for mapInArrow, after which a worker gives freed memory back to the system; workers live on between tasks.
+
+    While it runs, malloc keeps freed blocks of up to hold bytes for the next ones instead of mapping each anew.
+    """
 
     def wrapped(batches):
         import pyarrow as pa
 
+        libc = ctypes.CDLL(None)
+        option, trim = getattr(libc, "mallopt", lambda *_: 0), getattr(libc, "malloc_trim", lambda _: 0)
+        option(_MAP, hold)
+        option(_TRIM, 8 * hold)
         try:
             yield from run(batches)
         finally:
+            option(_MAP, 1 << 17)
+            option(_TRIM, 1 << 17)
             gc.collect()
             pa.default_memory_pool().release_unused()
-            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-                trim(0)
+            trim(0)
 
     return wrapped
 

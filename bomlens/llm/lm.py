@@ -38,6 +38,8 @@ HOT = 524_288
 FIRST_SHARE, MERGED_DOCS = 8, 2000
 #: Words counted by a worker at once, and bytes of texts taken together.
 COUNTED, TOGETHER = 500_000, 6_000_000
+#: Bytes up to which a worker keeps freed blocks while it runs the network.
+HELD = 1 << 26
 LN10 = math.log(10)
 
 
@@ -210,7 +212,7 @@ def fitted(train: DataFrame, documents: int, vocab) -> tuple[dict[str, np.ndarra
                 total = (gru.pack(trainer.params) * np.float32(weight)).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float32())), pa.array([float(weight)])], names=["params", "weight"])
 
-        rows = summed(texts.filter(part).mapInArrow(tidied(run), "params array<float>, weight double").repartition(math.isqrt(documents // MERGED_DOCS) + 1))
+        rows = summed(texts.filter(part).mapInArrow(tidied(run, HELD), "params array<float>, weight double").repartition(math.isqrt(documents // MERGED_DOCS) + 1))
         averaged = rows.select("weight", F.posexplode("params").alias("at", "value")).groupBy("at").agg((F.sum("value") / F.sum("weight")).alias("value"), F.sum("weight").alias("weight")).toPandas()
         if len(averaged):
             flat = np.empty(len(averaged), np.float32)
@@ -242,7 +244,7 @@ def scored(docs: DataFrame, vocab, params: dict) -> DataFrame:
                 arrays = [piece.column(0), piece.column(2), piece.column(3), pa.array(np.diff(found.bounds)), pa.array(known), pa.array(found.per_text(logs)), pa.array(model_log + found.per_text(tail)), rare_keys]
                 yield pa.RecordBatch.from_arrays(arrays, names=["_rid", "id", "held_out", "n_tokens", "known", "base", "model", "rare"])
 
-    return docs.select("_rid", "text", "id", "held_out").mapInArrow(tidied(run), "_rid bigint, id bigint, held_out boolean, n_tokens bigint, known bigint, base double, model double, rare array<bigint>")
+    return docs.select("_rid", "text", "id", "held_out").mapInArrow(tidied(run, HELD), "_rid bigint, id bigint, held_out boolean, n_tokens bigint, known bigint, base double, model double, rare array<bigint>")
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
