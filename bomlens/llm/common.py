@@ -125,10 +125,10 @@ def scans_files(df: DataFrame) -> bool:
 _TRIM, _MAP = -1, -3
 
 
-def tidied(run, hold: int = 1 << 20):
+def tidied(run, hold: int | None = None):
     """run for mapInArrow, after which a worker gives freed memory back to the system; workers live on between tasks.
 
-    While it runs, malloc keeps freed blocks of up to hold bytes for the next ones instead of mapping each anew.
+    With hold, malloc keeps freed blocks of up to so many bytes for the next ones while it runs, instead of mapping each anew.
     """
 
     def wrapped(batches):
@@ -136,13 +136,15 @@ def tidied(run, hold: int = 1 << 20):
 
         libc = ctypes.CDLL(None)
         option, trim = getattr(libc, "mallopt", lambda *_: 0), getattr(libc, "malloc_trim", lambda _: 0)
-        option(_MAP, hold)
-        option(_TRIM, 8 * hold)
+        if hold:
+            option(_MAP, hold)
+            option(_TRIM, 8 * hold)
         try:
             yield from run(batches)
         finally:
-            option(_MAP, 1 << 17)
-            option(_TRIM, 1 << 17)
+            if hold:
+                option(_MAP, 1 << 17)
+                option(_TRIM, 1 << 17)
             gc.collect()
             pa.default_memory_pool().release_unused()
             trim(0)
