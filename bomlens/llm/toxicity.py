@@ -1,15 +1,19 @@
 """Toxicity by a support vector machine on a gap-weighted subsequence string kernel with Nystroem landmarks.
 
-A sentence is a bag of words, and its margin is the greatest of its words' margins; a document's score is a calibrated
-function of its worst sentence, so an insult of several words that are ordinary one by one is not seen. The kernel of two words sums their common subsequences of two and of three characters,
-each weighted by DECAY to the power of the stretch it spans, so characters inserted between the letters of an insult
-cost weight but do not hide it. Both lengths are normalised on their own. Runs of four or more single characters
-("i d i o t") also count as one word; a word over WINDOW characters is read in overlapping windows, all of it.
+A sentence is read in stretches: its words, and each two neighbours of together at most JOINED characters with the white
+space between them as one inserted character, so that neither "id iot" nor a phrase of two ordinary words is hidden. The
+sentence's margin is the greatest of its stretches' margins; a document's score is a calibrated function of its worst
+sentence. A sentence ends at a word that ends in a mark of SENTENCE_END; line breaks are white space. The kernel of two
+stretches sums their common subsequences of two and of three characters, each weighted by DECAY to the power of the span
+it takes, so characters inserted between the letters of an insult cost weight but do not hide it. Both lengths are
+normalised on their own. Runs of four or more single characters ("i d i o t") also count as one word; a word over WINDOW
+characters is read in overlapping windows, all of it. An insult parted by spaces into three pieces, not all of one
+character, or into two of together over JOINED characters, is read piece by piece.
 
 Training (labelled sentences): sentences inherit their document's label. Words that stand in many toxic and hardly any
-clean documents are the first witnesses; the machine is then refitted with the clean words nearest to the margin, and each
-toxic document not yet explained offers its best word. Witnesses are also learnt with characters inserted. The subsequence
-weights that the landmarks span are explicit, so scoring a word is a sum of table look-ups.
+clean documents are the first witnesses; the machine is then refitted with the clean stretches nearest to the margin, and
+each toxic document not yet explained offers its best stretch. Witnesses are also learnt with characters inserted. The
+subsequence weights that the landmarks span are explicit, so scoring a stretch is a sum of table look-ups.
 
 Defined cases: null and empty texts have no sentence and score the calibrated value of LOWEST; equal texts, and so repeated
 rows, score alike; a null id is no held-out row; texts of any length are read whole; words that tie for a rank are taken in
@@ -40,6 +44,9 @@ PER_CLASS, MAX_CHARS = 2500, 50_000
 LANDMARKS = 240
 DECAY = 0.7
 WINDOW, STRIDE = 20, 4
+#: Characters of two neighbouring words that are also read as one stretch.
+JOINED = WINDOW - 1
+SENTENCE_END = ".!?"
 RIDGE = 1e-8
 LOWEST = -3.0
 ALPHABET = 32
@@ -66,15 +73,19 @@ def code(char: str) -> int:
     return found
 
 
-def document_words(text: str | None) -> set[str]:
-    """The different words of all sentences, in lower case, without punctuation around them."""
+def sentence_stretches(text: str | None) -> tuple[set[str], set[str]]:
+    """The different words of all sentences and the different short pairs of neighbours, in lower case, without punctuation around words."""
     if not text:
-        return set()
-    low = text.lower()
-    found = {w.strip(EDGE) for w in set(low.split())}
+        return set(), set()
+    low = text.lower().replace("\0", "\1")
+    tokens = low.split()
+    bare = {t: t.strip(EDGE) for t in set(tokens)}
+    found = set(bare.values())
     found.update("".join(m.split()).strip(EDGE) for m in _SPACED.findall(low))
     found.discard("")
-    return found
+    pairs = {(a, b) for a, b in zip(tokens, tokens[1:], strict=False) if a[-1] not in SENTENCE_END}
+    joined = {f"{x} {y}" for a, b in pairs if (x := bare[a]) and (y := bare[b]) and len(x) + len(y) <= JOINED}
+    return found, joined
 
 
 def windows(word: str) -> list[str]:
@@ -82,32 +93,41 @@ def windows(word: str) -> list[str]:
     return [word[at : at + WINDOW] for at in range(0, max(1, len(word) - (WINDOW - STRIDE)), STRIDE)] if len(word) > WINDOW else [word]
 
 
+_TABLE = np.full(0x110000, -1, dtype=np.int64)
+_TABLE[0] = 0
+
+
 def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(codes of WINDOW characters padded with 0, number of the word) of every window of every word."""
-    rows, owners = [], []
+    """(codes of WINDOW characters padded with 0, number of the word) of every window of every word; no word holds a NUL."""
+    pieces, owners = [], []
     for n, word in enumerate(words):
-        for piece in windows(word):
-            rows.append([code(c) for c in piece] + [0] * (WINDOW - len(piece)))
-            owners.append(n)
-    return np.array(rows, dtype=np.int64).reshape(-1, WINDOW), np.array(owners, dtype=np.int64)
+        found = windows(word)
+        pieces += found
+        owners += [n] * len(found)
+    chars = np.frombuffer("".join([p.ljust(WINDOW, "\0") for p in pieces]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    codes = _TABLE[chars]
+    if codes.size and codes.min() < 0:
+        for new in np.unique(chars[codes < 0]).tolist():
+            _TABLE[new] = code(chr(new))
+        codes = _TABLE[chars]
+    return codes.reshape(-1, WINDOW), np.array(owners, dtype=np.int64)
 
 
 def self_kernels(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The kernel of each word with itself for two and for three characters, by the usual recurrence."""
-    n, width = codes.shape
-    same = (codes[:, :, None] == codes[:, None, :]) & (codes[:, :, None] > 0)
-    inner = np.ones((n, width + 1, width + 1), dtype=np.float32)
+    """The kernel of each word with itself for two and for three characters, by the usual recurrence over all words at once."""
+    place = np.ascontiguousarray(codes.T)
+    step = same = ((place[:, None] == place[None]) & (place > 0)[:, None]) * np.float32(DECAY**2)
     out = []
-    for length in (1, 2, 3):
-        out.append(DECAY**2 * (same * inner[:, :-1, :-1]).sum(axis=(1, 2)))
-        nxt = np.zeros_like(inner)
-        for i in range(1, width + 1):
-            row = np.zeros(n, dtype=np.float32)
-            for j in range(1, width + 1):
-                row = DECAY * row + np.where(same[:, i - 1, j - 1], DECAY**2 * inner[:, i - 1, j - 1], 0)
-                nxt[:, i, j] = DECAY * nxt[:, i - 1, j] + row
-        inner = nxt
-    return out[1], out[2]
+    for _ in (2, 3):
+        inner = step.copy()
+        for j in range(1, len(place)):
+            inner[:, j] += np.float32(DECAY) * inner[:, j - 1]
+        for i in range(1, len(place)):
+            inner[i] += np.float32(DECAY) * inner[i - 1]
+        step = np.zeros_like(same)
+        step[1:, 1:] = same[1:, 1:] * inner[:-1, :-1]
+        out.append(step.sum(axis=(0, 1)))
+    return out[0], out[1]
 
 
 def weights(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,14 +151,19 @@ def _weighted_sums(codes: np.ndarray, two: np.ndarray, three: np.ndarray) -> np.
     sum2, sum3 = np.zeros(shape, np.float32), np.zeros(shape, np.float32)
     if width < 2:
         return sum2
-    by_place = np.ascontiguousarray(codes.T)
+    place = np.ascontiguousarray(codes.T)
     for i in range(width):
-        for j in range(i + 1, width):
-            pair = by_place[i] * ALPHABET + by_place[j]
-            sum2 += np.float32(DECAY ** (j - i + 1)) * two[pair]
-            pair = pair * ALPHABET
-            for k in range(j + 1, width):
-                sum3 += np.float32(DECAY ** (k - i + 1)) * three[pair + by_place[k]]
+        begun = [(place[i] * ALPHABET + place[j]) * ALPHABET for j in range(i + 1, width)]
+        for k in range(i + 1, width):
+            weight = np.float32(DECAY ** (k - i + 1))
+            sum2 += weight * two.take(place[i] * ALPHABET + place[k], axis=0)
+            inside = begun[: k - i - 1]
+            if inside:
+                total = three.take(inside[0] + place[k], axis=0)
+                for start in inside[1:]:
+                    total += three.take(start + place[k], axis=0)
+                total *= weight
+                sum3 += total
     norm2, norm3 = (np.maximum(np.sqrt(x), 1e-9).reshape(-1, *[1] * (len(shape) - 1)) for x in self_kernels(codes))
     return sum2 / norm2 + sum3 / norm3
 
@@ -151,6 +176,8 @@ class SubsequenceMachine:
 
     def margins(self, words: list[str]) -> np.ndarray:
         """The margin of each word; a word without pairs has the offset."""
+        if len(words) > 50_000:
+            return np.concatenate([self.margins(words[at : at + 50_000]) for at in range(0, len(words), 50_000)])
         if not words:
             return np.empty(0)
         codes, owners = encode(words)
@@ -158,8 +185,8 @@ class SubsequenceMachine:
         out = np.full(len(codes), self.offset)
         for width in np.unique(lengths):
             picked = np.flatnonzero(lengths == width)
-            for at in range(0, len(picked), 20_000):
-                part = picked[at : at + 20_000]
+            for at in range(0, len(picked), 2_000):
+                part = picked[at : at + 2_000]
                 out[part] += _weighted_sums(codes[part, :width], self.two, self.three)
         best = np.full(len(words), -np.inf)
         np.maximum.at(best, owners, out)
@@ -188,9 +215,12 @@ def fit_margin(features: np.ndarray, labels: np.ndarray, costs: np.ndarray, ridg
 
 
 def inserted(word: str) -> list[str]:
-    """The word with characters inserted between all its letters, and with one letter doubled."""
+    """The word with characters inserted between all its letters, with one letter doubled, and parted by a space at each place."""
+    if len(word) < 3:
+        return []
     middle = len(word) // 2
-    return [c.join(word) for c in INSERTED] + [word[:middle] + word[middle - 1 : middle] + word[middle:]] if len(word) > 2 else []
+    parted = [f"{word[:k]} {word[k:]}" for k in range(2, len(word) - 1)] if " " not in word and len(word) <= JOINED else []
+    return [c.join(word) for c in INSERTED] + [word[:middle] + word[middle - 1 : middle] + word[middle:]] + parted
 
 
 def log_odds(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int) -> dict[str, float]:
@@ -204,24 +234,31 @@ def log_odds(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int) -> dict
     return out
 
 
+def margins_of(machine: SubsequenceMachine, stretches: list[str]) -> dict[str, float]:
+    return dict(zip(stretches, machine.margins(stretches).tolist(), strict=True))
+
+
 def fit(rows: list[tuple[str, int]]) -> SubsequenceMachine | None:
     """The machine from labelled texts; None unless both labels occur."""
-    bags = [(document_words(text), label) for text, label in rows]
-    if len({label for _, label in bags}) < 2:
+    bags = [(*sentence_stretches(text), label) for text, label in rows]
+    if len({label for _, _, label in bags}) < 2:
         return None
-    toxic, clean = Counter(), Counter()
-    for bag, label in bags:
+    toxic, clean, toxic_pairs, clean_pairs = Counter(), Counter(), Counter(), Counter()
+    for bag, pairs, label in bags:
         (toxic if label else clean).update(bag)
-    n_toxic = sum(label for _, label in bags)
+        (toxic_pairs if label else clean_pairs).update(pairs)
+    n_toxic = sum(label for _, _, label in bags)
     odds = log_odds(toxic, clean, n_toxic, len(bags) - n_toxic)
+    pair_odds = log_odds(toxic_pairs, clean_pairs, n_toxic, len(bags) - n_toxic)
     ranked = sorted((w for w in odds if len(w) > 2), key=lambda w: (-odds[w], w))
     witnesses = [w for w in ranked if odds[w] > 15 and clean.get(w, 0) <= 0.01 * toxic[w]] or ranked[:5]
     witnesses = witnesses[:4000]
     common = [w for w, _ in sorted(clean.items(), key=lambda x: (-x[1], x[0])) if len(w) > 1]
+    common_pairs = [w for w, _ in sorted(clean_pairs.items(), key=lambda x: (-x[1], x[0]))]
     negatives = common[:3000] + common[3000 :: max(1, len(common) // 12_000)]
     half = LANDMARKS // 2
     spread_out = witnesses[half // 2 :][:: max(1, len(witnesses) * 2 // half)][: half // 2]
-    gapped = [v for w in witnesses[:12] for v in inserted(w)[:1]]
+    gapped = [v for w in witnesses[:12] for v in inserted(w)[:1] + inserted(w)[5::2]]
     landmarks = list(dict.fromkeys(witnesses[: half // 2] + gapped + spread_out + negatives[:: max(1, len(negatives) // half)][:half]))
     codes, _ = encode([w[:WINDOW] for w in landmarks])  # a landmark may be any string
     two, three = weights(codes)
@@ -237,9 +274,9 @@ def fit(rows: list[tuple[str, int]]) -> SubsequenceMachine | None:
         return np.array([seen[w] for w in words])
 
     for _ in range(4):
-        positive = {v: float(toxic[w]) for w in witnesses for v in windows(w)}
-        positive |= {x: toxic[w] / 4 for w in witnesses[:300] for v in inserted(w) for x in windows(v)}
-        negative = {v: 1.0 + np.log1p(clean.get(w, 0)) for w in negatives for v in windows(w)} | {x: 0.5 for w in common[:300] for v in inserted(w) for x in windows(v)}
+        positive = {v: float(toxic[w] or toxic_pairs[w]) for w in witnesses for v in windows(w)}
+        positive |= {x: (toxic[w] or toxic_pairs[w]) / 4 for w in witnesses[:300] for v in inserted(w) for x in windows(v)}
+        negative = {v: 1.0 + np.log1p(clean.get(w, 0) or clean_pairs.get(w, 0)) for w in negatives for v in windows(w)} | {x: 0.5 for w in common[:300] for v in inserted(w) for x in windows(v)}
         labels = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
         costs = [np.array(list(part.values())) for part in (positive, negative)]
         costs = np.concatenate([c / c.sum() * share for c, share in zip(costs, (1, 2), strict=True)])
@@ -247,19 +284,21 @@ def fit(rows: list[tuple[str, int]]) -> SubsequenceMachine | None:
         machine = SubsequenceMachine((by_pair @ w[:-1]).astype(np.float32), (by_triple @ w[:-1]).astype(np.float32), float(w[-1]))
         clean_margins = machine.margins(common)
         near = [common[i] for i in np.argsort(-clean_margins)[:3000] if clean_margins[i] > -0.7]
-        known = dict(zip(toxic, machine.margins(list(toxic)), strict=True))
+        pair_margins = machine.margins(common_pairs)
+        near += [common_pairs[i] for i in np.argsort(-pair_margins, kind="stable")[:3000] if pair_margins[i] > -0.7]
+        known = margins_of(machine, [*toxic, *toxic_pairs])
         offered = set()
-        for bag, label in bags:
-            if label and bag and max(known[x] for x in bag) < 0.5:
-                free = [x for x in bag if x not in clean and odds.get(x, 0) > 4]
+        for bag, pairs, label in bags:
+            if label and bag and max(known[x] for x in bag | pairs) < 0.5:
+                free = [(odds[x], known[x], x) for x in bag if x not in clean and odds.get(x, 0) > 4]
+                free += [(pair_odds[x], known[x], x) for x in pairs if x not in clean_pairs and pair_odds.get(x, 0) > 15]
                 if free:
-                    offered.add(max(free, key=lambda x: (odds[x], known[x], x)))
+                    offered.add(max(free)[2])
         negatives = list(dict.fromkeys(negatives + near))
         witnesses = list(dict.fromkeys(witnesses + sorted(offered)))
-    every = list({w for bag, _ in bags for w in bag})
-    known = dict(zip(every, machine.margins(every), strict=True))
-    tops = np.array([max((known[x] for x in bag), default=LOWEST) for bag, _ in bags])
-    machine.slope, machine.shift = calibrate(np.clip(tops, -1, 1), np.array([label for _, label in bags]))
+    known = margins_of(machine, list(set().union(*(bag | pairs for bag, pairs, _ in bags))))
+    tops = np.array([max((known[x] for x in bag | pairs), default=LOWEST) for bag, pairs, _ in bags])
+    machine.slope, machine.shift = calibrate(np.clip(tops, -1, 1), np.array([label for _, _, label in bags]))
     return machine
 
 
@@ -295,14 +334,18 @@ _REMEMBERED: dict = {}
 
 
 def document_margins(machine: SubsequenceMachine, texts: list, remembered: dict) -> np.ndarray:
-    """The greatest margin of each text's words, LOWEST for a text without words."""
-    bags = [document_words(text) for text in texts]
-    unknown = list({w for bag in bags for w in bag if w not in remembered})
-    if len(remembered) + len(unknown) > REMEMBERED:
-        remembered.clear()
-        unknown = list({w for bag in bags for w in bag})
-    remembered.update(zip(unknown, machine.margins(unknown).tolist(), strict=True))
-    return np.array([max(map(remembered.__getitem__, bag), default=LOWEST) for bag in bags])
+    """The greatest margin of each text's stretches, LOWEST for a text without words; words and pairs are remembered apart."""
+    bags = [sentence_stretches(text) for text in texts]
+    out = np.full(len(bags), LOWEST)
+    for kind in (0, 1):
+        known = remembered.setdefault(kind, {})
+        unknown = list({w for bag in bags for w in bag[kind] if w not in known})
+        if len(known) + len(unknown) > REMEMBERED:
+            known.clear()
+            unknown = list({w for bag in bags for w in bag[kind]})
+        known.update(zip(unknown, machine.margins(unknown).tolist(), strict=True))
+        out = np.maximum(out, [max(map(known.__getitem__, bag[kind]), default=LOWEST) for bag in bags])
+    return out
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -321,9 +364,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             parts = []
             texts = batch.column(2)
-            for at in range(0, batch.num_rows, 1000):
-                piece = texts.slice(at, 1000).to_pylist()
-                parts.append(np.zeros(len(piece)) if fitted is None else fitted.scores(np.maximum(document_margins(fitted, piece, words), LOWEST)))
+            for at in range(0, batch.num_rows, 200):
+                piece = texts.slice(at, 200).to_pylist()
+                parts.append(np.zeros(len(piece)) if fitted is None else fitted.scores(document_margins(fitted, piece, words)))
             score = np.concatenate(parts) if parts else np.empty(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64())], names=["doc_id", "held_out", "score"])
 

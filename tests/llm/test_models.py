@@ -44,9 +44,39 @@ def test_toxicity_and_quality(spark, prose):
     assert {r["score"] for r in quality.quality_scores(docs, none).collect()} == {0.5}
 
 
-def test_words_of_a_document():
-    assert toxicity.document_words("I d i o t!, (Yes) \n yes") >= {"yes", "idiot"}
-    assert toxicity.document_words(None) == toxicity.document_words("") == set()
+def test_stretches_of_sentences():
+    words, pairs = toxicity.sentence_stretches("I d i o t!, (Yes) \n yes. No id\tiot, \0x extraordinarily longwinded")
+    assert words >= {"yes", "idiot", "no", "\1x"} and "" not in words
+    assert {"yes yes", "no id", "id iot", "iot \1x"} <= pairs and "yes no" not in pairs and not any("longwinded" in p for p in pairs)
+    assert toxicity.sentence_stretches(None) == toxicity.sentence_stretches("") == toxicity.sentence_stretches(" ,\n. ") == (set(), set())
+
+
+def test_insults_over_white_space(prose):
+    """An insult parted in two, and a phrase of two words that are ordinary one by one."""
+    rng, rows = random.Random(4), []
+    for k in range(500):
+        w = prose(9000 + k, 60).split(" ")
+        at = rng.randint(1, len(w) - 1)
+        if k % 5 == 0:
+            w.insert(at, rng.choice(["grobnik", "snivelard"]))
+        elif k % 5 == 1:
+            w[at:at] = ["dumb", "goat"]
+        elif k % 5 == 2:
+            w.insert(at, "dumb")
+            w.insert(1, "goat,")
+            w.insert(2, "plain.")
+        else:
+            w.insert(at, rng.choice(["dumb bell", "old goat"]))
+        rows.append((" ".join(w), int(k % 5 < 2)))
+    machine = toxicity.fit(rows[:400])
+    held = [text for text, label in rows[400:] if not label]
+    scores = lambda texts: machine.scores(toxicity.document_margins(machine, texts, {}))
+    assert (scores(held) < toxicity.THRESHOLD).mean() > 0.95
+    assert (scores([t for t, label in rows[400:] if label]) >= toxicity.THRESHOLD).mean() > 0.95
+    quiet = [t for t in held if "dumb" not in t and "goat" not in t]
+    for split in ("grob nik", "gro\nbnik", "s n i v e l a r d", "snive  lard", "dumb goat", "dumb\tgoat"):
+        assert (scores([f"{t[:40]} {split} {t[40:]}" for t in quiet + held[:5]]) >= toxicity.THRESHOLD).mean() > 0.95, split
+    assert scores(["dumb goat " * 40_000])[0] >= toxicity.THRESHOLD
 
 
 def test_state_is_carried_over_windows():
