@@ -41,6 +41,8 @@ HELD_OUT = (4, 2)
 THRESHOLD = 0.3
 #: Bounds of the labelled sample.
 PER_CLASS, MAX_CHARS = 2500, 50_000
+#: Sampled texts of the more frequent label whose pairs are fitted, and the same share of the other's; all give words.
+PAIRED = 1000
 LANDMARKS = 240
 DECAY = 0.7
 WINDOW, STRIDE = 20, 4
@@ -51,6 +53,8 @@ RIDGE = 1e-8
 LOWEST = -3.0
 ALPHABET = 32
 REMEMBERED = 250_000
+#: Bytes up to which a worker keeps freed blocks while it scores.
+HELD = 1 << 23
 EDGE = ".,!?;:\"'()[]{}«»„“”"
 INSERTED = ".-*_"
 _SPACED = re.compile(r"(?<!\S)(?:\S\s{1,3}){3,}\S[.,!?;:]*(?!\S)")
@@ -83,9 +87,9 @@ def sentence_stretches(text: str | None) -> tuple[set[str], set[str]]:
     found = set(bare.values())
     found.update("".join(m.split()).strip(EDGE) for m in _SPACED.findall(low))
     found.discard("")
-    pairs = {(a, b) for a, b in zip(tokens, tokens[1:], strict=False) if a[-1] not in SENTENCE_END}
-    joined = {f"{x} {y}" for a, b in pairs if (x := bare[a]) and (y := bare[b]) and len(x) + len(y) <= JOINED}
-    return found, joined
+    first = {t: "" if t[-1] in SENTENCE_END else word for t, word in bare.items()}
+    neighbours = zip(map(first.__getitem__, tokens), map(bare.__getitem__, tokens[1:]), strict=False)
+    return found, {f"{x} {y}" for x, y in neighbours if x and y and len(x) + len(y) <= JOINED}
 
 
 def windows(word: str) -> list[str]:
@@ -99,11 +103,10 @@ _TABLE[0] = 0
 
 def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(codes of WINDOW characters padded with 0, number of the word) of every window of every word; no word holds a NUL."""
-    pieces, owners = [], []
-    for n, word in enumerate(words):
-        found = windows(word)
-        pieces += found
-        owners += [n] * len(found)
+    pieces, owners = words, range(len(words))
+    if max(map(len, words), default=0) > WINDOW:
+        cut = [windows(word) for word in words]
+        pieces, owners = [p for found in cut for p in found], [n for n, found in enumerate(cut) for _ in found]
     chars = np.frombuffer("".join([p.ljust(WINDOW, "\0") for p in pieces]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     codes = _TABLE[chars]
     if codes.size and codes.min() < 0:
@@ -115,19 +118,23 @@ def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def self_kernels(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The kernel of each word with itself for two and for three characters, by the usual recurrence over all words at once."""
-    place = np.ascontiguousarray(codes.T)
-    step = same = ((place[:, None] == place[None]) & (place > 0)[:, None]) * np.float32(DECAY**2)
-    out = []
-    for _ in (2, 3):
-        inner = step.copy()
-        for j in range(1, len(place)):
-            inner[:, j] += np.float32(DECAY) * inner[:, j - 1]
-        for i in range(1, len(place)):
-            inner[i] += np.float32(DECAY) * inner[i - 1]
-        step = np.zeros_like(same)
-        step[1:, 1:] = same[1:, 1:] * inner[:-1, :-1]
-        out.append(step.sum(axis=(0, 1)))
-    return out[0], out[1]
+    place = np.ascontiguousarray(codes.T.astype(np.int8))
+    same = (place[:, None] == place[None]) & (place > 0)[:, None]
+    same = same.astype(np.float32)
+    two, three = same[1:, 1:] * _spread(same[:-1, :-1].copy()), same[2:, 2:]
+    total2 = two.sum(axis=(0, 1))
+    inner = _spread(two[:-1, :-1]) if len(place) > 2 else three
+    return np.float32(DECAY**4) * total2, np.float32(DECAY**6) * np.einsum("ijn,ijn->n", three, inner)
+
+
+def _spread(table: np.ndarray) -> np.ndarray:
+    """table, in place, with the decayed sums of all earlier rows and columns added."""
+    decay, spare = np.float32(DECAY), np.empty(table.shape[1:], np.float32)
+    for j in range(1, table.shape[1]):
+        table[:, j] += np.multiply(table[:, j - 1], decay, out=spare)
+    for i in range(1, len(table)):
+        table[i] += np.multiply(table[i - 1], decay, out=spare)
+    return table
 
 
 def weights(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -198,19 +205,30 @@ class SubsequenceMachine:
 
 
 def fit_margin(features: np.ndarray, labels: np.ndarray, costs: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
-    """Squared-hinge machine in the primal, by Newton steps on the violated rows; the last weight is the offset."""
-    x = np.c_[features, np.ones(len(features))]
-    w = np.zeros(x.shape[1])
+    """Squared-hinge machine in the primal, by Newton steps on the violated rows, each halved until the loss falls; the last weight is the offset."""
+    x, share = np.c_[features, np.ones(len(features))], costs / costs.sum()
     penalty = ridge * np.eye(x.shape[1])
     penalty[-1, -1] = 1e-9
-    before = None
+
+    def loss(weights):
+        short = np.maximum(1 - labels * (x @ weights), 0)
+        return share @ short**2 + weights @ penalty @ weights, short > 0
+
+    w = np.zeros(x.shape[1])
+    value, active = loss(w)
     for _ in range(50):
-        active = labels * (x @ w) < 1
-        if before is not None and (active == before).all():
+        a, c = x[active], share[active]
+        step = np.linalg.solve(a.T @ (a * c[:, None]) + penalty, a.T @ (c * labels[active])) - w
+        for halved in range(12):
+            moved, violated = loss(w + step / 2**halved)
+            if moved < value:
+                break
+        else:
+            break
+        done = (violated == active).all() and not halved
+        w, value, active = w + step / 2**halved, moved, violated
+        if done:
             break
-        before = active
-        a, c = x[active], costs[active] / costs.sum()
-        w = np.linalg.solve(a.T @ (a * c[:, None]) + penalty, a.T @ (c * labels[active]))
     return w
 
 
@@ -234,27 +252,41 @@ def log_odds(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int) -> dict
     return out
 
 
-def margins_of(machine: SubsequenceMachine, stretches: list[str]) -> dict[str, float]:
-    return dict(zip(stretches, machine.margins(stretches).tolist(), strict=True))
+def _numbered(rows: list[tuple[str, int]]) -> tuple[list[tuple[set[str], np.ndarray | None, int]], list[str]]:
+    """(words, numbers of the pairs or None beyond PAIRED, label) of each text, and the pairs by number in alphabetic order."""
+    sizes, taken = Counter(label for _, label in rows), Counter()
+    bags, number = [], {}
+    for text, label in rows:
+        words, pairs = sentence_stretches(text)
+        taken[label] += 1
+        paired = taken[label] * max(sizes.values()) <= PAIRED * sizes[label]
+        bags.append((words, np.fromiter((number.setdefault(p, len(number)) for p in pairs), np.int64, len(pairs)) if paired else None, label))
+    names = sorted(number)
+    place = np.empty(len(names), np.int32)
+    place[[number[p] for p in names]] = np.arange(len(names))
+    return [(words, None if found is None else place[found], label) for words, found, label in bags], names
 
 
 def fit(rows: list[tuple[str, int]]) -> SubsequenceMachine | None:
     """The machine from labelled texts; None unless both labels occur."""
-    bags = [(*sentence_stretches(text), label) for text, label in rows]
-    if len({label for _, _, label in bags}) < 2:
+    if len({label for _, label in rows}) < 2:
         return None
-    toxic, clean, toxic_pairs, clean_pairs = Counter(), Counter(), Counter(), Counter()
+    toxic, clean = Counter(), Counter()
+    bags, pair_names = _numbered(rows)
+    pair_times = np.zeros((2, len(pair_names)), np.int32)
     for bag, pairs, label in bags:
         (toxic if label else clean).update(bag)
-        (toxic_pairs if label else clean_pairs).update(pairs)
+        if pairs is not None:
+            pair_times[int(label), pairs] += 1
+    clean_pairs = np.flatnonzero(pair_times[0])
+    toxic_times, clean_times = {}, {}
     n_toxic = sum(label for _, _, label in bags)
     odds = log_odds(toxic, clean, n_toxic, len(bags) - n_toxic)
-    pair_odds = log_odds(toxic_pairs, clean_pairs, n_toxic, len(bags) - n_toxic)
+    share, whole = n_toxic / len(bags), [bag for bag in bags if bag[1] is not None]
     ranked = sorted((w for w in odds if len(w) > 2), key=lambda w: (-odds[w], w))
     witnesses = [w for w in ranked if odds[w] > 15 and clean.get(w, 0) <= 0.01 * toxic[w]] or ranked[:5]
     witnesses = witnesses[:4000]
     common = [w for w, _ in sorted(clean.items(), key=lambda x: (-x[1], x[0])) if len(w) > 1]
-    common_pairs = [w for w, _ in sorted(clean_pairs.items(), key=lambda x: (-x[1], x[0]))]
     negatives = common[:3000] + common[3000 :: max(1, len(common) // 12_000)]
     half = LANDMARKS // 2
     spread_out = witnesses[half // 2 :][:: max(1, len(witnesses) * 2 // half)][: half // 2]
@@ -274,9 +306,9 @@ def fit(rows: list[tuple[str, int]]) -> SubsequenceMachine | None:
         return np.array([seen[w] for w in words])
 
     for _ in range(4):
-        positive = {v: float(toxic[w] or toxic_pairs[w]) for w in witnesses for v in windows(w)}
-        positive |= {x: (toxic[w] or toxic_pairs[w]) / 4 for w in witnesses[:300] for v in inserted(w) for x in windows(v)}
-        negative = {v: 1.0 + np.log1p(clean.get(w, 0) or clean_pairs.get(w, 0)) for w in negatives for v in windows(w)} | {x: 0.5 for w in common[:300] for v in inserted(w) for x in windows(v)}
+        positive = {v: float(toxic[w] or toxic_times[w]) for w in witnesses for v in windows(w)}
+        positive |= {x: (toxic[w] or toxic_times[w]) / 4 for w in witnesses[:300] for v in inserted(w) for x in windows(v)}
+        negative = {v: 1.0 + np.log1p(clean.get(w, 0) or clean_times.get(w, 0)) for w in negatives for v in windows(w)} | {x: 0.5 for w in common[:300] for v in inserted(w) for x in windows(v)}
         labels = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
         costs = [np.array(list(part.values())) for part in (positive, negative)]
         costs = np.concatenate([c / c.sum() * share for c, share in zip(costs, (1, 2), strict=True)])
@@ -284,21 +316,30 @@ def fit(rows: list[tuple[str, int]]) -> SubsequenceMachine | None:
         machine = SubsequenceMachine((by_pair @ w[:-1]).astype(np.float32), (by_triple @ w[:-1]).astype(np.float32), float(w[-1]))
         clean_margins = machine.margins(common)
         near = [common[i] for i in np.argsort(-clean_margins)[:3000] if clean_margins[i] > -0.7]
-        pair_margins = machine.margins(common_pairs)
-        near += [common_pairs[i] for i in np.argsort(-pair_margins, kind="stable")[:3000] if pair_margins[i] > -0.7]
-        known = margins_of(machine, [*toxic, *toxic_pairs])
+        pair_margins = machine.margins(pair_names)
+        for i in clean_pairs[np.argsort(-pair_margins[clean_pairs], kind="stable")[:3000]]:
+            if pair_margins[i] > -0.7:
+                near.append(pair_names[i])
+                clean_times[pair_names[i]] = int(pair_times[0, i])
+        known = dict(zip(toxic, machine.margins(list(toxic)).tolist(), strict=True))
         offered = set()
         for bag, pairs, label in bags:
-            if label and bag and max(known[x] for x in bag | pairs) < 0.5:
+            pairs = np.empty(0, np.int32) if pairs is None else pairs
+            if label and bag and max(max(known[x] for x in bag), pair_margins[pairs].max(initial=LOWEST)) < 0.5:
                 free = [(odds[x], known[x], x) for x in bag if x not in clean and odds.get(x, 0) > 4]
-                free += [(pair_odds[x], known[x], x) for x in pairs if x not in clean_pairs and pair_odds.get(x, 0) > 15]
+                only = pairs[pair_times[0, pairs] == 0]
+                free += [(2 * pair_times[1, i] * -np.log(share), pair_margins[i], pair_names[i]) for i in only]
+                free = [x for x in free if " " not in x[2] or x[0] > 15]
                 if free:
-                    offered.add(max(free)[2])
+                    best = max(free)
+                    offered.add(best[2])
+                    toxic_times[best[2]] = best[0] / (-2 * np.log(share))
         negatives = list(dict.fromkeys(negatives + near))
         witnesses = list(dict.fromkeys(witnesses + sorted(offered)))
-    known = margins_of(machine, list(set().union(*(bag | pairs for bag, pairs, _ in bags))))
-    tops = np.array([max((known[x] for x in bag | pairs), default=LOWEST) for bag, pairs, _ in bags])
-    machine.slope, machine.shift = calibrate(np.clip(tops, -1, 1), np.array([label for _, _, label in bags]))
+    every = list(set().union(*(bag for bag, _, _ in whole)))
+    known, pair_margins = dict(zip(every, machine.margins(every).tolist(), strict=True)), machine.margins(pair_names)
+    tops = np.array([max(max((known[x] for x in bag), default=LOWEST), pair_margins[pairs].max(initial=LOWEST)) for bag, pairs, _ in whole])
+    machine.slope, machine.shift = calibrate(np.clip(tops, -1, 1), np.array([label for _, _, label in whole]))
     return machine
 
 
@@ -371,5 +412,5 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64())], names=["doc_id", "held_out", "score"])
 
     selected = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), (crc_mod("doc_id", HELD_OUT[0]) == HELD_OUT[1]).alias("held_out"), F.col("text"))
-    scored = selected.mapInArrow(tidied(run), "doc_id bigint, held_out boolean, score double")
+    scored = selected.mapInArrow(tidied(run, HELD), "doc_id bigint, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
