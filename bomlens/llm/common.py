@@ -125,6 +125,15 @@ def scans_files(df: DataFrame) -> bool:
 _TRIM, _MAP = -1, -3
 
 
+def released() -> None:
+    """Give freed memory of this worker back to the system."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)(0)
+
+
 def tidied(run, hold: int | None = None):
     """run for mapInArrow, after which a worker gives freed memory back to the system; workers live on between tasks.
 
@@ -132,10 +141,7 @@ def tidied(run, hold: int | None = None):
     """
 
     def wrapped(batches):
-        import pyarrow as pa
-
-        libc = ctypes.CDLL(None)
-        option, trim = getattr(libc, "mallopt", lambda *_: 0), getattr(libc, "malloc_trim", lambda _: 0)
+        option = getattr(ctypes.CDLL(None), "mallopt", lambda *_: 0)
         if hold:
             option(_MAP, hold)
             option(_TRIM, 8 * hold)
@@ -145,9 +151,7 @@ def tidied(run, hold: int | None = None):
             if hold:
                 option(_MAP, 1 << 17)
                 option(_TRIM, 1 << 17)
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim(0)
+            released()
 
     return wrapped
 

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
-from bomlens.llm.common import is_frequent, published, read_published, scans_files, shared_folder, slices, stored, tidied
+from bomlens.llm.common import is_frequent, published, read_published, released, scans_files, shared_folder, slices, stored, tidied
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -49,7 +49,7 @@ SEGMENT = re.compile(rf"{MARK}*[^\W{NUMERALS}]+|{MARK}*(?:[^\w{MARK}\n]|[{NUMERA
 HOT, HOT_CHARS = 1 << 19, 48
 HOT_LONG, LONG_CHARS = 4096, 2048
 #: Words counted by a worker at once, and bytes of texts taken together.
-COUNTED, TOGETHER = 800_000, 6_000_000
+COUNTED, TOGETHER = 800_000, 2_000_000
 BEST, MERGES = "best path", "merges"
 #: Bits of a packed edge below its rank: start, length, id.
 START_BITS, LENGTH_BITS, ID_BITS = 24, 6, 17
@@ -431,6 +431,7 @@ class Speller:
         if (rows := read_published(own, missing_ok=True)) is not None:
             self.tables.append(Encoded(rows.select(["key", "ids"])))
         self.every = every
+        released()  # what reading them took, before texts are encoded
 
     def look_up(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(flat, starts, sizes): the ids of the words with these keys."""

@@ -425,3 +425,24 @@ def test_lists_with_blank_segments(spark):
     assert {r["id"]: r["listed"] for r in url_filter.listed(df, lists).collect()} == dict(enumerate(urls.values()))
     empty = url_filter.with_fetch_time(spark.createDataFrame([], "page_id long, url string"))
     assert url_filter.listed(empty, url_filter.history(empty)).count() == 0
+
+
+def test_speller_memory(tmp_path):
+    """Arrays that a worker holds at once while it encodes do not grow with the batch of texts."""
+    import tracemalloc
+
+    import pyarrow.parquet as pq
+
+    from bomlens.llm.common import slices
+
+    rng = random.Random(11)
+    texts = pa.array([" ".join(rng.choices("abcdefgh", k=3000)) for _ in range(1000)])
+    known = pa.array([f"{pieces.MARK}{c}" for c in "abcdefgh"])
+    pq.write_table(pa.table({"key": pieces._keys(known), "ids": pa.array([[k, k + 1] for k in range(8)], pa.list_(pa.int32()))}), tmp_path / "hot.parquet")
+    speller, done = pieces.Speller(str(tmp_path), str(tmp_path / "none"), str(tmp_path)), 0
+    tracemalloc.start()
+    for start, length in slices(texts, pieces.TOGETHER):
+        done += len(speller.encode(texts.slice(start, length)).flatten())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert done == 2 * 3000 * 1000 and peak < 120e6
