@@ -27,7 +27,7 @@ import re
 import unicodedata
 import uuid
 from collections import Counter
-from itertools import combinations
+from itertools import chain, combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -154,23 +154,29 @@ def weights(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _weighted_sums(codes: np.ndarray, two: np.ndarray, three: np.ndarray) -> np.ndarray:
     """Normalised subsequence weights of words of one length, summed against tables with a row for each subsequence."""
     n, width = codes.shape
+    if n == 1:  # numpy adds up single columns in another order, and a word's margin must not depend on its company
+        return _weighted_sums(np.repeat(codes, 2, axis=0), two, three)[:1]
     shape = (n, *two.shape[1:])
     sum2, sum3 = np.zeros(shape, np.float32), np.zeros(shape, np.float32)
     if width < 2:
         return sum2
     place = np.ascontiguousarray(codes.T)
     for i in range(width):
-        begun = [(place[i] * ALPHABET + place[j]) * ALPHABET for j in range(i + 1, width)]
+        begun = (place[i] * ALPHABET + place[i + 1 :]) * ALPHABET
         for k in range(i + 1, width):
             weight = np.float32(DECAY ** (k - i + 1))
             sum2 += weight * two.take(place[i] * ALPHABET + place[k], axis=0)
             inside = begun[: k - i - 1]
-            if inside:
+            if len(inside) and len(shape) == 1:
+                total = three.take(inside + place[k]).sum(axis=0)
+            elif len(inside):  # rows of many columns one at a time, for memory
                 total = three.take(inside[0] + place[k], axis=0)
                 for start in inside[1:]:
                     total += three.take(start + place[k], axis=0)
-                total *= weight
-                sum3 += total
+            else:
+                continue
+            total *= weight
+            sum3 += total
     norm2, norm3 = (np.maximum(np.sqrt(x), 1e-9).reshape(-1, *[1] * (len(shape) - 1)) for x in self_kernels(codes))
     return sum2 / norm2 + sum3 / norm3
 
@@ -374,19 +380,79 @@ def calibrate(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
 _REMEMBERED: dict = {}
 
 
+class _Numbers(dict):
+    """Numbers of strings by first use."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = number = len(self)
+        return number
+
+
+class Reader:
+    """Greatest margins of texts; tokens, words and their margins are kept up to REMEMBERED tokens, pairs are read by their words' numbers."""
+
+    def __init__(self, machine: SubsequenceMachine):
+        self.machine = machine
+        self._clear()
+
+    def _clear(self) -> None:
+        self.tokens, self.words = _Numbers(), _Numbers()
+        # by token: the word, -1 for none, and whether a sentence ends; by word: margin, length, codes
+        self.bare, self.ends = np.empty(0, np.int64), np.empty(0, bool)
+        self.margin, self.size, self.codes = np.empty(0), np.empty(0, np.int64), np.empty((0, JOINED), np.uint8)
+
+    def _learn(self) -> None:
+        """What is kept about the tokens and words that are new."""
+        new = list(islice(self.tokens, len(self.bare), None))
+        bare = [t.strip(EDGE) for t in new]
+        self.bare = np.r_[self.bare, np.fromiter((self.words[w] if w else -1 for w in bare), np.int64, len(new))]
+        self.ends = np.r_[self.ends, np.fromiter((t[-1] in SENTENCE_END for t in new), bool, len(new))]
+        words = list(islice(self.words, len(self.margin), None))
+        if words:
+            self.margin = np.r_[self.margin, self.machine.margins(words)]
+            self.size = np.r_[self.size, np.fromiter(map(len, words), np.int64, len(words))]
+            self.codes = np.r_[self.codes, encode([w if len(w) < JOINED else "" for w in words])[0][:, :JOINED].astype(np.uint8)]
+
+    def _pair_margins(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The margins of the words x, each with its neighbour y, whose characters fit in a window."""
+        out, widths = np.full(len(x), self.machine.offset), self.size[x] + self.size[y] + 1
+        for width in np.unique(widths):
+            picked = np.flatnonzero(widths == width)
+            for at in range(0, len(picked), 2_000):
+                part = picked[at : at + 2_000]
+                codes = np.full((len(part), width), code(" "), np.int64)
+                for first in np.unique(self.size[x[part]]):
+                    rows = np.flatnonzero(self.size[x[part]] == first)
+                    codes[rows, :first] = self.codes[x[part[rows]], :first]
+                    codes[rows, first + 1 :] = self.codes[y[part[rows]], : width - first - 1]
+                out[part] += _weighted_sums(codes, self.machine.two, self.machine.three)
+        return out
+
+    def margins(self, texts: list) -> np.ndarray:
+        """The greatest margin of each text's stretches, those of sentence_stretches; LOWEST for a text without words."""
+        if len(self.tokens) > REMEMBERED:
+            self._clear()
+        lows = [text.lower().replace("\0", "\1") if text else "" for text in texts]
+        split = [low.split() for low in lows]
+        flat = np.fromiter(map(self.tokens.__getitem__, chain.from_iterable(split)), np.int64)
+        owner = np.repeat(np.arange(len(texts)), [len(found) for found in split])
+        spaced = [(n, w) for n, low in enumerate(lows) for m in _SPACED.findall(low) if (w := "".join(m.split()).strip(EDGE))]
+        apart = np.array([self.words[w] for _, w in spaced], np.int64)
+        self._learn()
+        out, word = np.full(len(texts), LOWEST), self.bare[flat]
+        np.maximum.at(out, owner[word >= 0], self.margin[word[word >= 0]])
+        np.maximum.at(out, np.array([n for n, _ in spaced], np.int64), self.margin[apart])
+        x, y = word[:-1], word[1:]
+        near = np.flatnonzero((owner[:-1] == owner[1:]) & (x >= 0) & (y >= 0) & ~self.ends[flat[:-1]])
+        near = near[self.size[x[near]] + self.size[y[near]] <= JOINED]
+        keys, place = np.unique(x[near] << 32 | y[near], return_inverse=True)
+        np.maximum.at(out, owner[near], self._pair_margins(keys >> 32, keys & 0xFFFFFFFF)[place])
+        return out
+
+
 def document_margins(machine: SubsequenceMachine, texts: list, remembered: dict) -> np.ndarray:
-    """The greatest margin of each text's stretches, LOWEST for a text without words; words and pairs are remembered apart."""
-    bags = [sentence_stretches(text) for text in texts]
-    out = np.full(len(bags), LOWEST)
-    for kind in (0, 1):
-        known = remembered.setdefault(kind, {})
-        unknown = list({w for bag in bags for w in bag[kind] if w not in known})
-        if len(known) + len(unknown) > REMEMBERED:
-            known.clear()
-            unknown = list({w for bag in bags for w in bag[kind]})
-        known.update(zip(unknown, machine.margins(unknown).tolist(), strict=True))
-        out = np.maximum(out, [max(map(known.__getitem__, bag[kind]), default=LOWEST) for bag in bags])
-    return out
+    """The greatest margin of each text's stretches, LOWEST for a text without words; remembered keeps the machine's reader."""
+    return remembered.setdefault("reader", Reader(machine)).margins(texts)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

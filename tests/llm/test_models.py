@@ -189,3 +189,23 @@ def test_empty_tables_and_clashes(spark, prose):
     kept = quality.without_rejected(clash, labels)
     assert kept.columns == clash.columns and {r["_quality"] for r in kept.collect()} <= {"q"}
     assert toxicity.toxicity_scores(clash.unionByName(clash.limit(1)), labels).count() == clash.count() + 1
+
+
+def test_pairs_are_read_by_number():
+    """The margins of all stretches of each text, without a string for each pair of neighbours."""
+    rng = np.random.default_rng(5)
+    two, three = rng.normal(0, 1, toxicity.ALPHABET**2).astype(np.float32), rng.normal(0, 1, toxicity.ALPHABET**3).astype(np.float32)
+    machine = toxicity.SubsequenceMachine(two, three, -0.5)
+    odd = ["I d i o t!, (Yes) \n yes. No id\tiot, \0x", None, "", " ,\n. ", "a", "\ud800 b\ud800 c", "ab" * 9 + " c", "ab" * 9 + "c d", "!? . hi! there", "é" * 30 + " tail", "漢字 かな"]
+    odd += [" ".join("".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(1, 15))) + rng.choice(["", ".", ","]) for _ in range(60)) for _ in range(20)]
+    want = []
+    for text in odd:
+        words, pairs = toxicity.sentence_stretches(text)
+        want.append(machine.margins([*words, *pairs]).max(initial=toxicity.LOWEST))
+    strings, plain = [], machine.margins
+    machine.margins = lambda words: strings.extend(words) or plain(words)
+    remembered = {}
+    for _ in range(2):
+        assert toxicity.document_margins(machine, odd, remembered).tolist() == want
+        assert [toxicity.document_margins(machine, [text], remembered)[0] for text in odd] == want
+    assert toxicity.document_margins(machine, [], {}).tolist() == [] and not any(" " in w for w in strings)
