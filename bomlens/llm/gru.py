@@ -18,6 +18,8 @@ INPUTS = LEARNED + TAILS
 OUTPUTS = CLASSES + TAILS
 HIDDEN = 16
 LANES, WINDOW = 512, 32
+#: Rows whose logits are made at once, so that they stay in a core's cache.
+BLOCK = 2048
 TRAIN_LANES, TRAIN_WINDOW, RATE, CLIP = 256, 32, 0.01, 1.0
 #: Bound of an output weight, so that logits of states in (-1, 1) stay in the range of exp.
 LARGEST = 3.0
@@ -43,10 +45,14 @@ def pack(params: dict) -> np.ndarray:
 
 
 def unpack(flat: np.ndarray, like: dict) -> dict[str, np.ndarray]:
+    return _views(flat.astype(np.float32), like)
+
+
+def _views(flat: np.ndarray, like: dict) -> dict[str, np.ndarray]:
     out, at = {}, 0
     for name in NAMES:
         size = like[name].size
-        out[name] = flat[at : at + size].reshape(like[name].shape).astype(np.float32)
+        out[name] = flat[at : at + size].reshape(like[name].shape)
         at += size
     return out
 
@@ -93,32 +99,45 @@ def states(params: dict, table: np.ndarray, inputs: np.ndarray, fresh: np.ndarra
     keep receives, as arrays of steps x lanes, the states before, the update and reset gates, the reset states and the candidates.
     """
     lanes_, steps = inputs.shape
-    given = table.take(inputs.T.ravel(), axis=0).reshape(steps, lanes_, 3 * HIDDEN)
-    carried = (~fresh.T).astype(np.float32)[:, :, None]
-    out, befores, resets, candidates = (np.empty((steps, lanes_, HIDDEN), np.float32) for _ in range(4))
-    gates = np.empty((steps, lanes_, 2 * HIDDEN), np.float32)
+    # The logistic function by way of tanh; halved weights are exact. Both gates lie apart, each in one piece.
+    halved = np.concatenate([table[:, :HIDDEN], table[:, HIDDEN : 2 * HIDDEN]]) * np.float32(0.5)
+    turned = np.stack([params["uzr"][:, :HIDDEN], params["uzr"][:, HIDDEN:]]) * np.float32(0.5)
+    used = np.ascontiguousarray(inputs.T)
+    gates = halved.take(np.stack([used, used + len(table)], axis=1), axis=0, mode="clip")
+    candidates = np.ascontiguousarray(table[:, 2 * HIDDEN :]).take(used, axis=0, mode="clip")
+    out, befores, resets = (np.empty((steps, lanes_, HIDDEN), np.float32) for _ in range(3))
+    both, one = np.empty((2, lanes_, HIDDEN), np.float32), np.empty((lanes_, HIDDEN), np.float32)
+    starts = _starts(fresh)
     for t in range(steps):
         before, gate, c, reset = befores[t], gates[t], candidates[t], resets[t]
-        np.multiply(state, carried[t], out=before)
-        np.matmul(before, params["uzr"], out=gate)
-        gate += given[t, :, : 2 * HIDDEN]
-        gate *= 0.5  # the logistic function by way of tanh
+        before[:] = state
+        if t in starts:
+            before[starts[t]] = 0
+        np.matmul(before, turned, out=both)
+        gate += both
         np.tanh(gate, out=gate)
         gate += 1
         gate *= 0.5
-        np.multiply(gate[:, HIDDEN:], before, out=reset)
-        np.matmul(reset, params["uc"], out=c)
-        c += given[t, :, 2 * HIDDEN :]
+        np.multiply(gate[1], before, out=reset)
+        np.matmul(reset, params["uc"], out=one)
+        c += one
         np.tanh(c, out=c)
         state = out[t]
         np.subtract(c, before, out=state)
-        state *= gate[:, :HIDDEN]
+        state *= gate[0]
         state += before
     if keep is not None:
-        keep += [befores, gates[:, :, :HIDDEN], gates[:, :, HIDDEN:], resets, candidates]
+        keep += [befores, gates[:, 0], gates[:, 1], resets, candidates]
     return out, state
 
 
+def _starts(fresh: np.ndarray) -> dict[int, np.ndarray]:
+    """The lanes in which a sequence starts, by the steps that have any."""
+    step, lane = np.divmod(np.flatnonzero(fresh.T), len(fresh))
+    edges = np.searchsorted(step, np.arange(fresh.shape[1] + 1)).tolist()
+    return {t: lane[edges[t] : edges[t + 1]] for t in range(fresh.shape[1]) if edges[t] < edges[t + 1]}
+
+
 def by_class(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order, edges): the rows in order of their class, and where each learned class starts and ends."""
     order = np.argsort(classes.astype(np.uint8), kind="stable")
@@ -138,18 +157,31 @@ def _with_one(hidden: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 def _shares(logits: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """The log share of each row's id; the weights are bounded, so nothing overflows."""
-    picked = logits[np.arange(len(ids)), ids]
+    picked = logits.ravel().take(np.arange(0, logits.size, logits.shape[1]) + ids)
     np.exp(logits, out=logits)
     return picked - np.log(logits @ _ONES[: logits.shape[1]])
 
 
+def _inside(hidden: np.ndarray, weights: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """The logits inside its class of each row up to the last edge."""
+    out = np.empty((edges[-1], PER_CLASS), np.float32)
+    at = edges.tolist()
+    for k in range(CLASSES):
+        if at[k] < at[k + 1]:
+            np.matmul(hidden[at[k] : at[k + 1]], weights[k], out=out[at[k] : at[k + 1]])
+    return out
+
+
 def _outputs(params: dict) -> tuple[np.ndarray, np.ndarray]:
     """The weights of the classes, and of the tokens inside each, with their offsets as a last row."""
     return np.concatenate([params["wc"], params["bc"][None]]), np.concatenate([params["wt"], params["bt"][:, None]], axis=1)
 
 
 def log_likelihoods(params: dict, sequences: list[np.ndarray]) -> np.ndarray:
-    """Natural log-likelihood of each sequence: classes, and tokens inside learned classes."""
+    """Natural log-likelihood of each sequence: classes, and tokens inside learned classes.
+
+    Windows grow as lanes end, up to as many rows as those of all lanes, so a long sequence is not read by itself in short windows.
+    """
     total = np.zeros(len(sequences))
     if not sequences:
         return total
@@ -157,25 +189,31 @@ def log_likelihoods(params: dict, sequences: list[np.ndarray]) -> np.ndarray:
     table = (params["embed"] @ params["wx"] + params["bx"]).astype(np.float32)
     state = np.zeros((len(inputs), HIDDEN), np.float32)
     fresh = np.c_[np.ones(len(inputs), bool), owner[:, 1:] != owner[:, :-1]]
+    ends, at = (owner >= 0).sum(axis=1), 0
     to_class, inside = _outputs(params)
-    for at in range(0, inputs.shape[1], WINDOW):
-        part = slice(at, at + WINDOW)
-        alive = owner[:, at] >= 0
+    while at < inputs.shape[1]:
+        alive = ends > at
         if not alive.all():
-            inputs, targets, owner, fresh, state = inputs[alive], targets[alive], owner[alive], fresh[alive], state[alive]
+            inputs, targets, owner, fresh, state, ends = inputs[alive], targets[alive], owner[alive], fresh[alive], state[alive], ends[alive]
+        part = slice(at, at + max(WINDOW, min(LANES * WINDOW // len(ends), int(np.median(ends)) - at)))
         found, state = states(params, table, inputs[:, part], fresh[:, part], state)
         seen = np.flatnonzero(owner[:, part].T.ravel() >= 0)
         ids, who = targets[:, part].T.ravel()[seen], owner[:, part].T.ravel()[seen]
+        order, edges = by_class(output_class(ids))
+        ids, who = ids[order], who[order]
         classes = output_class(ids)
-        order, edges = by_class(classes)
-        ids, who, classes = ids[order], who[order], classes[order]
         hidden = _with_one(found.reshape(-1, HIDDEN), seen[order])
-        value = _shares(hidden @ to_class, classes)
-        for k in range(CLASSES):
-            rows = slice(edges[k], edges[k + 1])
-            if edges[k] < edges[k + 1]:
-                value[rows] += _shares(hidden[rows] @ inside[k], ids[rows] % PER_CLASS)
+        value = np.empty(len(ids), np.float32)
+        for first in range(0, len(ids), BLOCK):
+            rows = slice(first, first + BLOCK)
+            value[rows] = _shares(hidden[rows] @ to_class, classes[rows])
+        learned = ids[: edges[-1]] % PER_CLASS
+        logits = _inside(hidden, inside, edges)
+        for first in range(0, len(learned), BLOCK):
+            rows = slice(first, min(first + BLOCK, len(learned)))
+            value[rows] += _shares(logits[rows], learned[rows])
         total += np.bincount(who, weights=value, minlength=len(total))
+        at = part.stop
     return total
 
 
@@ -188,84 +226,106 @@ def gradients(params: dict, inputs: np.ndarray, targets: np.ndarray, alive: np.n
     seen = np.flatnonzero(alive.T.ravel())
     n = max(1, len(seen))
     ids = targets.T.ravel()[seen]
-    classes = output_class(ids)
     order = np.argsort(ids.astype(np.int16), kind="stable")  # by class, and by token inside the learned ones
-    seen, ids, classes = seen[order], ids[order], classes[order]
-    edges = np.searchsorted(classes, np.arange(CLASSES + 1))
+    seen, ids = seen[order], ids[order]
+    edges = np.searchsorted(ids, np.arange(0, LEARNED + 1, PER_CLASS))
     hidden = _with_one(found.reshape(-1, HIDDEN), seen)
     to_class, inside = _outputs(params)
 
-    first_ = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]) if n and len(ids) else np.empty(0, np.int64)
-    by_id = np.zeros((CLASSES * PER_CLASS + TAILS, HIDDEN + 1), np.float32)  # the rows of each target, added up
-    by_id[ids[first_]] = np.add.reduceat(hidden, first_, axis=0) / np.float32(n) if len(ids) else 0
+    by_id = _summed_by(ids, hidden, INPUTS) / np.float32(n)  # the rows of each target, added up
     by_learned = by_id[:LEARNED].reshape(CLASSES, PER_CLASS, HIDDEN + 1)
     by_output = np.concatenate([by_learned.sum(axis=1), by_id[LEARNED:]])
 
-    def pulled(weights: np.ndarray, rows: np.ndarray, ids_: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(gradient of the weights, of the rows) of the mean loss: shares, less 1 at the ids; sums are the rows by id."""
-        powers = rows @ weights
+    def shares(powers: np.ndarray, rows_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Makes logits powers; (the scale of each row's shares in the mean loss, the rows by it)."""
         np.exp(powers, out=powers)
         scale = 1 / (n * (powers @ _ONES[: powers.shape[1]]))[:, None]
-        towards = (rows * scale).T @ powers - sums.T
-        back_ = powers @ np.ascontiguousarray(weights[:HIDDEN].T)
-        back_ *= scale
-        back_ -= np.ascontiguousarray(weights[:HIDDEN].T / np.float32(n)).take(ids_, axis=0)
-        return towards, back_
-
-    grads = {"wt": np.zeros_like(params["wt"]), "bt": np.zeros_like(params["bt"]), "wc": np.zeros_like(params["wc"]), "bc": np.zeros_like(params["bc"])}
-    back = np.zeros((len(ids), HIDDEN), np.float32)
-    if len(ids):
-        towards, back = pulled(to_class, hidden, classes, by_output)
-        grads["wc"], grads["bc"] = towards[:HIDDEN], towards[HIDDEN]
+        return scale, rows_ * scale
+
+    # The gradient of the weights and of the rows: shares, less 1 at the ids.
+    powers = hidden @ to_class
+    scale, scaled = shares(powers, hidden)
+    towards = scaled.T @ powers - by_output.T
+    grads = {"wc": towards[:HIDDEN], "bc": towards[HIDDEN]}
+    back = powers @ np.ascontiguousarray(params["wc"].T)
+    back *= scale
+    powers = _inside(hidden, inside, edges)
+    scale, scaled = shares(powers, hidden[: edges[-1]])
+    further, towards, turned = np.empty((edges[-1], HIDDEN), np.float32), np.zeros((CLASSES, HIDDEN + 1, PER_CLASS), np.float32), np.ascontiguousarray(params["wt"].transpose(0, 2, 1))
+    at = edges.tolist()
     for k in range(CLASSES):
-        at = slice(edges[k], edges[k + 1])
-        if edges[k] < edges[k + 1]:
-            towards, further = pulled(inside[k], hidden[at], ids[at] % PER_CLASS, by_learned[k])
-            grads["wt"][k], grads["bt"][k] = towards[:HIDDEN], towards[HIDDEN]
-            back[at] += further
+        if at[k] < at[k + 1]:
+            power = powers[at[k] : at[k + 1]]
+            np.matmul(scaled[at[k] : at[k + 1]].T, power, out=towards[k])
+            np.matmul(power, turned[k], out=further[at[k] : at[k + 1]])
+    towards -= by_learned.transpose(0, 2, 1)
+    grads["wt"], grads["bt"] = towards[:, :HIDDEN], towards[:, HIDDEN]
+    further *= scale
+    back[: edges[-1]] += further
+    own = params["wc"].T[output_class(np.arange(INPUTS))]
+    own[:LEARNED] += turned.reshape(LEARNED, HIDDEN)
+    back -= (own / np.float32(n)).take(ids, axis=0, mode="clip")
     onto = np.zeros((steps * rows, HIDDEN), np.float32)
     onto[seen] = back
     onto = onto.reshape(steps, rows, HIDDEN)
     befores, z_all, r_all, resets, candidates = kept
-    given, carried = np.empty((steps, rows, 3 * HIDDEN), np.float32), (~fresh.T).astype(np.float32)[:, :, None]
+    given = np.empty((steps, rows, 3 * HIDDEN), np.float32)
     rest = 1 - z_all
-    by_candidate = z_all * (1 - candidates * candidates)
-    by_update = (candidates - befores) * z_all * rest
-    by_reset = resets * (1 - r_all)
+    by_update = candidates - befores
+    by_update *= z_all
+    by_update *= rest
+    by_candidate = np.multiply(candidates, candidates, out=candidates)
+    np.subtract(1, by_candidate, out=by_candidate)
+    by_candidate *= z_all
+    by_reset = 1 - r_all
+    by_reset *= resets
     uc_back, uzr_back = np.ascontiguousarray(params["uc"].T), np.ascontiguousarray(params["uzr"].T)
-    flow = np.zeros((rows, HIDDEN), np.float32)
+    flow, d_c, d_reset, d_gates = (np.zeros((rows, HIDDEN), np.float32) for _ in range(4))
+    starts = _starts(fresh)
     for t in reversed(range(steps)):
         d = given[t]
         flow += onto[t]
-        d_c = flow * by_candidate[t]
+        np.multiply(flow, by_candidate[t], out=d_c)
         d[:, 2 * HIDDEN :] = d_c
         np.multiply(flow, by_update[t], out=d[:, :HIDDEN])
-        d_reset = d_c @ uc_back
+        np.matmul(d_c, uc_back, out=d_reset)
         np.multiply(d_reset, by_reset[t], out=d[:, HIDDEN : 2 * HIDDEN])
         flow *= rest[t]
         d_reset *= r_all[t]
         flow += d_reset
-        flow += d[:, : 2 * HIDDEN] @ uzr_back
-        flow *= carried[t]
+        np.matmul(d[:, : 2 * HIDDEN], uzr_back, out=d_gates)
+        flow += d_gates
+        if t in starts:
+            flow[starts[t]] = 0
     given = given.reshape(-1, 3 * HIDDEN)
     grads["uc"] = resets.reshape(-1, HIDDEN).T @ given[:, 2 * HIDDEN :]
     grads["uzr"] = befores.reshape(-1, HIDDEN).T @ given[:, : 2 * HIDDEN]
     used = inputs.T.ravel().astype(np.int16)
     order = np.argsort(used, kind="stable")
-    first = np.flatnonzero(np.r_[True, np.diff(used[order]) > 0])
-    by_input = np.zeros((INPUTS, 3 * HIDDEN), np.float32)
-    by_input[used[order][first]] = np.add.reduceat(given.take(order, axis=0), first, axis=0)
+    by_input = _summed_by(used[order], given.take(order, axis=0, mode="clip"), INPUTS)
     grads["embed"], grads["wx"], grads["bx"] = by_input @ params["wx"].T, params["embed"].T @ by_input, by_input.sum(axis=0)
     return grads, last
 
 
+def _summed_by(ids: np.ndarray, rows: np.ndarray, count: int) -> np.ndarray:
+    """The sum of the rows of each id; ids ascend."""
+    out = np.zeros((count, rows.shape[1]), np.float32)
+    if len(ids):
+        first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        out[ids[first]] = np.add.reduceat(rows, first, axis=0)
+    return out
+
+
 class Trainer:
-    """Adam over windows of sequences; the state is carried between the windows of a sequence."""
+    """Adam over windows of sequences; the state is carried between the windows of a sequence.
+
+    The parameters are views of one vector, in which they are moved together.
+    """
 
     def __init__(self, params: dict):
-        self.params = {name: value.copy() for name, value in params.items()}
-        self.first = {name: np.zeros_like(value) for name, value in params.items()}
-        self.second = {name: np.zeros_like(value) for name, value in params.items()}
+        self.flat = pack(params)
+        self.params = _views(self.flat, params)
+        self.first, self.second, self.spare = (np.zeros_like(self.flat) for _ in range(3))
         self.step = 0
 
     def read(self, sequences: list[np.ndarray]) -> None:
@@ -283,21 +343,23 @@ class Trainer:
 
     def _update(self, grads: dict) -> None:
         self.step += 1
-        norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
-        shrink = np.float32(min(1.0, CLIP / max(norm, 1e-9)))
+        g, spare = pack(grads), self.spare
+        norm = float(np.sqrt(g @ g))
         rate = np.float32(RATE / np.sqrt(1 + self.step / 400) / (1 - 0.9**self.step))
         scale = np.float32(1 / (1 - 0.99**self.step))
-        for name, g in grads.items():
-            g *= shrink
-            first, second = self.first[name], self.second[name]
-            first *= np.float32(0.9)
-            first += np.float32(0.1) * g
-            g *= g
-            second *= np.float32(0.99)
-            second += np.float32(0.01) * g
-            self.params[name] -= rate * first / (np.sqrt(second * scale) + np.float32(1e-6))
-            if name in ("wc", "wt"):
-                np.clip(self.params[name], -LARGEST, LARGEST, out=self.params[name])
+        g *= np.float32(min(1.0, CLIP / max(norm, 1e-9)))
+        self.first *= np.float32(0.9)
+        self.first += np.multiply(g, np.float32(0.1), out=spare)
+        g *= g
+        g *= np.float32(0.01)
+        self.second *= np.float32(0.99)
+        self.second += g
+        np.sqrt(np.multiply(self.second, scale, out=spare), out=spare)
+        spare += np.float32(1e-6)
+        np.divide(np.multiply(self.first, rate, out=g), spare, out=g)
+        self.flat -= g
+        for name in ("wc", "wt"):
+            np.clip(self.params[name], -LARGEST, LARGEST, out=self.params[name])
 
 
 def trained(params: dict, sequences: list[np.ndarray]) -> dict[str, np.ndarray]:

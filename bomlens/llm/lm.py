@@ -63,7 +63,7 @@ class Tokens:
         self.numbers = np.full(self.bounds[-1], self.end, np.int64)
         self.numbers[np.arange(len(number)) + owner] = number
         raw = self.words.cast(pa.binary())
-        self.keys = np.fromiter(map(xxhash.xxh3_64_intdigest, raw.to_pylist()), np.uint64, len(raw)).view(np.int64)
+        self.keys = np.fromiter(map(xxhash.xxh3_64_intdigest, raw.to_numpy(zero_copy_only=False)), np.uint64, len(raw)).view(np.int64)
         self.tails = tail_classes(raw)
 
     def per_text(self, values: np.ndarray) -> np.ndarray:
@@ -131,23 +131,25 @@ class Vocabulary:
         order = np.argsort(keys)
         self.keys, self.counts, self.ranks = keys[order], counts[order].astype(np.float64), rank[order]
 
-    def counts_of(self, found: Tokens) -> np.ndarray:
-        """The count of each word and of the end; -1 for words that are not hot."""
-        at = self._rows(found)
-        return np.r_[np.where(at >= 0, self.counts[at], -1.0) if len(self.keys) else np.full(len(at), -1.0), self.ends]
-
-    def model_ids(self, found: Tokens) -> np.ndarray:
+    def rows(self, found: Tokens) -> np.ndarray:
+        """The row of each word among the hot ones; -1 for words that are not hot."""
+        out = np.full(len(found.keys), -1)
+        if len(self.keys):
+            order = np.argsort(found.keys)  # a search for ascending keys goes on where the last one ended
+            asked = found.keys[order]
+            at = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
+            out[order] = np.where(self.keys[at] == asked, at, -1)
+        return out
+
+    def counts_of(self, rows: np.ndarray) -> np.ndarray:
+        """The count of each word, by its row, and of the end; -1 for words that are not hot."""
+        return np.r_[np.where(rows >= 0, self.counts[rows], -1.0) if len(self.keys) else np.full(len(rows), -1.0), self.ends]
+
+    def model_ids(self, found: Tokens, rows: np.ndarray) -> np.ndarray:
         """The model's id of each word and of the end, 0: learned words' own ids, the ids of tail classes for all others."""
-        at = self._rows(found)
-        rank = np.where(at >= 0, self.ranks[at], self.learned + 1) if len(self.keys) else np.full(len(at), self.learned + 1)
+        rank = np.where(rows >= 0, self.ranks[rows], self.learned + 1) if len(self.keys) else np.full(len(rows), self.learned + 1)
         return np.r_[np.where(rank <= self.learned, rank, gru.LEARNED + found.tails), 0]
 
-    def _rows(self, found: Tokens) -> np.ndarray:
-        if not len(self.keys):
-            return np.full(len(found.keys), -1)
-        at = np.minimum(np.searchsorted(self.keys, found.keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == found.keys, at, -1)
-
 
 #: The vocabulary that a worker has loaded, by its path.
 _LOADED: dict[str, Vocabulary] = {}
@@ -206,7 +208,7 @@ def fitted(train: DataFrame, documents: int, vocab) -> tuple[dict[str, np.ndarra
             for batch in batches:
                 for start, length in slices(batch.column(0), TOGETHER):
                     found = Tokens(batch.column(0).slice(start, length))
-                    trainer.read(np.split(v.model_ids(found)[found.numbers], found.bounds[1:-1]))
+                    trainer.read(np.split(v.model_ids(found, v.rows(found))[found.numbers], found.bounds[1:-1]))
                     weight += len(found.numbers)
             if weight:
                 total = (gru.pack(trainer.params) * np.float32(weight)).astype(np.float32)
@@ -232,7 +234,8 @@ def scored(docs: DataFrame, vocab, params: dict) -> DataFrame:
             for start, length in slices(batch.column(1), TOGETHER):
                 piece = batch.slice(start, length)
                 found = Tokens(piece.column(1))
-                counts, ids = v.counts_of(found), v.model_ids(found)
+                rows = v.rows(found)
+                counts, ids = v.counts_of(rows), v.model_ids(found, rows)
                 hot = counts >= 0
                 logs = np.where(hot, np.log10(np.maximum(counts, 0) + SMOOTHING), 0.0)
                 tail = np.where(ids >= gru.LEARNED, logs - mass[np.maximum(ids - gru.LEARNED, 0)], 0.0)

@@ -4,6 +4,8 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 
 from pyspark.sql import functions as F
 
@@ -93,6 +95,61 @@ def test_state_is_carried_over_windows():
     assert abs(np.exp(one[: gru.LEARNED]).sum() + np.exp(one[gru.LEARNED :]).sum() - full.sum()) < 1e-3
 
 
+def test_long_sequences_are_read_in_long_windows(monkeypatch):
+    """The windows of a text that outlasts the others hold as many rows as those of all lanes, and tell the same."""
+    rng, sizes, plain = np.random.default_rng(6), [], gru.states
+    params = {k: (v + rng.normal(0, 0.2, v.shape)).astype(np.float32) for k, v in gru.initial(rng.random(gru.LEARNED), rng.random(gru.TAILS)).items()}
+    ids = [rng.integers(0, gru.INPUTS, n) for n in (100 * gru.WINDOW, 60 * gru.WINDOW + 1, *rng.integers(1, gru.WINDOW, gru.LANES))]
+    monkeypatch.setattr(gru, "states", lambda params, table, inputs, *rest: sizes.append(inputs.size) or plain(params, table, inputs, *rest))
+    found = gru.log_likelihoods(params, ids)
+    assert len(sizes) <= 6 and max(sizes) <= gru.LANES * gru.WINDOW
+    state, want = np.zeros(gru.HIDDEN), 0.0
+    for before, token in zip([0, *ids[1][:-1]], ids[1], strict=True):
+        given = params["embed"][before] @ params["wx"] + params["bx"]
+        z, r = np.split(1 / (1 + np.exp(-given[: 2 * gru.HIDDEN] - state @ params["uzr"])), 2)
+        state = (1 - z) * state + z * np.tanh(given[2 * gru.HIDDEN :] + (r * state) @ params["uc"])
+        k = int(gru.output_class(token))
+        logits = state @ params["wc"] + params["bc"]
+        want += logits[k] - np.log(np.exp(logits).sum())
+        if k < gru.CLASSES:
+            logits = state @ params["wt"][k] + params["bt"][k]
+            want += logits[token % gru.PER_CLASS] - np.log(np.exp(logits).sum())
+    assert abs(found[1] / want - 1) < 1e-5
+
+
+def test_updates_against_plain_adam():
+    rng = np.random.default_rng(8)
+    params = gru.initial(rng.random(gru.LEARNED), rng.random(gru.TAILS))
+    kept, trainer = {k: v.copy() for k, v in params.items()}, gru.Trainer(params)
+    want, first, second = ({k: v.astype(np.float64) * keep for k, v in params.items()} for keep in (1, 0, 0))
+    for step in range(1, 5):
+        grads = {k: rng.normal(0, 0.01 * step, v.shape).astype(np.float32) for k, v in params.items()}
+        trainer._update({k: g.copy() for k, g in grads.items()})
+        shrink = min(1, gru.CLIP / np.sqrt(sum((g.astype(np.float64) ** 2).sum() for g in grads.values())))
+        for k, g in grads.items():
+            first[k] = 0.9 * first[k] + 0.1 * g * shrink
+            second[k] = 0.99 * second[k] + 0.01 * (g * shrink) ** 2
+            want[k] -= gru.RATE / np.sqrt(1 + step / 400) * first[k] / (1 - 0.9**step) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)
+            if k in ("wc", "wt"):
+                want[k] = np.clip(want[k], -gru.LARGEST, gru.LARGEST)
+    assert all(np.allclose(trainer.params[k], want[k], atol=1e-5) and (params[k] == kept[k]).all() for k in gru.NAMES)
+
+
+def test_words_are_found_among_the_hot_ones():
+    words = [f"w{k}" for k in range(3000)]
+    found, hot = lm.Tokens(pa.array([" ".join(words[:2000]), "", " ".join(words[1000:]), "W1 w1"])), {xxhash.xxh3_64_intdigest(w) for w in words[::3]}
+    assert found.keys.view(np.uint64).tolist() == [xxhash.xxh3_64_intdigest(w) for w in found.words.to_pylist()]
+    vocab = lm.Vocabulary("", 4, np.ones(gru.TAILS), np.arange(9, 0, -1), 100, 50)
+    vocab.keys = np.sort(np.array(sorted(hot), np.uint64).view(np.int64))
+    vocab.counts, vocab.ranks = np.arange(len(hot)) + 1.0, np.arange(len(hot)) + 1
+    rows = vocab.rows(found)
+    assert [int(vocab.keys[r]) % 2**64 if r >= 0 else None for r in rows] == [k if k in hot else None for k in found.keys.view(np.uint64).tolist()]
+    assert vocab.counts_of(rows).tolist() == [*np.where(rows >= 0, rows + 1.0, -1).tolist(), 4]
+    assert vocab.model_ids(found, rows).tolist() == [*np.where((rows >= 0) & (rows < 9), rows + 1, gru.LEARNED + found.tails).tolist(), 0]
+    vocab.keys = vocab.keys[:0]
+    assert (vocab.rows(found) == -1).all() and (vocab.counts_of(vocab.rows(found))[:-1] == -1).all()
+
+
 def test_training_lowers_the_loss():
     pattern = np.tile(np.arange(1, 9), 60)
     params = gru.initial(np.ones(gru.LEARNED), np.ones(gru.TAILS))
