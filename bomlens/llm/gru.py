@@ -69,24 +69,36 @@ def lanes(lengths: np.ndarray, count: int) -> list[list[int]]:
     return out
 
 
-def arranged(sequences: list[np.ndarray], count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(inputs, targets, owner) as lanes x steps; owner is the sequence's number, -1 where a lane has ended.
+class Lanes:
+    """Sequences of ids in lanes, each lane in one piece, so that a long sequence takes no room in the other lanes.
 
-    A sequence of ids is predicted token by token; its first input is the end token 0.
+    A sequence is predicted token by token; its first input is the end token 0. ends are the lengths of the lanes that are left.
     """
-    dealt = lanes(np.array([len(s) for s in sequences]), count)
-    steps = max(sum(len(sequences[n]) for n in lane) for lane in dealt)
-    inputs, targets = np.zeros((len(dealt), steps), np.int32), np.zeros((len(dealt), steps), np.int32)
-    owner = np.full((len(dealt), steps), -1, np.int32)
-    for row, lane in enumerate(dealt):
-        at = 0
-        for n in lane:
-            ids = sequences[n]
-            targets[row, at : at + len(ids)] = ids
-            inputs[row, at + 1 : at + len(ids)] = ids[:-1]
-            owner[row, at : at + len(ids)] = n
-            at += len(ids)
-    return inputs, targets, owner
+
+    def __init__(self, sequences: list[np.ndarray], count: int):
+        lengths = np.array([len(s) for s in sequences])
+        dealt = lanes(lengths, count)
+        order = np.array([n for lane in dealt for n in lane])
+        self.targets = np.concatenate([sequences[n] for n in order], dtype=np.int32, casting="same_kind")
+        self.owner = np.repeat(order.astype(np.int32), lengths[order])
+        self.fresh = np.r_[True, self.owner[1:] != self.owner[:-1]]
+        self.inputs = np.where(self.fresh, np.int32(0), np.r_[np.int32(0), self.targets[:-1]])
+        self.ends = np.array([lengths[lane].sum() for lane in dealt])
+        self.starts = np.cumsum(self.ends) - self.ends
+
+    def left(self, at: int) -> np.ndarray | None:
+        """Which lanes go on at a step, if some do not; the others are dropped."""
+        on = self.ends > at
+        if on.all():
+            return None
+        self.ends, self.starts = self.ends[on], self.starts[on]
+        return on
+
+    def window(self, at: int, steps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(inputs, targets, owner, fresh) of a window, as steps x lanes; owner is the sequence's number, -1 where a lane has ended."""
+        step = np.arange(at, min(at + steps, self.ends.max()))[:, None]
+        places = np.minimum(self.starts + step, len(self.targets) - 1)
+        return self.inputs.take(places), self.targets.take(places), np.where(step < self.ends, self.owner.take(places), -1), self.fresh.take(places)
 
 
 def output_class(ids: np.ndarray) -> np.ndarray:
@@ -185,20 +197,19 @@ def log_likelihoods(params: dict, sequences: list[np.ndarray]) -> np.ndarray:
     total = np.zeros(len(sequences))
     if not sequences:
         return total
-    inputs, targets, owner = arranged(sequences, LANES)
+    held, at = Lanes(sequences, LANES), 0
     table = (params["embed"] @ params["wx"] + params["bx"]).astype(np.float32)
-    state = np.zeros((len(inputs), HIDDEN), np.float32)
-    fresh = np.c_[np.ones(len(inputs), bool), owner[:, 1:] != owner[:, :-1]]
-    ends, at = (owner >= 0).sum(axis=1), 0
+    state, longest = np.zeros((len(held.ends), HIDDEN), np.float32), held.ends.max()
     to_class, inside = _outputs(params)
-    while at < inputs.shape[1]:
-        alive = ends > at
-        if not alive.all():
-            inputs, targets, owner, fresh, state, ends = inputs[alive], targets[alive], owner[alive], fresh[alive], state[alive], ends[alive]
-        part = slice(at, at + max(WINDOW, min(LANES * WINDOW // len(ends), int(np.median(ends)) - at)))
-        found, state = states(params, table, inputs[:, part], fresh[:, part], state)
-        seen = np.flatnonzero(owner[:, part].T.ravel() >= 0)
-        ids, who = targets[:, part].T.ravel()[seen], owner[:, part].T.ravel()[seen]
+    while at < longest:
+        on = held.left(at)
+        state = state if on is None else state[on]
+        steps = max(WINDOW, min(LANES * WINDOW // len(state), int(np.median(held.ends)) - at))
+        inputs, targets, owner, fresh = held.window(at, steps)
+        at += steps
+        found, state = states(params, table, inputs.T, fresh.T, state)
+        seen = np.flatnonzero(owner.ravel() >= 0)
+        ids, who = targets.ravel()[seen], owner.ravel()[seen]
         order, edges = by_class(output_class(ids))
         ids, who = ids[order], who[order]
         classes = output_class(ids)
@@ -213,7 +224,6 @@ def log_likelihoods(params: dict, sequences: list[np.ndarray]) -> np.ndarray:
             rows = slice(first, min(first + BLOCK, len(learned)))
             value[rows] += _shares(logits[rows], learned[rows])
         total += np.bincount(who, weights=value, minlength=len(total))
-        at = part.stop
     return total
 
 
@@ -330,15 +340,13 @@ class Trainer:
 
     def read(self, sequences: list[np.ndarray]) -> None:
         """One pass over the sequences."""
-        inputs, targets, owner = arranged(sequences, TRAIN_LANES)
-        fresh = np.c_[np.ones(len(inputs), bool), owner[:, 1:] != owner[:, :-1]]
-        state = np.zeros((len(inputs), HIDDEN), np.float32)
-        for at in range(0, inputs.shape[1], TRAIN_WINDOW):
-            alive = owner[:, at] >= 0
-            if not alive.all():
-                inputs, targets, owner, fresh, state = inputs[alive], targets[alive], owner[alive], fresh[alive], state[alive]
-            part = slice(at, at + TRAIN_WINDOW)
-            grads, state = gradients(self.params, inputs[:, part], targets[:, part], owner[:, part] >= 0, fresh[:, part], state)
+        held = Lanes(sequences, TRAIN_LANES)
+        state = np.zeros((len(held.ends), HIDDEN), np.float32)
+        for at in range(0, held.ends.max(), TRAIN_WINDOW):
+            on = held.left(at)
+            state = state if on is None else state[on]
+            inputs, targets, owner, fresh = held.window(at, TRAIN_WINDOW)
+            grads, state = gradients(self.params, inputs.T, targets.T, owner.T >= 0, fresh.T, state)
             self._update(grads)
 
     def _update(self, grads: dict) -> None:

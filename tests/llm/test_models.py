@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -117,6 +118,17 @@ def test_long_sequences_are_read_in_long_windows(monkeypatch):
     assert abs(found[1] / want - 1) < 1e-5
 
 
+def test_a_long_sequence_takes_no_room_in_other_lanes():
+    rng = np.random.default_rng(9)
+    params, ids = gru.initial(rng.random(gru.LEARNED), rng.random(gru.TAILS)), [rng.integers(0, gru.INPUTS, n) for n in (40_000, *rng.integers(1, 50, gru.LANES))]
+    tracemalloc.start()
+    found = gru.log_likelihoods(params, ids)
+    gru.trained(params, ids[-3:] + [ids[0][:5000]])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6 and np.allclose(found[:3], [gru.log_likelihoods(params, [x])[0] for x in ids[:3]], rtol=1e-4)
+
+
 def test_updates_against_plain_adam():
     rng = np.random.default_rng(8)
     params = gru.initial(rng.random(gru.LEARNED), rng.random(gru.TAILS))
