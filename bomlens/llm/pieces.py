@@ -5,6 +5,8 @@
 2. Every substring of a word up to the longest piece is exploded and equi-joined to the piece table: the edges of the
    word's lattice. The piece table is broadcast; its size is that of the model file.
 3. The edges are grouped by word, where they were made, and folded with Spark's higher-order `aggregate`.
+   Words are dealt anew before, WORDS_A_TASK at a time: their edges weigh far more than their bytes, by which files are
+   packed into tasks, and a slow executor holds no more than a few seconds of the stage.
 4. Encoded words return to the texts. A worker reads up to HOT of the most frequent words, a bounded table, and the other
    words of its own input partition, which step 1 has listed; so no text and no list of ids is shuffled.
 
@@ -50,6 +52,8 @@ HOT, HOT_CHARS = 1 << 19, 48
 HOT_LONG, LONG_CHARS = 4096, 2048
 #: Words counted by a worker at once, and bytes of texts taken together.
 COUNTED, TOGETHER = 800_000, 2_000_000
+#: Words whose lattice one task makes and folds.
+WORDS_A_TASK = 1 << 15
 BEST, MERGES = "best path", "merges"
 #: Bits of a packed edge below its rank: start, length, id.
 START_BITS, LENGTH_BITS, ID_BITS = 24, 6, 17
@@ -227,6 +231,11 @@ def word_table(texts: DataFrame) -> DataFrame:
     return rows.repartition("word").mapInArrow(tidied(gathered), "word string, n bigint, parts array<int>")
 
 
+def dealt(words: DataFrame) -> DataFrame:
+    """words, stored before, dealt evenly to tasks of about WORDS_A_TASK rows."""
+    return words.repartition(max(1, -(-words.count() // WORDS_A_TASK)))
+
+
 def longest_by_prefix(table: PieceTable) -> list[tuple[str, int]]:
     """(prefix, longest): for the first PREFIX characters of the pieces that are as long, the length of the longest such piece."""
     found: dict[str, int] = {}
@@ -487,7 +496,7 @@ def encoded(docs: DataFrame, table: PieceTable, emit, schema: str, id_col: str =
     words = stored(word_table(texts), "wordtable").select("word", F.concat_ws(",", F.col("n").cast("string"), F.col("parts").cast("array<string>")).alias("note"))
     every = shared_folder(spark, "words")
     note = F.split("note", ",", 2)
-    encoded_words(words, table).select(F.xxhash64("word").alias("key"), F.char_length("word").alias("chars"), note[0].cast("bigint").alias("n"), note[1].alias("parts"), "ids").write.option("compression", "zstd").parquet(every)
+    encoded_words(dealt(words), table).select(F.xxhash64("word").alias("key"), F.char_length("word").alias("chars"), note[0].cast("bigint").alias("n"), note[1].alias("parts"), "ids").write.option("compression", "zstd").parquet(every)
     known = spark.read.parquet(every)
     short = known.filter(F.col("chars") <= HOT_CHARS)
     long = known.filter(F.col("chars").between(HOT_CHARS + 1, LONG_CHARS))

@@ -446,3 +446,19 @@ def test_speller_memory(tmp_path):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert done == 2 * 3000 * 1000 and peak < 120e6
+
+
+def test_pieces_deals_words_to_small_tasks(spark, tmp_path, monkeypatch):
+    """One file of words is encoded by many tasks, with the library's ids; a slow executor holds only small ones."""
+    import pyarrow.parquet as pq
+
+    sentencepiece = pytest.importorskip("sentencepiece")
+    monkeypatch.setattr(pieces, "WORDS_A_TASK", 40)
+    folders = []
+    monkeypatch.setattr(pieces, "shared_folder", lambda _, name: folders.append(str(tmp_path / name)) or folders[-1])
+    text = " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}ord" for k in range(400))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string").coalesce(1)
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    assert [list(r["ids"]) for r in pieces.encode(docs, pieces.PieceTable()).collect()] == [model.encode(text)]
+    sizes = [pq.ParquetFile(f).metadata.num_rows for f in (tmp_path / "words").glob("*.parquet")]
+    assert sum(sizes) == 400 and len(sizes) == 10 and max(sizes) <= 44
